@@ -140,7 +140,7 @@ def clean_measure(c: Column) -> Column:
 
 def drug_entries(c: Column) -> Column:
     """array<struct<brand, generic, approved>> of ``1. Brand (generic) July 20, 2011`` entries in a cell."""
-    entry = r"(?:\d+\.\s*)?([A-Z][^()\n]*?)\s*\(([^)]+)\)\s*((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4})"
+    entry = r"([A-Z][A-Za-z0-9\-’']*)\s*\(([^)]+)\)\s*((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4})"
     part = lambda i: F.regexp_extract_all(c, F.lit(entry), i)
     return F.transform(F.arrays_zip(part(1).alias("brand"), part(2).alias("generic"), part(3).alias("approved")), lambda x: F.struct(trimmed(x["brand"]).alias("brand"), trimmed(x["generic"]).alias("generic"), x["approved"].alias("approved")))
 
