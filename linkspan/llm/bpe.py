@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_value, text_or_empty
+from .common import by_value, slices, text_or_empty
 
 by_value(__name__)
 
 #: Characters of a block, encoded words kept by a task, words of a block replayed at once (few enough that their places stay in the cache).
-BLOCK, KNOWN, AT_ONCE = 4_000_000, 300_000, 4_000
+BLOCK, KNOWN, AT_ONCE = 4_000_000, 250_000, 4_000
 
 
 #: Code points that Unicode made letters or numbers after version 16, whose classes the tiktoken library has.
@@ -148,8 +148,8 @@ def replayer(ranks: dict[bytes, int], pairs: dict[int, int]) -> Callable[[list[b
     return replay
 
 
-def coder(ranks: dict[bytes, int], pairs: dict[int, int], pattern: str):
-    """(encode, decode): texts to lists of ids, by blocks, and ids to bytes."""
+def coder(ranks: dict[bytes, int], pairs: dict[int, int], pattern: str, keep: Callable = lambda ids: ids) -> Callable[[list[str]], Iterator[list]]:
+    """A function from a block of texts to, for each, the list of what ``keep`` makes of the ids of its words. Each distinct word is encoded once."""
     import regex
 
     find = regex.compile(pattern).findall
@@ -157,10 +157,9 @@ def coder(ranks: dict[bytes, int], pairs: dict[int, int], pattern: str):
     strict = regex.compile(pattern.replace(r"\p{L}", rf"[\p{{L}}--[{newer}]]").replace(r"\p{N}", rf"[\p{{N}}--[{newer}]]"), regex.V1).findall
     has_newer = regex.compile(f"[{newer}]").search
     replay = replayer(ranks, pairs)
-    spelled = {r: b for b, r in ranks.items()}
-    known: dict[str, list[int]] = {}
+    known: dict[str, object] = {}
 
-    def encode(texts: list[str]) -> Iterator[list[int]]:
+    def words_of(texts: list[str]) -> Iterator[list]:
         if len(known) > KNOWN:
             known.clear()
         cut = [find(t) for t in texts]
@@ -171,11 +170,11 @@ def coder(ranks: dict[bytes, int], pairs: dict[int, int], pattern: str):
         new.sort()  # words that begin alike lie together, and so do the places of a pair
         for i in range(0, len(new), AT_ONCE):
             part = new[i : i + AT_ONCE]
-            known.update(zip(part, replay([w.encode() for w in part]), strict=True))
+            known.update(zip(part, map(keep, replay([w.encode() for w in part])), strict=True))
         for words in cut:
-            yield list(chain.from_iterable(map(known.__getitem__, words)))
+            yield list(map(known.__getitem__, words))
 
-    return encode, lambda ids: b"".join(map(spelled.__getitem__, ids))
+    return words_of
 
 
 def _blocks(texts: list[str]) -> Iterator[list[str]]:
@@ -190,7 +189,8 @@ def _blocks(texts: list[str]) -> Iterator[list[str]]:
         yield block
 
 
-def _mapped(docs: DataFrame, text: str, id: str, path: str, pattern: str, row: Callable, fields: str) -> DataFrame:
+def _mapped(docs: DataFrame, text: str, id: str, path: str, pattern: str, keep: Callable, row: Callable, fields: dict[str, str]) -> DataFrame:
+    """``keep(ids, spelled)`` is what is kept of a word, ``row(kept)`` the fields of a text."""
     ranks = load_ranks(path)
     sent = docs.sparkSession.sparkContext.broadcast((ranks, pair_ranks(ranks)))
     rows = docs.select(id, text_or_empty(text).alias("_text"))
@@ -198,35 +198,34 @@ def _mapped(docs: DataFrame, text: str, id: str, path: str, pattern: str, row: C
 
     def run(batches):
         gc.disable()  # nothing here is cyclic, and the words kept would be walked again and again
-        encode, decode = coder(*sent.value, pattern)
-        names = None
-        for batch in batches:
-            out = []
-            for block in _blocks(batch.column(1).to_pylist()):
-                out += [row(ids, decode) for ids in encode(block)]
-            if out:
-                names = list(out[0])
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([o[n] for o in out]) for n in names]], [id, *names])
+        spelled = {r: b for b, r in sent.value[0].items()}
+        words_of = coder(*sent.value, pattern, lambda ids: keep(ids, spelled))
+        for batch in slices(batches, 1024):
+            out = [row(kept) for block in _blocks(batch.column(1).to_pylist()) for kept in words_of(block)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in zip(*out, strict=True)]], [id, *fields])
 
-    return rows.mapInArrow(run, f"`{id}` {kind}, {fields}")
+    return rows.mapInArrow(run, f"`{id}` {kind}, " + ", ".join(f"{k} {v}" for k, v in fields.items()))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per input row: id, ids (array<int>). Null texts count as empty and give no ids; other columns are ignored."""
-    return _mapped(docs, text, id, path, pattern, lambda ids, _: {"ids": ids}, "ids array<int>")
+    return _mapped(docs, text, id, path, pattern, lambda ids, _: ids, lambda kept: (np.fromiter(chain.from_iterable(kept), np.int32),), {"ids": "array<int>"})
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of the ids decoded again).
 
-    Digests are taken where texts are encoded, so that ids need not travel. Null texts count as empty."""
+    Digests are taken where texts are encoded, so that ids need not travel; the ids of each distinct word are written out and
+    decoded once, with the ids themselves as the only source. Null texts count as empty."""
 
-    names = [str(i) for i in range(max(load_ranks(path).values()) + 1)]
+    def keep(ids, spelled):
+        return "".join(f" {i}" for i in ids), len(ids), b"".join([spelled[i] for i in ids])
 
-    def row(ids, decode):
-        return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(decode(ids)).hexdigest()}
+    def row(kept):
+        told, counts, raw = zip(*kept, strict=True) if kept else ((), (), ())
+        return sum(counts), hashlib.sha256("".join(told)[1:].encode()).hexdigest(), hashlib.sha256(b"".join(raw)).hexdigest()
 
-    return _mapped(docs, text, id, path, pattern, row, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _mapped(docs, text, id, path, pattern, keep, row, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", id: str = "doc_id") -> DataFrame:
@@ -236,7 +235,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", id: str = "doc_id")
 
     def run(batches):
         spelled = {r: b for b, r in sent.value.items()}
-        for batch in batches:
+        for batch in slices(batches):
             texts = [b"".join(map(spelled.__getitem__, x or ())).decode(errors="replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id, "text"])
 

@@ -33,6 +33,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a batch from Spark that Python holds as objects at once.
+ROWS_AT_ONCE = 256
+
+
+def slices(batches, rows: int = ROWS_AT_ONCE):
+    """Record batches cut into small ones without copying, so that a worker's memory does not follow the size of Spark's batches."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
@@ -96,3 +107,6 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id: str, digest: Column) -> D
         return kept
     once = row.join(small(again), same, "left_semi").groupBy("_i", "_s").agg(F.first("_row").alias("_row")).select("_row.*")
     return kept.unionByName(once)
+
+
+by_value(__name__)

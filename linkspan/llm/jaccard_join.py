@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, checkpoint, components, keep_rows, text_or_empty
+from .common import by_value, checkpoint, components, keep_rows, slices, text_or_empty
 
 by_value(__name__)
 
 WORDS, SIMILARITY, RECALL, HASHES, BLOCK = 5, 0.8, 0.9995, 128, 256
 #: Hashes of words kept by a task.
-KNOWN = 500_000
+KNOWN = 250_000
 
 
 def bands_for(threshold: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -108,7 +108,7 @@ def prints(docs: DataFrame, bands: int, rows: int, n: int, text: str, id: str) -
 
     def run(batches):
         shingles = shingler(n)
-        for batch in batches:
+        for batch in slices(batches):
             digests, sizes, signs = [], [], []
             for t in batch.column(3).to_pylist():
                 s = shingles(t)
@@ -243,7 +243,7 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", n: int = WOR
 
     def full(batches):
         shingles = shingler(n)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, text_or_empty
+from .common import by_value, slices, text_or_empty
 
 by_value(__name__)
 
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict] | None, text: str =
 
     def run(batches):
         names, t = sent.value or ([], None)
-        for batch in batches:
+        for batch in slices(batches):
             raws = batch.column(2).to_pylist()
             langs, scores = ["und"] * len(raws), [0.0] * len(raws)
             at = 0
@@ -204,16 +204,18 @@ def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", id: str
     Whole rows pass through the scoring (no join by id), so repeated ids and clashing column names do no harm."""
     model = fit(docs, text, lang, id)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    marked = docs.withColumn("_raw", F.when(F.col(text).rlike(r"\p{L}"), F.lower(text_or_empty(text)).cast("binary")))
+    marked = docs.withColumn("_lettered", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    place = docs.columns.index(text)
 
     def run(batches):
         t = sent.value[1] if sent.value else None
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
-            for raw in batch.column(batch.num_columns - 1).to_pylist():
-                if not raw or t is None:
+            for content, lettered in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if not lettered or t is None:
                     keep.append(False)
                     continue
+                raw = content.lower().encode()
                 x = windows(raw)
                 weight = np.minimum(WINDOW, len(raw) - WINDOW * np.arange(len(x)))
                 mean = (log_probabilities(x, t) * weight[:, None]).sum(0) / weight.sum()
