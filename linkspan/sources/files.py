@@ -165,7 +165,7 @@ def codelist_items(members: DataFrame) -> DataFrame:
 
 def read_after_preamble(spark: SparkSession, path: str, header: str, names: list[str]) -> DataFrame:
     """A CSV with lines before its header: the rows after the first line that begins so. Lines carry their place in the file."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     lines = raw.select(F.posexplode(F.split("value", r"\r?\n"))).toDF("at", "line")
     start = lines.where(F.col("line").startswith(header)).agg(F.min("at").alias("start"))
     body = lines.crossJoin(F.broadcast(start)).where("at > start and line <> ''")
