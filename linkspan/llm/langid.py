@@ -204,7 +204,7 @@ def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", id: str
     Whole rows pass through the scoring (no join by id), so repeated ids and clashing column names do no harm."""
     model = fit(docs, text, lang, id)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    marked = docs.withColumn("_lettered", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    marked = docs.withColumn("__lettered__", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     place = docs.columns.index(text)
 
     def run(batches):
