@@ -116,23 +116,29 @@ def all_approved(combinations: DataFrame, approved: DataFrame, key: str = "key_i
 def word_overlap(names: DataFrame, blobs: DataFrame, name: str, blob: str) -> DataFrame:
     """Pairs whose text holds all long words of the name but one, and two at least: ids of both, present, of.
 
-    Names and texts meet by a shared long word (an inverted index of words), and only those pairs are counted. names: name_id;
-    blobs: blob_id. A long word is contained, not equal, in a text; texts are therefore indexed by their words' beginnings too
-    where names are many, and read whole by a broadcast where names are few.
+    At most one word may be missing, so one of the two longest distinct words of a name is always there: only texts with one of
+    them are counted in full. Few names are broadcast and every text is read once; beyond that, texts and those two words meet by
+    the five characters a word begins with. names: name_id; blobs: blob_id.
     """
-    n = names.select("name_id", normalize_loose(F.col(name)).alias("n"))
+    long_ = F.filter(F.split("n", " "), lambda w: F.length(w) > 4)
+    n = names.select("name_id", normalize_loose(F.col(name)).alias("n")).where(F.size(long_) >= 2)
+    by_length = F.array_sort(F.transform(F.array_distinct(long_), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+    n = n.withColumn("w1", F.get(by_length, F.lit(0))["w"]).withColumn("w2", F.coalesce(F.get(by_length, F.lit(1))["w"], F.col("w1")))
     b = blobs.select("blob_id", normalize_loose(F.col(blob)).alias("b"))
-    found = words_present(F.col("n"), F.col("b"))
+    either = F.col("b").contains(F.col("w1")) | F.col("b").contains(F.col("w2"))
     few = bounded(n, 2_000)
+    found = words_present(F.col("n"), F.col("b"))
+    # One conditional expression: as two predicates Catalyst would put the costly one first.
+    holds = F.when(either, overlaps_enough(found)).otherwise(False)
     if few is not n:
-        rows = b.join(few, F.lit(True) & (F.length("n") > 0)).withColumn("f", found)
-        return rows.where(overlaps_enough(F.col("f"))).select("name_id", "blob_id", "f.present", "f.of")
-    words = n.select("name_id", F.explode(F.array_distinct(F.filter(F.split("n", " "), lambda w: F.length(w) > 4))).alias("w")).withColumn("head", F.substring("w", 1, 5))
-    at = F.sequence(F.lit(1), F.greatest(F.length("b") - 4, F.lit(1)))
-    heads = b.select("blob_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("b", i, F.lit(5))))).alias("head"))
-    pairs = heads.join(words, "head").groupBy("name_id", "blob_id").agg(F.count_distinct("w").alias("c")).where("c >= 2").select("name_id", "blob_id")
-    rows = pairs.join(n, "name_id").join(b, "blob_id").withColumn("f", found)
-    return rows.where(overlaps_enough(F.col("f"))).select("name_id", "blob_id", "f.present", "f.of")
+        rows = b.join(few, holds)
+    else:
+        words = n.select("name_id", F.explode(F.array_distinct(F.array("w1", "w2"))).alias("w")).withColumn("head", F.substring("w", 1, 5))
+        at = F.sequence(F.lit(1), F.greatest(F.length("b") - 4, F.lit(1)))
+        heads = b.select("blob_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("b", i, F.lit(5))))).alias("head"))
+        pairs = heads.join(words.select("name_id", "head").distinct(), "head").select("name_id", "blob_id").distinct()
+        rows = pairs.join(n, "name_id").join(b, "blob_id").where(holds)
+    return rows.select("name_id", "blob_id", found.alias("f")).select("name_id", "blob_id", "f.present", "f.of")
 
 
 def brand_resolution(compendium: DataFrame, labels: DataFrame) -> DataFrame:
