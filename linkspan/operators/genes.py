@@ -65,9 +65,9 @@ def gene_family(parents: DataFrame, causative: DataFrame) -> DataFrame:
 
 
 def omim_chain(orpha_omim: DataFrame, mim2gene: DataFrame, hgnc: DataFrame) -> DataFrame:
-    """orpha_id, symbol: the first OMIM id in order that leads to a gene with a symbol."""
+    """orpha_id, symbol: the first OMIM id in order that leads to a gene with a symbol; of several symbols of that id the least."""
     chain = orpha_omim.join(mim2gene.select("omim_id", "gene_id"), "omim_id").join(hgnc.select(F.col("entrez_id").alias("gene_id"), "symbol"), "gene_id")
-    return chain.groupBy("orpha_id").agg(F.min_by("symbol", "_ord").alias("symbol"))
+    return chain.groupBy("orpha_id").agg(F.min_by("symbol", F.struct("_ord", "symbol")).alias("symbol"))
 
 
 def confidence(classes: Column) -> Column:

@@ -6,8 +6,6 @@ line items for trials and their outcomes, nations for concepts of three hierarch
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +14,8 @@ from ..functions import text as X
 from ..operators import dedup, facets, hierarchy, link, quality, resolve, setops
 from ..session import table
 from ..sources import files
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None):
-    def register(run):
-        QUERIES[run.__name__] = run
-        if sql:
-            ORACLES[run.__name__] = sql
-        return run
-
-    return register
-
+from .registry import ORACLES, QUERIES  # noqa: F401
+from .registry import query as _query
 
 # ---- settling mentions --------------------------------------------------------------------------------------------------
 RULES = resolve.Rules(accepted_types=("STANDARD", "SMALL", "LARGE", "MEDIUM"), consumer=tuple(f"Brand#{i}" for i in range(1, 6)), narrower=("Brand#1", "Brand#2"))
