@@ -131,11 +131,11 @@ def in_parentheses(c: Column) -> Column:
 
 
 def clean_measure(c: Column) -> Column:
-    """an outcome without the words in front of what is measured (any number of them) and without its time point."""
+    """an outcome without the words in front of what is measured (any number of them) and without a time point at the end of its last line."""
     lead = "|".join(MEASURE_PREFIXES)
     s = F.regexp_replace(trimmed(c), rf"(?i)^(?:{lead})+", "")
-    s = F.regexp_replace(s, r"(?is)\s+at\s+(?:week|day|month|year)s?\s*\d+.*$", "")
-    return trimmed(F.regexp_replace(s, r"(?is)\s+at\s+\d+\s+(?:week|day|month|year)s?.*$", ""))
+    s = F.regexp_replace(s, r"(?idU)\s+at\s+(?:week|day|month|year)s?\s*\d+.*$", "")
+    return trimmed(F.regexp_replace(s, r"(?idU)\s+at\s+\d+\s+(?:week|day|month|year)s?.*$", ""))
 
 
 def drug_entries(c: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.predicates import matching_outcomes, phrase_in, scaffolding, trial_id, uses_instrument
-from ..functions.text import aliases, clean_measure, flat_spaces
+from ..functions.text import aliases, clean_measure, flat_spaces, trimmed
 from ..session import bounded
 from .dedup import first_per_key
 
@@ -41,10 +41,9 @@ def usage(instruments: DataFrame, used: DataFrame, top: int = 3) -> DataFrame:
 
 
 def outcomes(trials: DataFrame, kinds: tuple[str, ...] = ("primary", "secondary")) -> DataFrame:
-    """nct_id, kind, measure for every outcome."""
-    parts = [F.transform(F.coalesce(f"{k}_outcomes", F.array().cast("array<struct<measure:string>>")), lambda o, k=None: o["measure"]) if False else _measures(k) for k in kinds]
-    tagged = F.concat(*parts)
-    return trials.select("nct_id", F.explode(tagged).alias("o")).select("nct_id", "o.kind", "o.measure").where(F.trim("measure") != "")
+    """nct_id, kind, measure (trimmed) for every outcome that is not blank."""
+    tagged = F.concat(*[_measures(k) for k in kinds])
+    return trials.select("nct_id", F.explode(tagged).alias("o")).select("nct_id", "o.kind", trimmed(F.col("o.measure")).alias("measure")).where("measure <> ''")
 
 
 def _measures(kind: str) -> Column:
@@ -78,20 +77,43 @@ def cooccurrence_status(instruments: DataFrame, counted: DataFrame, used: DataFr
     return instruments.join(has, "instrument", "left").join(drugs, "instrument", "left").select("instrument", F.when(F.col("t").isNull(), "NO_TRIALS_FOUND").when(F.col("d").isNull(), "NO_APPROVED_DRUGS").otherwise("DRUGS_FOUND").alias("status"))
 
 
+#: Cleaned measures shorter than this are left out.
+LEAST_MEASURE = 3
+
+
 def canonical_measures(stream: DataFrame, lists: DataFrame) -> DataFrame:
-    """Measures rolled up under the instrument they name: instrument, category, as_primary, as_secondary, trials, n_variants, variants.
-
-    lists: label, category, list_rank, _ord; the first list that names the measure wins. Measures that no list names stand for
-    themselves as ``other``; safety and laboratory outcomes are left out."""
-    rows = stream.withColumn("clean", clean_measure(F.col("measure"))).withColumn("low", flat_spaces(F.lower("measure"))).where(~scaffolding(F.lower("measure")))
-    names = lists.select("label", "category", "list_rank", "_ord", F.explode(aliases(F.col("label"))).alias("alias")).where(F.length("alias") >= 2)
-    texts = rows.select("low").distinct()
-    hit = texts.join(bounded(names), phrase_in(F.col("alias"), F.col("low"))).groupBy("low").agg(F.min(F.struct("list_rank", "_ord", "label", "category")).alias("h"))
-    rows = rows.join(hit, "low", "left").withColumn("instrument", F.coalesce("h.label", "clean")).withColumn("category", F.coalesce("h.category", F.lit("other")))
-    return rows.groupBy("instrument", "category").agg(
+    """Cleaned measures rolled up under the instrument they name: instrument, category, list_rank, as_primary, as_secondary, trials, n_variants, variants.
+
+    lists: label, category, list_rank (0 first), _ord; the first list that names the measure wins, and in it the first spelling.
+    Safety and laboratory outcomes are held against the first list only. Measures that no list names stand for themselves as
+    ``other`` (list_rank null). Variants are the cleaned measures that differ from the instrument's name."""
+    rows = stream.withColumn("clean", clean_measure(F.col("measure"))).where(F.length("clean") >= LEAST_MEASURE).withColumn("low", flat_spaces(F.lower("clean")))
+    names = lists.select("label", "category", "list_rank", "_ord", F.posexplode(aliases(F.col("label"))).alias("pos", "alias")).where("alias <> ''")
+    # A spelling keeps its first place and takes the last label that it is given.
+    at = F.struct("_ord", "pos")
+    names = names.groupBy("list_rank", "alias").agg(F.min(at).alias("at"), F.max_by(F.struct("label", "category"), at).alias("l"))
+    texts = rows.select("low").distinct().withColumn("safety", scaffolding(F.col("low")))
+    named = F.when((F.col("list_rank") == 0) | ~F.col("safety"), phrase_in(F.col("alias"), F.col("low"))).otherwise(False)
+    hit = texts.join(bounded(names), named).groupBy("low").agg(F.min(F.struct("list_rank", "at", "l")).alias("h"))
+    rows = rows.join(hit, "low", "left").withColumn("instrument", F.coalesce("h.l.label", "clean"))
+    kind = F.struct(F.coalesce("h.list_rank", F.lit(2**31 - 1)).alias("rank"), F.coalesce("h.l.category", F.lit("other")).alias("category"), F.col("h.list_rank").alias("list_rank"))
+    variant = F.when(F.col("clean") != F.col("instrument"), F.col("clean"))
+    found = rows.groupBy("instrument").agg(
+        F.min(kind).alias("k"),
         F.count_distinct(F.when(F.col("kind") == "primary", F.col("nct_id"))).alias("as_primary"), F.count_distinct(F.when(F.col("kind") == "secondary", F.col("nct_id"))).alias("as_secondary"),
-        F.count_distinct("nct_id").alias("trials"), F.count_distinct("measure").alias("n_variants"), F.sort_array(F.collect_set("measure")).alias("variants"),
+        F.count_distinct("nct_id").alias("trials"), F.count_distinct(variant).alias("n_variants"), F.sort_array(F.collect_set(variant)).alias("variants"),
     )
+    return found.select("instrument", "k.category", "k.list_rank", "as_primary", "as_secondary", "trials", "n_variants", "variants")
+
+
+def ranked_measures(found: DataFrame) -> DataFrame:
+    """By list, then most trials, then name."""
+    return found.orderBy(F.col("list_rank").asc_nulls_last(), F.desc("trials"), F.lower("instrument"))
+
+
+def shown(blocks: DataFrame) -> DataFrame:
+    """Blocks (qualified, instruments: array of structs with trials) that are qualified or of which some trial used an instrument."""
+    return blocks.where(F.coalesce("qualified", F.lit(False)) | F.coalesce(F.exists("instruments", lambda i: i["trials"] > 0), F.lit(False)))
 
 
 def any_outcome(trials: DataFrame, needle: str) -> DataFrame:

@@ -63,7 +63,7 @@ def instruments(found: DataFrame, least: int) -> DataFrame:
 
 
 def run(queries: DataFrame, s: Sources, rules: resolve.Rules = resolve.Rules(), suppress_on: str = "any") -> dict[str, DataFrame]:
-    """R18 (suppress_on="qualified"), R19 (suppress_on="any"): identity, catalog, neighbours, usage, drugs and summary of a batch of queries (query_id, query)."""
+    """R18 (suppress_on="qualified"), R19 (suppress_on="any"): identity, catalog, neighbours, usage, drugs, assembled and summary of a batch of queries (query_id, query)."""
     who = identities(queries, s, rules)
     found = link.catalog_lookup(who.select("query_id", "cui", "normalized"), s.catalog, s.children)
     near = neighbours(who, found, s, suppress_on)
@@ -81,10 +81,32 @@ def run(queries: DataFrame, s: Sources, rules: resolve.Rules = resolve.Rules(),
     usage_status = F.when(F.col("catalog") != "FOUND", "NOT_NEEDED").when(F.col("n_trials") > 0, "TRIALS_FOUND").otherwise("NO_TRIALS_FOUND")
     each, degraded = quality.sealed({"identity": F.col("status"), "catalog": F.col("catalog"), "neighbours": neighbour_status, "usage": usage_status})
     line = F.concat_ws("\n", F.concat(F.lit("identity: "), F.col("status")), F.concat(F.lit("catalog: "), "catalog"), F.concat(F.lit("neighbours: "), neighbour_status), F.concat(F.lit("usage: "), usage_status))
+    out["assembled"] = assembled(out)
     out["summary"] = steps.select("query_id", "query", each.alias("steps"), degraded.alias("degraded_steps"), line.alias("statement"))
     return out
 
 
+def assembled(out: dict[str, DataFrame]) -> DataFrame:
+    """What the parts of ``run`` say of each query, and nothing they do not: counts, whether items, qualified ones and drugs were found,
+    the gap (drugs but no catalogue items), and the three best-agreed neighbours that have items, where the query has none.
+
+    query_id, n_coas, n_qualified, n_drugs, n_drugs_corroborated, has_coa, has_qualified_coa, has_drugs, gap, nearby."""
+    items = out["catalog"].select("query_id", F.explode_outer("entries").alias("e")).select("query_id", F.explode_outer("e.items").alias("i"))
+    rows = items.groupBy("query_id").agg(F.count("i").alias("n_coas"), F.count_if("i.qualified").alias("n_qualified"))
+    drugs = out.get("drugs")
+    if drugs is None:
+        rows = rows.withColumns({"n_drugs": F.lit(0), "n_drugs_corroborated": F.lit(0)})
+    else:
+        n = F.coalesce(F.size("drugs"), F.lit(0))
+        both = F.coalesce(F.size(F.filter("drugs", lambda x: x["both_routes"])), F.lit(0))
+        rows = rows.join(drugs.select("query_id", F.greatest(n, F.lit(0)).alias("n_drugs"), F.greatest(both, F.lit(0)).alias("n_drugs_corroborated")), "query_id", "left").fillna(0, ["n_drugs", "n_drugs_corroborated"])
+    near = out["neighbours"].where("n_items > 0").groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("n_agreeing")).alias("o"), "condition", "relation", "n_items"))), 1, 3).alias("n"))
+    near = near.select("query_id", F.transform("n", lambda x: F.struct(x["condition"].alias("condition"), x["relation"].alias("relation"), x["n_items"].alias("n_items"))).alias("nearby"))
+    has = {"has_coa": F.col("n_coas") > 0, "has_qualified_coa": F.col("n_qualified") > 0, "has_drugs": F.col("n_drugs") > 0}
+    rows = rows.join(near, "query_id", "left").withColumns(has).withColumn("gap", F.col("has_drugs") & ~F.col("has_coa"))
+    return rows.withColumn("nearby", F.when(~F.col("has_coa"), F.coalesce("nearby", F.array().cast("array<struct<condition:string,relation:string,n_items:bigint>>"))))
+
+
 def warm_relations(catalog: DataFrame, s: Sources, path: str) -> DataFrame:
     """Relations of all pairs of catalogue concepts that are related in some source, written once and read from then on."""
     near = hierarchy.neighbours(catalog.select("cui"), catalog, s.codes, s.edges, hierarchy.closure(s.edges), s.order, s.defined, s.gated)

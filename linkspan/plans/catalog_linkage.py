@@ -86,14 +86,18 @@ def cooccurring_drugs(spark, d):
     return usage.cooccurring_drugs(_trials(spark, d), named, resolved, approved)
 
 
-@query(_LINES + """, m AS (SELECT nct_id, CASE flag WHEN 'R' THEN 'primary' ELSE 'secondary' END AS kind, measure, CASE WHEN contains(measure, ' ring ') THEN 'Ring scale (RING)' WHEN contains(measure, ' widget ') THEN 'Widget index (widget)' ELSE substr(measure, 11) END AS instrument,
-           CASE WHEN contains(measure, ' ring ') THEN 'qualified' WHEN contains(measure, ' widget ') THEN 'other list' ELSE 'other' END AS category FROM lines WHERE flag IN ('R', 'N'))
-    SELECT instrument, category, count(DISTINCT nct_id) FILTER (kind = 'primary') AS as_primary, count(DISTINCT nct_id) FILTER (kind = 'secondary') AS as_secondary, count(DISTINCT nct_id) AS trials, count(DISTINCT measure) AS n_variants,
-           string_agg(DISTINCT measure, '|' ORDER BY measure) AS variants FROM m GROUP BY 1, 2""")
+@query(_LINES + """, c AS (SELECT nct_id, flag, CASE WHEN p_type = 'ECONOMY' THEN 'Adverse events of ' || drug ELSE drug || ' ' || p_type END AS clean FROM lines WHERE flag IN ('R', 'N')),
+    m AS (SELECT *, CASE WHEN regexp_matches(clean, '\\bring\\b') THEN 0 WHEN regexp_matches(clean, '\\bwidget\\b') AND NOT contains(clean, 'Adverse event') THEN 1 END AS list_rank FROM c),
+    n AS (SELECT *, CASE list_rank WHEN 0 THEN 'Ring scale (RING)' WHEN 1 THEN 'Widget index (widget)' ELSE clean END AS instrument FROM m)
+    SELECT instrument, CASE any_value(list_rank) WHEN 0 THEN 'qualified' WHEN 1 THEN 'listed' ELSE 'other' END AS category, count(DISTINCT nct_id) FILTER (flag = 'R') AS as_primary, count(DISTINCT nct_id) FILTER (flag = 'N') AS as_secondary,
+           count(DISTINCT nct_id) AS trials, count(DISTINCT clean) FILTER (clean <> instrument) AS n_variants, coalesce(string_agg(DISTINCT clean, '|' ORDER BY clean) FILTER (clean <> instrument), '') AS variants FROM n GROUP BY 1""")
 def canonical_measures(spark, d):
-    """The first list that names a measure wins; unnamed ones stand for themselves."""
-    lists = spark.createDataFrame([("Ring scale (RING)", "qualified", 0, 0), ("Widget index (widget)", "other list", 1, 1), ("Late (ring)", "other list", 1, 0)], "label string, category string, list_rank int, _ord int")
-    return usage.canonical_measures(usage.outcomes(_trials(spark, d)), lists).withColumn("variants", F.array_join("variants", "|"))
+    """The first list that names a measure wins; safety outcomes meet the first list only."""
+    lists = spark.createDataFrame([("Ring scale (RING)", "qualified", 0, 0), ("Widget index (widget)", "listed", 1, 1), ("Late (ring)", "listed", 1, 0)], "label string, category string, list_rank int, _ord int")
+    drug = F.regexp_replace("measure", "^Change in ", "")
+    stream = usage.outcomes(_trials(spark, d)).withColumn("measure", F.when(drug.endswith(" ECONOMY"), F.concat(F.lit("Number of Adverse events of "), F.regexp_replace(drug, " ECONOMY$", ""), F.lit(" at week 3"))).otherwise(F.col("measure")))
+    found = usage.canonical_measures(stream, lists)
+    return usage.ranked_measures(found).drop("list_rank").withColumn("variants", F.array_join("variants", "|"))
 
 
 # ---- routes and approvals -----------------------------------------------------------------------------------------------
@@ -248,6 +252,14 @@ def flagged_union(spark, d):
     return rows.groupBy("origin", "k").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT o_custkey AS custkey, bool_or(o_orderstatus = 'P') AS qualified, count(*) AS n FROM orders GROUP BY 1 HAVING bool_or(o_orderstatus = 'P') OR max(o_totalprice) > 450000""")
+def shown_blocks(spark, d):
+    """Qualified blocks, and others that some trial used."""
+    trials = F.when(F.col("o_totalprice") > 450000, 1).otherwise(0)
+    blocks = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.bool_or(F.col("o_orderstatus") == "P").alias("qualified"), F.collect_list(F.struct(trials.alias("trials"))).alias("instruments"))
+    return usage.shown(blocks).select("custkey", "qualified", F.size("instruments").cast("long").alias("n"))
+
+
 @query("SELECT l_suppkey AS suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1")
 def id_set_union(spark, d):
     """U07."""

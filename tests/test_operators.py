@@ -252,7 +252,14 @@ def test_usage(spark, trials):
     lists = spark.createDataFrame([("Kansas City Questionnaire (KCCQ)", "qualified", 0, 1), ("6MWT", "listed", 1, 2)], "label string, category string, list_rank int, _ord int")
     found = usage.canonical_measures(usage.outcomes(trials), lists)
     assert ("Kansas City Questionnaire (KCCQ)", "qualified", 1, 1, 2, 2) in rows(found, "instrument", "category", "as_primary", "as_secondary", "trials", "n_variants")
-    assert not [r for r in found.collect() if "dverse" in r["instrument"]]
+    assert ("Adverse events", "other", 0) in rows(found, "instrument", "category", "n_variants")
+    # Safety outcomes are held against the first list only; variants are cleaned measures that differ from the name.
+    guarded = spark.createDataFrame([("events", "qualified", 1, 1), ("6MWT", "listed", 0, 2)], "label string, category string, list_rank int, _ord int")
+    out = {r["instrument"]: r for r in usage.canonical_measures(usage.outcomes(trials), guarded).collect()}
+    assert out["Adverse events"]["category"] == "other" and (out["6MWT"]["list_rank"], out["6MWT"]["variants"]) == (0, [])
+    assert [r["instrument"] for r in usage.ranked_measures(found).collect()][:2] == ["Kansas City Questionnaire (KCCQ)", "6MWT"]
+    b = spark.createDataFrame([(1, True, []), (2, False, [(0,)]), (3, None, [(0,), (2,)]), (4, None, None)], "id int, qualified boolean, instruments array<struct<trials:int>>")
+    assert rows(usage.shown(b), "id") == [(1,), (3,)]
 
 
 def test_facets(spark):
@@ -270,6 +277,9 @@ def test_batch(spark, vocabulary, trials):
     assert rows(out["catalog"], "query_id", "status") == [(1, "FOUND"), (2, "NO_COA"), (3, "NO_COA")]
     assert rows(out["neighbours"], "query_id", "condition", "relation") == [(2, "Alpha", "SIBLING"), (2, "Hip Fracture", "SIBLING")]
     assert {r["query_id"]: r["steps"]["neighbours"]["status"] for r in out["summary"].collect()} == {1: "NOT_NEEDED", 2: "NEIGHBORS_FOUND", 3: "NO_NEIGHBORS"}
+    said = {r["query_id"]: r for r in out["assembled"].collect()}
+    assert [(said[i]["n_coas"], said[i]["has_qualified_coa"], said[i]["gap"]) for i in (1, 2, 3)] == [(1, True, False), (0, False, False), (0, False, False)]
+    assert [x["condition"] for x in said[2]["nearby"]] == ["Alpha", "Hip Fracture"] and said[1]["nearby"] is None and said[3]["nearby"] == []
 
 
 def test_sources(spark, tmp_path):
