@@ -81,13 +81,17 @@ def confidence(classes: Column) -> Column:
 
 
 def resolve_diseases(diseases: DataFrame, parents: DataFrame, genes: DataFrame, approved: DataFrame | None, chain: DataFrame, mondo: DataFrame, clingen: DataFrame) -> DataFrame:
-    """orpha_id, preferred_name, disease_class, strategy, gene_set, primary_gene, gene_source, gene_confidence, resolution_status, gene_identified, is_polygenic.
-
-    diseases: orpha_id, name, disorder_type; mondo: orpha_id, mondo_id. A disease whose children carry more than three distinct
-    genes is heterogeneous. The set is: causative genes for one-gene classes, the family's for heterogeneous and pathway
-    classes, all genes for syndromes, none but the chain's for phenocopies; an empty set falls back to the chain.
+    """One row per disease: orpha_id, preferred_name, disease_class, strategy, is_subtype, gene_set, primary_gene, gene_source,
+    gene_confidence, conflict_detected, resolution_status, gene_identified, is_polygenic.
+
+    diseases: orpha_id, name, disorder_type and, where the nomenclature may lack some, found; mondo: orpha_id, mondo_id. A disease
+    whose children carry more than three distinct causative genes is heterogeneous. The set is, by class: the first causative gene
+    (monogenic, predisposition; more than one is a conflict), the sorted genes of the disease and its children (heterogeneous,
+    pathway), all causative genes (phenocopy), all genes (syndromic). Where that is empty the chain's gene stands in, but not for
+    families; unknown classes have no genes. Only one-gene classes and phenocopies with one gene name a primary gene.
     """
-    rows = diseases.select(bare_id(F.col("orpha_id"), "ORPHA").alias("orpha_id"), "name", "disorder_type")
+    found = F.coalesce("found", F.lit(True)) if "found" in diseases.columns else F.lit(True)
+    rows = diseases.select(bare_id(F.col("orpha_id"), "ORPHA").alias("orpha_id"), "name", F.nullif("disorder_type", F.lit("")).alias("disorder_type"), found.alias("found"))
     causative, any_ = genes_of(genes, approved, True), genes_of(genes, approved, False)
     below = parents.select(F.col("parent").alias("orpha_id"), F.col("child").alias("member")).join(causative.select(F.col("orpha_id").alias("member"), "symbol"), "member")
     diverse = below.groupBy("orpha_id").agg((F.count_distinct("symbol") > DIVERSE).alias("diverse"))
@@ -100,17 +104,29 @@ def resolve_diseases(diseases: DataFrame, parents: DataFrame, genes: DataFrame,
     family = gene_family(parents, causative).groupBy("orpha_id").agg(F.sort_array(F.collect_set("symbol")).alias("family"))
     rows = rows.join(listed(causative, "direct"), "orpha_id", "left").join(listed(any_, "any"), "orpha_id", "left").join(family, "orpha_id", "left").join(chain.select("orpha_id", F.col("symbol").alias("chain")), "orpha_id", "left")
     c = F.col("disease_class")
-    own = F.when(c.isin("MONOGENIC", "PREDISPOSITION"), F.col("direct")).when(c.isin("HETEROGENEOUS", "PATHWAY_DISORDER"), F.col("family")).when(c == "SYNDROMIC", F.col("any"))
-    empty = F.array().cast("array<string>")
-    rows = rows.withColumn("own", own).withColumn("gene_set", F.coalesce("own", F.when(F.col("chain").isNotNull(), F.array("chain")), empty))
-    source = F.when(F.col("own").isNotNull(), "gene_associations").when(F.col("chain").isNotNull(), "omim_chain")
-    rows = rows.withColumn("gene_source", source).withColumn("primary_gene", F.get("gene_set", F.lit(0)))
+    one, many, copy, syndrome = c.isin("MONOGENIC", "PREDISPOSITION"), c.isin("HETEROGENEOUS", "PATHWAY_DISORDER"), c == "PHENOCOPY", c == "SYNDROMIC"
+    own = F.when(one, F.slice("direct", 1, 1)).when(many, F.col("family")).when(copy, F.col("direct")).when(syndrome, F.col("any"))
+    chained = own.isNull() & (one | copy | syndrome) & F.col("chain").isNotNull()
+    rows = rows.withColumn("gene_set", F.coalesce(own, F.when(chained, F.array("chain")), F.array().cast("array<string>")))
+    ending = F.when(copy, "_phenocopy").when(syndrome, "_syndromic").otherwise("")
+    source = F.when(chained, F.concat(F.lit("omim_chain"), ending)).when(own.isNotNull(), F.when(many, "orphadata_gene_family").otherwise(F.concat(F.lit("orphadata_genes"), ending)))
+    primary = F.when(one | (copy & (F.size("gene_set") == 1)), F.get("gene_set", F.lit(0)))
+    conflict = one & (F.coalesce(F.size("direct"), F.lit(0)) > 1)
+    rows = rows.withColumns({"gene_source": source, "primary_gene": primary, "conflict_detected": conflict})
 
     classes = rows.select("orpha_id", F.explode("gene_set").alias("symbol")).join(mondo.select("orpha_id", prefixed_id(F.col("mondo_id"), "MONDO").alias("mondo_id")), "orpha_id", "left")
     classes = classes.join(best_classification(clingen), ["mondo_id", "symbol"], "left").groupBy("orpha_id").agg(F.collect_set(F.coalesce("classification", F.lit(NOT_LISTED))).alias("classes"))
     rows = rows.join(classes, "orpha_id", "left")
-    named = F.col("primary_gene").isNotNull() & symbol_in_name(F.col("primary_gene"), F.col("name"))
-    rows = rows.withColumn("gene_confidence", F.when(named, "CONFIRMED").otherwise(confidence(F.col("classes"))))
-    n = F.size("gene_set")
-    status = F.when((n > 1) & c.isin("MONOGENIC", "PREDISPOSITION"), "CONFLICT_DETECTED").when(n > 0, "RESOLVED").when(c == "PHENOCOPY", "PHENOCOPY_EXCLUDED").otherwise("UNRESOLVED")
-    return rows.select("orpha_id", F.col("name").alias("preferred_name"), "disease_class", "strategy", "gene_set", "primary_gene", "gene_source", "gene_confidence", status.alias("resolution_status"), (n > 0).alias("gene_identified"), (n > 1).alias("is_polygenic"))
+    told = confidence(F.col("classes"))
+    rows = rows.withColumn("gene_confidence", F.when((told == "LOW") & F.col("primary_gene").isNotNull() & symbol_in_name(F.col("primary_gene"), F.col("name")), "CONFIRMED").otherwise(told))
+    some, sure = F.size("gene_set") > 0, F.col("gene_confidence").isin("CONFIRMED", "HIGH")
+    status = (
+        F.when(~F.col("found"), "NOMENCLATURE_NO_LOCAL_MATCH").when(F.col("conflict_detected"), "CONFLICT_DETECTED").when(some & sure, "RESOLVED")
+        .when(some, "HIGH_CONFIDENCE").when(many, "MODERATE_CONFIDENCE").otherwise("GENE_NOT_RESOLVED")
+    )
+    identified = sure | ((F.col("gene_confidence") == "LOW") & (((c == "MONOGENIC") & F.col("primary_gene").isNotNull()) | (many & some)))
+    subtype = F.coalesce(F.col("disorder_type").isin(*[k for k, v in TYPE_CLASS.items() if v == "PHENOCOPY"]), F.lit(False))
+    return rows.select(
+        "orpha_id", F.col("name").alias("preferred_name"), "disease_class", "strategy", subtype.alias("is_subtype"), "gene_set", "primary_gene", "gene_source",
+        "gene_confidence", "conflict_detected", status.alias("resolution_status"), identified.alias("gene_identified"), (many & (F.size("gene_set") > 1)).alias("is_polygenic"),
+    )

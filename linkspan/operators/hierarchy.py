@@ -64,9 +64,10 @@ def relation_per_source(pairs: DataFrame, codes: DataFrame, edges: DataFrame, an
 
     ``codes`` (cui, sab, code) with one code per concept and source. The ladder: parent, child, sibling, ancestor, descendant,
     unrelated. In a gated source siblings must share a defined parent (``defined``: sab, code); sharing only others is UNRELATED
-    at once. An empty ``defined`` switches the gate off. Pairs that a source does not know both of get no row from it.
+    at once. An empty ``defined`` switches the gate off. A source without a code for both abstains: it gives no row. One that has
+    both and finds no path says UNRELATED; different concepts under one code are siblings through its parents.
     """
-    side = lambda c: codes.select(F.col("cui").alias(c), "sab", F.col("code").alias(f"code_{c}"))
+    side = lambda c: codes.select(F.col("cui").alias(c), "sab", F.col("code").alias(f"code_{c}")).where(F.col(f"code_{c}") != "")
     known = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), ["b", "sab"])
     up = edges.select("sab", "child", "parent").distinct()
     parent = up.select("sab", F.col("child").alias("code_a"), F.col("parent").alias("code_b"), F.lit(True).alias("is_parent"))
@@ -81,16 +82,12 @@ def relation_per_source(pairs: DataFrame, codes: DataFrame, edges: DataFrame, an
     else:
         shared = shared.withColumn("good", F.lit(True))
     shared = shared.groupBy("sab", "code_a", "code_b").agg(F.bool_or("good").alias("good"), F.sort_array(F.collect_set(F.when(F.col("good"), F.col("parent")))).alias("via"))
-    # A code is in the hierarchy of a source when it has an edge there.
-    placed = up.select("sab", F.col("child").alias("code")).union(up.select("sab", F.col("parent").alias("code"))).distinct()
-    has = lambda c: placed.select("sab", F.col("code").alias(c), F.lit(True).alias(f"has_{c}"))
     keys = ["sab", "code_a", "code_b"]
-    rows = known.join(has("code_a"), ["sab", "code_a"], "left").join(has("code_b"), ["sab", "code_b"], "left")
+    rows = known
     for other in (parent, child, shared, above, below):
         rows = rows.join(other, keys, "left")
     relation = (
-        F.when(F.col("code_a") == F.col("code_b"), EXACT)
-        .when(F.col("has_code_a").isNull() & F.col("has_code_b").isNull(), NO_HIERARCHY)
+        F.when(F.col("a") == F.col("b"), EXACT)
         .when(F.col("is_parent"), PARENT)
         .when(F.col("is_child"), CHILD)
         .when(F.col("good"), SIBLING)

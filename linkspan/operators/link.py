@@ -72,17 +72,21 @@ def merged_routes(**routes: DataFrame) -> DataFrame:
     return out.withColumn("both_routes", F.size("routes") == len(routes))
 
 
-def two_route_lookup(queries: DataFrame, concepts: DataFrame, terms: DataFrame, treats: DataFrame, items: DataFrame, approvals: DataFrame, checked: Column | None = None) -> DataFrame:
+def two_route_lookup(queries: DataFrame, concepts: DataFrame, terms: DataFrame, treats: DataFrame, items: DataFrame, approvals: DataFrame, checked: Column | None = None, resolved: Column | None = None) -> DataFrame:
     """One row per query: status, drugs (both routes first, then by date, undated last), n_one_route.
 
-    ``checked`` is false for queries whose codes could not be looked up: they are LOOKUP_FAILED, not without drugs."""
+    ``checked`` is false for queries whose codes could not be looked up (LOOKUP_FAILED, not without drugs), ``resolved`` for those that
+    settled on no concept: they are CONDITION_UNRESOLVED and get no drugs by either route. Both are columns of ``queries``."""
     found = merged_routes(coded=coded_route(concepts, treats, items), prose=text_route(terms, items)).join(approvals.select(F.col("appl").alias("item"), "approved"), "item", "left")
     # nulls last: undated items sort as the latest
     order = F.struct((~F.col("both_routes")).alias("o1"), F.coalesce(F.col("approved").cast("string"), F.lit("9999")).alias("o2"), "item", "routes", "both_routes", "approved")
     per = found.groupBy("query_id").agg(F.sort_array(F.collect_list(order)).alias("drugs"), F.count_if(~F.col("both_routes")).alias("n_one_route"))
     per = per.withColumn("drugs", F.transform("drugs", lambda x: F.struct(x["item"].alias("item"), x["approved"].alias("approved"), x["routes"].alias("routes"), x["both_routes"].alias("both_routes"))))
     ok = F.lit(True) if checked is None else F.coalesce(checked, F.lit(False))
-    return queries.join(per, "query_id", "left").withColumn("status", F.when(~ok, "LOOKUP_FAILED").when(F.col("drugs").isNull(), "NO_DRUGS_FOUND").otherwise("DRUGS_FOUND")).withColumn("n_one_route", F.coalesce("n_one_route", F.lit(0)))
+    settled = F.lit(True) if resolved is None else F.coalesce(resolved, F.lit(False))
+    status = F.when(~settled, "CONDITION_UNRESOLVED").when(~ok, "LOOKUP_FAILED").when(F.col("drugs").isNull(), "NO_DRUGS").otherwise("DRUGS_FOUND")
+    rows = queries.join(per, "query_id", "left").withColumn("status", status)
+    return rows.withColumns({"drugs": F.when(settled, F.col("drugs")), "n_one_route": F.when(settled, F.coalesce("n_one_route", F.lit(0))).otherwise(0)})
 
 
 def original_approvals(submissions: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from ..functions.text import clean_drug, in_parentheses, normalize, split_names
 from ..session import bounded
 
 RESOLVED, CONFLICT, NOT_A_CONDITION, UNRESOLVED, LOOKUP_FAILED = "RESOLVED", "CONFLICT_DETECTED", "NOT_A_CONDITION", "UNRESOLVED", "LOOKUP_FAILED"
+REGISTRY = "CLINICALTRIALS.GOV"
 POPULATION, GUIDANCE, MULTINAME = "RESOLVED_AS_TRIAL_POPULATION", "RESOLVED_BY_GUIDANCE", "RESOLVED_FROM_MULTINAME"
 
 
@@ -123,8 +124,8 @@ def resolve(mentions: DataFrame, atoms: DataFrame, concepts: DataFrame, trials:
         F.when(F.col("final") == RESOLVED, F.col("cui")).when(by_unit, F.col("unit.cui")).alias("cui"),
         F.when(F.col("final") == RESOLVED, F.col("label")).when(by_unit, F.col("unit.label")).when(F.col("final") == POPULATION, F.col("population")).when(F.col("final") == GUIDANCE, F.col("cited")).alias("label"),
         F.when(F.col("final") == RESOLVED, F.col("semantic_types")).when(by_unit, F.col("unit.semantic_types")).alias("semantic_types"),
-        F.when(F.col("final") == RESOLVED, F.col("sources")).when(by_unit, F.col("unit.sources")).alias("sources"),
-        "atom_count", "contest", "authority", F.when(by_unit, F.col("multiname_units")).alias("multiname_units"), F.when(F.col("final") == GUIDANCE, F.col("citation")).alias("citation"),
+        F.when(F.col("final") == RESOLVED, F.col("sources")).when(by_unit, F.col("unit.sources")).when(F.col("final") == POPULATION, F.array(F.lit(REGISTRY))).alias("sources"),
+        F.when(F.col("final") == POPULATION, F.col("n_mentions")).otherwise(F.col("atom_count")).alias("atom_count"), "contest", "authority", F.when(by_unit, F.col("multiname_units")).alias("multiname_units"), F.when(F.col("final") == GUIDANCE, F.col("citation")).alias("citation"),
     )
     if hierarchy_names is not None:
         first = hierarchy_names.groupBy(F.col("norm").alias("normalized")).agg(F.min_by("mondo_id", "_ord").alias("mondo_id"))

@@ -73,8 +73,10 @@ def run(queries: DataFrame, s: Sources, rules: resolve.Rules = resolve.Rules(),
     out = {"identity": who, "catalog": found, "neighbours": near, "usage": counted}
     if s.treats is not None and s.items is not None and s.approvals is not None:
         concepts = who.where("cui is not null").join(s.codes.where("code <> ''").select("cui", "code"), "cui").select("query_id", "code")
-        terms = who.select("query_id", F.col("query").alias("term"))
-        out["drugs"] = link.two_route_lookup(who.select("query_id"), concepts, terms, s.treats, s.items, s.approvals)
+        settled = who.where("cui is not null")
+        terms = settled.select("query_id", F.explode(F.array("label", "query")).alias("term")).where("term is not null")
+        asked_of = who.select("query_id", F.col("cui").isNotNull().alias("has_concept"))
+        out["drugs"] = link.two_route_lookup(asked_of, concepts, terms, s.treats, s.items, s.approvals, resolved=F.col("has_concept")).drop("has_concept")
     steps = who.select("query_id", "query", "status").join(found.select("query_id", F.col("status").alias("catalog")), "query_id", "left")
     steps = steps.join(near.groupBy("query_id").agg(F.count("*").alias("n_near")), "query_id", "left").join(counted.groupBy("query_id").agg(F.sum("trials").alias("n_trials")), "query_id", "left")
     neighbour_status = F.when(F.col("catalog") == "FOUND", "NOT_NEEDED").when(F.col("n_near") > 0, "NEIGHBORS_FOUND").otherwise("NO_NEIGHBORS")

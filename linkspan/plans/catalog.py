@@ -77,7 +77,6 @@ _EDGES = """
     rel AS (
       SELECT a.cui AS a, b.cui AS b, s.sab, CASE
         WHEN a.cui = b.cui THEN 'EXACT'
-        WHEN NOT EXISTS (FROM edges e WHERE e.sab = s.sab AND a.cui IN (e.child, e.parent)) AND NOT EXISTS (FROM edges e WHERE e.sab = s.sab AND b.cui IN (e.child, e.parent)) THEN 'NO_HIERARCHY'
         WHEN EXISTS (FROM edges e WHERE e.sab = s.sab AND e.child = a.cui AND e.parent = b.cui) THEN 'PARENT'
         WHEN EXISTS (FROM edges e WHERE e.sab = s.sab AND e.child = b.cui AND e.parent = a.cui) THEN 'CHILD'
         WHEN EXISTS (FROM edges x JOIN edges y USING (sab, parent) WHERE sab = s.sab AND x.child = a.cui AND y.child = b.cui AND (sab <> 'CUS' OR parent NOT LIKE 'C%')) THEN 'SIBLING'

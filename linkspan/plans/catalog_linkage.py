@@ -231,6 +231,42 @@ def gene_family(spark, d):
     return genes.gene_family(parents, genes.genes_of(rows, None, True))
 
 
+_TYPE = "CASE c_custkey % 7 WHEN 0 THEN 'Disease' WHEN 1 THEN 'Etiological subtype' WHEN 2 THEN 'Clinical syndrome' WHEN 3 THEN 'Clinical group' WHEN 4 THEN 'Biological anomaly' WHEN 5 THEN 'Unlisted' END"
+
+
+@query(f"""WITH g AS (SELECT 'c' || o_custkey AS id, 'G' || substr(o_orderpriority, 1, 1) AS sym, o_orderstatus = 'P' AS causal, min(o_orderkey) AS o FROM orders WHERE o_orderstatus <> 'O' AND o_totalprice > 350000 GROUP BY 1, 2, 3),
+            cs AS (SELECT id, sym, o FROM g WHERE causal), a AS (SELECT id, sym, min(o) AS o FROM g GROUP BY 1, 2),
+            d AS (SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'about G3' ELSE 'plain' END AS name, {_TYPE} AS kind, c_custkey AS k FROM customer UNION ALL SELECT 'n' || n_nationkey, n_name, 'Disease', NULL FROM nation),
+            up AS (SELECT 'n' || c_nationkey AS id, sym FROM cs JOIN customer ON cs.id = 'c' || c_custkey), f AS (FROM up UNION SELECT id, sym FROM cs),
+            diverse AS (SELECT id FROM up GROUP BY 1 HAVING count(DISTINCT sym) > 3),
+            dl AS (SELECT id, list(sym ORDER BY o) AS direct FROM cs GROUP BY 1), al AS (SELECT id, list(sym ORDER BY o) AS any_ FROM a GROUP BY 1), fl AS (SELECT id, list(sym ORDER BY sym) AS fam FROM f GROUP BY 1),
+            c AS (SELECT d.*, direct, any_, fam, CASE WHEN k % 4 = 0 THEN ['Z'] END AS chain, CASE kind WHEN 'Disease' THEN CASE WHEN diverse.id IS NULL THEN 'MONOGENIC' ELSE 'HETEROGENEOUS' END WHEN 'Etiological subtype' THEN 'PHENOCOPY'
+                  WHEN 'Clinical syndrome' THEN 'SYNDROMIC' WHEN 'Clinical group' THEN 'HETEROGENEOUS' WHEN 'Biological anomaly' THEN 'PATHWAY_DISORDER' ELSE 'UNKNOWN' END AS class FROM d LEFT JOIN dl USING (id) LEFT JOIN al USING (id) LEFT JOIN fl USING (id) LEFT JOIN diverse USING (id)),
+            s AS (SELECT *, coalesce(CASE class WHEN 'MONOGENIC' THEN coalesce(direct[1:1], chain) WHEN 'PHENOCOPY' THEN coalesce(direct, chain) WHEN 'SYNDROMIC' THEN coalesce(any_, chain) WHEN 'UNKNOWN' THEN NULL ELSE fam END, []) AS gs FROM c),
+            p AS (SELECT *, CASE WHEN class = 'MONOGENIC' OR class = 'PHENOCOPY' AND len(gs) = 1 THEN gs[1] END AS primary_gene,
+                  CASE WHEN len(gs) = 0 THEN 'NONE' WHEN k % 3 <> 0 AND list_contains(gs, 'G1') AND k % 5 = 0 THEN 'CONFIRMED' WHEN k % 3 <> 0 AND list_contains(gs, 'G2') AND k % 5 = 1 THEN 'HIGH' ELSE 'LOW' END AS told FROM s),
+            q AS (SELECT *, CASE WHEN told = 'LOW' AND primary_gene = 'G3' AND name = 'about G3' THEN 'CONFIRMED' ELSE told END AS gene_confidence FROM p)
+            SELECT id AS orpha_id, class AS disease_class, array_to_string(gs, '|') AS genes, primary_gene, gene_confidence,
+                   CASE WHEN class = 'MONOGENIC' AND len(direct) > 1 THEN 'CONFLICT_DETECTED' WHEN len(gs) > 0 AND gene_confidence IN ('CONFIRMED', 'HIGH') THEN 'RESOLVED' WHEN len(gs) > 0 THEN 'HIGH_CONFIDENCE'
+                        WHEN class IN ('HETEROGENEOUS', 'PATHWAY_DISORDER') THEN 'MODERATE_CONFIDENCE' ELSE 'GENE_NOT_RESOLVED' END AS resolution_status,
+                   gene_confidence IN ('CONFIRMED', 'HIGH') OR gene_confidence = 'LOW' AND class IN ('MONOGENIC', 'HETEROGENEOUS', 'PATHWAY_DISORDER') AS gene_identified, class IN ('HETEROGENEOUS', 'PATHWAY_DISORDER') AND len(gs) > 1 AS is_polygenic FROM q""")
+def disease_genes(spark, d):
+    """Customers and nations as diseases, order priorities as genes."""
+    k = F.col("c_custkey")
+    customer, cid = table(spark, d, "customer"), F.concat(F.lit("c"), "c_custkey")
+    sick = customer.select(cid.alias("orpha_id"), F.when(k % 2 == 0, "about G3").otherwise("plain").alias("name"), F.expr(_TYPE).alias("disorder_type"))
+    sick = sick.union(table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), "n_name", F.lit("Disease")))
+    parents = customer.select(cid.alias("child"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
+    found = table(spark, d, "orders").where("o_orderstatus <> 'O' and o_totalprice > 350000")
+    symbol = F.concat(F.lit("G"), F.substring("o_orderpriority", 1, 1))
+    listed = found.select(F.concat(F.lit("c"), "o_custkey").alias("orpha_id"), symbol.alias("symbol"), F.when(F.col("o_orderstatus") == "P", genes.CAUSATIVE[0]).otherwise("Role in the phenotype of").alias("assoc_type"), F.col("o_orderkey").alias("_ord"))
+    chain = customer.where("c_custkey % 4 = 0").select(cid.alias("orpha_id"), F.lit("Z").alias("symbol"))
+    mondo = customer.where("c_custkey % 3 <> 0").select(cid.alias("orpha_id"), F.col("c_custkey").cast("string").alias("mondo_id"))
+    classed = customer.where("c_custkey % 5 < 2").select(F.col("c_custkey").cast("string").alias("mondo_id"), F.when(k % 5 == 0, "G1").otherwise("G2").alias("symbol"), F.when(k % 5 == 0, "Definitive").otherwise("Strong").alias("classification"), F.lit(0).alias("_ord"))
+    out = genes.resolve_diseases(sick, parents, listed, None, chain, mondo, classed)
+    return out.select("orpha_id", "disease_class", F.array_join("gene_set", "|").alias("genes"), "primary_gene", "gene_confidence", "resolution_status", "gene_identified", "is_polygenic")
+
+
 # ---- neighbours, sets, totals -------------------------------------------------------------------------------------------
 @query(_EDGES + """,
     v AS (SELECT a, b, relation, count(*) AS n, min(CASE sab WHEN 'GEO' THEN 0 WHEN 'SUP' THEN 1 ELSE 2 END) AS f FROM rel WHERE relation <> 'NO_HIERARCHY' AND a <> b GROUP BY 1, 2, 3),

@@ -115,7 +115,6 @@ def brute(e, a, b):
     up = {}
     for c, p in e:
         up.setdefault(c, set()).add(p)
-    nodes = {x for pair in e for x in pair}
 
     def above(x):
         seen, todo = set(), [x]
@@ -128,8 +127,6 @@ def brute(e, a, b):
 
     if a == b:
         return "EXACT"
-    if a not in nodes and b not in nodes:
-        return "NO_HIERARCHY"
     if b in up.get(a, ()):
         return "PARENT"
     if a in up.get(b, ()):
@@ -173,7 +170,9 @@ def test_routes_and_components(spark):
     when = spark.createDataFrame([("both", "2020-01-01"), ("coded", "2019-01-01")], "appl string, approved string")
     out = {r["query_id"]: r for r in link.two_route_lookup(q, concepts, terms, treats, items, when).collect()}
     assert [(d["item"], d["both_routes"]) for d in out[1]["drugs"]] == [("both", True), ("coded", False), ("prose", False)] and out[1]["n_one_route"] == 2
-    assert out[2]["status"] == "NO_DRUGS_FOUND" and out[2]["drugs"] is None
+    assert out[2]["status"] == "NO_DRUGS" and out[2]["drugs"] is None
+    open_ = link.two_route_lookup(q, concepts, terms, treats, items, when, resolved=F.col("query_id") == 2)
+    assert rows(open_, "query_id", "status", "n_one_route") == [(1, "CONDITION_UNRESOLVED", 0), (2, "NO_DRUGS", 0)] and open_.where("drugs is not null").isEmpty()
     c = spark.createDataFrame([("1/2",), ("1",)], "key_ids string")
     assert rows(link.all_approved(c, spark.createDataFrame([("1",)], "id string")), "key_ids", "approved") == [("1", True), ("1/2", False)]
 
@@ -222,9 +221,34 @@ def test_gene_resolution(spark):
     chain = spark.createDataFrame([("9", "Z")], "orpha_id string, symbol string")
     mondo, clingen = spark.createDataFrame([("2", "7")], "orpha_id string, mondo_id string"), spark.createDataFrame([("MONDO:7", "G1", "Moderate", 1)], "mondo_id string, symbol string, classification string, _ord int")
     out = {r["orpha_id"]: r for r in genes.resolve_diseases(diseases, parents, g, None, chain, mondo, clingen).collect()}
-    assert (out["1"]["disease_class"], out["1"]["gene_confidence"], out["1"]["resolution_status"]) == ("MONOGENIC", "CONFIRMED", "RESOLVED")
-    assert (out["2"]["disease_class"], out["2"]["gene_set"], out["2"]["gene_confidence"]) == ("HETEROGENEOUS", ["G0", "G1", "G2", "G3"], "HIGH")
-    assert out["3"]["resolution_status"] == "PHENOCOPY_EXCLUDED" and out["4"]["disease_class"] == "UNKNOWN"
+    assert (out["1"]["disease_class"], out["1"]["gene_confidence"], out["1"]["resolution_status"], out["1"]["gene_source"]) == ("MONOGENIC", "CONFIRMED", "RESOLVED", "orphadata_genes")
+    assert (out["2"]["disease_class"], out["2"]["gene_set"], out["2"]["gene_confidence"], out["2"]["primary_gene"]) == ("HETEROGENEOUS", ["G0", "G1", "G2", "G3"], "HIGH", None)
+    assert out["3"]["is_subtype"] and out["3"]["resolution_status"] == "GENE_NOT_RESOLVED" and out["4"]["disease_class"] == "UNKNOWN"
+
+
+@pytest.mark.parametrize(
+    ("kind", "direct", "other", "chain", "want"),
+    [
+        ("Disease", "AB", "", "", (["A"], "A", "orphadata_genes", "CONFLICT_DETECTED", True, False)),
+        ("Disease", "A", "", "", (["A"], "A", "orphadata_genes", "HIGH_CONFIDENCE", True, False)),
+        ("Disease", "", "B", "Z", (["Z"], "Z", "omim_chain", "HIGH_CONFIDENCE", True, False)),
+        ("Clinical group", "BA", "", "", (["A", "B"], None, "orphadata_gene_family", "HIGH_CONFIDENCE", True, True)),
+        ("Clinical group", "", "", "Z", ([], None, None, "MODERATE_CONFIDENCE", False, False)),
+        ("Clinical subtype", "BA", "", "", (["B", "A"], None, "orphadata_genes_phenocopy", "HIGH_CONFIDENCE", False, False)),
+        ("Clinical subtype", "", "", "Z", (["Z"], "Z", "omim_chain_phenocopy", "HIGH_CONFIDENCE", False, False)),
+        ("Clinical syndrome", "A", "B", "", (["A", "B"], None, "orphadata_genes_syndromic", "HIGH_CONFIDENCE", False, False)),
+        ("Something new", "A", "", "Z", ([], None, None, "GENE_NOT_RESOLVED", False, False)),
+    ],
+)
+def test_gene_sets_by_class(spark, kind, direct, other, chain, want):
+    g = [("1", x, genes.CAUSATIVE[0], i) for i, x in enumerate(direct)] + [("1", x, "Role in the phenotype of", 9) for x in other]
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    none = frame([], "mondo_id string, symbol string, classification string, _ord int")
+    args = (frame([], "child string, parent string"), frame(g, "orpha_id string, symbol string, assoc_type string, _ord int"), None, frame([("1", x) for x in chain], "orpha_id string, symbol string"), frame([], "orpha_id string, mondo_id string"), none)
+    r = genes.resolve_diseases(frame([("1", "name", kind)], "orpha_id string, name string, disorder_type string"), *args).first()
+    assert (r["gene_set"], r["primary_gene"], r["gene_source"], r["resolution_status"], r["gene_identified"], r["is_polygenic"]) == want
+    lost = genes.resolve_diseases(frame([("1", "name", kind, False)], "orpha_id string, name string, disorder_type string, found boolean"), *args).first()
+    assert lost["resolution_status"] == "NOMENCLATURE_NO_LOCAL_MATCH"
 
 
 TRIAL = "nct_id string, title string, status string, phases array<string>, start_date string, sponsor string, conditions array<string>, interventions array<struct<type:string,name:string>>, primary_outcomes array<struct<measure:string>>, secondary_outcomes array<struct<measure:string>>, other_outcomes array<struct<measure:string>>"
