@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import trimmed
+
 # ---- fixed values -------------------------------------------------------------------------------------------------------
 #: Types of concepts that a mention of a condition may mean.
 ACCEPTED_TYPES = (
@@ -89,10 +91,10 @@ def symbol_in_name(symbol: Column, name: Column) -> Column:
 
 
 def matching_outcomes(outcomes: Column, needle: Column) -> Column:
-    """The measures of an array<struct<measure>> that contain the needle, verbatim; case does not count, null gives none."""
+    """The measures of an array<struct<measure>> that contain the needle, verbatim but for white space at the ends; case does not count, null gives none."""
     n = F.lower(F.trim(needle))
     hit = F.filter(F.coalesce(outcomes, F.array().cast("array<struct<measure:string>>")), lambda o: F.lower(o["measure"]).contains(n) & (n != ""))
-    return F.transform(hit, lambda o: o["measure"])
+    return F.transform(hit, lambda o: trimmed(o["measure"]))
 
 
 def uses_instrument(primary: Column, secondary: Column, other: Column, needle: Column) -> Column:

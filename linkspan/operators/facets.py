@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import text_contains_any_field
 from ..functions.text import first_words, group_prefix_stripped
+from ..session import bounded
 from .hierarchy import label
 
 UNSTATED = "(unstated)"
@@ -29,22 +30,19 @@ def all_sources(*frames: DataFrame) -> DataFrame:
 def search(rows: DataFrame, query: str | None = None, stage: str | None = None, type: str | None = None, relations: DataFrame | None = None) -> DataFrame:
     """Rows that fit every facet given, with relation (child, parent, sibling, exact, or text).
 
-    A stage leaves out sources without stages. A query takes rows whose condition is related to it (relations: condition, relation)
-    and, of the rest, those with the query anywhere in their fields."""
+    A stage leaves out sources without stages. A query that settled on a concept takes the rows whose condition is related to it
+    (relations: condition, relation) and no others; without relations it takes those with the query anywhere in their fields."""
     out = rows
     if stage:
         out = out.where(F.lower("stage").contains(stage.lower()))
     if type:
         out = out.where(F.lower("type").contains(type.lower()))
-    related = F.lit(None).cast("string")
     if query and relations is not None:
-        out = out.join(F.broadcast(relations.select("condition", label(F.col("relation")).alias("_rel")).where("_rel is not null").dropDuplicates(["condition"]).limit(100_000)), "condition", "left")
-        related = F.col("_rel")
+        named = relations.select("condition", label(F.col("relation")).alias("relation")).where("relation is not null").groupBy("condition").agg(F.min("relation").alias("relation"))
+        return out.join(bounded(named), "condition")
     if query:
-        text = text_contains_any_field(F.lit(query), *[F.col(c) for c in SHAPE[1:]])
-        out = out.withColumn("relation", F.coalesce(related, F.when(text, "text"))).where("relation is not null")
-        return out.drop("_rel")
-    return out.withColumn("relation", related)
+        return out.where(text_contains_any_field(F.lit(query), *[F.col(c) for c in SHAPE[1:]])).withColumn("relation", F.lit("text"))
+    return out.withColumn("relation", F.lit(None).cast("string"))
 
 
 def facet_counts(df: DataFrame, *facets: str) -> DataFrame:

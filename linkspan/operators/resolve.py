@@ -158,28 +158,34 @@ def cached_resolve(mentions: DataFrame, cache: DataFrame, run) -> tuple[DataFram
 def resolve_items(strings: DataFrame, names: DataFrame, ingredients: DataFrame, similar: float = 0.85) -> DataFrame:
     """Item strings (item) on ids: item, status, match_step, rxcui, key_names, key_ids.
 
-    ``names`` (name, rxcui), ``ingredients`` (rxcui, ingredient_rxcui, ingredient). Steps: the string itself, the cleaned string, an
-    approximate name, the text in parentheses. The approximate step takes the nearest name by edit distance among names that
-    share the first four characters, when the distance is small against the length.
+    ``names`` (name, rxcui), ``ingredients`` (rxcui, ingredient_rxcui, ingredient). Steps: the string itself, the cleaned string, a name
+    near the cleaned string, the text in parentheses unless that plainly names no drug, a name near that. The near steps take the
+    nearest name by edit distance among names that share the first four characters, when the distance is small against the length.
+    An id without ingredients stands for itself under the string.
     """
     low = lambda c: F.lower(F.trim(c))
     keys = names.groupBy(low(F.col("name")).alias("k")).agg(F.min("rxcui").alias("id"))
-    rows = strings.select("item").distinct().withColumn("clean", low(clean_drug(F.col("item")))).withColumn("inner", low(in_parentheses(F.col("item")))).withColumn("raw", low(F.col("item")))
+    inner = in_parentheses(F.col("item"))
+    inner = F.when(~F.coalesce(plainly_no_drug(inner), F.lit(False)), low(inner))
+    rows = strings.select("item").distinct().withColumn("clean", low(clean_drug(F.col("item")))).withColumn("inner", inner).withColumn("raw", low(F.col("item")))
     none = F.coalesce(F.trim("item"), F.lit("")) == ""
     no_drug = none | F.coalesce(plainly_no_drug(F.col("item")), F.lit(False))
     for step in ("raw", "clean", "inner"):
         rows = rows.join(keys.select(F.col("k").alias(step), F.col("id").alias(f"{step}_id")), step, "left")
-    open_ = rows.where(~no_drug & F.col("raw_id").isNull() & F.col("clean_id").isNull() & (F.length("clean") >= 4)).select("item", "clean", F.substring("clean", 1, 4).alias("head"))
-    close = open_.join(keys.withColumn("head", F.substring("k", 1, 4)), "head").withColumn("far", F.levenshtein("clean", "k"))
-    close = close.where(F.col("far") <= (1 - similar) * F.greatest(F.length("clean"), F.length("k"))).groupBy("item").agg(F.min(F.struct("far", "k", "id"))["id"].alias("near_id"))
-    rows = rows.join(close, "item", "left")
-    id_ = F.when(~no_drug, F.coalesce("raw_id", "clean_id", "near_id", "inner_id"))
-    step = F.when(no_drug, None).when(F.col("raw_id").isNotNull(), "exact_raw").when(F.col("clean_id").isNotNull(), "exact_clean").when(F.col("near_id").isNotNull(), "approximate").when(F.col("inner_id").isNotNull(), "parenthetical")
+    open_ = rows.where(~no_drug & F.col("raw_id").isNull() & F.col("clean_id").isNull())
+    texts = open_.select(F.explode(F.array("clean", "inner")).alias("t")).where(F.length("t") >= 4).distinct().withColumn("head", F.substring("t", 1, 4))
+    close = texts.join(keys.withColumn("head", F.substring("k", 1, 4)), "head").withColumn("far", F.levenshtein("t", "k"))
+    close = close.where(F.col("far") <= (1 - similar) * F.greatest(F.length("t"), F.length("k"))).groupBy("t").agg(F.min(F.struct("far", "k", "id"))["id"].alias("near"))
+    for step in ("clean", "inner"):
+        rows = rows.join(close.select(F.col("t").alias(step), F.col("near").alias(f"{step}_near")), step, "left")
+    inner_id = F.coalesce("inner_id", "inner_near")
+    id_ = F.when(~no_drug, F.coalesce("raw_id", "clean_id", "clean_near", inner_id))
+    step = F.when(no_drug, None).when(F.col("raw_id").isNotNull(), "exact_raw").when(F.col("clean_id").isNotNull(), "exact_clean").when(F.col("clean_near").isNotNull(), "approximate").when(inner_id.isNotNull(), "parenthetical")
     rows = rows.select("item", F.when(no_drug, "UNRESOLVED_NOT_A_DRUG").when(id_.isNull(), "UNRESOLVED_NOT_IN_RXNORM").otherwise(RESOLVED).alias("status"), step.alias("match_step"), id_.alias("rxcui"))
     parts = ingredients.groupBy("rxcui").agg(F.array_sort(F.collect_set(F.struct(F.lower("ingredient").alias("k"), "ingredient", "ingredient_rxcui"))).alias("p"))
     rows = rows.join(parts, "rxcui", "left")
     join = lambda f: F.array_join(F.transform("p", lambda x: x[f]), "/")
-    return rows.select("item", "status", "match_step", "rxcui", join("ingredient").alias("key_names"), F.coalesce(join("ingredient_rxcui"), "rxcui").alias("key_ids"))
+    return rows.select("item", "status", "match_step", "rxcui", F.coalesce(join("ingredient"), F.when(F.col("rxcui").isNotNull(), F.trim("item"))).alias("key_names"), F.coalesce(join("ingredient_rxcui"), "rxcui").alias("key_ids"))
 
 
 def consumer_flag(support: Column, names: tuple[str, ...]) -> Column:

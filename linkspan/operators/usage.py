@@ -14,6 +14,9 @@ from ..functions.predicates import matching_outcomes, phrase_in, scaffolding, tr
 from ..functions.text import aliases, clean_measure, flat_spaces, trimmed
 from ..session import bounded
 from .dedup import first_per_key
+from .link import therapies
+
+NOT_IN_VOCABULARY = "UNRESOLVED_NOT_IN_RXNORM"
 
 
 def unique_trials(pages: DataFrame) -> DataFrame:
@@ -59,15 +62,21 @@ def drugs_of(trials: DataFrame, drug: str) -> DataFrame:
 
 
 def cooccurring_drugs(trials: DataFrame, instruments: DataFrame, resolved: DataFrame, approved: DataFrame | None = None) -> DataFrame:
-    """Instrument, drug, key_ids, trials: how many trials of an instrument have a canonical drug, each once per trial.
+    """Instrument, drug, key_ids, in_vocabulary, trials: how many trials of an instrument have a canonical drug, each once per trial.
 
-    resolved: item, key_names, key_ids. ``approved`` (key_ids, approved) keeps combinations all of whose parts are approved."""
+    resolved: item, key_names, key_ids and, if known, status. ``approved`` (key_ids, approved) keeps combinations all of whose parts
+    are approved; without it, names that no vocabulary has (UNRESOLVED_NOT_IN_RXNORM) stay under their own name. Controls are no drugs."""
     rows = trials.join(bounded(instruments.select("instrument").distinct()), F.exists(F.concat("primary_outcomes", "secondary_outcomes", "other_outcomes"), lambda o: F.lower(o["measure"]).contains(F.lower(F.col("instrument")))))
-    given = rows.select("instrument", "nct_id", F.explode("interventions").alias("i")).where(F.col("i.type").isin("DRUG", "BIOLOGICAL")).select("instrument", "nct_id", F.col("i.name").alias("item"))
-    named = given.join(resolved.select("item", "key_names", "key_ids").where("key_ids is not null"), "item").select("instrument", "nct_id", "key_names", "key_ids").distinct()
+    given = rows.select("instrument", "nct_id", F.explode("interventions").alias("i")).select("instrument", "nct_id", "i.type", trimmed(F.col("i.name")).alias("item"))
+    given = therapies(given.where("item <> ''"), name="item").drop("type")
+    status = F.col("status") if "status" in resolved.columns else F.lit(None).cast("string")
+    known = resolved.select(trimmed(F.col("item")).alias("item"), "key_names", "key_ids", F.coalesce(status == NOT_IN_VOCABULARY, F.lit(False)).alias("absent")).distinct()
+    named = given.join(known, "item").where(F.col("key_ids").isNotNull() | F.col("absent"))
+    named = named.select("instrument", "nct_id", F.when(F.col("absent"), F.col("item")).otherwise(F.col("key_names")).alias("key_names"), F.when(F.col("absent"), "").otherwise(F.col("key_ids")).alias("key_ids"), (~F.col("absent")).alias("in_vocabulary")).distinct()
     if approved is not None:
-        named = named.join(approved.where("approved").select("key_ids").distinct(), "key_ids", "left_semi")
-    return named.groupBy("instrument", "key_ids").agg(F.min("key_names").alias("drug"), F.count_distinct("nct_id").alias("trials"))
+        named = named.where("in_vocabulary").join(approved.where("approved").select("key_ids").distinct(), "key_ids", "left_semi")
+    own = F.when(~F.col("in_vocabulary"), F.col("key_names")).alias("own")
+    return named.groupBy("instrument", "key_ids", "in_vocabulary", own).agg(F.min("key_names").alias("drug"), F.count_distinct("nct_id").alias("trials")).drop("own")
 
 
 def cooccurrence_status(instruments: DataFrame, counted: DataFrame, used: DataFrame) -> DataFrame:

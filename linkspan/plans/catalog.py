@@ -316,13 +316,15 @@ def status_histogram(spark, d):
 
 
 @_query("""WITH r AS (SELECT 'part' AS source, p_name AS name, p_type AS condition, p_brand AS type FROM part)
-           SELECT name, condition, type, CASE WHEN condition = 'LARGE' THEN 'exact' WHEN condition IN ('MEDIUM', 'SMALL') THEN 'sibling' ELSE 'text' END AS relation FROM r
-           WHERE contains(lower(type), '#2') AND (condition IN ('LARGE', 'MEDIUM', 'SMALL') OR contains(lower(name || ' ' || condition || ' ' || type), 'large'))""")
+           SELECT name, condition, type, CASE WHEN condition = 'LARGE' THEN 'exact' ELSE 'sibling' END AS relation FROM r
+           WHERE contains(lower(type), '#2') AND condition IN ('LARGE', 'MEDIUM', 'SMALL')
+           UNION ALL SELECT name, condition, type, 'text' FROM r WHERE contains(lower(type), '#1') AND contains(lower(name || ' ' || condition || ' ' || type), 'red')""")
 def search_fallback(spark, d):
-    """Parts of some brands related to LARGE, and else those that name it."""
+    """Parts of some brands related to LARGE; for a query without a concept those that name it."""
     rows = facets.unified(table(spark, d, "part"), "part", name="p_name", condition="p_type", type="p_brand")
     relations = rows.select("condition").distinct().withColumn("relation", F.when(F.col("condition") == "LARGE", "EXACT").when(F.col("condition").isin("MEDIUM", "SMALL"), "SIBLING").otherwise("UNRELATED"))
-    return facets.search(rows, query="large", type="#2", relations=relations).select("name", "condition", "type", "relation")
+    found = facets.search(rows, query="large", type="#2", relations=relations).unionByName(facets.search(rows, query="RED", type="#1"))
+    return found.select("name", "condition", "type", "relation")
 
 
 @_query("""SELECT l_orderkey AS orderkey, count(DISTINCT l_linenumber) AS retrieved, max(l_linenumber)::INT AS total, CASE WHEN count(DISTINCT l_linenumber) < max(l_linenumber) THEN 'INCOMPLETE_RETRIEVAL' ELSE 'OK' END AS status

@@ -83,7 +83,7 @@ def cooccurring_drugs(spark, d):
     items = table(spark, d, "part").select("p_name").distinct()
     resolved = items.where("not contains(p_name, 'green')").select(F.col("p_name").alias("item"), F.upper("p_name").alias("key_names"), key.alias("key_ids"))
     approved = items.select(key.alias("key_ids"), (~F.col("p_name").contains("red")).alias("approved"))
-    return usage.cooccurring_drugs(_trials(spark, d), named, resolved, approved)
+    return usage.cooccurring_drugs(_trials(spark, d), named, resolved, approved).drop("in_vocabulary")
 
 
 @query(_LINES + """, c AS (SELECT nct_id, flag, CASE WHEN p_type = 'ECONOMY' THEN 'Adverse events of ' || drug ELSE drug || ' ' || p_type END AS clean FROM lines WHERE flag IN ('R', 'N')),

@@ -59,12 +59,15 @@ def test_near_misses(spark, vocabulary):
 def test_item_ladder(spark):
     names = spark.createDataFrame([("sacubitril / valsartan", "9"), ("dapagliflozin", "1"), ("aspirin", "2")], "name string, rxcui string")
     parts = spark.createDataFrame([("9", "12", "valsartan"), ("9", "11", "Sacubitril"), ("1", "1", "dapagliflozin")], "rxcui string, ingredient_rxcui string, ingredient string")
-    items = spark.createDataFrame([("Sacubitril / Valsartan",), ("Dapagliflozin 10mg Tab",), ("dapagliflozine",), ("Blood thinner (aspirin)",), ("placebo",), ("zzz",), ("",)], "item string")
+    items = spark.createDataFrame([("Sacubitril / Valsartan",), ("Dapagliflozin 10mg Tab",), ("dapagliflozine",), ("Blood thinner (aspirin)",), ("LCZ696 (aspirine)",), ("Pill 7 (placebo)",), ("placebo",), ("zzz",), ("",)], "item string")
     out = {r["item"]: (r["status"], r["match_step"], r["key_ids"]) for r in resolve.resolve_items(items, names, parts).collect()}
     assert out["Sacubitril / Valsartan"] == ("RESOLVED", "exact_raw", "11/12")
     assert out["Dapagliflozin 10mg Tab"] == ("RESOLVED", "exact_clean", "1")
     assert out["dapagliflozine"] == ("RESOLVED", "approximate", "1")
     assert out["Blood thinner (aspirin)"] == ("RESOLVED", "parenthetical", "2")
+    assert out["LCZ696 (aspirine)"] == ("RESOLVED", "parenthetical", "2") and out["Pill 7 (placebo)"][0] == "UNRESOLVED_NOT_IN_RXNORM"
+    named = {r["item"]: r["key_names"] for r in resolve.resolve_items(items, names, parts).collect()}
+    assert named["Blood thinner (aspirin)"] == "Blood thinner (aspirin)" and named["zzz"] is None
     assert out["placebo"][0] == out[""][0] == "UNRESOLVED_NOT_A_DRUG" and out["zzz"][0] == "UNRESOLVED_NOT_IN_RXNORM"
 
 
@@ -273,6 +276,9 @@ def test_usage(spark, trials):
     assert rows(out, "instrument", "trials", "as_primary", "secondary_only", "top_sponsors", "status") == [("KCCQ", 2, 1, 1, "S1(2)", "USED"), ("NEVER", 0, 0, 0, "", "NO_TRIALS_FOUND")]
     resolved = spark.createDataFrame([("a", "A", "1"), ("b", "B", "2")], "item string, key_names string, key_ids string")
     assert rows(usage.cooccurring_drugs(trials, asked, resolved), "instrument", "drug", "trials") == [("KCCQ", "A", 2), ("KCCQ", "B", 1)]
+    part = spark.createDataFrame([("a", "A", "1", "RESOLVED"), ("b", None, None, "UNRESOLVED_NOT_IN_RXNORM"), ("placebo", "P", "3", "RESOLVED")], "item string, key_names string, key_ids string, status string")
+    assert rows(usage.cooccurring_drugs(trials, asked, part), "instrument", "drug", "in_vocabulary", "trials") == [("KCCQ", "A", True, 2), ("KCCQ", "b", False, 1)]
+    assert rows(usage.cooccurring_drugs(trials, asked, part, spark.createDataFrame([("1", True), ("", True)], "key_ids string, approved boolean")), "drug") == [("A",)]
     lists = spark.createDataFrame([("Kansas City Questionnaire (KCCQ)", "qualified", 0, 1), ("6MWT", "listed", 1, 2)], "label string, category string, list_rank int, _ord int")
     found = usage.canonical_measures(usage.outcomes(trials), lists)
     assert ("Kansas City Questionnaire (KCCQ)", "qualified", 1, 1, 2, 2) in rows(found, "instrument", "category", "as_primary", "as_secondary", "trials", "n_variants")
