@@ -110,8 +110,9 @@ def entry_number(c: Column) -> Column:
 
 
 def digits_key(c: Column, least: int = 4, width: int = 6) -> Column:
-    """The last ``width`` digits of the first run of at least ``least``, filled with zeros; null without one."""
-    run = _or_null(F.regexp_extract(c, rf"(\d{{{least},}})", 1))
+    """The last ``width`` digits of the first token (number signs and white space part tokens) that has at least ``least`` digits, filled with zeros; null without one."""
+    digits = F.transform(F.split(c, r"(?U)[#\s]+"), lambda t: F.regexp_replace(t, "[^0-9]", ""))
+    run = F.get(F.filter(digits, lambda t: F.length(t) >= least), F.lit(0))
     return F.lpad(F.right(run, F.lit(width)), width, "0")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import text_contains_any_field
-from ..functions.text import first_words, group_prefix_stripped
+from ..functions.text import first_words, group_prefix_stripped, squeeze
 from ..session import bounded
 from .hierarchy import label
 
@@ -64,10 +64,11 @@ def histogram(df: DataFrame, column: str, total: DataFrame | None = None) -> Dat
 
 
 def by_first_words(df: DataFrame, title: str, n: int, strip_prefixes: bool = False) -> DataFrame:
-    """A10: header (first n words, lower case), members (sorted, distinct), size."""
+    """A10: header (the first n words of the first member; case does not part groups), members (sorted, distinct), size."""
     t = group_prefix_stripped(F.col(title), strip_prefixes)
-    rows = df.select(t.alias("t")).where("t <> ''").groupBy(first_words(F.col("t"), n).alias("header")).agg(F.sort_array(F.collect_set("t")).alias("members"))
-    return rows.withColumn("size", F.size("members"))
+    rows = df.select(t.alias("t")).where("t <> ''").groupBy(first_words(F.col("t"), n).alias("key")).agg(F.sort_array(F.collect_set("t")).alias("members"))
+    header = F.array_join(F.slice(F.split(squeeze(F.element_at("members", 1)), " "), 1, n), " ")
+    return rows.select(header.alias("header"), "members", F.size("members").alias("size"))
 
 
 def collisions(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:

@@ -10,19 +10,28 @@ from ..functions.text import digits_key, drug_entries, generics_agree, iso_date,
 from ..session import bounded
 
 
+#: How a query can be settled without a concept; its normal form is looked up then.
+SETTLED_WITHOUT_CONCEPT = ("RESOLVED_AS_TRIAL_POPULATION", "RESOLVED_BY_GUIDANCE")
+
+
 def catalog_lookup(queries: DataFrame, catalog: DataFrame, children: DataFrame, key: str = "condition") -> DataFrame:
-    """query_id, key_kind, entries (array of struct<condition, items>), status FOUND or NO_COA.
+    """query_id, key_kind, entries (array of struct<condition, items>), status COA_FOUND, NO_COA (no entry, or none with items) or CONDITION_UNRESOLVED.
 
-    queries (query_id, cui, normalized) meet catalogue rows (condition, cui, norm) by cui, else by normal form; children carry ``key``.
+    queries (query_id, cui, normalized and, if known, status) meet catalogue rows (condition, cui, norm) by cui, else by normal form;
+    children carry ``key``. With a status, queries that are settled neither on a concept nor without one are not looked up; in the
+    catalogue, an empty norm marks rows that are not settled.
     """
     kids = children.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*[c for c in children.columns if c != key]))).alias("items"))
-    entries = catalog.select("condition", F.nullif("cui", F.lit("")).alias("cui"), "norm").join(kids.withColumnRenamed(key, "condition"), "condition", "left")
+    entries = catalog.select("condition", F.nullif("cui", F.lit("")).alias("cui"), F.nullif("norm", F.lit("")).alias("norm")).join(kids.withColumnRenamed(key, "condition"), "condition", "left")
     entries = entries.withColumn("entry", F.struct("condition", "items"))
-    mine = queries.select("query_id", F.nullif("cui", F.lit("")).alias("cui"), "normalized")
+    known = F.coalesce(F.col("status").isin(*SETTLED_WITHOUT_CONCEPT), F.lit(False)) if "status" in queries.columns else F.lit(True)
+    mine = queries.select("query_id", F.nullif("cui", F.lit("")).alias("cui"), "normalized", known.alias("known")).withColumn("known", F.col("known") | F.col("cui").isNotNull())
     coded = mine.where("cui is not null").join(entries.where("cui is not null").select("cui", "entry"), "cui").select("query_id", F.lit("cui").alias("key_kind"), "entry")
-    named = mine.where("cui is null").join(entries.where("cui is null").select(F.col("norm").alias("normalized"), "entry"), "normalized").select("query_id", F.lit("name").alias("key_kind"), "entry")
+    named = mine.where("cui is null and known").join(entries.where("cui is null").select(F.col("norm").alias("normalized"), "entry"), "normalized").select("query_id", F.lit("name").alias("key_kind"), "entry")
     found = coded.unionByName(named).groupBy("query_id", "key_kind").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
-    return mine.select("query_id").join(found, "query_id", "left").withColumn("status", F.when(F.col("entries").isNull(), "NO_COA").otherwise("FOUND"))
+    some = F.coalesce(F.exists("entries", lambda e: F.coalesce(F.size(e["items"]), F.lit(0)) > 0), F.lit(False))
+    status = F.when(~F.col("known"), "CONDITION_UNRESOLVED").when(some, "COA_FOUND").otherwise("NO_COA")
+    return mine.select("query_id", "known").join(found, "query_id", "left").withColumn("status", status).drop("known")
 
 
 def catalog_size(catalog: DataFrame) -> DataFrame:
@@ -33,9 +42,10 @@ def catalog_size(catalog: DataFrame) -> DataFrame:
 
 
 def by_number(items: DataFrame, documents: DataFrame, item: str, number: str) -> DataFrame:
-    """Items with the documents of the same number, however it is written; items without any are kept."""
+    """Items with the documents of the number in the item's name (``digits_key``); items without any are kept."""
     left = items.withColumn("_key", digits_key(F.col(item)))
-    right = documents.withColumn("_key", digits_key(F.col(number))).where(F.col("_key").isNotNull())
+    own = F.trim(number)
+    right = documents.where(own != "").withColumn("_key", F.when(F.length(own) < 6, F.lpad(own, 6, "0")).otherwise(own))
     return left.join(right, "_key", "left").drop("_key")
 
 

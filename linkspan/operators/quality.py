@@ -26,7 +26,7 @@ def three_valued(checked: Column, payload: Column, found: str, none: str, failed
     return F.when(~F.coalesce(checked, F.lit(False)), failed).when(payload.isNull() | (F.size(payload) <= 0), none).otherwise(found)
 
 
-def sealed(steps: dict[str, Column], failed: tuple[str, ...] = ("LOOKUP_FAILED", "INCOMPLETE_RETRIEVAL")) -> tuple[Column, Column]:
+def sealed(steps: dict[str, Column], failed: tuple[str, ...] = ("LOOKUP_FAILED", "INCOMPLETE_RETRIEVAL", "RETRIEVAL_ERROR")) -> tuple[Column, Column]:
     """(map of step to status and note, sorted names of degraded steps)."""
     pairs = [v for k, s in steps.items() for v in (F.lit(k), F.struct(s.alias("status"), F.when(s.isin(*failed), F.concat(F.lit("could not complete: "), s)).alias("note")))]
     names = F.array_compact(F.array(*[F.when(s.isin(*failed), F.lit(k)) for k, s in sorted(steps.items())]))

@@ -33,14 +33,14 @@ def using(trials: DataFrame, instruments: DataFrame) -> DataFrame:
 
 
 def usage(instruments: DataFrame, used: DataFrame, top: int = 3) -> DataFrame:
-    """Instrument, trials, as_primary, secondary_only, top_sponsors (``name(n)``), status; never used ones stay with 0."""
+    """Instrument, trials, as_primary, secondary_only, top_sponsors (``name(n)`` between bars, nameless ones aside), status; never used ones stay with 0."""
     per = used.groupBy("instrument").agg(F.count_distinct("nct_id").alias("trials"), F.count_if("as_primary").alias("as_primary"), F.count_if(~F.col("as_primary") & (F.size("matched_secondary") > 0)).alias("secondary_only"))
-    by = used.groupBy("instrument", "sponsor").agg(F.count("*").alias("n"), F.min("nct_id").alias("first"))
+    by = used.where(F.coalesce("sponsor", F.lit("")) != "").groupBy("instrument", "sponsor").agg(F.count("*").alias("n"), F.min("nct_id").alias("first"))
     rank = F.row_number().over(W.partitionBy("instrument").orderBy(F.desc("n"), "first"))
-    best = by.withColumn("r", rank).where(F.col("r") <= top).groupBy("instrument").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", F.concat("sponsor", F.lit("("), "n", F.lit(")")).alias("s")))), lambda x: x["s"]), "; ").alias("top_sponsors"))
+    best = by.withColumn("r", rank).where(F.col("r") <= top).groupBy("instrument").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", F.concat("sponsor", F.lit("("), "n", F.lit(")")).alias("s")))), lambda x: x["s"]), "|").alias("top_sponsors"))
     out = instruments.select("instrument").distinct().join(per, "instrument", "left").join(best, "instrument", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return out.select("instrument", n("trials"), n("as_primary"), n("secondary_only"), F.coalesce("top_sponsors", F.lit("")).alias("top_sponsors"), F.when(F.col("trials") > 0, "USED").otherwise("NO_TRIALS_FOUND").alias("status"))
+    return out.select("instrument", n("trials"), n("as_primary"), n("secondary_only"), F.coalesce("top_sponsors", F.lit("")).alias("top_sponsors"), F.when(F.col("trials") > 0, "OK").otherwise("NO_TRIALS").alias("status"))
 
 
 def outcomes(trials: DataFrame, kinds: tuple[str, ...] = ("primary", "secondary")) -> DataFrame:
@@ -80,10 +80,10 @@ def cooccurring_drugs(trials: DataFrame, instruments: DataFrame, resolved: DataF
 
 
 def cooccurrence_status(instruments: DataFrame, counted: DataFrame, used: DataFrame) -> DataFrame:
-    """C02 for co-occurrence: NO_TRIALS_FOUND, NO_APPROVED_DRUGS or DRUGS_FOUND for each instrument."""
+    """C02 for co-occurrence: NO_TRIALS_FOUND, NO_DRUGS_IN_COA_TRIALS or DRUGS_LINKED for each instrument."""
     has = used.select("instrument", F.lit(True).alias("t")).distinct()
     drugs = counted.select("instrument", F.lit(True).alias("d")).distinct()
-    return instruments.join(has, "instrument", "left").join(drugs, "instrument", "left").select("instrument", F.when(F.col("t").isNull(), "NO_TRIALS_FOUND").when(F.col("d").isNull(), "NO_APPROVED_DRUGS").otherwise("DRUGS_FOUND").alias("status"))
+    return instruments.join(has, "instrument", "left").join(drugs, "instrument", "left").select("instrument", F.when(F.col("t").isNull(), "NO_TRIALS_FOUND").when(F.col("d").isNull(), "NO_DRUGS_IN_COA_TRIALS").otherwise("DRUGS_LINKED").alias("status"))
 
 
 #: Cleaned measures shorter than this are left out.

@@ -43,7 +43,7 @@ def identities(queries: DataFrame, s: Sources, rules: resolve.Rules = resolve.Ru
 
 def neighbours(who: DataFrame, found: DataFrame, s: Sources, suppress_on: str = "any") -> DataFrame:
     """Structural neighbours in the catalogue for queries that have no catalogue entry of their own (``any``), or no qualified one (``qualified``)."""
-    own = found.where("status = 'FOUND'")
+    own = found.where("status = 'COA_FOUND'")
     if suppress_on == "qualified":
         own = own.where(F.exists("entries", lambda e: F.exists(e["items"], lambda i: i["qualified"])))
     open_ = who.where("cui is not null").join(own.select("query_id"), "query_id", "left_anti")
@@ -57,7 +57,7 @@ def neighbours(who: DataFrame, found: DataFrame, s: Sources, suppress_on: str =
 
 def instruments(found: DataFrame, least: int) -> DataFrame:
     """query_id, instrument for every name in a query's catalogue entries that is long enough to search."""
-    entries = found.where("status = 'FOUND'").select("query_id", F.explode("entries").alias("e")).select("query_id", F.explode("e.items").alias("i"))
+    entries = found.where("status = 'COA_FOUND'").select("query_id", F.explode("entries").alias("e")).select("query_id", F.explode("e.items").alias("i"))
     names = entries.select("query_id", F.explode(instrument_names(F.col("i.instrument"))).alias("instrument"))
     return names.where(F.length("instrument") >= least).distinct()
 
@@ -65,7 +65,7 @@ def instruments(found: DataFrame, least: int) -> DataFrame:
 def run(queries: DataFrame, s: Sources, rules: resolve.Rules = resolve.Rules(), suppress_on: str = "any") -> dict[str, DataFrame]:
     """R18 (suppress_on="qualified"), R19 (suppress_on="any"): identity, catalog, neighbours, usage, drugs, assembled and summary of a batch of queries (query_id, query)."""
     who = identities(queries, s, rules)
-    found = link.catalog_lookup(who.select("query_id", "cui", "normalized"), s.catalog, s.children)
+    found = link.catalog_lookup(who.select("query_id", "cui", "normalized", "status"), s.catalog, s.children)
     near = neighbours(who, found, s, suppress_on)
     asked = instruments(found, s.least_instrument)
     used = usage.using(s.trials, asked.select("instrument").distinct())
@@ -77,10 +77,10 @@ def run(queries: DataFrame, s: Sources, rules: resolve.Rules = resolve.Rules(),
         terms = settled.select("query_id", F.explode(F.array("label", "query")).alias("term")).where("term is not null")
         asked_of = who.select("query_id", F.col("cui").isNotNull().alias("has_concept"))
         out["drugs"] = link.two_route_lookup(asked_of, concepts, terms, s.treats, s.items, s.approvals, resolved=F.col("has_concept")).drop("has_concept")
-    steps = who.select("query_id", "query", "status").join(found.select("query_id", F.col("status").alias("catalog")), "query_id", "left")
+    steps = who.select("query_id", "query", "status", "cui").join(found.select("query_id", F.col("status").alias("catalog")), "query_id", "left")
     steps = steps.join(near.groupBy("query_id").agg(F.count("*").alias("n_near")), "query_id", "left").join(counted.groupBy("query_id").agg(F.sum("trials").alias("n_trials")), "query_id", "left")
-    neighbour_status = F.when(F.col("catalog") == "FOUND", "NOT_NEEDED").when(F.col("n_near") > 0, "NEIGHBORS_FOUND").otherwise("NO_NEIGHBORS")
-    usage_status = F.when(F.col("catalog") != "FOUND", "NOT_NEEDED").when(F.col("n_trials") > 0, "TRIALS_FOUND").otherwise("NO_TRIALS_FOUND")
+    neighbour_status = F.when(F.col("catalog") == "COA_FOUND", "NOT_NEEDED").when(F.col("cui").isNull(), "NO_HIERARCHY").when(F.col("n_near") > 0, "NEIGHBORS_FOUND").otherwise("NO_NEIGHBOR_IN_CATALOG")
+    usage_status = F.when(F.col("catalog") != "COA_FOUND", "NOT_NEEDED").when(F.col("n_trials") > 0, "OK").otherwise("NO_TRIALS")
     each, degraded = quality.sealed({"identity": F.col("status"), "catalog": F.col("catalog"), "neighbours": neighbour_status, "usage": usage_status})
     line = F.concat_ws("\n", F.concat(F.lit("identity: "), F.col("status")), F.concat(F.lit("catalog: "), "catalog"), F.concat(F.lit("neighbours: "), neighbour_status), F.concat(F.lit("usage: "), usage_status))
     out["assembled"] = assembled(out)

@@ -50,8 +50,8 @@ _SCALES = ("ring", "Widget small", "red widget large", "Change", "nothing at all
     u AS (SELECT instrument, nct_id, any_value(sponsor) AS sponsor, bool_or(flag = 'R') AS pri FROM lines JOIN i ON contains(lower(measure), lower(instrument)) WHERE flag IN ('R', 'N') GROUP BY 1, 2),
     s AS (SELECT instrument, sponsor, count(*) AS n, min(nct_id) AS f FROM u GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY n DESC, f) AS r FROM s)
     SELECT i.instrument, count(nct_id) AS trials, count(*) FILTER (pri) AS as_primary, count(*) FILTER (NOT pri) AS secondary_only,
-           coalesce((SELECT string_agg(sponsor || '(' || n || ')', '; ' ORDER BY r) FROM k WHERE k.instrument = i.instrument AND r <= 3), '') AS top_sponsors,
-           CASE WHEN count(nct_id) > 0 THEN 'USED' ELSE 'NO_TRIALS_FOUND' END AS status FROM i LEFT JOIN u USING (instrument) GROUP BY 1""")
+           coalesce((SELECT string_agg(sponsor || '(' || n || ')', '|' ORDER BY r) FROM k WHERE k.instrument = i.instrument AND r <= 3), '') AS top_sponsors,
+           CASE WHEN count(nct_id) > 0 THEN 'OK' ELSE 'NO_TRIALS' END AS status FROM i LEFT JOIN u USING (instrument) GROUP BY 1""")
 def instrument_usage(spark, d):
     """R16, P08, A03 to A05, O06, O07."""
     named = spark.range(1).select(F.explode(F.array(*map(F.lit, _SCALES))).alias("instrument"))
@@ -296,6 +296,17 @@ def shown_blocks(spark, d):
     return usage.shown(blocks).select("custkey", "qualified", F.size("instruments").cast("long").alias("n"))
 
 
+@query("""WITH i AS (SELECT c_custkey AS custkey, lpad(right(CASE WHEN c_custkey % 2 = 0 THEN '2016' ELSE '' END || lpad(c_custkey::VARCHAR, 6, '0'), 6), 6, '0') AS k FROM customer),
+           o AS (SELECT CASE WHEN length(o_custkey::VARCHAR) < 6 THEN lpad(o_custkey::VARCHAR, 6, '0') ELSE o_custkey::VARCHAR END AS k, o_orderkey AS document FROM orders WHERE o_orderstatus = 'P')
+           SELECT custkey, document FROM i LEFT JOIN o USING (k)""")
+def numbered_documents(spark, d):
+    """Documents of the number in an entry's name."""
+    name = F.concat(F.lit("DDT#COA v12 "), F.when(F.col("c_custkey") % 2 == 0, "2016-").otherwise(""), F.lpad(F.col("c_custkey").cast("string"), 6, "0"), F.lit(": Scale 36"))
+    items = table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), name.alias("item"))
+    documents = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("number"), F.col("o_orderkey").alias("document"))
+    return link.by_number(items, documents, "item", "number").select("custkey", "document")
+
+
 @query("SELECT l_suppkey AS suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1")
 def id_set_union(spark, d):
     """U07."""

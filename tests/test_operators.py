@@ -217,6 +217,14 @@ def test_catalogue_sizes_and_sets(spark):
     assert rows(setops.overlap_report("k", a=a, b=b), "sources", "n_keys") == [("a", 1), ("a+b", 1), ("b", 1)]
 
 
+def test_lookup_of_unsettled_queries(spark):
+    queries = spark.createDataFrame([(1, "", "adults", "RESOLVED_AS_TRIAL_POPULATION"), (2, None, "adults", "CONFLICT_DETECTED"), (3, "C1", "x", "RESOLVED"), (4, "C2", "y", "RESOLVED"), (5, "", "", "RESOLVED_BY_GUIDANCE")], "query_id int, cui string, normalized string, status string")
+    catalog = spark.createDataFrame([("Adults", "", "adults"), ("One", "C1", "one"), ("Two", "C2", "two"), ("Open", "", "")], "condition string, cui string, norm string")
+    children = spark.createDataFrame([("Adults", "a"), ("One", "b"), ("Open", "c")], "condition string, instrument string")
+    out = link.catalog_lookup(queries, catalog, children)
+    assert rows(out, "query_id", "key_kind", "status") == [(1, "name", "COA_FOUND"), (2, None, "CONDITION_UNRESOLVED"), (3, "cui", "COA_FOUND"), (4, "cui", "NO_COA"), (5, None, "NO_COA")]
+
+
 def test_gene_resolution(spark):
     diseases = spark.createDataFrame([("ORPHA:1", "FOXG1 syndrome", "Disease"), ("2", "Wide", "Disease"), ("3", "Sub", "Etiological subtype"), ("4", "Empty", None)], "orpha_id string, name string, disorder_type string")
     parents = spark.createDataFrame([(f"c{i}", "2") for i in range(4)], "child string, parent string")
@@ -273,7 +281,7 @@ def trials(spark):
 def test_usage(spark, trials):
     asked = spark.createDataFrame([("KCCQ",), ("NEVER",)], "instrument string")
     out = usage.usage(asked, usage.using(trials, asked))
-    assert rows(out, "instrument", "trials", "as_primary", "secondary_only", "top_sponsors", "status") == [("KCCQ", 2, 1, 1, "S1(2)", "USED"), ("NEVER", 0, 0, 0, "", "NO_TRIALS_FOUND")]
+    assert rows(out, "instrument", "trials", "as_primary", "secondary_only", "top_sponsors", "status") == [("KCCQ", 2, 1, 1, "S1(2)", "OK"), ("NEVER", 0, 0, 0, "", "NO_TRIALS")]
     resolved = spark.createDataFrame([("a", "A", "1"), ("b", "B", "2")], "item string, key_names string, key_ids string")
     assert rows(usage.cooccurring_drugs(trials, asked, resolved), "instrument", "drug", "trials") == [("KCCQ", "A", 2), ("KCCQ", "B", 1)]
     part = spark.createDataFrame([("a", "A", "1", "RESOLVED"), ("b", None, None, "UNRESOLVED_NOT_IN_RXNORM"), ("placebo", "P", "3", "RESOLVED")], "item string, key_names string, key_ids string, status string")
@@ -304,9 +312,9 @@ def test_batch(spark, vocabulary, trials):
     codes = spark.createDataFrame([("C1", "S", "1"), ("C5", "S", "5"), ("C10", "S", "10")], "cui string, sab string, code string")
     s = batch.Sources(*vocabulary, catalog, children, codes, e, spark.createDataFrame([("S", 0)], "sab string, source_order int"), trials)
     out = batch.run(spark.createDataFrame([(1, "hip fracture"), (2, "breast cancer"), (3, "nothing")], "query_id int, query string"), s)
-    assert rows(out["catalog"], "query_id", "status") == [(1, "FOUND"), (2, "NO_COA"), (3, "NO_COA")]
+    assert rows(out["catalog"], "query_id", "status") == [(1, "COA_FOUND"), (2, "NO_COA"), (3, "CONDITION_UNRESOLVED")]
     assert rows(out["neighbours"], "query_id", "condition", "relation") == [(2, "Alpha", "SIBLING"), (2, "Hip Fracture", "SIBLING")]
-    assert {r["query_id"]: r["steps"]["neighbours"]["status"] for r in out["summary"].collect()} == {1: "NOT_NEEDED", 2: "NEIGHBORS_FOUND", 3: "NO_NEIGHBORS"}
+    assert {r["query_id"]: r["steps"]["neighbours"]["status"] for r in out["summary"].collect()} == {1: "NOT_NEEDED", 2: "NEIGHBORS_FOUND", 3: "NO_HIERARCHY"}
     said = {r["query_id"]: r for r in out["assembled"].collect()}
     assert [(said[i]["n_coas"], said[i]["has_qualified_coa"], said[i]["gap"]) for i in (1, 2, 3)] == [(1, True, False), (0, False, False), (0, False, False)]
     assert [x["condition"] for x in said[2]["nearby"]] == ["Alpha", "Hip Fracture"] and said[1]["nearby"] is None and said[3]["nearby"] == []
