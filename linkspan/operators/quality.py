@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import bounded
+
 # ---- fixed values -------------------------------------------------------------------------------------------------------
 NEAR_MISS_REASONS = ("NO_API_KEY", "EMPTY_AFTER_NORMALIZATION", "SEARCH_FAILED", "SEMANTIC_TYPE_LOOKUP_FAILED", "NO_SEMANTIC_TYPE", "TYPE_REJECTED", "SUPPORT_LOOKUP_FAILED", "SINGLE_VOCABULARY_ONLY", "NOT_THE_LAY_MEANING", "REGISTRY_LOOKUP_FAILED")
 HEALTH = ("ok", "absent", "error")
@@ -55,7 +57,7 @@ def assert_row_parity(parsed: DataFrame, raw: DataFrame, what: str = "table") ->
 
 def over_band(rates: DataFrame, bands: DataFrame, name: str = "gauge", floor: float = 0.0) -> DataFrame:
     """Gauge, rate, band, over_band: report only; rates at or below the floor never count as over."""
-    return rates.join(F.broadcast(bands.select(name, "band").limit(10_000)), name, "left").withColumn("over_band", F.coalesce((F.col("rate") >= F.col("band")) & (F.col("rate") > floor), F.lit(False)))
+    return rates.join(bounded(bands.select(name, "band")), name, "left").withColumn("over_band", F.coalesce((F.col("rate") >= F.col("band")) & (F.col("rate") > floor), F.lit(False)))
 
 
 def source_health(events: DataFrame, header_ok: Column | None = None) -> DataFrame:

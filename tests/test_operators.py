@@ -369,3 +369,10 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         facts.resumable_build(facts.page_stream(spark, str(src), schema), "id", str(tmp_path / "out"), str(tmp_path / "ck"), lambda df: df.select("id", F.lit("done").alias("r"))).awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "out")), "id") == [(1,), (2,)]
+
+
+@pytest.mark.parametrize("n", [12_000, 60_000])
+def test_every_gauge_has_its_band(spark, n):
+    gauges = spark.range(n).select(F.col("id").cast("string").alias("gauge"))
+    out = quality.over_band(gauges.withColumn("rate", F.lit(0.5)), gauges.withColumn("band", F.lit(0.2)))
+    assert out.count() == n and out.where("band is null or not over_band").count() == 0
