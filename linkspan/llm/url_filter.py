@@ -1,8 +1,8 @@
 """URL filters (5): rules first, then a path-template tree for each host.
 
-Level by level the segments of the paths of a host become branches. A segment with enough of its node's pages stays a literal
-branch, all others become the wildcard ``*``; literal branches whose labelled block rates do not differ significantly are merged
-into one. A template is judged by its labelled purity, smoothed towards its host's and that towards the rate of all pages.
+Level by level the segments of the paths of a host become branches. A segment with enough pages stays a literal branch, however
+many pages its node has, all others become the wildcard ``*``; literal branches whose labelled block rates do not differ
+significantly are merged into one. A template is judged by its labelled purity, smoothed towards its host's and that towards the rate of all pages.
 Labels are the verdicts of rules where a rule fits, unless a column of labels is named. Only ids, hosts, segments and labels
 travel; the pages' contents are never read. Counts are summed map-side, so a host with a third of all pages is one row per
 segment and task.
@@ -28,8 +28,8 @@ class Rule:
 
 
 DEPTH = 4
-#: A literal branch needs so many pages and such a share of its node's; branches differ from this z value on.
-SUPPORT, SHARE, DIFFER = 20, 0.02, 1.96
+#: A literal branch needs so many pages, whatever its node has; branches differ from this z value on.
+SUPPORT, DIFFER = 20, 1.96
 #: Pages that the rate above counts for, and the purity from which a template is blocked.
 PRIOR, BLOCK_FROM = 5.0, 0.5
 
@@ -50,27 +50,45 @@ def fitting(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def alike(branch: DataFrame, node: list[str]) -> DataFrame:
+    """(node, known, blocked, part, same): which branches of a node are merged, told by their counts.
+
+    Neighbours in the order of block rates that do not differ form a part; ``same`` is false where the part as a whole is not of one
+    rate (chi-square), so that a chain of small steps does not join clean branches with bad ones. Unlabelled branches are a part of
+    their own. A window is over the different counts of a node, which are far fewer than its branches.
+    """
+    order = W.partitionBy(*node).orderBy(F.col("known") == 0, F.coalesce(F.try_divide("blocked", "known"), F.lit(0.5)), "known")
+    n1, n0, b1, b0 = F.col("known"), F.lag("known").over(order), F.col("blocked"), F.lag("blocked").over(order)
+    pooled = (b1 + b0 + 1) / (n1 + n0 + 2)
+    z = F.abs((b1 + 0.5) / (n1 + 1) - (b0 + 0.5) / (n0 + 1)) / F.sqrt(pooled * (1 - pooled) * (1 / (n1 + 1) + 1 / (n0 + 1)))
+    new = F.coalesce(((z >= DIFFER) | ((n1 == 0) != (n0 == 0))).cast("int"), F.lit(1))
+    counts = branch.groupBy(*node, "known", "blocked").agg(F.count("*").alias("times"))
+    counts = checkpoint(counts.withColumn("new", new).withColumn("part", F.sum("new").over(order)).drop("new"))
+    k, b, square = F.sum(n1 * F.col("times")), F.sum(b1 * F.col("times")), F.sum(F.col("times") * b1 * b1 / F.nullif(n1, F.lit(0)))
+    free, rate = F.sum("times") - 1, b / F.nullif(k, F.lit(0))
+    uneven = F.coalesce((square - b * rate) / F.nullif(rate * (1 - rate), F.lit(0.0)), F.lit(0.0))
+    parts = counts.groupBy(*node, "part").agg((uneven <= free + DIFFER * F.sqrt(2 * free)).alias("same"))
+    return checkpoint(counts.join(parts, [*node, "part"]).select(*node, "known", "blocked", "part", "same"))
+
+
 def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """pages (host, segments, y: 1 block, 0 allow, null unknown, any others) with the column template."""
     at = checkpoint(pages.withColumn("template", F.lit("")))
     node = ["host", "template"]
     for level in range(1, depth + 1):
         at = at.withColumn("segment", F.get("segments", F.lit(level - 1)))
-        counts = at.where(F.col("segment").isNotNull()).groupBy(*node, "segment").agg(F.count("*").alias("n"), F.count("y").alias("known"), F.sum("y").alias("blocked"))
+        counts = at.where(F.col("segment").isNotNull()).groupBy(*node, "segment").agg(F.count("*").alias("n"), F.count("y").alias("known"), F.coalesce(F.sum("y"), F.lit(0)).alias("blocked"))
         counts = checkpoint(counts)
         if counts.isEmpty():
             at = at.drop("segment")
             break
-        total = counts.groupBy(*node).agg(F.sum("n").alias("total"))
-        # At most 1 / SHARE branches of a node stay literal, so the windows below are over a few rows.
-        branch = counts.join(total, node).where((F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("total")))
-        order = W.partitionBy(*node).orderBy(F.col("known") == 0, F.coalesce(F.col("blocked") / F.col("known"), F.lit(0.5)), "segment")
-        n1, n0, b1, b0 = F.col("known"), F.lag("known").over(order), F.coalesce("blocked", F.lit(0)), F.lag(F.coalesce("blocked", F.lit(0))).over(order)
-        pooled = (b1 + b0 + 1) / (n1 + n0 + 2)
-        z = F.abs((b1 + 0.5) / (n1 + 1) - (b0 + 0.5) / (n0 + 1)) / F.sqrt(pooled * (1 - pooled) * (1 / (n1 + 1) + 1 / (n0 + 1)))
-        branch = branch.withColumn("new", F.coalesce((z >= DIFFER).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(order))
-        named = branch.groupBy(*node, "part").agg(F.sort_array(F.collect_set("segment")).alias("segments_"))
-        literal = named.select(*node, F.explode("segments_").alias("segment"), F.array_join("segments_", "|").alias("branch"))
+        branch = counts.where(F.col("n") >= SUPPORT)
+        literal = branch.join(small(alike(branch, node)), [*node, "known", "blocked"]).withColumn("own", F.when(~F.col("same"), F.col("segment")))
+        group = [*node, "part", "own"]
+        first, last, size = F.min("segment"), F.max("segment"), F.count("*")
+        # A name of bounded length; the least segment of a group is no other group's.
+        names = literal.groupBy(*group).agg(F.when(size == 1, first).when(size == 2, F.concat_ws("|", first, last)).otherwise(F.concat(first, F.lit("|"), last, F.lit("|+"), size - 2)).alias("branch"))
+        literal = literal.withColumn("own", F.coalesce("own", F.lit(""))).join(small(checkpoint(names.fillna("", "own"))), group).select(*node, "segment", "branch")
         step = at.join(small(checkpoint(literal)), [*node, "segment"], "left")
         name = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("branch", F.lit("*"))))
         at = checkpoint(step.withColumn("template", name).drop("segment", "branch"))
