@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,11 +28,12 @@ class Rule:
     path: str
 
 
-DEPTH = 4
 #: A literal branch needs so many pages, whatever its node has; branches differ from this z value on.
 SUPPORT, DIFFER = 20, 1.96
 #: Pages that the rate above counts for, and the purity from which a template is blocked.
 PRIOR, BLOCK_FROM = 5.0, 0.5
+#: Finished levels that are kept apart before they are written as one.
+PIECES = 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -63,7 +65,7 @@ def alike(branch: DataFrame, node: list[str]) -> DataFrame:
     z = F.abs((b1 + 0.5) / (n1 + 1) - (b0 + 0.5) / (n0 + 1)) / F.sqrt(pooled * (1 - pooled) * (1 / (n1 + 1) + 1 / (n0 + 1)))
     new = F.coalesce(((z >= DIFFER) | ((n1 == 0) != (n0 == 0))).cast("int"), F.lit(1))
     counts = branch.groupBy(*node, "known", "blocked").agg(F.count("*").alias("times"))
-    counts = checkpoint(counts.withColumn("new", new).withColumn("part", F.sum("new").over(order)).drop("new"))
+    counts = counts.withColumn("new", new).withColumn("part", F.sum("new").over(order)).drop("new")
     k, b, square = F.sum(n1 * F.col("times")), F.sum(b1 * F.col("times")), F.sum(F.col("times") * b1 * b1 / F.nullif(n1, F.lit(0)))
     free, rate = F.sum("times") - 1, b / F.nullif(k, F.lit(0))
     uneven = F.coalesce((square - b * rate) / F.nullif(rate * (1 - rate), F.lit(0.0)), F.lit(0.0))
@@ -71,18 +73,33 @@ def alike(branch: DataFrame, node: list[str]) -> DataFrame:
     return checkpoint(counts.join(parts, [*node, "part"]).select(*node, "known", "blocked", "part", "same"))
 
 
-def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """pages (host, segments, y: 1 block, 0 allow, null unknown, any others) with the column template."""
+def templates(pages: DataFrame) -> DataFrame:
+    """pages (host, segments, y: 1 block, 0 allow, null unknown, any others) with the column template.
+
+    Levels go on while a node has enough pages with a further segment; below that every further segment is a wildcard, which is
+    written at once, so only pages of nodes that may still branch are looked at again.
+    """
     at = checkpoint(pages.withColumn("template", F.lit("")))
-    node = ["host", "template"]
-    for level in range(1, depth + 1):
-        at = at.withColumn("segment", F.get("segments", F.lit(level - 1)))
+    node, done, level = ["host", "template"], [], 0
+    while True:
+        at = at.withColumn("segment", F.get("segments", F.lit(level)))
         counts = at.where(F.col("segment").isNotNull()).groupBy(*node, "segment").agg(F.count("*").alias("n"), F.count("y").alias("known"), F.coalesce(F.sum("y"), F.lit(0)).alias("blocked"))
         counts = checkpoint(counts)
-        if counts.isEmpty():
-            at = at.drop("segment")
-            break
+        wide = checkpoint(counts.groupBy(*node).agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT).select(*node, F.lit(True).alias("wide")))
+        n_wide = wide.count()
+        at = at.join(small(wide, n_wide), node, "left").withColumn("wide", F.coalesce("wide", F.lit(False)) & F.col("segment").isNotNull())
+        left = F.greatest(F.size("segments") - level, F.lit(0))
+        done.append(at.where(~F.col("wide")).withColumn("template", F.concat("template", F.repeat(F.lit("/*"), left))).drop("segment", "wide"))
+        if len(done) == PIECES:
+            done = [checkpoint(reduce(DataFrame.unionByName, done))]
+        if not n_wide:
+            return checkpoint(reduce(DataFrame.unionByName, done))
+        at = at.where("wide").drop("wide")
+        level += 1
         branch = counts.where(F.col("n") >= SUPPORT)
+        if branch.isEmpty():
+            at = checkpoint(at.withColumn("template", F.concat("template", F.lit("/*"))).drop("segment"))
+            continue
         literal = branch.join(small(alike(branch, node)), [*node, "known", "blocked"]).withColumn("own", F.when(~F.col("same"), F.col("segment")))
         group = [*node, "part", "own"]
         first, last, size = F.min("segment"), F.max("segment"), F.count("*")
@@ -90,9 +107,7 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         names = literal.groupBy(*group).agg(F.when(size == 1, first).when(size == 2, F.concat_ws("|", first, last)).otherwise(F.concat(first, F.lit("|"), last, F.lit("|+"), size - 2)).alias("branch"))
         literal = literal.withColumn("own", F.coalesce("own", F.lit(""))).join(small(checkpoint(names.fillna("", "own"))), group).select(*node, "segment", "branch")
         step = at.join(small(checkpoint(literal)), [*node, "segment"], "left")
-        name = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("branch", F.lit("*"))))
-        at = checkpoint(step.withColumn("template", name).drop("segment", "branch"))
-    return at
+        at = checkpoint(step.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("branch", F.lit("*")))).drop("segment", "branch"))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", id: str = "page_id", label: str | None = None, block_from: float = BLOCK_FROM) -> DataFrame:
