@@ -23,10 +23,14 @@ FINDINGS, LEARN_FROM, TREES, DEPTH, SECRET_FROM = 3_000, 50_000, 24, 7, 0.5
 
 _NAME = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth"
 _VALUE = "[A-Za-z0-9+/_-]"
+_RUN = r"[A-Za-z0-9_+/-]"
+#: A name that tells, or a longer one that holds it, with an optional closing quote and the sign. Whether a sign follows the run is
+#: asked first, so that a run with many telling names is not tried once for each.
+_GIVEN = rf"(?={_RUN}++[\x22']?\x20{{0,2}}[:=]){_RUN}*?(?i:{_NAME}){_RUN}*+[\x22']?\x20{{0,2}}[:=]"
 #: A key with a known prefix, a value given to a telling name, or a long run with a digit.
 PATTERN = (
     r"(?:\G|(?<![A-Za-z0-9_+/-]))(?:AKIA[0-9A-Z]{16}(?![0-9A-Z])"
-    rf"|(?i:{_NAME})\x20{{0,2}}[:=]\x20{{0,2}}[\x22']?[^\x20\x09-\x0D\x22']{{6,200}}+[\x22']?"
+    rf"|{_GIVEN}\x20{{0,2}}[\x22']?[^\x20\x09-\x0D\x22']{{6,}}+[\x22']?"
     rf"|(?=[A-Za-z+/_-]{{0,60}}[0-9]){_VALUE}{{24,}}+)"
 )
 #: Words that placeholders and names are made of.
@@ -37,12 +41,12 @@ FEATURES = ["length", "distinct", "digits", "uppers", "turns", "vowels", "hex",
 def candidates(docs: DataFrame, text: str = "text", id: str = "doc_id", path: str | None = "source") -> DataFrame:
     """id, start, end, kind, FEATURES for every candidate of every whole text; null texts have none."""
     t = text_or_empty(text)
-    may = t.contains("AKIA") | t.rlike(rf"(?i)(?:{_NAME})\x20{{0,2}}[:=]") | t.rlike(rf"{_VALUE}{{24}}")
+    may = t.contains("AKIA") | (t.rlike(rf"(?i){_NAME}") & t.rlike("[:=]")) | t.rlike(rf"{_VALUE}{{24}}")
     none = F.array().cast("array<struct<start:int,match:string,before:string>>")
     rows = docs.select(F.col(id).alias("id"), F.lower(F.coalesce(F.col(path).cast("string"), F.lit(""))).alias("path") if path else F.lit("").alias("path"), F.when(may, matches(t, PATTERN)).otherwise(none).alias("found"))
     rows = rows.select("id", "path", F.explode("found").alias("c")).select("id", "path", "c.start", "c.match", F.lower("c.before").alias("before"))
-    named = F.col("match").rlike(rf"^(?i:{_NAME})\x20{{0,2}}[:=]")
-    rows = rows.withColumn("named", named.cast("double")).withColumn("value", F.regexp_replace(F.when(named, F.regexp_replace("match", rf"^(?i:{_NAME})\x20{{0,2}}[:=]\x20{{0,2}}", "")).otherwise(F.col("match")), r"[\x22']", ""))
+    named = F.col("match").rlike(rf"^{_GIVEN}")
+    rows = rows.withColumn("named", named.cast("double")).withColumn("value", F.regexp_replace(F.when(named, F.regexp_replace("match", rf"^{_GIVEN}\x20{{0,2}}", "")).otherwise(F.col("match")), r"[\x22']", ""))
     n = F.greatest(F.length("value"), F.lit(1))
 
     def share(pattern: str) -> Column:

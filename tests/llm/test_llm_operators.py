@@ -321,6 +321,19 @@ def test_secrets(spark, docs, empty):
     assert seen.where((F.col("label") == 1) == F.col("is_secret")).count() > 0.97 * seen.count()
 
 
+def test_secret_forms(spark):
+    long = "a1B2" * 100
+    forms = [("DB_PASSWORD=hunter2x", 0, 8), ("client_secret: abc123", 0, 6), ('{"password": "hunter22"}', 2, 8), ('secret_key = "abcd1234"', 0, 8), (f"token={long} end", 0, 400), ("x " + "token" * 8_000, None, None)]
+    df = spark.createDataFrame([(i, t, None) for i, (t, _, _) in enumerate(forms)], "doc_id long, text string, source string")
+    out = {r["id"]: r for r in secrets.candidates(df).collect()}
+    for i, (text, start, length) in enumerate(forms):
+        if start is None:
+            assert i not in out
+        else:
+            end = len(text) - (1 if text[-1] == "}" else 4 if text.endswith(" end") else 0)
+            assert (out[i]["kind"], out[i]["start"], out[i]["end"], out[i]["length"]) == ("assigned", start, end, length), text
+
+
 @pytest.mark.parametrize("name", ["op2_pii", "op3_mixing", "op6_secrets", "op7_sharding", "op10_exact_dedup"])
 def test_native_plans(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
