@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import sys
 import tempfile
 
@@ -26,10 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Written to the shared folder of ``spark.checkpoint.dir`` and read from there, so that a lost executor costs no recomputation.
 
-    Only where the session names no folder (tests on one machine), one is made."""
+    Where the session names no folder, one is made on this machine, if all executors are on it too (master ``local``); on a cluster
+    that raises. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes the files when they are no longer in use."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkspan-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="linkspan-"))
     return df.checkpoint(eager=True)
 
 
@@ -63,34 +69,57 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+#: Keys whose rows are joined by a broadcast, at most; below LEAST rows a key is none of them.
+HUBS, LEAST = 50_000, 64
+
+
+def hub_join(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts`` (one row per key; its column ``n``, dropped, is the number of rows that have the key).
+
+    Keys with a large share of the ``total`` rows, which cannot be more than HUBS, are joined by a broadcast where the rows are, so
+    that no task gets all rows of a key; the others are shuffled. ``how``: inner, or left for rows without facts.
+    """
+    least = max(LEAST, math.ceil(total / HUBS))
+    hubs, rest = facts.where(F.col(n) >= least).drop(n), facts.where(F.col(n) < least).drop(n)
+    others = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(rest, key, how)
+    return rows.join(F.broadcast(hubs), key).unionByName(others)
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Number of edges and a sum of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges``.
 
-    Alternating large-star and small-star rounds: every round joins and groups edges by one end, nothing is gathered on the
-    driver but a count and a hash sum, and the rounds needed grow with the logarithm of the longest path. An empty edge table
-    gives an empty result; self-edges and repeated edges change nothing.
+    Alternating large-star and small-star rounds until nothing changes: every round joins and groups edges by one end, nothing is
+    gathered on the driver but a count and a hash sum, and the rounds needed grow with the logarithm of the longest path. The edges
+    of the centre of a large star meet its minimum by ``hub_join``. An empty edge table gives an empty result; self-edges and
+    repeated edges change nothing.
     """
     kind = edges.schema[a].dataType
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast(kind).alias("u"), F.least(a, b).cast(kind).alias("v")).distinct()
     e = checkpoint(e)
-    seen = None
-    for _ in range(rounds):
+    seen, now = None, _state(e)
+    while now != seen:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hub_join(both.where(F.col("v") > F.col("u")), low, "u", "n", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hooked = hub_join(large, low, "u", "n", now[0]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(hooked.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        seen, now = now, _state(e)
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def named(members: DataFrame, name: str, total: int) -> DataFrame:
+    """``members`` (component, ``name``, any others) with the column ``first``: the least ``name`` of the component."""
+    least = members.groupBy("component").agg(F.min(name).alias("first"), F.count("*").alias("_n"))
+    return hub_join(members, least, "component", "_n", total)
+
+
 def keep_rows(docs: DataFrame, decided: DataFrame, id: str, digest: Column) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. ``decided``: _id, _sha, kept, again, one row per row of docs.
 

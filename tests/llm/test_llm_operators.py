@@ -45,6 +45,9 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in out.collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 90, 90: 90, 95: 90}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    star = [(5000 + i, 3) for i in range(300)] + [(5000, 1), (5299, 9000)] + [(4999, i) for i in range(100, 400)]
+    out = common.components(spark.createDataFrame(star, "a long, b long"))
+    assert {r["component"] for r in out.collect() if r["node"] >= 5000 or r["node"] < 10} == {1} and out.where("component = 100").count() == 301
 
 
 def test_exact_dedup(docs, rows, empty):
@@ -231,36 +234,68 @@ def test_windows_cover_a_text():
     assert bytes(w[w < langid.PAD].astype(np.uint8)) == raw and len(langid.windows(b"")) == 1
 
 
+def brute_links(cells):
+    """id, links, component of (id, vector) rows: equal lengths, cosine of at least 0.95."""
+    degree, links = Counter(), []
+    sound = [i for i, (_, v) in enumerate(cells) if v and all(a is not None and math.isfinite(a) for a in v) and any(v)]
+    for n in {len(cells[i][1]) for i in sound}:
+        ok = [i for i in sound if len(cells[i][1]) == n]
+        u = np.array([cells[i][1] for i in ok])
+        u /= np.abs(u).max(1, keepdims=True)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        links += [(ok[a], ok[b]) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.95, 1)), strict=True)]
+    degree = Counter(x for p in links for x in p)
+    root = joined(len(cells), links)
+    parts = defaultdict(list)
+    for i, r in enumerate(root):
+        parts[r].append(cells[i][0])
+    return sorted(((c[0], degree[i], min((x for x in parts[root[i]] if x is not None), default=None)) for i, c in enumerate(cells)), key=str)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16))
     x[1], x[2], x[3] = x[0], x[0] * 2, x[0] + 0.1 * rng.normal(size=16)
     x[100:160] = x[100] + 0.15 * rng.normal(size=(60, 16))
     cells = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    cells += [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] + [1.0] * 15), (1003, [float("inf")] + [1.0] * 15), (1004, [1.0, 2.0]), (1005, []), (1006, [None] + [1.0] * 15), (400, cells[5][1]), (None, cells[6][1])]
+    cells += [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] + [1.0] * 15), (1003, [float("inf")] + [1.0] * 15), (1005, []), (1006, [None] + [1.0] * 15), (400, cells[5][1]), (None, cells[6][1])]
+    cells += [(1010, [1.0, 2.0]), (1011, [1.0, 2.0001]), (1012, [2.0, 1.0]), (1013, [-0.0, 1.0, 2.0]), (1014, [0.0, 1.0, 2.0]), (1015, [1e200, 1.0, 2.0]), (1016, [1e200, 0.0, 0.0]), (1017, [3.0]), (1018, [0.5])]
     df = spark.createDataFrame([(i, v, 0, "clash") for i, v in cells], "vec_id long, embedding array<double>, label int, key string")
-    ok = [i for i, (_, v) in enumerate(cells) if v and len(v) == 16 and all(a is not None and math.isfinite(a) for a in v) and any(v)]
-    u = np.array([cells[i][1] for i in ok])
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    hit = u @ u.T >= 0.95
-    links = [(ok[a], ok[b]) for a, b in zip(*np.nonzero(np.triu(hit, 1)), strict=True)]
-    root, degree = joined(len(cells), links), Counter(x for p in links for x in p)
-    parts = defaultdict(list)
-    for i, r in enumerate(root):
-        parts[r].append(cells[i][0])
-    want = sorted(((c[0], degree[i], min((x for x in parts[root[i]] if x is not None), default=None)) for i, c in enumerate(cells)), key=str)
-    for block in (1024, 16):
-        assert sorted_rows(embedding_dedup.near_duplicates(df, block=block), "vec_id", "n_links", "component_id") == want
+    want = brute_links(cells)
+    for block, per_cell in ((1024, 4096), (16, 4096), (16, 16)):
+        assert sorted_rows(embedding_dedup.near_duplicates(df, block=block, per_cell=per_cell), "vec_id", "n_links", "component_id") == want
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
-    assert embedding_dedup.near_duplicates(df.where("vec_id > 1000")).where("n_links > 0").count() == 0
+    assert embedding_dedup.near_duplicates(df.where("vec_id between 1000 and 1006")).where("n_links > 0").count() == 0
+
+
+def test_embedding_index_prunes_and_finds(spark):
+    """Pairs at the threshold itself, in an index of 144 cells of which a vector sees few: recall against brute force, and no link below it."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.normal(size=x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.uniform(0.945, 0.96, (3000, 1))
+    both = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * noise]).astype(np.float32)
+    c1, c2, reach = embedding_dedup.fit(embedding_dedup.unit(both), len(both), per_cell=42)
+    d1, d2 = embedding_dedup.nearest(both[:, :32], c1), embedding_dedup.nearest(both[:, 32:], c2)
+    assert len(c1) * len(c2) == 144 and len(embedding_dedup.multi_sequence(d1, d2, reach)[0]) < 0.25 * 144 * len(both)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(both.tolist())], "vec_id int, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, per_cell=42).collect()}
+    want = {i: n for i, n, _ in brute_links(list(enumerate(both.astype(np.float64).tolist())))}
+    found, all_ = sum(got.values()), sum(want.values())
+    assert all(got[i] <= want[i] for i in got) and all_ > 2000 and found >= 0.99 * all_, (found, all_)
 
 
 def test_multi_sequence_is_in_order():
     rng = np.random.default_rng(0)
     a, b = rng.random((20, 7)), rng.random((20, 5))
-    cells = embedding_dedup.multi_sequence(a, b, 12)
+    row, cell = embedding_dedup.multi_sequence(a, b, 0.4)
     total = (a[:, :, None] + b[:, None, :]).reshape(20, -1)
-    assert np.allclose(np.take_along_axis(total, cells, 1), np.sort(total, 1)[:, :12])
+    for i in range(20):
+        seen, sums = cell[row == i], np.sort(total[i])
+        assert np.allclose(total[i][seen], sums[: len(seen)]) and len(seen) == (sums <= sums[0] + 0.4).sum()
 
 
 URLS = ["https://A.Example.ORG/en/12?x#y", "http://x.example.org/es/1", "http://example.org", "http://org/", "http://fr.com/de/1", "http://b.com/fr/a", "nothing", None, "", "x://H://y/z", "http://notexample.org/es/", "http://net/en/1#/p", "http://c.net?q=/a"]
