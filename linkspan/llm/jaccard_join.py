@@ -3,7 +3,8 @@
 A text is the set of its runs of ``n`` words, as 64-bit hashes. Texts with equal sets are one node. Bands and rows are chosen
 for the recall wanted at the threshold; nodes that share a band are candidates. Every bucket is worked on by itself: its
 members are cut into blocks and each pair of blocks is one piece of work, so that a bucket with thousands of near copies is
-many tasks. A pair belongs to the first band in which its signatures agree, so it is met once. The first pass compares
+many tasks. A pair belongs to the first band in which its signatures agree, so it is met once; blocks whose pairs all belong to an
+earlier band are never dealt out. The first pass compares
 signatures only and names the nodes that a bucket needs; the second brings their full sets, and a pair is a link when the
 Jaccard similarity of the sets reaches the threshold. Passes return a row per node and piece of work (number of links and a partner
 to be connected with), never pairs.
@@ -21,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, checkpoint, components, keep_rows, slices, text_or_empty
+from .common import by_value, checkpoint, components, hub_join, keep_rows, named, slices, small, text_or_empty
 
 by_value(__name__)
 
 WORDS, SIMILARITY, RECALL, HASHES, BLOCK = 5, 0.8, 0.9995, 128, 256
+#: Signatures are so much smaller than sets that blocks of them are larger.
+SIGNATURES = 4
+#: Earlier bands by which the members of a large bucket are sorted; blocks of a class at most (numbers, not rows).
+OWNERS, BLOCKS = 6, 2**24
 #: Hashes of words kept by a task.
 KNOWN = 250_000
 
@@ -198,12 +203,37 @@ def _verify(p: np.ndarray, q: np.ndarray, df: pd.DataFrame, threshold: float) ->
     return pd.DataFrame({"node": node[some], "links": links[some], "partner": node[[find(int(i)) for i in some]]})
 
 
-def _in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """members (band, bucket, node, ...) of buckets with two or more, once for every pair of blocks (a, b) that they are part of."""
-    counts = members.groupBy("band", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("band", "bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    cut = members.join(counts, ["band", "bucket"]).withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return cut.select("*", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b")).drop("with", "blocks")
+def _in_blocks(members: DataFrame, block: int, priors: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """members (band, bucket, node) of buckets with two or more, with the block that each is of (own), once for every pair of blocks (a, b) it is part of.
+
+    A bucket of at most ``block`` members is one block. In a larger one members are sorted first: of the first earlier
+    bands (OWNERS, or as many as give no more classes than blocks) the bucket's most frequent value is found, and a member's class says in which of them it has that value. Two members that
+    share one are a pair of that earlier band, so no blocks of two such classes meet, and a bucket of near copies, most of which agree
+    in most bands, is not replicated again in every band. ``priors`` gives (node, prior: values of the first OWNERS bands).
+    """
+    key = ["band", "bucket"]
+    counts = checkpoint(members.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    none = F.lit(0).alias
+    cool = members.join(counts.where(F.col("n") <= block).select(*key), key).select(*key, "node", none("own"), none("a"), none("b"))
+    hot = counts.where(F.col("n") > block).select(*key, F.least(F.col("band").cast("int"), F.lit(OWNERS), F.ceil(F.log2(F.col("n") / block)).cast("int")).alias("owners"))
+    if hot.isEmpty():
+        return cool
+    at = checkpoint(members.join(small(hot), key))
+    at = checkpoint(at.join(priors(at.select("node").distinct()), "node").withColumn("prior", F.slice("prior", F.lit(1), F.col("owners"))))
+    each = at.select(*key, F.posexplode("prior").alias("j", "value")).groupBy(*key, "j", "value").agg(F.count("*").alias("n"))
+    usual = each.groupBy(*key, "j").agg(F.max(F.struct("n", "value"))["value"].alias("value")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("j", "value")))["value"].alias("usual"))
+    shared = F.transform(F.sequence(F.lit(0), F.lit(OWNERS - 1)), lambda j: F.when(F.get("prior", j) == F.get("usual", j), F.call_function("shiftleft", F.lit(1), j)).otherwise(0))
+    at = at.join(small(usual), key, "left").select(*key, "node", F.aggregate(shared, F.lit(0), lambda x, y: x + y).alias("mine"))
+    # At most 2 ** OWNERS classes a bucket.
+    classes = at.groupBy(*key, "mine").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).groupBy(*key).agg(F.collect_list(F.struct("mine", "blocks")).alias("classes"))
+    at = at.join(small(classes), key)
+    number = lambda c, i: c * BLOCKS + i
+    of = lambda c: F.filter("classes", lambda x: x["mine"] == c)[0]["blocks"]
+    meets = F.filter("classes", lambda x: x["mine"].bitwiseAND(F.col("mine")) == 0)
+    others = F.flatten(F.transform(meets, lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda i: number(x["mine"], i))))
+    at = at.withColumn("own", number(F.col("mine"), F.pmod(F.xxhash64("node", "bucket"), of(F.col("mine"))).cast("int")))
+    at = at.select(*key, "node", "own", F.explode(others).alias("with"))
+    return cool.unionByName(at.select(*key, "node", "own", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b")))
 
 
 def _work(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -225,21 +255,30 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", n: int = WOR
                 h = band_hashes(np.frombuffer(b"".join(df["sign"]), np.uint32).reshape(len(df), -1), bands, rows_)
                 yield pd.DataFrame({"node": np.repeat(df["node"].to_numpy(), bands), "band": np.tile(np.arange(bands, dtype=np.int16), len(df)), "bucket": h.ravel()})
 
-    members = nodes.select("node", "sign").mapInPandas(cut, "node long, band short, bucket long")
+    members = checkpoint(nodes.select("node", "sign").mapInPandas(cut, "node long, band short, bucket long"))
     facts = nodes.select("node", "size", "weight", "sign")
 
+    def first_bands(frames):
+        for df in frames:
+            if len(df):
+                h = band_hashes(np.frombuffer(b"".join(df["sign"]), np.uint32).reshape(len(df), -1), bands, rows_)
+                yield pd.DataFrame({"node": df["node"], "prior": list(h[:, :OWNERS])})
+
+    def priors(some: DataFrame) -> DataFrame:
+        return nodes.select("node", "sign").join(small(some), "node", "left_semi").mapInPandas(first_bands, "node long, prior array<long>")
+
     def meet(frames):
         for df in _pieces(frames, ["band", "bucket", "a", "b"]):
             p, q, df = _owned(df, bands, rows_, threshold)
             if len(p):
                 yield df.iloc[np.unique(np.concatenate([p, q]))][["band", "bucket", "node"]]
 
-    need = checkpoint(_work(_in_blocks(checkpoint(members), block).join(facts, "node"), meet, "band short, bucket long, node long").distinct())
+    need = checkpoint(_work(_in_blocks(members, SIGNATURES * block, priors).join(facts, "node"), meet, "band short, bucket long, node long").distinct())
 
-    wanted = need.select("node").distinct().join(nodes, "node").select("digest", "node", F.col("low.id").alias("_id"))
-    wanted = checkpoint(wanted)
-    ids = wanted.select("_id").distinct()
-    again = docs.select(F.col(id).alias("_i"), text_or_empty(text).alias("t")).join(ids, F.col("_i").eqNullSafe(F.col("_id")), "left_semi").select("t")
+    # Texts are met again by id and digest, so that null and repeated ids do not pile up, and stay where they are while few are wanted.
+    wanted = checkpoint(need.select("node").distinct().join(nodes, "node").select("digest", "node", F.col("low.id").alias("_id"), F.col("low.sha").alias("_s")))
+    again = docs.select(F.col(id).alias("_i"), text_or_empty(text).alias("t")).withColumn("_h", F.unhex(F.sha2("t", 256)))
+    again = again.join(small(wanted.select("_id", "_s").distinct()), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_s")), "left_semi").select("t")
 
     def full(batches):
         shingles = shingler(n)
@@ -247,7 +286,7 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", n: int = WOR
             sets = [shingles(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
 
-    sets = again.mapInArrow(full, "digest binary, shingles binary").join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = again.mapInArrow(full, "digest binary, shingles binary").join(small(wanted.select("digest", "node")), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
     def check(frames):
         for df in _pieces(frames, ["band", "bucket", "a", "b"]):
@@ -255,15 +294,15 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", n: int = WOR
             if len(p):
                 yield _verify(p, q, df, threshold)
 
-    found = checkpoint(_work(_in_blocks(need, block).join(facts.join(sets, "node"), "node"), check, "node long, links long, partner long"))
-    joined = components(found, "node", "partner")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    whose = nodes.select("node", "digest", "weight", "low").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")).join(links, "node", "left")
-    label = whose.groupBy("component").agg(F.min("low").alias("first"), F.count("*").alias("k")).where(F.col("k") > 1).drop("k")
-    whose = whose.join(label, "component", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("first", "low").alias("first"))
+    found = checkpoint(_work(_in_blocks(need, block, priors).join(facts.join(sets, "node"), "node"), check, "node long, links long, partner long"))
+    joined = components(found, "node", "partner").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     # Only nodes that stand for more than one row or have links travel to the rows.
-    shared = whose.where(F.col("n_links") > 0)
-    out = seen.select("id", "row", "sha", "digest").join(shared, "digest", "left")
+    shared = nodes.select("node", "digest", "weight", "low").join(small(checkpoint(joined)), "node", "left").where("weight > 1 or component is not null")
+    shared = checkpoint(shared.select("digest", "weight", "low", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    shared = checkpoint(named(shared, "low", shared.count())).select("digest", "weight", "n_links", "first")
+    plain = seen.select("digest", "id", "row", "sha")
+    silent = plain.where(F.col("digest").isNull()).select("*", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast(shared.schema["first"].dataType).alias("first"))
+    out = hub_join(plain.where(F.col("digest").isNotNull()), shared, "digest", "weight", seen.count(), "left").unionByName(silent)
     alone = F.col("n_links").isNull()
     return out.select(
         "id", "row", "sha", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("component_id"),

@@ -99,6 +99,33 @@ def test_jaccard_on_the_corpus(spark):
     assert {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_join(docs).collect()} == {r["doc_id"]: links[i] for i, r in enumerate(rows)}
 
 
+def test_jaccard_bucket_of_near_copies(spark):
+    """600 different near copies (every pair a link, in nearly all bands) and texts apart from them: links as by brute force, and what is dealt out does not grow with the bands."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(600):
+        w = list(words)
+        w[int(rng.integers(400))] = f"x{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"y{rng.integers(10**6)}" for _ in range(50)) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (16, 256):
+        out = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in jaccard_join.jaccard_join(df, block=block).collect()}
+        assert out == {i: (599, 0) if i < 600 else (0, i) for i in range(650)}
+    members = [(b, 7, n) for b in (0, 1, 3, 8, 19) for n in range(3000)]
+    prior = spark.createDataFrame([(n, [5 if rng.random() < 0.75 else n for j in range(6)]) for n in range(3000)], "node long, prior array<long>")
+    dealt = common.checkpoint(jaccard_join._in_blocks(spark.createDataFrame(members, "band short, bucket long, node long"), 30, lambda some: prior))
+    by_band = {r["band"]: r["count"] for r in dealt.groupBy("band").count().collect()}
+    assert by_band[0] == 300_000 and by_band[1] < 150_000 and by_band[3] < 50_000 and by_band[8] < 30_000 and by_band[19] < 30_000, by_band
+    # Every pair that no earlier band owns is dealt out.
+    where = defaultdict(set)
+    for r in dealt.where("band = 8").collect():
+        where[r["node"]].add((r["a"], r["b"]))
+    value = {r["node"]: r["prior"] for r in prior.collect()}
+    assert all(where[x] & where[y] for x in range(0, 3000, 97) for y in range(x) if not any(a == b == 5 for a, b in zip(value[x], value[y])))
+
+
 def test_bands():
     for t in (0.5, 0.8, 0.95):
         b, r = jaccard_join.bands_for(t)
