@@ -35,6 +35,8 @@ COSINE, RECALL = 0.95, 0.999
 SAMPLE, SAMPLE_BYTES, PER_CELL, MOST_WORDS = 20_000, 64_000_000, 4096, 4096
 #: Vectors of a block at most, and their bytes; rows of a matrix of cosines.
 BLOCK, BLOCK_BYTES, STRIPE = 8192, 32_000_000, 256
+#: A block is no more than one of so many shares of the vectors either, so that the few cells of a small table are even tasks too; from so many vectors on.
+SHARES, SHARE_FROM = 8, 1024
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -217,7 +219,10 @@ def near_duplicates(
 
     # At most per length so many cells as its codebooks have pairs; their numbers of blocks go to the tasks that deal vectors out.
     sizes = nodes.mapInPandas(count, "dims int, side int, cell int, n long").groupBy("dims", "side", "cell").agg(F.sum("n").alias("n")).collect()
-    room = {d: max(1, min(block, BLOCK_BYTES // (d * np.dtype(kind).itemsize))) for d in {r["dims"] for r in sizes}}
+    total: dict[int, int] = {}
+    for r in sizes:
+        total[r["dims"]] = total.get(r["dims"], 0) + (r["n"] if r["side"] == 0 else 0)
+    room = {d: max(1, min(block, max(SHARE_FROM, n // SHARES), BLOCK_BYTES // (d * np.dtype(kind).itemsize))) for d, n in total.items()}
     blocks = [{(r["dims"], r["cell"]): math.ceil(r["n"] / room[r["dims"]]) for r in sizes if r["side"] == s} for s in (0, 1)]
     plan = rows.sparkSession.sparkContext.broadcast(blocks)
 
