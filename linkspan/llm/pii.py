@@ -1,8 +1,8 @@
 """PII (2): regular expressions propose spans, checksums confirm them, words nearby adjust the score.
 
 All of it is JVM-side expressions: two ``regexp_extract_all`` calls per kind give, for each match, the text between it and the
-match before it and the match itself; their lengths add up to positions in code points, and the text before a match is where
-context words are looked for. A cheap test (a character or a bounded pattern that every match contains) keeps most texts from
+match before it and the match itself; their lengths add up to positions in code points, and the text on both sides of a match (48
+code points, other matches in it or not) is where context words are looked for. A cheap test (a character or a bounded pattern that every match contains) keeps most texts from
 the extraction. Patterns are anchored to the end of the last match and never start inside a run that has just failed, and
 repetition is possessive, so very long texts cost time in proportion to their length and no deep recursion.
 """
@@ -80,7 +80,7 @@ KINDS = (
 
 def _spans(text: Column, kind: Kind, order: int) -> Column:
     """array<struct<start, ord, end, kind, score>> of the valid matches of a kind, leftmost and non-overlapping."""
-    near = lambda x, words: x["before"].rlike(rf"(?i)\b(?:{words})")
+    near = lambda x, words: x["before"].rlike(rf"(?i)\b(?:{words})") | x["after"].rlike(rf"(?i)\b(?:{words})")
     score = lambda x: F.lit(kind.score) + F.when(near(x, kind.near), 0.3).otherwise(0.0) - (F.when(near(x, kind.far), 0.3).otherwise(0.0) if kind.far else F.lit(0.0))
     valid = F.filter(matches(text, kind.pattern), lambda x: kind.valid(x["match"]))
     out = F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("ord"), (x["start"] + F.length(x["match"])).alias("end"), F.lit(kind.name).alias("kind"), F.round(F.lit(0.0) + score(x), 2).alias("score")))

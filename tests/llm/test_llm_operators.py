@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkspan.llm import bpe, common, embedding_dedup, exact_dedup, jaccard_join, langid, mixing, pii, queries, secrets, sharding, url_filter
+from linkspan.llm import bpe, common, embedding_dedup, exact_dedup, jaccard_join, langid, mixing, pii, queries, secrets, sharding, spans, url_filter
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -199,6 +199,15 @@ TRICKY = [
 ]
 
 
+def test_matches_and_their_surroundings(spark):
+    rng = np.random.default_rng(5)
+    texts = ["", "none", "ab12", "\U0001f600" * 60 + "12345" + "ü" * 60, "12345" * 3, " 12345" * 700 + "end"] + ["".join(rng.choice(list("12ü \U0001f600x\n"), 400)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", spans.matches(F.col("t"), "[0-9]{5}", 5).alias("m"))
+    for r in df.collect():
+        t = texts[r["i"]]
+        assert [tuple(x) for x in r["m"]] == [(m.start(), m.group(), t[max(0, m.start() - 48) : m.start()], t[m.end() : m.end() + 48]) for m in re.finditer("[0-9]{5}", t)]
+
+
 def test_pii(spark, docs, rows, empty):
     def brute(t):
         found = [(m.start(), o, m.end(), k) for o, (k, p, ok) in enumerate(BASE) for m in re.finditer(p, t or "") if ok(m.group())]
@@ -213,6 +222,9 @@ def test_pii(spark, docs, rows, empty):
             assert r["n_email"] == want.count("email:") and set(filter(None, want.split(","))) <= set(r["spans"].split(","))
     more = {r["doc_id"]: r["spans"] for r in pii.pii_report(tricky).collect()}
     assert more[14].startswith("iban:0:27") and more[15] == "ssn:7:18" and more[16] == "" and more[17] == "local_phone:7:19"
+    near = ["phone: 555-123-4567, 555-123-9999", "ssn 123-45-6789 and 223-45-6789", "555-123-4567 is my phone", "123-45-6789 (SSN)", "SSN: 123-45-6789, 234-56-7891", "ssn " + "x" * 45 + " 123-45-6789", "\U0001f600ü ssn 123-45-6789"]
+    found = {r["doc_id"]: r["spans"].count(":") // 2 for r in pii.pii_report(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")).collect()}
+    assert found == {0: 2, 1: 2, 2: 1, 3: 1, 4: 2, 5: 0, 6: 1}
     assert pii.pii_report(docs).count() == len(rows) and pii.pii_report(empty).count() == 0
 
 
