@@ -24,7 +24,7 @@ QUERIES = {
     "op2_pii": lambda spark, d: pii.pii_report(table(spark, d, "documents")),
     "op3_mixing": lambda spark, d: mixing.mix(table(spark, d, "documents")),
     "op4_language_id": lambda spark, d: langid.language_id(table(spark, d, "documents")),
-    "op5_url_filter": lambda spark, d: url_filter.filter_urls(table(spark, d, "pages"), RULES),
+    "op5_url_filter": lambda spark, d: url_filter.filter_urls(table(spark, d, "pages"), RULES, telling=url_filter.TELLING),
     "op6_secrets": lambda spark, d: secrets.scan(table(spark, d, "documents")),
     "op7_sharding": lambda spark, d: sharding.shard(table(spark, d, "documents")),
     "op8_bpe": lambda spark, d: bpe.encode_digests(table(spark, d, "documents"), **tokenizer()),

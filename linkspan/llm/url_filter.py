@@ -2,10 +2,12 @@
 
 Level by level the segments of the paths of a host become branches. A segment with enough pages stays a literal branch, however
 many pages its node has, all others become the wildcard ``*``; literal branches whose labelled block rates do not differ
-significantly are merged into one. A template is judged by its labelled purity, smoothed towards its host's and that towards the rate of all pages.
-Labels are the verdicts of rules where a rule fits, unless a column of labels is named. Only ids, hosts, segments and labels
-travel; the pages' contents are never read. Counts are summed map-side, so a host with a third of all pages is one row per
-segment and task.
+significantly are merged into one. A second tree is grown in the same way over the paths of all hosts together, so that what a
+path says elsewhere is known to hosts that have few labels or none. A template is judged by its labelled purity, smoothed towards a
+mean of what its host and what its path on all hosts say (each counting by its labels, up to a bound, and the rate of all pages as a
+few more). Labels are the verdicts of rules where a rule fits and, without one, words of host names that tell a bad host, unless a
+column of labels is named. Only ids, hosts, segments and labels travel; the pages' contents are never read. Counts are summed
+map-side, so a host with a third of all pages is one row per segment and task.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ class Rule:
 
 #: A literal branch needs so many pages, whatever its node has; branches differ from this z value on.
 SUPPORT, DIFFER = 20, 1.96
-#: Pages that the rate above counts for, and the purity from which a template is blocked.
-PRIOR, BLOCK_FROM = 5.0, 0.5
+#: Labelled pages that a prior counts for, those that a host or a path on all hosts counts for in it at most, and the purity from which a template is blocked.
+PRIOR, MOST, BLOCK_FROM = 5.0, 50.0, 0.5
+#: Words of host names, labels of bad hosts by hand.
+TELLING = ("ads", "adult", "bets", "betting", "casino", "escort", "gambling", "malware", "phishing", "pills", "poker", "porn", "sex", "spam", "viagra", "warez", "xxx")
 #: Finished levels that are kept apart before they are written as one.
 PIECES = 16
 
@@ -56,8 +60,8 @@ def alike(branch: DataFrame, node: list[str]) -> DataFrame:
     """(node, known, blocked, part, same): which branches of a node are merged, told by their counts.
 
     Neighbours in the order of block rates that do not differ form a part; ``same`` is false where the part as a whole is not of one
-    rate (chi-square), so that a chain of small steps does not join clean branches with bad ones. Unlabelled branches are a part of
-    their own. A window is over the different counts of a node, which are far fewer than its branches.
+    rate (chi-square), so that a chain of small steps does not join clean branches with bad ones. Of unlabelled branches nothing is
+    known, so none is merged. A window is over the different counts of a node, which are far fewer than its branches.
     """
     order = W.partitionBy(*node).orderBy(F.col("known") == 0, F.coalesce(F.try_divide("blocked", "known"), F.lit(0.5)), "known")
     n1, n0, b1, b0 = F.col("known"), F.lag("known").over(order), F.col("blocked"), F.lag("blocked").over(order)
@@ -69,7 +73,7 @@ def alike(branch: DataFrame, node: list[str]) -> DataFrame:
     k, b, square = F.sum(n1 * F.col("times")), F.sum(b1 * F.col("times")), F.sum(F.col("times") * b1 * b1 / F.nullif(n1, F.lit(0)))
     free, rate = F.sum("times") - 1, b / F.nullif(k, F.lit(0))
     uneven = F.coalesce((square - b * rate) / F.nullif(rate * (1 - rate), F.lit(0.0)), F.lit(0.0))
-    parts = counts.groupBy(*node, "part").agg((uneven <= free + DIFFER * F.sqrt(2 * free)).alias("same"))
+    parts = counts.groupBy(*node, "part").agg(((k > 0) & (uneven <= free + DIFFER * F.sqrt(2 * free))).alias("same"))
     return checkpoint(counts.join(parts, [*node, "part"]).select(*node, "known", "blocked", "part", "same"))
 
 
@@ -110,27 +114,37 @@ def templates(pages: DataFrame) -> DataFrame:
         at = checkpoint(step.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("branch", F.lit("*")))).drop("segment", "branch"))
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", id: str = "page_id", label: str | None = None, block_from: float = BLOCK_FROM) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", id: str = "page_id", label: str | None = None, block_from: float = BLOCK_FROM, telling: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, template, purity.
 
     ``rule`` is null where no rule fits; the verdict is then the template's. ``label`` names a column of known verdicts (1 block, 0
-    allow) to learn from instead of the rules'. Null and malformed urls have an empty host and path and share one template. Other
-    columns are ignored; an empty table gives an empty result.
+    allow) to learn from instead of the rules' and of ``telling``, words that label a page as one to block where the name of its host
+    has one of them and no rule fits. Null and malformed urls have an empty host and path and share one template. Repeated rows and
+    ties count as often as they are there. Other columns are ignored; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(id).alias("id"), host.alias("host"), path.alias("path"), *([F.col(label).cast("int").alias("y")] if label else []))
     rows = rows.withColumn("fit", fitting(F.col("host"), F.col("path"), rules))
     if not label:
-        rows = rows.withColumn("y", F.when(F.col("fit").isNotNull(), (F.col("fit.verdict") == "block").cast("int")))
+        told = F.when(F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, telling))), 1) if telling else F.lit(None).cast("int")
+        rows = rows.withColumn("y", F.when(F.col("fit").isNotNull(), (F.col("fit.verdict") == "block").cast("int")).otherwise(told))
     rows = rows.withColumn("segments", F.filter(F.split("path", "/"), lambda x: x != ""))
-    rows = templates(rows.select("id", "host", "path", "fit.rule", "fit.verdict", "y", "segments"))
-    known = [F.count("y").alias("known"), F.coalesce(F.sum("y"), F.lit(0)).alias("blocked")]
-    by_template = rows.groupBy("host", "template").agg(*known)
-    by_host = by_template.groupBy("host").agg(F.sum("known").alias("hk"), F.sum("blocked").alias("hb"))
-    whole = by_host.agg(F.coalesce(F.sum("hb"), F.lit(0)).alias("b"), F.coalesce(F.sum("hk"), F.lit(0)).alias("k")).first()
+    own = templates(rows.select("id", "host", "path", "fit.rule", "fit.verdict", "y", "segments"))
+    rows = templates(own.withColumnsRenamed({"host": "own_host", "template": "own"}).withColumn("host", F.lit("")))
+    rows = rows.withColumnRenamed("template", "anywhere").drop("host").withColumnsRenamed({"own_host": "host", "own": "template"})
+    known = lambda k, b: [F.count("y").alias(k), F.coalesce(F.sum("y"), F.lit(0)).alias(b)]
+    whole = rows.agg(*known("k", "b")).first()
     base = (whole["b"] + 1) / (whole["k"] + 2)
-    of_host = (F.col("hb") + PRIOR * base) / (F.col("hk") + PRIOR)
-    purity = by_template.join(by_host, "host").select("host", "template", F.round((F.col("blocked") + PRIOR * of_host) / (F.col("known") + PRIOR), 6).alias("purity"))
-    out = rows.join(small(checkpoint(purity)), ["host", "template"], "left")
+    by_host = checkpoint(rows.groupBy("host").agg(*known("hk", "hb")))
+    by_path = checkpoint(rows.groupBy("anywhere").agg(*known("pk", "pb")))
+    by_template = checkpoint(rows.groupBy("host", "template").agg(*known("known", "blocked")))
+    kinds = checkpoint(rows.groupBy("host", "template", "anywhere").agg(F.count("*").alias("n")).drop("n"))
+    facts = kinds.join(small(by_template), ["host", "template"]).join(small(by_host), "host").join(small(by_path), "anywhere")
+    # A rate counts by its labels, MOST at most.
+    part = lambda k, b: F.least(k, F.lit(MOST)) * F.coalesce(b / F.nullif(k, F.lit(0)), F.lit(0.0))
+    hk, hb, pk, pb = map(F.col, ("hk", "hb", "pk", "pb"))
+    prior = (part(hk, hb) + part(pk, pb) + PRIOR * base) / (F.least(hk, F.lit(MOST)) + F.least(pk, F.lit(MOST)) + PRIOR)
+    purity = F.round((F.col("blocked") + PRIOR * prior) / (F.col("known") + PRIOR), 6)
+    out = rows.join(small(checkpoint(facts.select("host", "template", "anywhere", purity.alias("purity")))), ["host", "template", "anywhere"], "left")
     judged = F.coalesce("verdict", F.when(F.col("purity") >= block_from, "block").otherwise("allow"))
     return out.select(F.col("id").alias(id), "host", "path", "rule", judged.alias("verdict"), "template", "purity")
