@@ -27,8 +27,8 @@ from .common import by_value, checkpoint, components, hub_join, keep_rows, named
 by_value(__name__)
 
 WORDS, SIMILARITY, RECALL, HASHES, BLOCK = 5, 0.8, 0.9995, 128, 256
-#: Signatures are so much smaller than sets that blocks of them are larger.
-SIGNATURES = 4
+#: Signatures are so much smaller than sets that blocks of them are larger, unless that is more than one of so many shares of all nodes.
+SIGNATURES, SHARES = 4, 64
 #: Earlier bands by which the members of a large bucket are sorted; blocks of a class at most (numbers, not rows).
 OWNERS, BLOCKS = 6, 2**24
 #: Hashes of words kept by a task.
@@ -273,7 +273,7 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", n: int = WOR
             if len(p):
                 yield df.iloc[np.unique(np.concatenate([p, q]))][["band", "bucket", "node"]]
 
-    need = checkpoint(_work(_in_blocks(members, SIGNATURES * block, priors).join(facts, "node"), meet, "band short, bucket long, node long").distinct())
+    need = checkpoint(_work(_in_blocks(members, max(block, min(SIGNATURES * block, nodes.count() // SHARES)), priors).join(facts, "node"), meet, "band short, bucket long, node long").distinct())
 
     # Texts are met again by id and digest, so that null and repeated ids do not pile up, and stay where they are while few are wanted.
     wanted = checkpoint(need.select("node").distinct().join(nodes, "node").select("digest", "node", F.col("low.id").alias("_id"), F.col("low.sha").alias("_s")))
