@@ -4,7 +4,9 @@ A compact table holds, for each document, its size, the coordinates of its metad
 node is cut at the weighted median of its widest dimension until there are ``shards`` leaves. A median comes from histograms: all
 nodes of a level are counted at once in ``BUCKETS`` equal steps of the range, then only the bucket that holds the median is
 counted again in as many steps, until it is light or one value. Documents that agree in that value are cut by the hash of
-their text, then by that of their id, found in the same way. The driver gets one row per node and round, never documents.
+their text, then by that of their id, then, as equal rows, by a number of their own, found in the same way. What is known of a
+node is a row of a table that is joined by node, so plans do not grow with the number of shards. The driver gets one row per node
+and round, never documents.
 """
 
 from __future__ import annotations
@@ -15,93 +17,99 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small, text_or_empty
+from .common import WORD, checkpoint, small, text_or_empty
 
 BUCKETS = 4096
 #: A cut may miss its node's median by this share of the node's weight.
 TOLERANCE = 1e-4
 #: Documents numbered by one task.
 SLOT_ROWS = 200_000
+TIES = 3
 
 
 def text_dimensions(text: str = "text") -> dict[str, Column]:
-    """Metadata of the text alone, so that copies of a text have one place: logarithm of its length, share of bytes outside ASCII, checksum."""
+    """Metadata of the text alone, so that copies of a text have one place: logarithm of its bytes; bytes a word; shares of bytes
+    outside ASCII, of digits, of capitals; bytes a line."""
     t = text_or_empty(text)
     size = F.octet_length(t)
-    return {"length": F.log2(size + 1), "beyond_ascii": (size - F.char_length(t)) / F.greatest(size, F.lit(1)), "checksum": F.crc32(t) / F.lit(2.0**32)}
+    each = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    share = lambda n: n / F.greatest(size, F.lit(1))
+    return {
+        "length": F.log2(size + 1), "word": F.log2(size / (each(WORD) + 1) + 1), "beyond_ascii": share(size - F.char_length(t)),
+        "digits": share(each("[0-9]")), "capitals": share(each("[A-Z]")), "line": F.log2(size / (each("\n") + 1) + 1),
+    }
 
 
-def _choose(by_node: dict[int, Column]) -> Column:
-    out = None
-    for node, value in by_node.items():
-        out = F.when(F.col("node") == node, value) if out is None else out.when(F.col("node") == node, value)
-    return out
+def _open(goals: dict[int, dict]) -> list[dict]:
+    return [{"node": n, "widest": g["widest"], "fixed": [], "lo": g["low"][0], "hi": g["high"][0], "want": g["want"]} for n, g in goals.items()]
 
 
-def _cuts(rows: DataFrame, goals: dict[int, dict], tolerance: float) -> dict[int, Column]:
-    """For each node the condition under which a row of it goes left.
+def _cuts(rows: DataFrame, goals: dict[int, dict], tolerance: float) -> list[dict]:
+    """For each node the bound of its left side: node, widest, bound (of the widest dimension, then of ties), inclusive.
 
-    A goal has keys (the widest dimension, then the ties), the low and high of each, the weight of the node and the weight
-    wanted on the left. Every round counts, for all open nodes at once, the rows still in question in equal steps of their range.
+    A goal has widest (number of the dimension), the low and high of it and of the ties, the weight of the node and the weight wanted
+    on the left. Every round counts, for all open nodes at once, the rows still in question in equal steps of their range.
     """
-    open_, left = {n: {"stage": 0, "fixed": [], "lo": g["low"][0], "hi": g["high"][0], "want": g["want"]} for n, g in goals.items()}, {}
+    spark, cuts, open_ = rows.sparkSession, [], _open(goals)
     while open_:
-        key = {n: F.col(goals[n]["keys"][s["stage"]]) for n, s in open_.items()}
-        among = {n: F.lit(True) for n in open_}
-        for n, s in open_.items():
-            for k, v in s["fixed"]:
-                among[n] = among[n] & (F.col(k) == v)
-            among[n] = among[n] & key[n].between(s["lo"], s["hi"])
-        share = {n: (key[n] - s["lo"]) / (s["hi"] - s["lo"]) if s["hi"] > s["lo"] else F.lit(0.0) for n, s in open_.items()}
-        inside = rows.where(_choose(among)).withColumn("key", _choose(key)).withColumn("b", F.least(F.lit(BUCKETS - 1), F.floor(_choose(share) * BUCKETS)))
-        hist = inside.groupBy("node", "b").agg(F.sum("size").alias("w"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        state = spark.createDataFrame(open_, "node long, widest int, fixed array<double>, lo double, hi double, want double")
+        at = rows.join(small(state, len(open_)), "node").withColumn("keys", F.concat(F.array(F.get("dims", "widest")), "ties"))
+        at = at.where(F.slice("keys", F.lit(1), F.size("fixed")) == F.col("fixed")).withColumn("key", F.get("keys", F.size("fixed"))).where(F.col("key").between(F.col("lo"), F.col("hi")))
+        share = F.when(F.col("hi") > F.col("lo"), (F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+        hist = at.withColumn("b", F.least(F.lit(BUCKETS - 1), F.floor(share * BUCKETS))).groupBy("node", "b").agg(F.sum("size").alias("w"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.first("want").alias("want"))
         hist = hist.withColumn("upto", F.sum("w").over(W.partitionBy("node").orderBy("b")))
-        want = _choose({n: F.lit(float(s["want"])) for n, s in open_.items()})
-        found = hist.where(F.col("upto") >= want).groupBy("node").agg(F.min(F.struct("b", "upto", "w", "lo", "hi")).alias("x")).select("node", "x.*").collect()
-        for r in found:
-            n, g, s = r["node"], goals[r["node"]], open_[r["node"]]
+        found = {r["node"]: r for r in hist.where(F.col("upto") >= F.col("want")).groupBy("node").agg(F.min(F.struct("b", "upto", "w", "lo", "hi")).alias("x")).select("node", "x.*").collect()}
+        still = []
+        for s in open_:
+            r, g = found[s["node"]], goals[s["node"]]
             over, under = r["upto"] - s["want"], s["want"] - (r["upto"] - r["w"])
-            one = r["lo"] == r["hi"]
-            if min(over, under) <= tolerance * g["weight"] or one and s["stage"] == len(g["keys"]) - 1:
-                less, same = F.lit(False), F.lit(True)
-                for k, v in s["fixed"]:
-                    less, same = less | (same & (F.col(k) < v)), same & (F.col(k) == v)
-                left[n] = less | (same & (key[n] <= r["hi"] if over <= under else key[n] < r["lo"]))
-                del open_[n]
+            one, stage = r["lo"] == r["hi"], len(s["fixed"])
+            if min(over, under) <= tolerance * g["weight"] or one and stage == TIES:
+                whole = over <= under
+                cuts.append({"node": s["node"], "widest": s["widest"], "bound": [*s["fixed"], r["hi"] if whole else r["lo"]], "inclusive": whole})
             elif one:
-                s["fixed"].append((g["keys"][s["stage"]], r["lo"]))
-                s["stage"] += 1
-                s |= {"lo": g["low"][s["stage"]], "hi": g["high"][s["stage"]], "want": under}
+                still.append(s | {"fixed": [*s["fixed"], r["lo"]], "lo": g["low"][stage + 1], "hi": g["high"][stage + 1], "want": float(under)})
             else:
-                s |= {"lo": r["lo"], "hi": r["hi"], "want": under}
-    return left
+                still.append(s | {"lo": r["lo"], "hi": r["hi"], "want": float(under)})
+        open_ = still
+    return cuts
 
 
-def kd_tree(rows: DataFrame, dims: list[str], shards: int, tolerance: float = TOLERANCE) -> DataFrame:
-    """``rows`` (size, dims, tie1, tie2) with the column node; its values in order are the leaves from left to right of each level.
+def kd_tree(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> DataFrame:
+    """``rows`` (size, dims: array of coordinates, ties: array of TIES numbers, any others) with the column shard; neighbours in the tree have neighbouring numbers.
 
     A node that is to hold n leaves is cut where n // 2 of n parts of its weight lie left. Its widest dimension is the one whose
     range is the largest share of that of all rows.
     """
-    ends = lambda keys: [f(k).alias(f"{n}_{k}") for k in keys for n, f in (("lo", F.min), ("hi", F.max))]
-    ties = ["tie1", "tie2"]
-    whole = rows.agg(*ends(dims)).first()
-    width = {d: (whole[f"hi_{d}"] or 0) - (whole[f"lo_{d}"] or 0) for d in dims}
-    rows, leaves = rows.withColumn("node", F.lit(1)), {1: shards}
-    while any(n > 1 for n in leaves.values()):
+    spark = rows.sparkSession
+    first = rows.select(F.size("dims").alias("n")).first()
+    if first is None:
+        return rows.withColumn("shard", F.lit(0))
+    d = first["n"]
+    ends = [f(F.get(c, F.lit(i))).alias(f"{side}_{c}{i}") for side, f in (("lo", F.min), ("hi", F.max)) for c, n in (("dims", d), ("ties", TIES)) for i in range(n)]
+    rows, leaves, width = rows.withColumn("node", F.lit(1).cast("long")), {1: (0, shards)}, None
+    while any(n > 1 for _, n in leaves.values()):
         goals = {}
-        for s in rows.groupBy("node").agg(F.sum("size").alias("weight"), *ends([*dims, *ties])).collect():
-            if (n := leaves[s["node"]]) > 1:
-                wide = max(dims, key=lambda d: (s[f"hi_{d}"] - s[f"lo_{d}"]) / width[d] if width[d] else 0.0)
-                keys = [wide, *ties]
-                goals[s["node"]] = {"keys": keys, "low": [s[f"lo_{k}"] for k in keys], "high": [s[f"hi_{k}"] for k in keys], "weight": s["weight"], "want": s["weight"] * (n // 2) / n}
-        if not goals:
-            break
-        left = _cuts(rows, goals, tolerance)
-        side = _choose({n: F.when(c, 2 * n).otherwise(2 * n + 1) for n, c in left.items()})
-        rows = checkpoint(rows.withColumn("node", F.coalesce(side, F.col("node")).cast("int")))
-        leaves = {c: m for n, k in leaves.items() for c, m in (((2 * n, k // 2), (2 * n + 1, k - k // 2)) if n in left else ((n, 1),))}
-    return rows
+        stats = rows.groupBy("node").agg(F.sum("size").alias("weight"), F.count("*").alias("n"), *ends).collect()
+        if width is None:
+            width = [stats[0][f"hi_dims{i}"] - stats[0][f"lo_dims{i}"] for i in range(d)]
+        for s in stats:
+            n = leaves[s["node"]][1]
+            if n > 1:
+                wide = max(range(d), key=lambda i: (s[f"hi_dims{i}"] - s[f"lo_dims{i}"]) / width[i] if width[i] else 0.0)
+                columns = [f"dims{wide}", *(f"ties{i}" for i in range(TIES))]
+                goals[s["node"]] = {"widest": wide, "low": [s[f"lo_{c}"] for c in columns], "high": [s[f"hi_{c}"] for c in columns], "weight": s["weight"], "want": s["weight"] * (n // 2) / n}
+        cuts = _cuts(rows, goals, tolerance)
+        table = spark.createDataFrame(cuts, "node long, widest int, bound array<double>, inclusive boolean")
+        keys = F.slice(F.concat(F.array(F.get("dims", "widest")), "ties"), F.lit(1), F.size("bound"))
+        left = (keys < F.col("bound")) | (F.col("inclusive") & (keys == F.col("bound")))
+        rows = rows.join(small(table, len(cuts)), "node", "left").withColumn("node", F.when(F.col("bound").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(left, 0).otherwise(1)))
+        rows = checkpoint(rows.drop("widest", "bound", "inclusive"))
+        cut = {c["node"] for c in cuts}
+        # Empty nodes drop out here: no row asks for their number.
+        leaves = {c: v for k, (at, n) in leaves.items() if k in cut for c, v in ((2 * k, (at, n // 2)), (2 * k + 1, (at + n // 2, n - n // 2)))} | {k: v for k, v in leaves.items() if k not in cut and v[1] == 1}
+    numbers = spark.createDataFrame([(k, at) for k, (at, _) in leaves.items()], "node long, shard int")
+    return rows.join(small(numbers, len(leaves)), "node").drop("node")
 
 
 def numbered(rows: DataFrame, shard: str, order: list[str]) -> DataFrame:
@@ -118,22 +126,21 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text", id: str = "doc_
     """One row per input row: id, size (bytes of the text and 1), text_crc32, law ("bytes"), shard, slot, grown_shard (null).
 
     ``target_bytes`` sets the number of shards from the total size instead. Shards differ in bytes by the tolerance of the cuts
-    or one document. Equal texts share their coordinates and so a shard, unless a cut has to go through them: then they part by id.
-    Null texts count as empty; null or non-finite coordinates count as 0; equal rows are told apart by nothing and share a shard.
-    An empty table gives an empty result; with fewer documents than shards some shards stay empty.
+    or one document. Equal texts share their coordinates and so a shard, unless a cut has to go through them: then they part by id,
+    and equal rows, which are interchangeable, by a number. Null texts count as empty; null or non-finite coordinates count as 0.
+    Other columns are ignored. An empty table gives an empty result; with fewer documents than shards some shards stay empty.
     """
     t = text_or_empty(text)
-    dims = dims or text_dimensions(text)
-    clean = [F.coalesce(F.when(~F.isnan(d.cast("double")) & (F.abs(d.cast("double")) < float("inf")), d.cast("double")), F.lit(0.0)).alias(f"d{i}") for i, d in enumerate(dims.values())]
+    clean = [F.coalesce(F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c), F.lit(0.0)) for c in (d.cast("double") for d in (dims or text_dimensions(text)).values())]
     high = lambda h: F.shiftright(h, 11).cast("double")  # noqa: E731  53 bits, exact in a double
-    rows = docs.select(F.col(id).alias("id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("crc"), *clean, high(F.xxhash64(t)).alias("tie1"), high(F.xxhash64(F.lit(7), F.col(id))).alias("tie2"))
+    rows = docs.select(
+        F.col(id).alias("id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("crc"), F.array(*clean).alias("dims"),
+        F.array(high(F.xxhash64(t)), high(F.xxhash64(F.lit(7), F.col(id))), high(F.xxhash64(F.monotonically_increasing_id()))).alias("ties"),
+    )
     rows = checkpoint(rows)
     if target_bytes:
         shards = max(1, math.ceil((rows.agg(F.sum("size")).first()[0] or 0) / target_bytes))
-    placed = kd_tree(rows, [f"d{i}" for i in range(len(clean))], shards)
-    # Leaves are numbered by node; a level's nodes are at most twice the shards, so the list is short.
-    numbers = {r["node"]: i for i, r in enumerate(placed.select("node").distinct().orderBy("node").collect())} or {1: 0}
-    out = checkpoint(placed.select("id", "size", "crc", _choose({n: F.lit(i) for n, i in numbers.items()}).cast("int").alias("shard")))
-    return numbered(out, "shard", ["id", "crc", "size"]).select(
+    placed = checkpoint(kd_tree(rows, shards).select("id", "size", "crc", "shard", F.get("ties", F.lit(TIES - 1)).alias("tie")))
+    return numbered(placed, "shard", ["id", "crc", "size", "tie"]).select(
         F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -179,6 +179,26 @@ def test_sharding(spark, docs, rows, empty):
     assert by_bytes.select("shard").distinct().count() >= 2
 
 
+def test_sharding_of_equal_rows(spark):
+    """Half of the rows are one row: they are split between shards, which stay equal in bytes; other copies of a text stay together."""
+    rows = [(1, "the same row " * 3)] * 300 + [(10 + i, f"text {i % 100} " * (1 + i % 7)) for i in range(300)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    size = Counter()
+    for r in out:
+        size[r["shard"]] += r["size"]
+    assert max(size.values()) - min(size.values()) <= 2 * max(r["size"] for r in out)
+    assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out))) for s in range(4))
+
+
+def test_sharding_into_thousands(spark):
+    """4,096 shards: every shard but the few that one long document fills is near the mean; neighbours agree in the widest dimensions."""
+    rows = [(i, "x" * (50 + i % 10) + f" {i} Y" * (i % 5)) for i in range(40_960)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4096).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    mean = sum(r["b"] for r in out) / 4096
+    assert len(out) == 4096 and {r["shard"] for r in out} == set(range(4096)) and sum(r["n"] for r in out) == 40_960
+    assert max(r["b"] for r in out) < 1.5 * mean and min(r["b"] for r in out) > 0.5 * mean
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
