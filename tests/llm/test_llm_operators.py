@@ -54,7 +54,7 @@ def test_exact_dedup(docs, rows, empty):
     groups = defaultdict(list)
     for r in rows:
         groups[SPACE.sub(" ", r[1] or "")].append(r[0])
-    out = exact_dedup.exact_dedup(docs, fan=2).collect()
+    out = exact_dedup.exact_dedup(docs, bits=1).collect()
     assert len(out) == len(rows)
     low = {t: min((i for i in g if i is not None), default=None) for t, g in groups.items()}
     sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
@@ -66,6 +66,19 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.keep_first(empty).count() == 0
 
 
+def test_exact_dedup_by_rounds(spark):
+    """13 runs, one text in a third of all rows: the same groups whatever a round clears; a round deals by run and lane and sorts once."""
+    texts = [(i, "hot" if i % 3 == 0 else f"text {i % 50}") for i in range(2000)]
+    prints = exact_dedup.fingerprints(spark.createDataFrame(texts, "doc_id long, text string").repartition(13))
+    want = Counter(t for _, t in texts)
+    for bits in (1, 2, None):
+        out = exact_dedup.merged(prints, bits)
+        assert {(r["n"], r["keep"]["id"]) for r in out.collect()} == {(n, next(i for i, x in texts if x == t)) for t, n in want.items()}
+    plan = exact_dedup.merged(prints, 1)._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert plan.count("REPARTITION_BY_COL") == 4 and plan.count("Exchange") == 5
+
+
 def shingles(text):
     w = WORD.findall(text or "")
     k = min(5, len(w))
