@@ -197,12 +197,15 @@ def _mapped(docs: DataFrame, text: str, id: str, path: str, pattern: str, keep:
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches):
-        gc.disable()  # nothing here is cyclic, and the words kept would be walked again and again
         spelled = {r: b for b, r in sent.value[0].items()}
         words_of = coder(*sent.value, pattern, lambda ids: keep(ids, spelled))
-        for batch in slices(batches, 1024):
-            out = [row(kept) for block in _blocks(batch.column(1).to_pylist()) for kept in words_of(block)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in zip(*out, strict=True)]], [id, *fields])
+        gc.disable()  # nothing here is cyclic, and the words kept would be walked again and again
+        try:
+            for batch in slices(batches, 1024):
+                out = [row(kept) for block in _blocks(batch.column(1).to_pylist()) for kept in words_of(block)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in zip(*out, strict=True)]], [id, *fields])
+        finally:
+            gc.enable()  # the worker goes on to other tasks
 
     return rows.mapInArrow(run, f"`{id}` {kind}, " + ", ".join(f"{k} {v}" for k, v in fields.items()))
 

@@ -150,41 +150,51 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
     return names, tables(train(np.concatenate(x), np.array(y), len(names)))
 
 
+def lettered(text: str) -> Column:
+    """The bytes that are scored: the text in lower case; null for texts without letters."""
+    return F.when(F.col(text).rlike(r"\p{L}"), F.lower(text_or_empty(text)).cast("binary"))
+
+
+def scores(raws: list[bytes | None], model: tuple[list[str], dict] | None) -> tuple[list[str], list[float]]:
+    """Language and score of each text: the softmax of the mean log-probabilities of its windows, weighted by their bytes; und and 0 for None or without a model."""
+    langs, sure = ["und"] * len(raws), [0.0] * len(raws)
+    at = 0
+    while model is not None and at < len(raws):
+        names, t = model
+        part, size = [], 0
+        while at < len(raws) and size < 4_000_000:
+            if raws[at]:
+                part.append(at)
+                size += len(raws[at])
+            at += 1
+        if not part:
+            continue
+        xs = [windows(raws[i]) for i in part]
+        logs = log_probabilities(np.concatenate(xs), t)
+        weight = np.concatenate([np.minimum(WINDOW, len(raws[i]) - WINDOW * np.arange(len(x))) for i, x in zip(part, xs, strict=True)]).astype(np.float64)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in xs])[:-1]])
+        mean = np.add.reduceat(logs * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
+        prob = np.exp(mean - mean.max(1, keepdims=True))
+        prob /= prob.sum(1, keepdims=True)
+        for i, best, p in zip(part, prob.argmax(1), prob.max(1), strict=True):
+            langs[i], sure[i] = names[best], float(p)
+    return langs, sure
+
+
 def identify(docs: DataFrame, model: tuple[list[str], dict] | None, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score.
 
     ``lang_pred`` is ``und`` with score 0 for null texts, texts without letters, and all texts when there is no model; else one of
-    the model's languages, with score the softmax of the mean log-probabilities of its windows. Other columns are ignored.
+    the model's languages (see ``scores``). Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id].dataType.simpleString()
-    rows = docs.select(F.col(id).alias("_id"), held_out(id).alias("_held"), F.when(F.col(text).rlike(r"\p{L}"), F.lower(text_or_empty(text)).cast("binary")).alias("_raw"))
+    rows = docs.select(F.col(id).alias("_id"), held_out(id).alias("_held"), lettered(text).alias("_raw"))
 
     def run(batches):
-        names, t = sent.value or ([], None)
         for batch in slices(batches):
-            raws = batch.column(2).to_pylist()
-            langs, scores = ["und"] * len(raws), [0.0] * len(raws)
-            at = 0
-            while t is not None and at < len(raws):
-                part, size = [], 0
-                while at < len(raws) and size < 4_000_000:
-                    if raws[at]:
-                        part.append(at)
-                        size += len(raws[at])
-                    at += 1
-                if not part:
-                    continue
-                xs = [windows(raws[i]) for i in part]
-                logs = log_probabilities(np.concatenate(xs), t)
-                weight = np.concatenate([np.minimum(WINDOW, len(raws[i]) - WINDOW * np.arange(len(x))) for i, x in zip(part, xs, strict=True)]).astype(np.float64)
-                starts = np.concatenate([[0], np.cumsum([len(x) for x in xs])[:-1]])
-                mean = np.add.reduceat(logs * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
-                prob = np.exp(mean - mean.max(1, keepdims=True))
-                prob /= prob.sum(1, keepdims=True)
-                for i, best, p in zip(part, prob.argmax(1), prob.max(1), strict=True):
-                    langs[i], scores[i] = names[best], float(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs), pa.array(scores)], [id, "held_out", "lang_pred", "score"])
+            langs, sure = scores(batch.column(2).to_pylist(), sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs), pa.array(sure)], [id, "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, f"`{id}` {kind}, held_out boolean, lang_pred string, score double")
 
@@ -202,26 +212,13 @@ def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", id: str
     """The rows of ``docs`` whose language the network can tell, with all their columns and nothing else.
 
     Whole rows pass through the scoring (no join by id), so repeated ids and clashing column names do no harm."""
-    model = fit(docs, text, lang, id)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    marked = docs.withColumn("__lettered__", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    place = docs.columns.index(text)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, text, lang, id))
+    marked = docs.withColumn("__raw__", lettered(text))
 
     def run(batches):
-        t = sent.value[1] if sent.value else None
         for batch in slices(batches):
-            keep = []
-            for content, lettered in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if not lettered or t is None:
-                    keep.append(False)
-                    continue
-                raw = content.lower().encode()
-                x = windows(raw)
-                weight = np.minimum(WINDOW, len(raw) - WINDOW * np.arange(len(x)))
-                mean = (log_probabilities(x, t) * weight[:, None]).sum(0) / weight.sum()
-                prob = np.exp(mean - mean.max())
-                keep.append(bool(prob.max() / prob.sum() >= sure))
+            _, sure_ = scores(batch.column(batch.num_columns - 1).to_pylist(), sent.value)
             rest = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
-            yield rest.filter(pa.array(keep, pa.bool_()))
+            yield rest.filter(pa.array([s >= sure and s > 0 for s in sure_], pa.bool_()))
 
     return marked.mapInArrow(run, docs.schema)

@@ -30,21 +30,38 @@ def sized(docs: DataFrame, text: str = "text", source: str = "source", id: str =
     return docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("src"), n_words(text).alias("size"), _hash(text, id).alias("h"))
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with running totals, each row included, in a global order, and the total of all rows as ``<name>_all``.
+
+    Rows are sorted by range into partitions; only one row per partition is added up in one place.
+    """
+    part = checkpoint(rows.orderBy(*order)).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    part = checkpoint(part)
+    totals = part.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before, all_ = W.orderBy("_part"), W.partitionBy()
+    totals = totals.select("_part", *[(F.sum(f"_{n}").over(before) - F.col(f"_{n}")).alias(f"_{n}") for n in sums], *[F.sum(f"_{n}").over(all_).alias(f"{n}_all") for n in sums])
+    here = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    out = part.withColumns({n: F.sum(c).over(here) for n, c in sums.items()}).join(small(totals), "_part")
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_part", "_at", *[f"_{n}" for n in sums])
+
+
 def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
     """(src, source_size, target): budgets by weight, none above ``passes`` times its source, the excess shared again by weight.
 
-    Sources in order of cap over weight: the first that stays below its cap fixes the level of all after it. The windows run
-    over one row per source.
+    Sources in order of cap over weight: the first that stays below its cap fixes the level of all after it. Ranks and sums over
+    sources are running totals (``running``), so that there may be very many sources.
     """
     by = rows.groupBy("src").agg(F.sum("size").alias("source_size"))
-    order = W.orderBy(F.col("src").asc_nulls_last())
-    by = by.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
+    source = [F.col("src").asc_nulls_last()]
+    by = running(by, source, {"rank": F.lit(1).cast("long")})
+    by = by.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))).drop("rank", "rank_all")
     by = by.withColumn("cap", passes * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("w"))
-    line = W.orderBy("ratio", F.col("src").asc_nulls_last())
-    by = by.withColumn("before", F.sum("cap").over(line) - F.col("cap")).withColumn("left", F.sum("w").over(W.partitionBy()) - F.sum("w").over(line) + F.col("w"))
-    by = by.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(W.partitionBy()) - F.col("before")) / F.col("left"))
-    by = by.withColumn("open", F.col("cap") > F.col("level") * F.col("w"))
-    by = by.withColumn("first", F.min(F.when(F.col("open"), F.struct("ratio", F.col("src").isNull().alias("no"), "src", "level"))).over(W.partitionBy())["level"])
+    by = running(by, [F.col("ratio").asc(), *source], {"caps": F.col("cap"), "ws": F.col("w"), "sizes": F.col("source_size")})
+    by = by.withColumn("level", (F.lit(float(share)) * F.col("sizes_all") - (F.col("caps") - F.col("cap"))) / (F.col("ws_all") - F.col("ws") + F.col("w")))
+    by = checkpoint(by)
+    open_ = by.where(F.col("cap") > F.col("level") * F.col("w"))
+    first = open_.agg(F.min(F.struct("ratio", F.col("src").isNull().alias("no"), "src", "level"))["level"].alias("first"))
+    by = by.join(F.broadcast(first))  # one row
     capped = F.col("first").isNull() | (F.col("cap") <= F.col("first") * F.col("w"))
     return by.select("src", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(F.col("first") * F.col("w")).alias("target"))
 

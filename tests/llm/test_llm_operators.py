@@ -175,6 +175,29 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    """3,000 sources in many partitions against the plain way."""
+    rng = np.random.default_rng(8)
+    size = {f"s{i:05}": int(rng.integers(0, 500)) for i in range(3000)}
+    df = spark.createDataFrame(list(size.items()), "src string, size long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["src"]: r["target"] for r in mixing.targets(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size))}
+    left, open_, want = 1.5 * sum(size.values()), set(size), {}
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 2 * size[s]}
+        want |= {s: 2.0 * size[s] for s in full} | {s: level * weight[s] for s in open_ - full}
+        if not full:
+            break
+        left -= sum(2 * size[s] for s in full)
+        open_ -= full
+    assert all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in size)
+
+
 def test_sharding(spark, docs, rows, empty):
     out = sharding.shard(docs, 4).collect()
     assert len(out) == len(rows) and {r["law"] for r in out} == {"bytes"}
@@ -278,6 +301,14 @@ def test_bpe(spark, docs, rows, empty):
     assert bpe.encode_digests(empty, **t).count() == 0
 
 
+def test_workers_collect_garbage_again(spark, docs):
+    import gc
+
+    bpe.encode_digests(docs, **queries.tokenizer()).count()
+    on = docs.select("doc_id").mapInPandas(lambda frames: (d.assign(on=gc.isenabled())[["on"]] for d in frames), "on boolean").distinct().collect()
+    assert [r["on"] for r in on] == [True]
+
+
 def test_rank_file_is_checked(tmp_path):
     (tmp_path / "r").write_text(base64.b64encode(b"a").decode() + " 0\n")
     with pytest.raises(ValueError, match="every byte"):
@@ -300,6 +331,27 @@ def test_language_id(spark, docs, empty):
     assert kept.columns == corpus.columns and kept.count() >= 0.995 * corpus.count() and langid.keep_known(empty).count() == 0
 
 
+def test_responses_are_a_convolution():
+    """The tables of responses by pairs of bytes against the convolution itself, filter by filter and place by place."""
+    rng = np.random.default_rng(6)
+    p = langid.train(rng.integers(0, 257, (70, langid.WINDOW)), rng.integers(0, 3, 70), 3, epochs=1)
+    x = np.concatenate([rng.integers(0, 257, (5, langid.WINDOW)), langid.windows(b"short")])
+    got = langid.log_probabilities(x, langid.tables(p))
+    for row, said in zip(x, got, strict=True):
+        e, h = p["e"][row], []
+        for w in langid.WIDTHS:
+            z = np.array([e[i : i + w].ravel() @ p[f"k{w}"] + p[f"b{w}"] for i in range(langid.WINDOW - w + 1)])
+            h.append(np.maximum(z.max(0), 0))
+        logit = np.concatenate(h) @ p["v"] + p["c"]
+        assert np.allclose(said, logit - np.log(np.exp(logit - logit.max()).sum()) - logit.max(), atol=1e-4)
+
+
+def test_pipeline_and_operator_agree_on_languages(spark, docs):
+    corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").union(docs.select(F.col("doc_id") + 10_000, F.concat(F.lit("\u0130 "), "text"), "lang"))
+    kept = {r["doc_id"] for r in langid.keep_known(corpus).collect()}
+    assert kept == {r["doc_id"] for r in langid.language_id(corpus).where(f"score >= {langid.SURE}").collect()}
+
+
 def test_windows_cover_a_text():
     raw = bytes(range(256)) * 5 + b"x"
     w = langid.windows(raw)
@@ -565,3 +617,31 @@ def test_pipeline(spark):
             assert not [1 for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
         seen = out
     assert sorted_rows(corpus_pipeline.run(spark, folder), "doc_id", "ids_sha256") == sorted_rows(seen, "doc_id", "ids_sha256")
+
+
+@pytest.mark.parametrize("which", ["hostile", "empty"])
+def test_pipeline_on_hostile_documents(spark, docs, rows, which, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns; then no rows at all. Every stage is held against plain Python."""
+    known = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en'").withColumn("doc_id", F.col("doc_id") + 5000)
+    frame = docs.unionByName(known, allowMissingColumns=True) if which == "hostile" else docs.limit(0)
+    (tmp_path / "documents.parquet").mkdir()
+    frame.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    seen = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.checkpoint(stage(spark, seen, str(tmp_path)))
+        before, after = [r["text"] for r in seen.collect()], [r["text"] if name != "bpe" else None for r in out.collect()]
+        if name != "bpe":
+            assert out.columns == seen.columns
+        if name == "language_id":
+            lettered = Counter(t for t in before if any(c.isalpha() for c in t or ""))
+            assert Counter(after) == lettered
+        if name == "exact_dedup":
+            assert Counter(SPACE.sub(" ", t) for t in after) == Counter({SPACE.sub(" ", t) for t in before})
+        if name == "jaccard_join":
+            sets = [shingles(t) for t in before]
+            root = joined(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+            assert len(after) == len(set(root)) and {root[before.index(t)] for t in after} == set(root)
+        if name == "bpe":
+            assert out.count() == len(before)
+        seen = out
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen.count()
