@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import string
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -19,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small, text_or_empty
+from .common import checkpoint, n_words, small, text_or_empty
 from .spans import FOUND, matches
 
 #: Labelled findings that are made, and that are learned from at most; trees and their depth; a candidate is a secret from this probability on.
@@ -56,8 +57,9 @@ _SYMBOLS, _LEVELS = 28, 60
 def corpus_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) of the frequent words of all texts: lower case, 3 to 20 letters (anything outside ASCII counts as one)."""
     word = F.explode(F.split(F.lower(text_or_empty(text)), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+")).alias("word")
-    counts = checkpoint(docs.select(word).where(F.length("word").between(3, 20)).groupBy("word").agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    # The number of all words first, so that of the counts only those of frequent words are written down.
+    total = docs.agg(F.sum(n_words(text))).first()[0] or 0
+    counts = docs.select(word).where(F.length("word").between(3, 20)).groupBy("word").agg(F.count("*").alias("n"))
     return checkpoint(counts.where(F.col("n") >= max(OFTEN, SHARE * total)))
 
 
@@ -160,16 +162,14 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, words: list[str] =
         (F.concat(pick("this_is_a_long_function_name_", "some-path/with/file/name/", "test_config_default_value_"), part(h, F.lit(4))), 0),
         (F.concat(pick("example ", "sample ", "dummy "), F.lit("AKIA"), part(F.upper(mixed), F.lit(9)), F.lit("EXAMPLE")), 0),
     ]
-    case = F.pmod(k, F.lit(len(cases)))
-    text, label = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for i, (c, y) in enumerate(cases):
-        text, label = F.when(case == i, c).otherwise(text), F.when(case == i, float(y)).otherwise(label)
-    told = F.when((label == 0) & (F.pmod(many, F.lit(3)) == 0), "tests/example.py").otherwise("src")
     rows = spark.range(0, n, 1, 1).withColumn("h", F.sha1(F.concat(F.lit("finding"), k.cast("string")))).withColumn("many", F.conv(F.substring(h, 1, 4), 16, 10).cast("int"))
     rows = rows.withColumn("mixed", F.regexp_replace(F.base64(F.unhex(F.concat(F.sha2(h, 256), F.sha2(h, 512)))), "[+/=\\r\\n]", ""))
     sep = pick("_", "-", "", by=5)
     rows = rows.withColumn("three", F.concat(pick(*words), sep, pick(*words, by=17), sep, pick(*words, by=5)))
-    return rows.select(k.alias("doc_id"), F.concat(filler, text, close).alias("text"), told.alias("source"), label.alias("label"))
+    # A projection for each case, so that none is too large to be compiled.
+    told = lambda y: F.lit("src") if y else F.when(F.pmod(many, F.lit(3)) == 0, "tests/example.py").otherwise("src")
+    one = lambda i, c, y: rows.where(F.pmod(k, F.lit(len(cases))) == i).select(k.alias("doc_id"), F.concat(filler, c, close).alias("text"), told(y).alias("source"), F.lit(float(y)).alias("label"))
+    return reduce(DataFrame.unionByName, [one(i, c, y) for i, (c, y) in enumerate(cases)])
 
 
 def fit(findings: DataFrame, learn_from: int = LEARN_FROM, seed: int = 5, words: DataFrame | None = None, table: str | None = None) -> PipelineModel:
