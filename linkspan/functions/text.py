@@ -27,6 +27,15 @@ AXES = {
     "RECALL": r"\b(?:preceding day|past \d+ (?:hours|days|weeks)|last \d+ (?:hours|days|weeks)|past week|past month|previous \d+ (?:hours|days|weeks)|daily|weekly|24[- ]hour|7[- ]day)\b",
     "DEVELOPER": r"\b(?:developed by|adapted from|created by)\b",
 }
+#: A name with its abbreviation; the same where a slash may stand in the abbreviation.
+UNIT, UNIT_WITH_SLASH = r"([^()]+?)\s*\(([A-Z][A-Za-z0-9\-]*)\)", r"([^()]+?)\s*\(([A-Z][A-Za-z0-9\-/]*)\)"
+#: Doses in drug strings: an amount, and an amount in an amount.
+DOSE = r"(?i)\b\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml|%|units?|iu)\b"
+DOSE_IN = r"(?i)\b\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml)\s*/\s*\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml)\b"
+#: Time points at the end of an outcome.
+AT_WEEK_N, AT_N_WEEKS = r"(?idU)\s+at\s+(?:week|day|month|year)s?\s*\d+.*$", r"(?idU)\s+at\s+\d+\s+(?:week|day|month|year)s?.*$"
+#: A drug in a compendium cell: brand, generic, day of approval.
+DRUG_ENTRY = r"([A-Z][A-Za-z0-9\-’']*)\s*\(([^)]+)\)\s*((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4})"
 # -------------------------------------------------------------------------------------------------------------------------
 
 #: White space as Unicode has it, which is what trimming in these functions means.
@@ -59,20 +68,16 @@ def after_colon(c: Column) -> Column:
     return F.when(c.contains(":"), F.regexp_extract(c, r"(?s)^[^:]*:(.*)$", 1)).otherwise(c)
 
 
-_UNIT = r"([^()]+?)\s*\(([A-Z][A-Za-z0-9\-]*)\)"
-
-
 def split_names(c: Column) -> Column:
     """the names of a cell of at least two complete ``Name (ABBR)`` units, else an empty array."""
-    units = F.regexp_extract_all(c, F.lit(_UNIT), 1)
+    units = F.regexp_extract_all(c, F.lit(UNIT), 1)
     return F.when(F.size(units) >= 2, F.filter(F.transform(units, trimmed), lambda u: u != "")).otherwise(F.array().cast("array<string>"))
 
 
 def instrument_names(c: Column) -> Column:
     """names in a catalogue entry: units that are noun phrases when there are two or more, else the whole without parentheses."""
     body = after_colon(c)
-    # A slash may stand in the abbreviation here.
-    units = F.transform(F.regexp_extract_all(body, F.lit(r"([^()]+?)\s*\(([A-Z][A-Za-z0-9\-/]*)\)"), 1), trimmed)
+    units = F.transform(F.regexp_extract_all(body, F.lit(UNIT_WITH_SLASH), 1), trimmed)
     leads = lambda u: F.array(*[F.startswith(F.lower(u), F.lit(x)) for x in QUALIFIER_LEADS])
     named = F.transform(F.filter(units, lambda u: (u != "") & ~F.exists(leads(u), lambda x: x)), lambda u: trimmed(F.regexp_replace(u, r"(?i)^and\s+", "")))
     whole = squeeze(F.regexp_replace(body, r"\s*\([^)]*\)", " "))
@@ -118,10 +123,8 @@ def digits_key(c: Column, least: int = 4, width: int = 6) -> Column:
 
 def clean_drug(c: Column) -> Column:
     """a drug string without brackets, parentheses, doses and words of form."""
-    unit = "(?:mg|mcg|g|ml)"
     s = F.regexp_replace(F.regexp_replace(c, r"\[[^\]]*\]", " "), r"\([^)]*\)", " ")
-    s = F.regexp_replace(s, r"(?i)\b\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml|%|units?|iu)\b", " ")
-    s = F.regexp_replace(s, rf"(?i)\b\d+(?:\.\d+)?\s*{unit}\s*/\s*\d+(?:\.\d+)?\s*{unit}\b", " ")
+    s = F.regexp_replace(F.regexp_replace(s, DOSE, " "), DOSE_IN, " ")
     s = F.regexp_replace(s, rf"(?i)\b(?:{FORM_WORDS})\b", " ")
     return F.btrim(F.regexp_replace(s, r"\s+", " "), F.lit(" -,/"))
 
@@ -135,14 +138,12 @@ def clean_measure(c: Column) -> Column:
     """an outcome without the words in front of what is measured (any number of them) and without a time point at the end of its last line."""
     lead = "|".join(MEASURE_PREFIXES)
     s = F.regexp_replace(trimmed(c), rf"(?i)^(?:{lead})+", "")
-    s = F.regexp_replace(s, r"(?idU)\s+at\s+(?:week|day|month|year)s?\s*\d+.*$", "")
-    return trimmed(F.regexp_replace(s, r"(?idU)\s+at\s+\d+\s+(?:week|day|month|year)s?.*$", ""))
+    return trimmed(F.regexp_replace(F.regexp_replace(s, AT_WEEK_N, ""), AT_N_WEEKS, ""))
 
 
 def drug_entries(c: Column) -> Column:
     """array<struct<brand, generic, approved>> of ``1. Brand (generic) July 20, 2011`` entries in a cell."""
-    entry = r"([A-Z][A-Za-z0-9\-’']*)\s*\(([^)]+)\)\s*((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4})"
-    part = lambda i: F.regexp_extract_all(c, F.lit(entry), i)
+    part = lambda i: F.regexp_extract_all(c, F.lit(DRUG_ENTRY), i)
     return F.transform(F.arrays_zip(part(1).alias("brand"), part(2).alias("generic"), part(3).alias("approved")), lambda x: F.struct(trimmed(x["brand"]).alias("brand"), trimmed(x["generic"]).alias("generic"), x["approved"].alias("approved")))
 
 

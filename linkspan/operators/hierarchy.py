@@ -17,6 +17,10 @@ STRUCTURAL = (PARENT, CHILD, SIBLING, ANCESTOR, DESCENDANT)
 RANK = {EXACT: 0, PARENT: 1, CHILD: 1, SIBLING: 2, ANCESTOR: 3, DESCENDANT: 3, UNRELATED: 9}
 
 
+#: Rounds of a closure that are kept apart before they are written as one.
+PIECES = 16
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     """Sab, parent, children (sorted)."""
     return edges.groupBy("sab", "parent").agg(F.sort_array(F.collect_set("child")).alias("children"))
@@ -29,8 +33,8 @@ def relatives(codes: DataFrame, edges: DataFrame) -> DataFrame:
     return up.unionByName(down).distinct()
 
 
-def closure(edges: DataFrame, only: DataFrame | None = None, most: int = 64) -> DataFrame:
-    """Sab, node, ancestor, depth (least). Each round extends what the last one added and drops what is known, so cycles end.
+def closure(edges: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Sab, node, ancestor, depth (least). Each round extends what the last one added and drops what is known, so cycles end, and paths may be of any length.
 
     ``only`` (sab, node) limits the starting points. A node is its own ancestor only through a cycle, and then is left out.
     """
@@ -38,13 +42,15 @@ def closure(edges: DataFrame, only: DataFrame | None = None, most: int = 64) ->
     start = step.join(only.select("sab", "node").distinct(), ["sab", "node"], "left_semi") if only is not None else step
     known = checkpoint(start.withColumn("depth", F.lit(1)))
     frontier, up = known, step.select("sab", F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
-    for depth in range(2, most + 1):
+    depth = 1
+    while not frontier.isEmpty():
+        depth += 1
         new = frontier.join(up, ["sab", "ancestor"]).select("sab", "node", F.col("next").alias("ancestor")).where("node <> ancestor").distinct()
         frontier = checkpoint(new.join(known.select("sab", "node", "ancestor"), ["sab", "node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return known
         known = known.unionByName(frontier)
-    raise RuntimeError(f"a path is longer than {most}")
+        if depth % PIECES == 0:
+            known = checkpoint(known)
+    return known
 
 
 def siblings(codes: DataFrame, edges: DataFrame) -> DataFrame:

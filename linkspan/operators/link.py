@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import LEAST_TERM, control, overlaps_enough, term_matches, words_present
 from ..functions.text import digits_key, drug_entries, generics_agree, iso_date, normalize_loose
-from ..session import bounded
+from ..session import bounded, checkpoint
+from .meet import FEW, containing
 
 
 #: How a query can be settled without a concept; its normal form is looked up then.
@@ -58,18 +59,11 @@ def coded_route(concepts: DataFrame, treats: DataFrame, items: DataFrame) -> Dat
 def text_route(terms: DataFrame, items: DataFrame, text: str = "text", least: int = LEAST_TERM) -> DataFrame:
     """query_id, item: terms (query_id, term) contained in a text, case aside; terms shorter than ``least`` are not searched.
 
-    Few terms are broadcast and every text is read once. Beyond that, texts and terms meet by the four characters a term begins
-    with, so that no pair is formed that does not share them, and are verified then.
+    Texts and terms meet by ``meet.containing``.
     """
     asked = terms.select("query_id", F.lower(F.trim("term")).alias("term")).where(F.length("term") >= least).distinct()
-    prose = items.select("item", F.lower(F.col(text)).alias("prose"))
-    few = bounded(asked, 2_000)
-    if few is not asked:
-        return prose.join(few, F.col("prose").contains(F.col("term"))).select("query_id", "item").distinct()
-    at = F.sequence(F.lit(1), F.greatest(F.length("prose") - 3, F.lit(1)))
-    grams = prose.select("item", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("prose", i, F.lit(4))))).alias("head"))
-    pairs = grams.join(asked.withColumn("head", F.substring("term", 1, 4)), "head").select("query_id", "term", "item")
-    return pairs.join(prose, "item").where(F.col("prose").contains(F.col("term"))).select("query_id", "item").distinct()
+    found = containing(items.select("item", F.lower(F.col(text)).alias("prose")), "item", "prose", asked)
+    return found.join(asked, "term").select("query_id", F.col("key").alias("item")).distinct()
 
 
 def merged_routes(**routes: DataFrame) -> DataFrame:
@@ -110,7 +104,13 @@ def approved_since(items: DataFrame, approvals: DataFrame, conditions: DataFrame
 
     conditions: condition, term, _ord."""
     recent = items.join(approvals.where(F.col("approved") >= F.lit(since).cast("date")), "appl")
-    hit = recent.join(bounded(conditions), term_matches(F.col("term"), F.col("indication_text")))
+    few = bounded(conditions, FEW)
+    if few is not conditions:
+        hit = recent.join(few, term_matches(F.col("term"), F.col("indication_text")))
+    else:
+        low = conditions.withColumn("low", F.lower(F.trim("term")))
+        met = containing(recent.select("appl", F.lower("indication_text").alias("text")), "appl", "text", low, "low").withColumnsRenamed({"key": "appl", "term": "low"})
+        hit = recent.join(met, "appl").join(low, "low").where(term_matches(F.col("term"), F.col("indication_text")))
     return hit.groupBy("condition", "appl").agg(F.min_by("term", "_ord").alias("term"), F.min("approved").alias("approved"))
 
 
@@ -130,29 +130,31 @@ def all_approved(combinations: DataFrame, approved: DataFrame, key: str = "key_i
 def word_overlap(names: DataFrame, blobs: DataFrame, name: str, blob: str) -> DataFrame:
     """Pairs whose text holds all long words of the name but one, and two at least: ids of both, present, of.
 
-    At most one word may be missing, so one of the two longest distinct words of a name is always there: only texts with one of
-    them are counted in full. Few names are broadcast and every text is read once; beyond that, texts and those two words meet by
-    the five characters a word begins with. names: name_id; blobs: blob_id.
+    At most one word may be missing, so one of any two distinct words of a name is always there. Few names are broadcast and every
+    text is read once. Many meet the texts by words: which distinct words of texts contain which words of names is found once for
+    the vocabulary (``meet.containing``), names and texts meet by the two words of a name that the fewest texts have, and what meets
+    is counted. Texts themselves are never shuffled. names: name_id; blobs: blob_id.
     """
-    long_ = F.filter(F.split("n", " "), lambda w: F.length(w) > 4)
-    n = names.select("name_id", normalize_loose(F.col(name)).alias("n")).where(F.size(long_) >= 2)
-    by_length = F.array_sort(F.transform(F.array_distinct(long_), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
-    n = n.withColumn("w1", F.get(by_length, F.lit(0))["w"]).withColumn("w2", F.coalesce(F.get(by_length, F.lit(1))["w"], F.col("w1")))
+    words = F.filter(F.split("n", " "), lambda w: F.length(w) > 4)
+    n = names.select("name_id", normalize_loose(F.col(name)).alias("n")).where(F.size(words) >= 2)
     b = blobs.select("blob_id", normalize_loose(F.col(blob)).alias("b"))
-    either = F.col("b").contains(F.col("w1")) | F.col("b").contains(F.col("w2"))
-    few = bounded(n, 2_000)
-    found = words_present(F.col("n"), F.col("b"))
-    # One conditional expression: as two predicates Catalyst would put the costly one first.
-    holds = F.when(either, overlaps_enough(found)).otherwise(False)
+    few = bounded(n, FEW)
     if few is not n:
-        rows = b.join(few, holds)
-    else:
-        words = n.select("name_id", F.explode(F.array_distinct(F.array("w1", "w2"))).alias("w")).withColumn("head", F.substring("w", 1, 5))
-        at = F.sequence(F.lit(1), F.greatest(F.length("b") - 4, F.lit(1)))
-        heads = b.select("blob_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("b", i, F.lit(5))))).alias("head"))
-        pairs = heads.join(words.select("name_id", "head").distinct(), "head").select("name_id", "blob_id").distinct()
-        rows = pairs.join(n, "name_id").join(b, "blob_id").where(holds)
-    return rows.select("name_id", "blob_id", found.alias("f")).select("name_id", "blob_id", "f.present", "f.of")
+        by_length = F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+        few = F.broadcast(n.withColumn("w1", F.get(by_length, F.lit(0))["w"]).withColumn("w2", F.coalesce(F.get(by_length, F.lit(1))["w"], F.col("w1"))))
+        found = words_present(F.col("n"), F.col("b"))
+        # One conditional expression: as two predicates Catalyst would put the costly one first.
+        rows = b.join(few, F.when(F.col("b").contains(F.col("w1")) | F.col("b").contains(F.col("w2")), overlaps_enough(found)).otherwise(False))
+        return rows.select("name_id", "blob_id", found.alias("f")).select("name_id", "blob_id", "f.present", "f.of")
+    each = checkpoint(n.select("name_id", F.size(words).alias("of"), F.explode(words).alias("w")).groupBy("name_id", "of", "w").agg(F.count("*").alias("times")))
+    tokens = checkpoint(b.select("blob_id", F.explode(F.array_distinct(F.split("b", " "))).alias("token")).where(F.length("token") > 4))
+    met = bounded(checkpoint(containing(tokens.select("token").distinct(), "token", "token", each, "w"))).withColumnsRenamed({"key": "token", "term": "w"})
+    has = checkpoint(tokens.join(met, "token").select("blob_id", "w").distinct())
+    often = bounded(has.groupBy("w").agg(F.count("*").alias("n")))
+    rare = each.join(often, "w", "left").groupBy("name_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))), 1, 2).alias("two"))
+    pairs = checkpoint(has.join(bounded(rare.select("name_id", F.explode("two")["w"].alias("w"))), "w").select("name_id", "blob_id").distinct())
+    counted = pairs.join(bounded(each), "name_id").join(has, ["blob_id", "w"]).groupBy("name_id", "blob_id").agg(F.sum("times").cast("int").alias("present"), F.first("of").alias("of"))
+    return counted.where(overlaps_enough(F.struct("present", "of"))).select("name_id", "blob_id", "present", "of")
 
 
 def brand_resolution(compendium: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import bounded
 
@@ -13,16 +12,6 @@ NEAR_MISS_REASONS = ("NO_API_KEY", "EMPTY_AFTER_NORMALIZATION", "SEARCH_FAILED",
 HEALTH = ("ok", "absent", "error")
 # -------------------------------------------------------------------------------------------------------------------------
 
-STEP = T.StructType([T.StructField("status", T.StringType(), False), T.StructField("note", T.StringType())])
-#: The record of one query: identity, what each step found, and rates that are filled in later or stay null.
-CALIBRATION = T.StructType([T.StructField("by_source", T.MapType(T.StringType(), T.DoubleType())), T.StructField("by_call", T.MapType(T.StringType(), T.DoubleType())), T.StructField("classes", T.MapType(T.StringType(), T.LongType()))])
-SUPPRESSION = T.StructType([T.StructField("step", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("n", T.LongType())])
-RECORD = T.StructType([
-    T.StructField("query", T.StringType(), False), T.StructField("status", T.StringType(), False), T.StructField("steps", T.MapType(T.StringType(), STEP), False),
-    T.StructField("degraded_steps", T.ArrayType(T.StringType()), False), T.StructField("suppressed", T.ArrayType(SUPPRESSION), False), T.StructField("calibration", CALIBRATION),
-])
-
-
 def three_valued(checked: Column, payload: Column, found: str, none: str, failed: str) -> Column:
     """``failed`` where it could not be checked, ``none`` where nothing is there, else ``found``."""
     return F.when(~F.coalesce(checked, F.lit(False)), failed).when(payload.isNull() | (F.size(payload) <= 0), none).otherwise(found)
@@ -65,11 +54,3 @@ def source_health(events: DataFrame, header_ok: Column | None = None) -> DataFra
     status = F.col("status") if header_ok is None else F.when(~header_ok, "error").otherwise(F.col("status"))
     first = events.withColumn("status", status).groupBy("source").agg(F.min_by("status", "_ord").alias("status"))
     return first.agg(F.sort_array(F.collect_set(F.when(F.col("status") != "ok", F.col("source")))).alias("degraded"), F.count("*").alias("n_sources"))
-
-
-def with_observed_counts(df: DataFrame, name: str, **conditions: Column):
-    """(frame, Observation) that counts rows for each condition while the frame is computed anyway."""
-    from pyspark.sql import Observation
-
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in conditions.items()]), seen

@@ -6,7 +6,7 @@ mention are candidates.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,6 @@ class Rules:
     min_registry: int = 2
     #: Emit UNRESOLVED instead of NOT_A_CONDITION where nothing has the name at all.
     unresolved_when_absent: bool = False
-    extra: dict = field(default_factory=dict)
 
 
 def candidates(mentions: DataFrame, atoms: DataFrame, concepts: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -155,12 +154,34 @@ def cached_resolve(mentions: DataFrame, cache: DataFrame, run) -> tuple[DataFram
     return known.unionByName(fresh, allowMissingColumns=True), fresh.where(F.col("status") != LOOKUP_FAILED)
 
 
+def near_names(texts: DataFrame, names: DataFrame, similar: float) -> DataFrame:
+    """t, k, id, far: every pair of a text (t) and a name (k, id) whose edit distance is at most 1 - ``similar`` of the longer one's length.
+
+    With at most ``e`` edits one of any ``e`` + 1 pieces of a name stands in the text as it is, at most ``e`` places off. Names and
+    texts meet by such pieces, so no pair is missed and none is formed that shares no piece.
+    """
+    most = lambda c: F.floor((1 - similar) / similar * F.length(c) + 1e-9).cast("int")  # noqa: E731  edits that a name of this length allows
+    named = names.where(F.col("k").isNotNull()).withColumn("e", most("k")).where("e > 0").withColumn("n", F.length("k"))
+    start = lambda i: F.floor(i * F.col("n") / (F.col("e") + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("e")), lambda i: F.struct(start(i).alias("at"), F.substring("k", start(i) + 1, start(i + 1) - start(i)).alias("piece")))
+    named = named.select("k", "id", "e", "n", F.explode(pieces).alias("p")).select("k", "id", "e", "n", "p.*").where("piece <> ''")
+    # Pieces of any name are of a few lengths, near similar / (1 - similar).
+    sizes = sorted(r["s"] for r in named.select(F.length("piece").alias("s")).distinct().collect())
+    if not sizes:
+        return texts.limit(0).select("t", F.lit("").alias("k"), F.lit(None).cast(names.schema["id"].dataType).alias("id"), F.lit(0).alias("far"))
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.length("t") - s), lambda i: F.struct(i.alias("there"), F.substring("t", i + 1, F.lit(s)).alias("piece")))
+    every = F.flatten(F.array(*[F.when(F.length("t") >= s, cut(s)).otherwise(F.array().cast("array<struct<there:int,piece:string>>")) for s in sizes]))
+    asked = texts.select("t", F.explode(every).alias("p")).select("t", "p.*")
+    met = asked.join(named, "piece").where((F.abs(F.col("there") - F.col("at")) <= F.col("e")) & (F.abs(F.length("t") - F.col("n")) <= F.col("e"))).select("t", "k", "id").distinct()
+    return met.withColumn("far", F.levenshtein("t", "k")).where(F.col("far") <= (1 - similar) * F.greatest(F.length("t"), F.length("k")))
+
+
 def resolve_items(strings: DataFrame, names: DataFrame, ingredients: DataFrame, similar: float = 0.85) -> DataFrame:
     """Item strings (item) on ids: item, status, match_step, rxcui, key_names, key_ids.
 
     ``names`` (name, rxcui), ``ingredients`` (rxcui, ingredient_rxcui, ingredient). Steps: the string itself, the cleaned string, a name
     near the cleaned string, the text in parentheses unless that plainly names no drug, a name near that. The near steps take the
-    nearest name by edit distance among names that share the first four characters, when the distance is small against the length.
+    nearest name by edit distance (``near_names``); of equally near ones the least.
     An id without ingredients stands for itself under the string.
     """
     low = lambda c: F.lower(F.trim(c))
@@ -173,9 +194,8 @@ def resolve_items(strings: DataFrame, names: DataFrame, ingredients: DataFrame,
     for step in ("raw", "clean", "inner"):
         rows = rows.join(keys.select(F.col("k").alias(step), F.col("id").alias(f"{step}_id")), step, "left")
     open_ = rows.where(~no_drug & F.col("raw_id").isNull() & F.col("clean_id").isNull())
-    texts = open_.select(F.explode(F.array("clean", "inner")).alias("t")).where(F.length("t") >= 4).distinct().withColumn("head", F.substring("t", 1, 4))
-    close = texts.join(keys.withColumn("head", F.substring("k", 1, 4)), "head").withColumn("far", F.levenshtein("t", "k"))
-    close = close.where(F.col("far") <= (1 - similar) * F.greatest(F.length("t"), F.length("k"))).groupBy("t").agg(F.min(F.struct("far", "k", "id"))["id"].alias("near"))
+    texts = open_.select(F.explode(F.array("clean", "inner")).alias("t")).where(F.length("t") >= 4).distinct()
+    close = near_names(texts, keys, similar).groupBy("t").agg(F.min(F.struct("far", "k", "id"))["id"].alias("near"))
     for step in ("clean", "inner"):
         rows = rows.join(close.select(F.col("t").alias(step), F.col("near").alias(f"{step}_near")), step, "left")
     inner_id = F.coalesce("inner_id", "inner_near")
@@ -186,8 +206,3 @@ def resolve_items(strings: DataFrame, names: DataFrame, ingredients: DataFrame,
     rows = rows.join(parts, "rxcui", "left")
     join = lambda f: F.array_join(F.transform("p", lambda x: x[f]), "/")
     return rows.select("item", "status", "match_step", "rxcui", F.coalesce(join("ingredient"), F.when(F.col("rxcui").isNotNull(), F.trim("item"))).alias("key_names"), F.coalesce(join("ingredient_rxcui"), "rxcui").alias("key_ids"))
-
-
-def consumer_flag(support: Column, names: tuple[str, ...]) -> Column:
-    """Whether an array of sources has one of the named."""
-    return F.arrays_overlap(support, F.array(*map(F.lit, names)))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import instrument_names, normalize
+from ..functions.text import instrument_names
 from ..operators import hierarchy, link, quality, resolve, usage
 from ..session import checkpoint
 
@@ -47,7 +47,9 @@ def neighbours(who: DataFrame, found: DataFrame, s: Sources, suppress_on: str =
     if suppress_on == "qualified":
         own = own.where(F.exists("entries", lambda e: F.exists(e["items"], lambda i: i["qualified"])))
     open_ = who.where("cui is not null").join(own.select("query_id"), "query_id", "left_anti")
-    ancestors = hierarchy.closure(s.edges)
+    # Lines of descent matter only between codes of the open queries and of the catalogue.
+    some = open_.select("cui").union(s.catalog.where("cui <> ''").select("cui")).distinct().join(s.codes, "cui").select("sab", F.col("code").alias("node"))
+    ancestors = hierarchy.closure(s.edges, some)
     near = hierarchy.neighbours(open_.select("cui"), s.catalog.where("cui <> ''"), s.codes, s.edges, ancestors, s.order, s.defined, s.gated)
     with_items = near.join(s.children.groupBy("condition").agg(F.count_if("qualified").alias("n_qualified"), F.count("*").alias("n_items")), "condition", "left")
     if suppress_on == "qualified":
@@ -128,8 +130,3 @@ def cached_result(queries: DataFrame, cache: DataFrame) -> DataFrame:
     exact = queries.join(cache.select(F.col("query").alias("k"), "result"), F.col("query") == F.col("k"), "left").drop("k")
     loose = cache.groupBy(low(F.col("query")).alias("k")).agg(F.min("result").alias("loose"))
     return exact.join(loose, low(F.col("query")) == F.col("k"), "left").select("query_id", "query", F.coalesce("result", "loose").alias("result"))
-
-
-def display_keys(df: DataFrame, name: str) -> DataFrame:
-    """Rows with the normal form that joins them to others."""
-    return df.withColumn("norm", normalize(F.col(name)))

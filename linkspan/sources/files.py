@@ -178,6 +178,77 @@ def read_comment_tsv(spark: SparkSession, path: str, names: list[str]) -> DataFr
     return spark.read.csv(path, schema=strings(*names), sep="\t", comment="#", nullValue="-")
 
 
+#: Records of diseases as three files spell them: cross references, genes, nomenclature.
+DISORDER = (
+    "OrphaCode string, Name string, SynonymList struct<Synonym:array<string>>, DisorderType struct<Name:string>, ClassificationLevel struct<Name:string>, "
+    "ExternalReferenceList struct<ExternalReference:array<struct<Source:string,Reference:string>>>, "
+    "DisorderGeneAssociationList struct<DisorderGeneAssociation:array<struct<Gene:struct<Symbol:string>,DisorderGeneAssociationType:struct<Name:string>>>>"
+)
+
+
+def disorders(spark: SparkSession, path: str) -> DataFrame:
+    """The disorders of any of the three files; what a file does not tell is null."""
+    return read_xml(spark, path, "Disorder", DISORDER).where("OrphaCode <> ''")
+
+
+def disorder_references(records: DataFrame, source: str = "OMIM") -> DataFrame:
+    """orpha_id, omim_id, _ord (place in the record) of the cross references of one source."""
+    rows = records.select(F.col("OrphaCode").alias("orpha_id"), F.posexplode("ExternalReferenceList.ExternalReference").alias("_ord", "r"))
+    return rows.where((F.col("r.Source") == source) & (F.col("r.Reference") != "")).select("orpha_id", F.col("r.Reference").alias("omim_id"), "_ord")
+
+
+def disorder_genes(records: DataFrame) -> DataFrame:
+    """orpha_id, symbol, assoc_type (Unknown where none is given), _ord; associations without a symbol go."""
+    rows = records.select(F.col("OrphaCode").alias("orpha_id"), F.posexplode("DisorderGeneAssociationList.DisorderGeneAssociation").alias("_ord", "a"))
+    return rows.where(F.trim("a.Gene.Symbol") != "").select("orpha_id", F.trim("a.Gene.Symbol").alias("symbol"), F.coalesce("a.DisorderGeneAssociationType.Name", F.lit("Unknown")).alias("assoc_type"), "_ord")
+
+
+def disorder_names(records: DataFrame) -> DataFrame:
+    """orpha_id, name, synonyms, disorder_type, level."""
+    return records.select(F.col("OrphaCode").alias("orpha_id"), F.col("Name").alias("name"), F.coalesce("SynonymList.Synonym", F.array().cast("array<string>")).alias("synonyms"), F.col("DisorderType.Name").alias("disorder_type"), F.col("ClassificationLevel.Name").alias("level"))
+
+
+def mim_genes(spark: SparkSession, path: str) -> DataFrame:
+    """omim_id, gene_id of a commented table; rows without a gene go, and of a repeated id the last row stands."""
+    rows = read_comment_tsv(spark, path, ["omim_id", "gene_id"]).where("gene_id <> ''").withColumn("_ord", F.monotonically_increasing_id())
+    return rows.groupBy("omim_id").agg(F.max_by("gene_id", "_ord").alias("gene_id"))
+
+
+def approved_genes(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Symbol, entrez_id by the names in the header; rows without a symbol go."""
+    return read_csv(spark, path, schema, sep="\t").select("symbol", "entrez_id").where("symbol <> ''")
+
+
+#: The columns that a table of gene classifications is read by, and the classifications that count.
+CLASSIFIED = {"GENE SYMBOL": "symbol", "DISEASE ID (MONDO)": "mondo_id", "CLASSIFICATION": "classification"}
+CLASSES = ("Definitive", "Strong", "Moderate", "Limited")
+
+
+def classified_genes(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """(symbol, mondo_id, classification, _ord; whether the header has the columns) of a table whose header comes after other lines."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n"))).toDF("at", "line")
+    head = lines.where(F.col("line").rlike('^"?GENE SYMBOL')).orderBy("at").limit(1).collect()  # one line
+    names = [c.strip().strip('"') for c in head[0]["line"].split(",")] if head else []
+    if not {"GENE SYMBOL", "CLASSIFICATION"} <= set(names):
+        return spark.createDataFrame([], "symbol string, mondo_id string, classification string, _ord int"), False
+    cells = lines.where(F.col("at") > head[0]["at"]).select(F.col("at").alias("_ord"), F.from_csv("line", F.lit(", ".join(f"c{i} string" for i in range(len(names))))).alias("c"))
+    rows = cells.select(*[(F.trim(F.col("c")[f"c{names.index(k)}"]) if k in names else F.lit(None).cast("string")).alias(v) for k, v in CLASSIFIED.items()], "_ord")
+    return rows.where((F.col("symbol") != "") & F.col("classification").isin(*CLASSES) & F.col("mondo_id").startswith("MONDO:")), True
+
+
+def id_map(spark: SparkSession, path: str, names: tuple[str, str] = ("orpha_id", "mondo_id")) -> DataFrame:
+    """A JSON object of ids, by itself or under ``mappings``."""
+    whole = spark.read.text(path, wholetext=True)
+    inner = F.coalesce(F.get_json_object("value", "$.mappings"), F.col("value"))
+    return whole.select(F.explode(F.from_json(inner, "map<string,string>")).alias(*names))
+
+
+def parent_map(spark: SparkSession, path: str) -> DataFrame:
+    """Child, parent of a JSON object of children with lists of parents."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("child", "parents"))
+    return rows.select("child", F.explode("parents").alias("parent"))
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """Declared columns; arrays as cells between bars."""
     kind = dict(df.dtypes)

@@ -31,6 +31,16 @@ def sessions(stream: DataFrame, time: str, key: str, gap: str, late: str = "1 ho
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("session"), key).agg(F.count("*").alias("n"))
 
 
+def all_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for all there is now, by way of a table. In mode ``complete`` a batch replaces the one before."""
+    if mode == "append":
+        run = stream.writeStream.format("parquet").option("path", sink).outputMode(mode)
+    else:
+        run = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(sink))
+    run.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(sink)
+
+
 def resumable_build(stream: DataFrame, key: str, sink: str, checkpoint: str, run: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Runs what is not in the sink yet, batch by batch, and appends it; a restart goes on after the last batch that was written."""
     spark = stream.sparkSession
