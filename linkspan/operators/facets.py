@@ -84,6 +84,18 @@ def hits(df: DataFrame, **patterns: Column) -> DataFrame:
     return out.withColumn("n_hits", sum((F.col(k) for k in flags), F.lit(0)))
 
 
+def grouped(df: DataFrame, group: str, item: str) -> DataFrame:
+    """Group, members (sorted, distinct), size and place (most members first, equal ones by name), in that order."""
+    from pyspark.sql import Window as W
+
+    each = df.select(group, item).distinct()
+    sizes = each.groupBy(group).agg(F.count("*").alias("size"))
+    # One short row per group is ranked, never its members.
+    placed = sizes.withColumn("place", F.row_number().over(W.orderBy(F.desc("size"), group)).cast("long"))
+    members = each.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("members"))
+    return members.join(placed, group).orderBy("place")
+
+
 def largest_groups(df: DataFrame, key: str, top: int) -> DataFrame:
     """The ``top`` most frequent values; equal counts by value."""
     return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(top)

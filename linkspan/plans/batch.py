@@ -118,6 +118,12 @@ def warm_relations(catalog: DataFrame, s: Sources, path: str) -> DataFrame:
     return catalog.sparkSession.read.parquet(path)
 
 
+def verified(relations: DataFrame, known: DataFrame) -> DataFrame:
+    """A, b, relation (known), found, holds: relations (a, b, relation) held against answers that are known; a pair that is not there is NO_HIERARCHY."""
+    rows = known.join(relations.select("a", "b", F.col("relation").alias("found")), ["a", "b"], "left")
+    return rows.select("a", "b", "relation", F.coalesce("found", F.lit(hierarchy.NO_HIERARCHY)).alias("found"), F.coalesce(F.col("found") == F.col("relation"), F.lit(False)).alias("holds"))
+
+
 def name_to_concept(names: DataFrame, s: Sources, rules: resolve.Rules = resolve.Rules()) -> DataFrame:
     """Name, cui of names that are settled by votes; names settled from several units are left out, as their ids are not the name's own."""
     rows = resolve.resolve(names.select(F.col("name").alias("query_id"), F.col("name").alias("query")), s.atoms, s.concepts, rules=rules)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import disease_branch
+from ..functions.predicates import disease_branch, pdf_magic
 from ..functions.text import dotted_code, iri_to_curie, listed, safe_name, without_tags
 
 # ---- fixed values -------------------------------------------------------------------------------------------------------
@@ -33,6 +35,22 @@ def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", **opti
     return spark.read.csv(path, schema=schema, header=True, sep=sep, multiLine=True, escape='"', mode="PERMISSIVE", **options)
 
 
+def read_dynamic(spark: SparkSession, *paths: str) -> DataFrame:
+    """Tables with a header whose columns are not known before, all of them strings; a column that a path lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.csv(p, header=True, inferSchema=False, multiLine=True, escape='"') for p in paths])
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """Path, size, is_pdf (by the first bytes) of the files under a folder."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return rows.select("path", F.col("length").alias("size"), pdf_magic(F.col("content")).alias("is_pdf"))
+
+
+def to_fetch(wanted: DataFrame, there: DataFrame, name: str) -> DataFrame:
+    """What is not stored yet."""
+    return wanted.join(there.select(name).distinct(), name, "left_anti")
+
+
 def read_tsv_keys(spark: SparkSession, path: str, schema: str, *keys: str) -> DataFrame:
     """Keys of a tab-separated table, empty first keys dropped."""
     return read_csv(spark, path, schema, sep="\t").select(*[F.trim(k).alias(k) for k in keys]).where(F.col(keys[0]) != "")
