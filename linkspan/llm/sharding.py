@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, small, text_or_empty
+from .common import checkpoint, small, text_or_empty
 
 BUCKETS = 4096
 #: A cut may miss its node's median by this share of the node's weight.
@@ -28,16 +29,17 @@ TIES = 3
 
 
 def text_dimensions(text: str = "text") -> dict[str, Column]:
-    """Metadata of the text alone, so that copies of a text have one place: logarithm of its bytes; bytes a word; shares of bytes
-    outside ASCII, of digits, of capitals; bytes a line."""
+    """Metadata of the text alone, so that copies of a text have one place: logarithm of its bytes; bytes a word, a line and a full
+    stop, as logarithms; share of bytes outside ASCII. Counts are lengths without the sign, which costs no match objects."""
     t = text_or_empty(text)
     size = F.octet_length(t)
-    each = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    share = lambda n: n / F.greatest(size, F.lit(1))
-    return {
-        "length": F.log2(size + 1), "word": F.log2(size / (each(WORD) + 1) + 1), "beyond_ascii": share(size - F.char_length(t)),
-        "digits": share(each("[0-9]")), "capitals": share(each("[A-Z]")), "line": F.log2(size / (each("\n") + 1) + 1),
-    }
+    each = lambda sign: F.log2(size / (size - F.octet_length(F.replace(t, F.lit(sign), F.lit(""))) + 1) + 1)
+    return {"length": F.log2(size + 1), "word": each(" "), "line": each("\n"), "stop": each("."), "beyond_ascii": (size - F.char_length(t)) / F.greatest(size, F.lit(1))}
+
+
+def _table(spark: SparkSession, rows: list[dict], schema: dict[str, pa.DataType]) -> DataFrame:
+    """Rows of the driver as a table, by way of Arrow: no Python worker has to unpack them."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, pa.schema(list(schema.items()))))
 
 
 def _open(goals: dict[int, dict]) -> list[dict]:
@@ -52,7 +54,7 @@ def _cuts(rows: DataFrame, goals: dict[int, dict], tolerance: float) -> list[dic
     """
     spark, cuts, open_ = rows.sparkSession, [], _open(goals)
     while open_:
-        state = spark.createDataFrame(open_, "node long, widest int, fixed array<double>, lo double, hi double, want double")
+        state = _table(spark, open_, {"node": pa.int64(), "widest": pa.int32(), "fixed": pa.list_(pa.float64()), "lo": pa.float64(), "hi": pa.float64(), "want": pa.float64()})
         at = rows.join(small(state, len(open_)), "node").withColumn("keys", F.concat(F.array(F.get("dims", "widest")), "ties"))
         at = at.where(F.slice("keys", F.lit(1), F.size("fixed")) == F.col("fixed")).withColumn("key", F.get("keys", F.size("fixed"))).where(F.col("key").between(F.col("lo"), F.col("hi")))
         share = F.when(F.col("hi") > F.col("lo"), (F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
@@ -100,7 +102,7 @@ def kd_tree(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> DataF
                 columns = [f"dims{wide}", *(f"ties{i}" for i in range(TIES))]
                 goals[s["node"]] = {"widest": wide, "low": [s[f"lo_{c}"] for c in columns], "high": [s[f"hi_{c}"] for c in columns], "weight": s["weight"], "want": s["weight"] * (n // 2) / n}
         cuts = _cuts(rows, goals, tolerance)
-        table = spark.createDataFrame(cuts, "node long, widest int, bound array<double>, inclusive boolean")
+        table = _table(spark, cuts, {"node": pa.int64(), "widest": pa.int32(), "bound": pa.list_(pa.float64()), "inclusive": pa.bool_()})
         keys = F.slice(F.concat(F.array(F.get("dims", "widest")), "ties"), F.lit(1), F.size("bound"))
         left = (keys < F.col("bound")) | (F.col("inclusive") & (keys == F.col("bound")))
         rows = rows.join(small(table, len(cuts)), "node", "left").withColumn("node", F.when(F.col("bound").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(left, 0).otherwise(1)))
@@ -108,7 +110,7 @@ def kd_tree(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> DataF
         cut = {c["node"] for c in cuts}
         # Empty nodes drop out here: no row asks for their number.
         leaves = {c: v for k, (at, n) in leaves.items() if k in cut for c, v in ((2 * k, (at, n // 2)), (2 * k + 1, (at + n // 2, n - n // 2)))} | {k: v for k, v in leaves.items() if k not in cut and v[1] == 1}
-    numbers = spark.createDataFrame([(k, at) for k, (at, _) in leaves.items()], "node long, shard int")
+    numbers = _table(spark, [{"node": k, "shard": at} for k, (at, _) in leaves.items()], {"node": pa.int64(), "shard": pa.int32()})
     return rows.join(small(numbers, len(leaves)), "node").drop("node")
 
 
