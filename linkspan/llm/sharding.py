@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, small, text_or_empty
 
-BUCKETS = 4096
+BUCKETS = 512
 #: A cut may miss its node's median by this share of the node's weight.
 TOLERANCE = 1e-4
 #: Documents numbered by one task.
