@@ -63,12 +63,15 @@ def histogram(df: DataFrame, column: str, total: DataFrame | None = None) -> Dat
     return n.crossJoin(F.broadcast((total or df).agg(F.count("*").alias("of")))).select(column, "n", F.floor(100 * F.col("n") / F.col("of")).cast("long").alias("percent"))
 
 
-def by_first_words(df: DataFrame, title: str, n: int, strip_prefixes: bool = False) -> DataFrame:
-    """A10: header (the first n words of the first member; case does not part groups), members (sorted, distinct), size."""
+def by_first_words(df: DataFrame, title: str, n: int, strip_prefixes: bool = False, members: bool = True) -> DataFrame:
+    """A10: header (the first n words of the first member; case does not part groups), size and, if asked for, members (sorted, distinct).
+
+    Without members nothing is gathered: a header that very many titles share is a count."""
     t = group_prefix_stripped(F.col(title), strip_prefixes)
-    rows = df.select(t.alias("t")).where("t <> ''").groupBy(first_words(F.col("t"), n).alias("key")).agg(F.sort_array(F.collect_set("t")).alias("members"))
-    header = F.array_join(F.slice(F.split(squeeze(F.element_at("members", 1)), " "), 1, n), " ")
-    return rows.select(header.alias("header"), "members", F.size("members").alias("size"))
+    rows = df.select(t.alias("t")).where("t <> ''").distinct().groupBy(first_words(F.col("t"), n).alias("key"))
+    rows = rows.agg(F.min("t").alias("first"), F.count("*").cast("int").alias("size"), *([F.sort_array(F.collect_list("t")).alias("members")] if members else []))
+    header = F.array_join(F.slice(F.split(squeeze(F.col("first")), " "), 1, n), " ")
+    return rows.select(header.alias("header"), *(["members"] if members else []), "size")
 
 
 def collisions(df: DataFrame, value: str) -> tuple[DataFrame, DataFrame]:

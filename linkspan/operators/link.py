@@ -152,7 +152,7 @@ def word_overlap(names: DataFrame, blobs: DataFrame, name: str, blob: str) -> Da
     has = checkpoint(tokens.join(met, "token").select("blob_id", "w").distinct())
     often = bounded(has.groupBy("w").agg(F.count("*").alias("n")))
     rare = each.join(often, "w", "left").groupBy("name_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))), 1, 2).alias("two"))
-    pairs = checkpoint(has.join(bounded(rare.select("name_id", F.explode("two")["w"].alias("w"))), "w").select("name_id", "blob_id").distinct())
+    pairs = checkpoint(has.join(bounded(rare.select("name_id", F.explode(F.transform("two", lambda x: x["w"])).alias("w"))), "w").select("name_id", "blob_id").distinct())
     counted = pairs.join(bounded(each), "name_id").join(has, ["blob_id", "w"]).groupBy("name_id", "blob_id").agg(F.sum("times").cast("int").alias("present"), F.first("of").alias("of"))
     return counted.where(overlaps_enough(F.struct("present", "of"))).select("name_id", "blob_id", "present", "of")
 

@@ -154,14 +154,19 @@ def cached_resolve(mentions: DataFrame, cache: DataFrame, run) -> tuple[DataFram
     return known.unionByName(fresh, allowMissingColumns=True), fresh.where(F.col("status") != LOOKUP_FAILED)
 
 
+#: Shorter names and texts are near nothing.
+LEAST_NEAR = 4
+
+
 def near_names(texts: DataFrame, names: DataFrame, similar: float) -> DataFrame:
-    """t, k, id, far: every pair of a text (t) and a name (k, id) whose edit distance is at most 1 - ``similar`` of the longer one's length.
+    """t, k, id, far: every pair of a text (t) and a name (k, id) of four characters or more whose edit distance is at most 1 - ``similar`` of the longer one's length, rounded.
 
     With at most ``e`` edits one of any ``e`` + 1 pieces of a name stands in the text as it is, at most ``e`` places off. Names and
     texts meet by such pieces, so no pair is missed and none is formed that shares no piece.
     """
-    most = lambda c: F.floor((1 - similar) / similar * F.length(c) + 1e-9).cast("int")  # noqa: E731  edits that a name of this length allows
-    named = names.where(F.col("k").isNotNull()).withColumn("e", most("k")).where("e > 0").withColumn("n", F.length("k"))
+    most = lambda c: F.floor(((1 - similar) * F.length(c) + 0.5) / similar + 1e-9).cast("int")  # noqa: E731  edits that a name of this length allows
+    texts, named = texts.where(F.length("t") >= LEAST_NEAR), names.where(F.length("k") >= LEAST_NEAR)
+    named = named.withColumn("e", most("k")).where("e > 0").withColumn("n", F.length("k"))
     start = lambda i: F.floor(i * F.col("n") / (F.col("e") + 1)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), F.col("e")), lambda i: F.struct(start(i).alias("at"), F.substring("k", start(i) + 1, start(i + 1) - start(i)).alias("piece")))
     named = named.select("k", "id", "e", "n", F.explode(pieces).alias("p")).select("k", "id", "e", "n", "p.*").where("piece <> ''")
@@ -173,7 +178,7 @@ def near_names(texts: DataFrame, names: DataFrame, similar: float) -> DataFrame:
     every = F.flatten(F.array(*[F.when(F.length("t") >= s, cut(s)).otherwise(F.array().cast("array<struct<there:int,piece:string>>")) for s in sizes]))
     asked = texts.select("t", F.explode(every).alias("p")).select("t", "p.*")
     met = asked.join(named, "piece").where((F.abs(F.col("there") - F.col("at")) <= F.col("e")) & (F.abs(F.length("t") - F.col("n")) <= F.col("e"))).select("t", "k", "id").distinct()
-    return met.withColumn("far", F.levenshtein("t", "k")).where(F.col("far") <= (1 - similar) * F.greatest(F.length("t"), F.length("k")))
+    return met.withColumn("far", F.levenshtein("t", "k")).where(F.col("far") <= F.floor((1 - similar) * F.greatest(F.length("t"), F.length("k")) + 0.5))
 
 
 def resolve_items(strings: DataFrame, names: DataFrame, ingredients: DataFrame, similar: float = 0.85) -> DataFrame:
@@ -194,7 +199,7 @@ def resolve_items(strings: DataFrame, names: DataFrame, ingredients: DataFrame,
     for step in ("raw", "clean", "inner"):
         rows = rows.join(keys.select(F.col("k").alias(step), F.col("id").alias(f"{step}_id")), step, "left")
     open_ = rows.where(~no_drug & F.col("raw_id").isNull() & F.col("clean_id").isNull())
-    texts = open_.select(F.explode(F.array("clean", "inner")).alias("t")).where(F.length("t") >= 4).distinct()
+    texts = open_.select(F.explode(F.array("clean", "inner")).alias("t")).distinct()
     close = near_names(texts, keys, similar).groupBy("t").agg(F.min(F.struct("far", "k", "id"))["id"].alias("near"))
     for step in ("clean", "inner"):
         rows = rows.join(close.select(F.col("t").alias(step), F.col("near").alias(f"{step}_near")), step, "left")

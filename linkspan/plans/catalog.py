@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as X
-from ..operators import dedup, facets, hierarchy, link, quality, resolve, setops
+from ..operators import dedup, facets, hierarchy, link, quality, resolve, setops, usage
 from ..session import table
 from ..sources import files
 from .registry import ORACLES, QUERIES  # noqa: F401
@@ -41,7 +41,7 @@ def _parts_as_vocabulary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFr
 @_query(_VOTES + """
     SELECT query, CASE WHEN t = 0 THEN 'NOT_A_CONDITION' WHEN k = 0 THEN 'NOT_A_CONDITION' WHEN cui IS NOT NULL THEN 'RESOLVED' ELSE 'CONFLICT_DETECTED' END AS status, cui FROM d""")
 def resolve_mentions(spark, d):
-    """F01, R01 to R05, P02, P03, A01."""
+    """F01, R01, R03, R04, P02, P03, A01."""
     mentions, atoms, concepts = _parts_as_vocabulary(spark, d)
     return resolve.resolve(mentions, atoms, concepts, rules=RULES).select("query", "status", "cui")
 
@@ -120,7 +120,7 @@ def closure(spark, d):
            SELECT child AS code, 'parent' AS kind, parent AS relative FROM e UNION SELECT parent, 'child', child FROM e
            UNION SELECT x.child, 'sibling', y.child FROM e x JOIN e y USING (parent) WHERE x.child <> y.child""")
 def neighbourhood(spark, d):
-    """H01, H03, H04, U03."""
+    """H01, H04, U03."""
     e = table(spark, d, "supplier").select(F.lit("G").alias("sab"), F.concat(F.lit("S"), "s_suppkey").alias("child"), F.concat(F.lit("N"), "s_nationkey").alias("parent"))
     e = e.union(table(spark, d, "nation").select(F.lit("G").alias("sab"), F.concat(F.lit("N"), "n_nationkey").alias("child"), F.concat(F.lit("R"), "n_regionkey").alias("parent")))
     codes = e.select("sab", F.col("child").alias("code")).union(e.select("sab", F.col("parent").alias("code"))).distinct()
@@ -143,7 +143,7 @@ def relation_per_source(spark, d):
            CASE WHEN x.cui = y.cui THEN 0 ELSE coalesce(n, 0) END::INT AS n_agreeing
     FROM concepts x CROSS JOIN concepts y LEFT JOIN (FROM w WHERE r = 1) w ON w.a = x.cui AND w.b = y.cui""")
 def relation_vote(spark, d):
-    """H07 to H09."""
+    """H07, H09."""
     edges, codes, pairs, defined, order = _hierarchies(spark, d)
     per = hierarchy.relation_per_source(pairs, codes, edges, hierarchy.closure(edges), defined, ("CUS",))
     return hierarchy.vote(pairs, per, order).select("a", "b", "relation", "n_agreeing")
@@ -183,16 +183,16 @@ def catalog_lookup(spark, d):
 
 
 @_query("""WITH q AS (SELECT DISTINCT p_type AS query_id FROM part),
-           coded AS (SELECT DISTINCT q.query_id, p.p_partkey AS item FROM q JOIN part t ON t.p_type = q.query_id AND t.p_size = 1 JOIN part p ON p.p_brand = t.p_brand AND p.p_size > 45),
-           prose AS (SELECT q.query_id, p_partkey AS item FROM q JOIN part ON contains(lower(p_name || ' of ' || p_type), lower(q.query_id)) WHERE length(q.query_id) >= 6 AND p_size > 45)
+           coded AS (SELECT DISTINCT q.query_id, p.p_partkey AS item FROM q JOIN part t ON t.p_type = q.query_id AND t.p_size = 1 JOIN part p ON p.p_brand = t.p_brand),
+           prose AS (SELECT q.query_id, p_partkey AS item FROM q JOIN part ON contains(lower(p_name || ' of ' || p_type), lower(q.query_id)) WHERE length(q.query_id) >= 6)
            SELECT query_id, item, string_agg(route, '+' ORDER BY route) AS routes, count(*) = 2 AS both_routes
            FROM (SELECT *, 'coded' AS route FROM coded UNION ALL SELECT *, 'prose' FROM prose) GROUP BY 1, 2""")
 def two_route_link(spark, d):
-    """Parts of a brand that makes the type in size 1, and parts whose description names the type."""
+    """Parts of a brand that makes the type in size 1, and parts whose description names the type."""
     part = table(spark, d, "part")
     concepts = part.select(F.col("p_type").alias("query_id"), F.col("p_type").alias("code")).distinct()
     treats = part.where("p_size = 1").select(F.col("p_type").alias("code"), F.col("p_brand").alias("id")).distinct()
-    items = part.where("p_size > 45").select(F.col("p_partkey").alias("item"), F.array("p_brand").alias("ids"), F.concat_ws(" of ", "p_name", "p_type").alias("text"))
+    items = part.select(F.col("p_partkey").alias("item"), F.array("p_brand").alias("ids"), F.concat_ws(" of ", "p_name", "p_type").alias("text"))
     terms = concepts.select("query_id", F.col("query_id").alias("term"))
     found = link.merged_routes(coded=link.coded_route(concepts, treats, items), prose=link.text_route(terms, items))
     return found.select("query_id", "item", F.array_join("routes", "+").alias("routes"), "both_routes")
@@ -213,11 +213,11 @@ def term_match(spark, d):
 @_query("""SELECT p_name AS drug, count(DISTINCT l_orderkey) AS trials FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
            WHERE o_orderpriority = '1-URGENT' GROUP BY 1""")
 def cooccurrence(spark, d):
-    """A02, O01."""
+    """A02, O01, U07."""
     orders = table(spark, d, "orders").where(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("l_orderkey"))
     lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(orders, "l_orderkey")
-    named = lines.join(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey").select("l_orderkey", F.col("p_name").alias("drug")).distinct()
-    return named.groupBy("drug").agg(F.count("*").alias("trials"))
+    named = lines.join(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("drug")), "p_partkey")
+    return setops.id_set_union(named, ["drug"], "l_orderkey").withColumnRenamed("n", "trials")
 
 
 @_query("""WITH u AS (SELECT l_partkey AS part, o_orderkey, bool_or(l_returnflag = 'R') AS pri, any_value(o_custkey) AS sponsor FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
@@ -225,29 +225,23 @@ def cooccurrence(spark, d):
            SELECT part, count(*) AS trials, count(*) FILTER (pri) AS as_primary, count(*) FILTER (NOT pri) AS secondary_only,
                   (SELECT string_agg(sponsor || '(' || n || ')', '; ' ORDER BY r) FROM k WHERE k.part = u.part AND r <= 3) AS top_sponsors FROM u GROUP BY part""")
 def usage_primary_secondary(spark, d):
-    """A03 to A05, O06."""
+    """Usage of parts in orders, customers as sponsors."""
     lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("part"), (F.col("l_returnflag") == "R").alias("pri"))
     used = lines.groupBy("part", "l_orderkey").agg(F.bool_or("pri").alias("pri"))
     used = used.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("sponsor")), "l_orderkey")
-    from pyspark.sql import Window as W
-
-    n = used.groupBy("part", "sponsor").agg(F.count("*").alias("n"))
-    best = n.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy(F.desc("n"), "sponsor"))).where("r <= 3")
-    top = best.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("r", F.concat("sponsor", F.lit("("), "n", F.lit(")")).alias("s")))).alias("x"))
-    per = used.groupBy("part").agg(F.count("*").alias("trials"), F.count_if("pri").alias("as_primary"), F.count_if(~F.col("pri")).alias("secondary_only"))
-    return per.join(top, "part").select("part", "trials", "as_primary", "secondary_only", F.array_join(F.transform("x", lambda v: v["s"]), "; ").alias("top_sponsors"))
+    top = usage.top_names(used, ["part"], "sponsor", "sponsor", sep="; ").withColumnRenamed("top", "top_sponsors")
+    per = usage.rolled_up(used.withColumn("none", F.lit(None).cast("string")), "part", "l_orderkey", "none", as_primary=F.col("pri"), secondary_only=~F.col("pri"))
+    return per.join(top, "part").select("part", F.col("facts").alias("trials"), "as_primary", "secondary_only", "top_sponsors")
 
 
 @_query("""SELECT split_part(p_name, ' ', 2) AS canonical, count(DISTINCT l_orderkey) FILTER (l_returnflag = 'R') AS as_primary, count(DISTINCT l_orderkey) AS trials,
                   count(DISTINCT p_name) AS n_variants, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS variants FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
 def rollup_canonical(spark, d):
-    """A06, F11, W09."""
+    """A06."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", F.element_at(F.split("p_name", " "), -1).alias("canonical"))
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").join(part, "l_partkey")
-    return rows.groupBy("canonical").agg(
-        F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_orderkey"))).alias("as_primary"), F.count_distinct("l_orderkey").alias("trials"),
-        F.count_distinct("p_name").alias("n_variants"), F.array_join(F.sort_array(F.collect_set("p_name")), "|").alias("variants"),
-    )
+    found = usage.rolled_up(rows, "canonical", "l_orderkey", "p_name", as_primary=F.col("l_returnflag") == "R")
+    return found.select("canonical", "as_primary", F.col("facts").alias("trials"), "n_variants", F.array_join("variants", "|").alias("variants"))
 
 
 @_query("""SELECT l_orderkey AS orderkey, string_agg(DISTINCT l_partkey::VARCHAR, '/' ORDER BY l_partkey::VARCHAR) AS key_ids, bool_and(p_retailprice >= 905) AS approved
@@ -330,7 +324,7 @@ def search_fallback(spark, d):
 @_query("""SELECT l_orderkey AS orderkey, count(DISTINCT l_linenumber) AS retrieved, max(l_linenumber)::INT AS total, CASE WHEN count(DISTINCT l_linenumber) < max(l_linenumber) THEN 'INCOMPLETE_RETRIEVAL' ELSE 'OK' END AS status
            FROM lineitem GROUP BY 1""")
 def completeness(spark, d):
-    """T03, C08."""
+    """T03."""
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("orderkey"), "l_linenumber", F.col("l_linenumber").alias("total"))
     return quality.completeness(lines, "orderkey", "l_linenumber", "total")
 
@@ -346,7 +340,7 @@ def id_validity(spark, d):
 def group_first_words(spark, d):
     """A10: turns by their first two words."""
     rows = table(spark, d, "conversations").select(X.squeeze(F.col("text")).alias("t"))
-    return facets.by_first_words(rows, "t", 2).select("header", F.col("size").cast("long").alias("size"))
+    return facets.by_first_words(rows, "t", 2, members=False).select("header", F.col("size").cast("long").alias("size"))
 
 
 @_query(r"""WITH n AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda w: length(w) > 4) AS words FROM benchmark),
@@ -369,7 +363,7 @@ def html_links(spark, d):
 
 @_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 def json_props(spark, d):
-    """S14, F20."""
+    """A field of a JSON cell, by Spark's own function: no operator of the library takes part."""
     return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
@@ -391,13 +385,13 @@ def pattern_hits(spark, d):
 
 @_query("""SELECT DISTINCT k FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier)""")
 def common_keys(spark, d):
-    """U01, U02."""
+    """U02."""
     return setops.common_keys("k", table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
 @_query("SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def not_yet_cached(spark, d):
-    """U06, T01."""
+    """U06."""
     done = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("custkey"))
     return setops.missing_from(table(spark, d, "customer").select(F.col("c_custkey").alias("custkey")), done, ["custkey"])
 
@@ -446,7 +440,7 @@ def three_valued(spark, d):
     return rows.select(F.col("c_custkey").alias("custkey"), quality.three_valued(F.col("c_acctbal") >= 0, F.col("orders"), "FOUND", "NONE_FOUND", "LOOKUP_FAILED").alias("status"))
 
 
-@_query("""WITH p AS (SELECT p_brand AS gene, p_type AS disease, CASE WHEN p_size > 45 THEN 4 WHEN p_size > 35 THEN 3 WHEN p_size > 25 THEN 2 ELSE 1 END AS c FROM part WHERE p_retailprice < 950),
+@_query("""WITH p AS (SELECT p_brand AS gene, p_type AS disease, CASE WHEN p_size > 45 THEN 4 WHEN p_size > 35 THEN 3 WHEN p_size > 25 THEN 2 ELSE 1 END AS c FROM part),
            b AS (SELECT disease, gene, max(c) AS c FROM p GROUP BY 1, 2)
            SELECT disease, CASE max(c) WHEN 4 THEN 'CONFIRMED' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM b GROUP BY 1""")
 def gene_confidence(spark, d):
@@ -455,7 +449,7 @@ def gene_confidence(spark, d):
 
     size = F.col("p_size")
     kind = F.when(size > 45, "Definitive").when(size > 35, "Strong").when(size > 25, "Moderate").otherwise("Limited")
-    rows = table(spark, d, "part").where("p_retailprice < 950").select(F.col("p_type").alias("mondo_id"), F.col("p_brand").alias("symbol"), kind.alias("classification"), F.col("p_partkey").alias("_ord"))
+    rows = table(spark, d, "part").select(F.col("p_type").alias("mondo_id"), F.col("p_brand").alias("symbol"), kind.alias("classification"), F.col("p_partkey").alias("_ord"))
     best = genes.best_classification(rows).groupBy("mondo_id").agg(F.collect_set("classification").alias("c"))
     return best.select(X.bare_id(F.col("mondo_id"), "MONDO").alias("disease"), genes.confidence(F.col("c")).alias("confidence"))
 
@@ -473,6 +467,6 @@ def code_bridge(spark, d):
 
 @_query("""SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY 1, 2""")
 def event_windows(spark, d):
-    """The batch form of the windowed stream, each event once."""
+    """The batch form of the windowed stream (``stream_windows``), each event once."""
     e = table(spark, d, "events").dropDuplicates(["event_id"])
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")

@@ -234,7 +234,7 @@ def gene_family(spark, d):
 _TYPE = "CASE c_custkey % 7 WHEN 0 THEN 'Disease' WHEN 1 THEN 'Etiological subtype' WHEN 2 THEN 'Clinical syndrome' WHEN 3 THEN 'Clinical group' WHEN 4 THEN 'Biological anomaly' WHEN 5 THEN 'Unlisted' END"
 
 
-@query(f"""WITH g AS (SELECT 'c' || o_custkey AS id, 'G' || substr(o_orderpriority, 1, 1) AS sym, o_orderstatus = 'P' AS causal, min(o_orderkey) AS o FROM orders WHERE o_orderstatus <> 'O' AND o_totalprice > 350000 GROUP BY 1, 2, 3),
+@query(f"""WITH g AS (SELECT 'c' || o_custkey AS id, 'G' || substr(o_orderpriority, 1, 1) AS sym, o_orderstatus = 'P' AS causal, min(o_orderkey) AS o FROM orders GROUP BY 1, 2, 3),
             cs AS (SELECT id, sym, o FROM g WHERE causal), a AS (SELECT id, sym, min(o) AS o FROM g GROUP BY 1, 2),
             d AS (SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'about G3' ELSE 'plain' END AS name, {_TYPE} AS kind, c_custkey AS k FROM customer UNION ALL SELECT 'n' || n_nationkey, n_name, 'Disease', NULL FROM nation),
             up AS (SELECT 'n' || c_nationkey AS id, sym FROM cs JOIN customer ON cs.id = 'c' || c_custkey), f AS (FROM up UNION SELECT id, sym FROM cs),
@@ -257,7 +257,7 @@ def disease_genes(spark, d):
     sick = customer.select(cid.alias("orpha_id"), F.when(k % 2 == 0, "about G3").otherwise("plain").alias("name"), F.expr(_TYPE).alias("disorder_type"))
     sick = sick.union(table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), "n_name", F.lit("Disease")))
     parents = customer.select(cid.alias("child"), F.concat(F.lit("n"), "c_nationkey").alias("parent"))
-    found = table(spark, d, "orders").where("o_orderstatus <> 'O' and o_totalprice > 350000")
+    found = table(spark, d, "orders")
     symbol = F.concat(F.lit("G"), F.substring("o_orderpriority", 1, 1))
     listed = found.select(F.concat(F.lit("c"), "o_custkey").alias("orpha_id"), symbol.alias("symbol"), F.when(F.col("o_orderstatus") == "P", genes.CAUSATIVE[0]).otherwise("Role in the phenotype of").alias("assoc_type"), F.col("o_orderkey").alias("_ord"))
     chain = customer.where("c_custkey % 4 = 0").select(cid.alias("orpha_id"), F.lit("Z").alias("symbol"))
@@ -273,11 +273,12 @@ def disease_genes(spark, d):
     w AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY n DESC, relation = 'UNRELATED', CASE relation WHEN 'PARENT' THEN 1 WHEN 'CHILD' THEN 1 WHEN 'SIBLING' THEN 2 WHEN 'UNRELATED' THEN 9 ELSE 3 END, f) AS r FROM v)
     SELECT a, b, relation, n::INT AS n_agreeing, 'of ' || b AS condition FROM w WHERE r = 1 AND relation <> 'UNRELATED' AND a LIKE 'N%' AND b LIKE 'N1%'""")
 def catalog_neighbours(spark, d):
-    """J08, J10, P16, O03."""
+    """J08, P16, O03."""
     edges, codes, _, defined, order = _hierarchies(spark, d)
     nodes = codes.select("cui").distinct()
     wanted = nodes.where("cui like 'N1%'").select("cui", F.concat(F.lit("of "), "cui").alias("condition"))
-    near = hierarchy.neighbours(nodes.where("cui like 'N%'"), wanted, codes, edges, hierarchy.closure(edges), order, defined, ("CUS",))
+    lines = hierarchy.closure(edges, codes.where("cui like 'N%'").select("sab", F.col("code").alias("node")))
+    near = hierarchy.neighbours(nodes.where("cui like 'N%'"), wanted, codes, edges, lines, order, defined, ("CUS",))
     return near.select("a", "b", "relation", "n_agreeing", "condition")
 
 
@@ -336,7 +337,7 @@ def most_frequent(spark, d):
 
 @query("""SELECT lower(p_type) AS norm, count(*) AS n FROM part WHERE lower(p_type) IN ('large', 'small') GROUP BY 1""")
 def registry_population(spark, d):
-    """How often conditions of trials are a normal form."""
+    """How often conditions of trials are a normal form."""
     trials = table(spark, d, "part").select(F.array("p_type").alias("conditions"))
     norms = spark.range(1).select(F.explode(F.array(F.lit("large"), F.lit("small"), F.lit("unheard"))).alias("norm"))
     return resolve.registry_population(norms, trials, 2).select("norm", F.col("n_mentions").alias("n"))

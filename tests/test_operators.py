@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkspan.operators import dedup, facets, genes, hierarchy, link, quality, resolve, setops, usage
+from linkspan.operators import dedup, facets, genes, hierarchy, link, meet, quality, resolve, setops, usage
 from linkspan.plans import batch
 from linkspan.sources import files, pages
 
@@ -376,3 +376,121 @@ def test_every_gauge_has_its_band(spark, n):
     gauges = spark.range(n).select(F.col("id").cast("string").alias("gauge"))
     out = quality.over_band(gauges.withColumn("rate", F.lit(0.5)), gauges.withColumn("band", F.lit(0.2)))
     assert out.count() == n and out.where("band is null or not over_band").count() == 0
+
+
+# ---- texts and terms, near names, deep hierarchies ----------------------------------------------------------------------
+def _words(rng, n, letters="abcde", least=1, most=9):
+    return ["".join(rng.choice(letters) for _ in range(rng.randrange(least, most))) for _ in range(n)]
+
+
+def test_containing_by_grams(spark):
+    import random
+
+    rng = random.Random(4)
+    terms = sorted(set(_words(rng, 400)) | {"", "zz", "ü\U0001f600x"})
+    texts = [(i, " ".join(_words(rng, rng.randrange(0, 12)))) for i in range(200)] + [(900, None), (901, ""), (902, "aü\U0001f600xb"), (902, "zz")]
+    out = meet.containing(spark.createDataFrame(texts, "id long, t string"), "id", "t", spark.createDataFrame([(t,) for t in terms], "term string"))
+    want = {(i, w) for i, t in texts for w in terms if w and t is not None and w in t}
+    assert len(terms) > meet.FEW and {(r["key"], r["term"]) for r in out.collect()} == want
+    few = meet.containing(spark.createDataFrame(texts, "id long, t string"), "id", "t", spark.createDataFrame([(t,) for t in terms[:50]], "term string"))
+    assert {(r["key"], r["term"]) for r in few.collect()} == {(i, w) for i, w in want if w in terms[:50]}
+
+
+def test_near_names_are_all_found(spark):
+    import random
+
+    rng = random.Random(7)
+    names = sorted(set(_words(rng, 150, "abcdefgh", 3, 24)) | {"ibuprofen", "acetaminophen"})
+    texts = ["ubuprofen", "aectaminophen", "ibuprofen", "x"]
+    for n in names[:120]:
+        t = list(n)
+        for _ in range(rng.randrange(0, 4)):
+            i = rng.randrange(len(t) + 1)
+            t[i : i + rng.randrange(2)] = rng.choice(["", "z", "q"])
+        texts.append("".join(t))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[:], i
+            for j, y in enumerate(b, 1):
+                row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
+        return row[-1]
+
+    out = resolve.near_names(spark.createDataFrame([(t,) for t in set(texts)], "t string"), spark.createDataFrame([(n, n.upper()) for n in names], "k string, id string"), 0.85)
+    got = {(r["t"], r["k"]): r["far"] for r in out.collect()}
+    want = {(t, k): distance(t, k) for t in texts for k in names if min(len(t), len(k)) >= 4 and distance(t, k) <= int(0.15 * max(len(t), len(k)) + 0.5)}
+    assert got == want and {("ubuprofen", "ibuprofen"), ("aectaminophen", "acetaminophen")} <= set(got)
+    items = resolve.resolve_items(spark.createDataFrame([("ubuprofen",), ("aectaminophen 20 mg",)], "item string"), spark.createDataFrame([(n, n) for n in names], "name string, rxcui string"), spark.createDataFrame([], "rxcui string, ingredient_rxcui string, ingredient string"))
+    assert {r["item"]: (r["rxcui"], r["match_step"]) for r in items.collect()} == {"ubuprofen": ("ibuprofen", "approximate"), "aectaminophen 20 mg": ("acetaminophen", "approximate")}
+    assert resolve.near_names(spark.createDataFrame([("abc",)], "t string"), spark.createDataFrame([("abc", "1")], "k string, id string"), 0.85).count() == 0
+
+
+def test_closure_of_long_chains(spark):
+    edges = spark.createDataFrame([("S", f"n{i}", f"n{i + 1}") for i in range(70)] + [("S", "n70", "n60")], "sab string, child string, parent string")
+    up = hierarchy.closure(edges, spark.createDataFrame([("S", "n0")], "sab string, node string"))
+    assert {r["ancestor"]: r["depth"] for r in up.collect()} == {f"n{i}": i for i in range(1, 71)}
+
+
+def _many_instruments(n=60_000):
+    return [(f"scale number {i:06} of all",) for i in range(n)]
+
+
+def test_many_names_meet_without_a_product(spark):
+    """60,000 names: no plan holds every text against every name, and the answers are those of the few-names way."""
+    measure = lambda *m: [{"measure": x} for x in m]
+    kind = "array<struct<measure:string>>"
+    rows = [(f"NCT{i:08}", "t", "s", ["P"], "d", "x", ["c"], [{"type": "DRUG", "name": f"drug{i}"}], measure(f"Change in Scale number {i:06} of all at week 2"), measure("other", f"SCALE NUMBER {i + 1:06} OF ALL"), measure(f"scale number {i + 2:06} of all")) for i in range(40)]
+    trials = spark.createDataFrame(rows, f"nct_id string, title string, status string, phases array<string>, start_date string, sponsor string, conditions array<string>, interventions array<struct<type:string,name:string>>, primary_outcomes {kind}, secondary_outcomes {kind}, other_outcomes {kind}")
+    many, few = spark.createDataFrame(_many_instruments(), "instrument string"), spark.createDataFrame(_many_instruments(50), "instrument string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    short = lambda df: sorted((r["instrument"], r["nct_id"], r["as_primary"]) for r in df.select("instrument", "nct_id", "as_primary").collect())
+    used = usage.using(trials, many)
+    assert "CartesianProduct" not in plan(used) and "NestedLoop" not in plan(used) and short(used) == short(usage.using(trials, few))
+    resolved = trials.select(F.explode("interventions").alias("i")).select(F.col("i.name").alias("item")).select("item", F.col("item").alias("key_names"), F.col("item").alias("key_ids"))
+    drugs = [sorted(map(tuple, usage.cooccurring_drugs(trials, names, resolved).collect())) for names in (many, few)]
+    assert drugs[0] == drugs[1] and len(drugs[0]) == 40 + 40 + 40
+    stream = usage.outcomes(trials)
+    lists = lambda names: names.select(F.col("instrument").alias("label"), F.lit("c").alias("category"), F.lit(0).alias("list_rank"), F.substring("instrument", 14, 6).cast("int").alias("_ord"))
+    rolled = usage.canonical_measures(stream, lists(many))
+    assert "CartesianProduct" not in plan(rolled) and "NestedLoop" not in plan(rolled)
+    assert sorted(map(str, rolled.collect())) == sorted(map(str, usage.canonical_measures(stream, lists(few)).collect()))
+    items = spark.createDataFrame([(f"a{i}", f"for scale number {i:06} of all, or none") for i in range(30)], "appl string, indication_text string")
+    dates = items.select("appl", F.lit("2020-01-01").cast("date").alias("approved"))
+    terms = lambda names: names.select(F.col("instrument").alias("condition"), F.upper("instrument").alias("term"), F.lit(0).alias("_ord"))
+    since = link.approved_since(items, dates, terms(many), "2019-01-01")
+    assert "CartesianProduct" not in plan(since) and "NestedLoop" not in plan(since)
+    assert sorted(map(str, since.collect())) == sorted(map(str, link.approved_since(items, dates, terms(few), "2019-01-01").collect())) and since.count() == 30
+
+
+def test_word_overlap_both_ways(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    vocabulary = [f"{a}{b}word{c}" for a in "abc" for b in "xyz" for c in range(6)] + ["longwordinside", "wordinside"]
+    names = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 6)))) for i in range(120)] + [(500, "twice1 twice1"), (501, None), (502, "tiny set of a few")]
+    blobs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 40)))) for i in range(80)] + [(900, "twice1"), (901, None), (902, "prelongwordinsidepost xtwice1x")]
+    n, b = spark.createDataFrame(names, "name_id long, name string"), spark.createDataFrame(blobs, "blob_id long, blob string")
+    rows = lambda: sorted(map(tuple, link.word_overlap(n, b, "name", "blob").collect()))
+    by_words = rows()
+    monkeypatch.setattr(link, "FEW", 10_000)
+    assert len(names) > meet.FEW and by_words == rows() and len(by_words) > 50
+
+
+def test_shared_folder(spark, monkeypatch):
+    from linkspan import session
+
+    assert session.scratch(spark, "x") != session.scratch(spark, "x") and session.scratch(spark, "x").startswith(spark.sparkContext.getCheckpointDir())
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="share"):
+        session.shared_folder(Session())
