@@ -458,7 +458,7 @@ def gene_confidence(spark, d):
            SELECT n_nationkey::VARCHAR AS cui, CASE WHEN n_nationkey % 2 = 0 THEN coalesce(a.code::VARCHAR, '') ELSE c.code::VARCHAR END AS code
            FROM nation LEFT JOIN a ON a.cui = n_nationkey LEFT JOIN c ON c.cui = n_nationkey""")
 def code_bridge(spark, d):
-    """A curated row without the source does not fall through to the cache."""
+    """A curated row without the source does not fall through to the cache."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("cui"), F.col("n_nationkey").alias("k"), "n_regionkey")
     curated = n.where("k % 2 = 0").select("cui", F.when(F.col("k") % 5 != 0, "S").otherwise("OTHER").alias("sab"), F.col("n_regionkey").cast("string").alias("code"))
     cached = n.select("cui", F.lit("S").alias("sab"), (F.col("n_regionkey") + 100).cast("string").alias("code"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import display
 from ..functions import predicates as P
 from ..functions import text as X
 from ..operators import link
@@ -113,3 +114,15 @@ def whole_words(spark, d):
     """A phrase and a symbol as whole words only."""
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("partkey"), "p_name", F.concat("p_type", F.lit("-"), "p_size").alias("n"))
     return rows.select("partkey", P.phrase_in(F.lit("ring"), F.col("p_name")).alias("phrase"), P.symbol_in_name(F.lit("1"), F.col("n")).alias("symbol"))
+
+
+@query("""WITH b AS (SELECT DISTINCT p_type, p_brand FROM part), l AS (SELECT p_type, list(p_brand ORDER BY p_brand) AS names FROM b GROUP BY 1),
+           c AS (SELECT p_type, list_transform(names, lambda x, i: CASE WHEN i < len(names) THEN x || ',' ELSE x END) AS pieces FROM l)
+           SELECT p_type, list_reduce(list_prepend('   6  ' || pieces[1], pieces[2:]), lambda acc, x: CASE WHEN length(string_split(acc, chr(10))[-1]) + 1 + length(x) > 72 THEN acc || chr(10) || '      ' || x ELSE acc || ' ' || x END) AS lines,
+                  p_type || CASE WHEN p_type IN ('SMALL', 'LARGE') THEN ' [not in RxNorm]' ELSE '' END AS drug, CASE p_type WHEN 'SMALL' THEN '   [child of your search]' WHEN 'MEDIUM' THEN '   [text of your search]' ELSE '' END AS relation FROM c""")
+def display_lines(spark, d):
+    """lists of names in lines, and the tags of drugs and relations."""
+    names = table(spark, d, "part").groupBy("p_type").agg(F.sort_array(F.collect_set("p_brand")).alias("names"))
+    t = F.col("p_type")
+    relation = F.when(t == "SMALL", "child").when(t == "MEDIUM", "text").when(t == "LARGE", "exact")
+    return names.select("p_type", display.wrapped(F.col("names"), "   6  ").alias("lines"), display.drug_tag(t, ~t.isin("SMALL", "LARGE")).alias("drug"), display.relation_tag(relation).alias("relation"))

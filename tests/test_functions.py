@@ -93,3 +93,25 @@ def test_other_predicates(spark):
     assert value(spark, P.typed(F.col("x")), x=["Gene or Genome"]) is False
     assert value(spark, P.typed(F.col("x")), x=["Sign or Symptom"]) is True
     assert value(spark, P.disease_branch(F.col("x")), x=["F03.1", "A01"]) is True
+
+
+def test_wrapped_names(spark):
+    from linkspan.functions import display
+
+    def plain(names, indent, width):
+        out, line = [], None
+        for i, n in enumerate(names):
+            piece = n + ("," if i < len(names) - 1 else "")
+            if line is None:
+                line = indent + piece
+            elif len(line) + 1 + len(piece) > width:
+                out.append(line)
+                line = " " * len(indent) + piece
+            else:
+                line += " " + piece
+        return "\n".join(out + ([line] if line is not None else []))
+
+    cases = [[], ["one"], ["name" * 30], [f"name{i}" * (1 + i % 4) for i in range(40)], ["a"] * 100]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)] + [(9, None)], "i int, names array<string>")
+    got = {r["i"]: r["w"] for r in df.select("i", display.wrapped(F.col("names"), "  12  ", 40).alias("w")).collect()}
+    assert got == {i: plain(c, "  12  ", 40) for i, c in enumerate(cases)} | {9: ""}
