@@ -35,6 +35,25 @@ QUERIES = {
 _SPACE = r"[\x20\x09-\x0D]+"
 
 ORACLES = {
+    "op1_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+          WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+        r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), m AS (SELECT a, least(a, min(b)) AS m FROM r GROUP BY 1)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(m.m, vec_id) AS component_id, coalesce(m.m, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id""",
+    "op9_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+        -- Equal sets are one set, so that copies are not held against each other shingle by shingle.
+        g AS (SELECT min(doc_id) AS g, list_sort(s) AS s, count(*) AS n FROM s GROUP BY 2), d AS (SELECT doc_id, g FROM s JOIN g ON list_sort(s.s) = g.s),
+        u AS (SELECT g, len(s) AS size, unnest(s) AS x FROM g),
+        p AS (SELECT a.g AS a, b.g AS b FROM u a JOIN u b ON a.x = b.x AND a.g <> b.g GROUP BY a.g, b.g, a.size, b.size HAVING count(*) >= 0.8 * (a.size + b.size - count(*)) - 1e-9),
+        r(a, b) AS (SELECT g, g FROM g UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+        k AS (SELECT g.g, g.n - 1 + coalesce((SELECT sum(o.n) FROM p JOIN g o ON o.g = p.b WHERE p.a = g.g), 0) AS n_links, (SELECT min(b) FROM r WHERE r.a = g.g) AS c FROM g)
+        SELECT t.doc_id, coalesce(k.n_links, 0)::BIGINT AS n_links, coalesce(k.c, t.doc_id) AS component_id, coalesce(k.c, t.doc_id) = t.doc_id AS kept
+        FROM documents t LEFT JOIN d ON d.doc_id = t.doc_id LEFT JOIN k ON k.g = d.g""",
     "op10_exact_dedup": rf"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS x FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,

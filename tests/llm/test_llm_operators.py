@@ -594,7 +594,8 @@ def test_oracles(spark):
     import duckdb
 
     con = duckdb.connect()
-    con.sql("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         rel = con.sql(sql)
         out = queries.QUERIES[name](spark, "/root/testdata/sf0.01").select(*rel.columns)
