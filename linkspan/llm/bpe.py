@@ -2,8 +2,8 @@
 
 Text is cut into words by the tokenizer's pattern, and merges never cross words, so each distinct word is encoded once for all
 its places. The distinct words of a block of the corpus are laid out end to end as bytes; an inverted index leads from each
-mergeable pair to its positions, and merges are replayed in rank order: every position of the lowest rank is merged, and only
-the pairs it touches left and right enter the index anew. Encoded words are kept (up to ``KNOWN``) for the next blocks of the
+mergeable pair to its positions, and merges are replayed in rank order: all positions of the lowest rank are merged at once, and
+only the pairs they touch left and right enter the index anew. Encoded words are kept (up to ``KNOWN``) for the next blocks of the
 same task. Blocks are replayed where they are read: texts are never shuffled, and the replay over blocks gives exactly what
 the replay over the whole corpus would.
 
@@ -15,20 +15,21 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import re
 from collections.abc import Callable, Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_value, slices, text_or_empty
+from .common import by_value, slices, small_batches, text_or_empty
 
 by_value(__name__)
 
-#: Characters of a block, encoded words kept by a task, words of a block replayed at once (few enough that their places stay in the cache).
-BLOCK, KNOWN, AT_ONCE = 4_000_000, 250_000, 4_000
+#: Characters of a block, encoded words kept by a task, characters of words replayed at once.
+BLOCK, KNOWN, AT_ONCE = 2_000_000, 250_000, 1_000_000
 
 
 #: Code points that Unicode made letters or numbers after version 16, whose classes the tiktoken library has.
@@ -54,101 +55,123 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
-    """Rank of the token that a pair of tokens makes, for every pair that makes one; the key is left << 20 | right."""
+def pair_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, ranks): the rank of the token that a pair of tokens makes, for every pair that makes one; a key is left << 20 | right."""
     out = {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
                 out[left << 20 | right] = rank
-    return out
+    keys = np.fromiter(out, np.int64, len(out))
+    order = keys.argsort()
+    return keys[order], np.fromiter(out.values(), np.int32, len(out))[order]
 
 
-def replayer(ranks: dict[bytes, int], pairs: dict[int, int]) -> Callable[[list[bytes]], list[list[int]]]:
+#: Stands for the end of a word on either side; no token has this id, as ids have 20 bits in a pair.
+_END = 2**20 - 1
+
+
+def replayer(ranks: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray]) -> Callable[[list[bytes]], list[list[int]]]:
     """A function that encodes distinct words by replaying merges over all of them at once."""
-    single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    first_pairs = np.array([[pairs.get(int(a) << 20 | int(b), -1) for b in single] for a in single], np.int64)
-    made = pairs.get
+    keys, values = pairs
+    top = len(keys) - 1
+
+    def made(left, right) -> np.ndarray:
+        """Ranks of the tokens that pairs make, -1 where they make none."""
+        k = np.asarray(left, np.int64) << 20 | right
+        if top < 0:
+            return np.full(k.shape, -1, np.int32)
+        i = np.minimum(np.searchsorted(keys, k), top)
+        return np.where(keys[i] == k, values[i], -1)
+
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+    first_pairs = made(single[:, None], single[None])
 
     def replay(words: list[bytes]) -> list[list[int]]:
         whole = [ranks.get(w) for w in words]
         todo = [w for w, r in zip(words, whole, strict=True) if r is None]
         raw = np.frombuffer(b"".join(todo), np.uint8)
         lengths = np.array([len(w) for w in todo], np.int64)
-        owners = np.repeat(np.arange(len(todo)), lengths)
+        owner = np.repeat(np.arange(len(todo), dtype=np.int32), lengths)
         n = len(raw)
-        # Words end to end: symbols, neighbours (-1 at a word's ends) and the rank of the pair that starts at a place (-1: none).
-        inner = owners[1:] == owners[:-1]
-        pair_at = np.full(n, -1, np.int64)
-        pair_at[: n - 1] = np.where(inner, first_pairs[raw[:-1], raw[1:]], -1) if n else -1
-        place = np.arange(n)
-        after = np.where(np.append(inner, False), place + 1, -1)[:n].tolist()
-        before = np.where(np.insert(inner, 0, False), place - 1, -1)[:n].tolist()
-        by_rank = np.argsort(pair_at, kind="stable")
-        by_rank = by_rank[np.searchsorted(pair_at[by_rank], 0) :]
-        heads, starts = np.unique(pair_at[by_rank], return_index=True)
-        index = {r: part.tolist() for r, part in zip(heads.tolist(), np.split(by_rank, starts[1:]), strict=False)}
-        sym, pair, owner = single[raw].tolist(), pair_at.tolist(), owners.tolist()
-        heap = list(index)
-        heapify(heap)
+        # Words end to end: symbols, neighbours and the rank of the pair that starts at a place (-1: none); place n is the end of every word.
+        inner = owner[1:] == owner[:-1]
+        sym, pair = np.append(single[raw], np.int32(_END)), np.full(n + 1, -1, np.int32)
+        place = np.arange(n, dtype=np.int32)
+        after, before = np.full(n + 1, n, np.int32), np.full(n + 1, n, np.int32)
+        if n:
+            pair[: n - 1] = np.where(inner, first_pairs[raw[:-1], raw[1:]], -1)
+            after[: n - 1], before[1:n] = np.where(inner, place[1:], n), np.where(inner, place[:-1], n)
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(places: np.ndarray, of: np.ndarray) -> None:
+            """Places (in order) into the index under their ranks."""
+            some = of >= 0
+            places, of = places[some], of[some]
+            if not len(of):
+                return
+            by = of.argsort(kind="stable")
+            places, of = places[by], of[by]
+            cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+            for r, part in zip(of[np.append(0, cuts)].tolist(), np.split(places, cuts), strict=True):
+                if r in index:
+                    index[r].append(part)
+                else:
+                    index[r] = [part]
+                    heappush(heap, r)
+
+        enter(place, pair[:n])
         while heap:
             r = heappop(heap)
-            places = index.pop(r)
-            places.sort()
-            late: list[int] = []  # places in words where a merge has just made a pair of lower rank
-            held: set[int] = set()
-            left = r << 20
-            for p in places:
-                if pair[p] != r:
-                    continue
-                if held and owner[p] in held:
-                    late.append(p)
-                    continue
+            parts = index.pop(r)
+            p = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            p = p[pair[p] == r]
+            if not len(p):
+                continue
+            q = after[p]
+            # Of overlapping places (a a a) every second one merges, from the left.
+            chain = q[:-1] == p[1:]
+            if chain.any():
+                at = np.arange(len(p))
+                first = np.maximum.accumulate(np.where(np.append(False, chain), 0, at))
+                p = p[(at - first) % 2 == 0]
+                q = after[p]
+            nxt, prv = after[q], before[p]
+            x, y = made(r, sym[nxt]), made(sym[prv], r)
+            lower = ((x >= 0) & (x < r)) | ((y >= 0) & (y < r))
+            side = np.flatnonzero(nxt[:-1] == p[1:])  # both merge: their new tokens are neighbours
+            if len(side):
+                twice = int(made(r, r))
+                x[side], y[side + 1] = twice, twice
+                lower[side] |= 0 <= twice < r
+            if lower.any():
+                # A merge makes a pair of lower rank, which comes before the other merges of its word: those words merge one place only for now.
+                held = np.isin(owner[p], owner[p[lower]])
+                leads = np.append(True, owner[p[1:]] != owner[p[:-1]])
+                late = p[held & ~leads]
+                index[r] = [late]
+                heappush(heap, r)
+                p = p[~held | leads]
                 q = after[p]
                 nxt, prv = after[q], before[p]
-                sym[p], sym[q], pair[q], after[p] = r, -1, -1, nxt
-                if nxt >= 0:
-                    before[nxt] = p
-                    x = made(left | sym[nxt], -1)
-                    pair[p] = x
-                    if x >= 0:
-                        if x in index:
-                            index[x].append(p)
-                        else:
-                            index[x] = [p]
-                            heappush(heap, x)
-                        if x < r:
-                            held.add(owner[p])
-                else:
-                    pair[p] = -1
-                if prv >= 0:
-                    x = made(sym[prv] << 20 | r, -1)
-                    pair[prv] = x
-                    if x >= 0:
-                        if x in index:
-                            index[x].append(prv)
-                        else:
-                            index[x] = [prv]
-                            heappush(heap, x)
-                        if x < r:
-                            held.add(owner[p])
-            if late:
-                if r in index:
-                    index[r] += late
-                else:
-                    index[r] = late
-                    heappush(heap, r)
-        alive = np.array(sym, np.int64) >= 0
-        flat = np.array(sym, np.int64)[alive].tolist()
-        ends = np.concatenate([[0], np.cumsum(np.bincount(owners[alive], minlength=len(todo)))]).tolist()
+            sym[p], sym[q], pair[q], after[p], before[nxt] = r, -1, -1, nxt, p
+            x, y = made(r, sym[nxt]), made(sym[prv], r)
+            pair[p], pair[prv] = x, y
+            pair[n], before[n] = -1, n
+            enter(p, x)
+            enter(prv, y)
+        alive = sym[:n] >= 0
+        flat = sym[:n][alive].tolist()
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner[alive], minlength=len(todo)))]).tolist()
         done = (flat[a:b] for a, b in zip(ends, ends[1:], strict=False))
         return [[r] if r is not None else next(done) for r in whole]
 
     return replay
 
 
-def coder(ranks: dict[bytes, int], pairs: dict[int, int], pattern: str, keep: Callable = lambda ids: ids) -> Callable[[list[str]], Iterator[list]]:
+def coder(ranks: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray], pattern: str, keep: Callable = lambda ids: ids) -> Callable[[list[str]], Iterator[list]]:
     """A function from a block of texts to, for each, the list of what ``keep`` makes of the ids of its words. Each distinct word is encoded once."""
     import regex
 
@@ -156,20 +179,17 @@ def coder(ranks: dict[bytes, int], pairs: dict[int, int], pattern: str, keep: Ca
     newer = "".join(NEWER.split())
     strict = regex.compile(pattern.replace(r"\p{L}", rf"[\p{{L}}--[{newer}]]").replace(r"\p{N}", rf"[\p{{N}}--[{newer}]]"), regex.V1).findall
     has_newer = regex.compile(f"[{newer}]").search
+    may_have = re.compile(f"[{newer[0]}-\U0010ffff]").search  # far cheaper, and false for most texts
     replay = replayer(ranks, pairs)
     known: dict[str, object] = {}
 
     def words_of(texts: list[str]) -> Iterator[list]:
         if len(known) > KNOWN:
             known.clear()
-        cut = [find(t) for t in texts]
+        cut = [strict(t) if may_have(t) and has_newer(t) else find(t) for t in texts]
         new = [w for w in set().union(*cut) if w not in known]
-        if any(map(has_newer, new)):
-            cut = [strict(t) if has_newer(t) else words for t, words in zip(texts, cut, strict=True)]
-            new = [w for w in set().union(*cut) if w not in known]
         new.sort()  # words that begin alike lie together, and so do the places of a pair
-        for i in range(0, len(new), AT_ONCE):
-            part = new[i : i + AT_ONCE]
+        for part in _batches(new):
             known.update(zip(part, map(keep, replay([w.encode() for w in part])), strict=True))
         for words in cut:
             yield list(map(known.__getitem__, words))
@@ -177,6 +197,18 @@ def coder(ranks: dict[bytes, int], pairs: dict[int, int], pattern: str, keep: Ca
     return words_of
 
 
+def _batches(words: list[str]) -> Iterator[list[str]]:
+    """Words replayed at once: AT_ONCE characters, or one longer word."""
+    size, first = 0, 0
+    for i, w in enumerate(words):
+        if size and size + len(w) > AT_ONCE:
+            yield words[first:i]
+            size, first = 0, i
+        size += len(w)
+    if first < len(words):
+        yield words[first:]
+
+
 def _blocks(texts: list[str]) -> Iterator[list[str]]:
     block, size = [], 0
     for t in texts:
@@ -207,7 +239,7 @@ def _mapped(docs: DataFrame, text: str, id: str, path: str, pattern: str, keep:
         finally:
             gc.enable()  # the worker goes on to other tasks
 
-    return rows.mapInArrow(run, f"`{id}` {kind}, " + ", ".join(f"{k} {v}" for k, v in fields.items()))
+    return small_batches(rows).mapInArrow(run, f"`{id}` {kind}, " + ", ".join(f"{k} {v}" for k, v in fields.items()))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str = "doc_id") -> DataFrame:

@@ -43,6 +43,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 ROWS_AT_ONCE = 256
 
 
+def small_batches(df: DataFrame, rows: int = 4 * ROWS_AT_ONCE) -> DataFrame:
+    """``df``, whose session from now on hands Python workers batches of at most so many rows.
+
+    The session's default, ten thousand, is meant for rows of numbers; of whole texts that is tens of megabytes, held several times over."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def slices(batches, rows: int = ROWS_AT_ONCE):
     """Record batches cut into small ones without copying, so that a worker's memory does not follow the size of Spark's batches."""
     for batch in batches:
@@ -85,6 +95,10 @@ def hub_join(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, ho
     return rows.join(F.broadcast(hubs), key).unionByName(others)
 
 
+#: Edges read by a task of a round.
+EDGES = 10_000
+
+
 def _state(edges: DataFrame) -> tuple:
     """Number of edges and a sum of their hashes."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -103,6 +117,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = checkpoint(e)
     seen, now = None, _state(e)
     while now != seen:
+        e = e.coalesce(max(1, math.ceil(now[0] / EDGES)))  # few edges are few tasks and few files in every shuffle of a round
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = hub_join(both.where(F.col("v") > F.col("u")), low, "u", "n", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

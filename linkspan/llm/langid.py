@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, slices, text_or_empty
+from .common import by_value, slices, small_batches, text_or_empty
 
 by_value(__name__)
 
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict] | None, text: str =
             langs, sure = scores(batch.column(2).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs), pa.array(sure)], [id, "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"`{id}` {kind}, held_out boolean, lang_pred string, score double")
+    return small_batches(rows).mapInArrow(run, f"`{id}` {kind}, held_out boolean, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id") -> DataFrame:
@@ -221,4 +221,4 @@ def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", id: str
             rest = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
             yield rest.filter(pa.array([s >= sure and s > 0 for s in sure_], pa.bool_()))
 
-    return marked.mapInArrow(run, docs.schema)
+    return small_batches(marked).mapInArrow(run, docs.schema)
