@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import instrument_names
-from ..operators import hierarchy, link, quality, resolve, usage
+from ..operators import hierarchy, link, quality, records, resolve, usage
 from ..session import checkpoint
 
 
@@ -37,6 +37,10 @@ class Sources:
     least_instrument: int = 6
 
 
+#: Statuses of steps that were left out.
+IDLE = ("NOT_NEEDED", "NO_HIERARCHY", "CONDITION_UNRESOLVED")
+
+
 def identities(queries: DataFrame, s: Sources, rules: resolve.Rules = resolve.Rules()) -> DataFrame:
     return checkpoint(resolve.resolve(queries, s.atoms, s.concepts, s.trials, s.guidance, rules=rules))
 
@@ -90,6 +94,16 @@ def run(queries: DataFrame, s: Sources, rules: resolve.Rules = resolve.Rules(),
     return out
 
 
+def recorded(out: dict[str, DataFrame], day: str) -> DataFrame:
+    """query_id, record, suppressed: the empty record of every query that settled on a concept (null for others), and a suppression record
+    for each step of the run that was not needed or could not be made, by name. ``day`` dates both."""
+    on = F.lit(day).cast("date")
+    who = out["identity"].select("query_id", F.when(F.col("cui").isNotNull(), records.disease_record(F.col("cui"), F.col("label"), on)).alias("record"))
+    idle = F.filter(F.array_sort(F.map_entries("steps")), lambda x: x["value"]["status"].isin(*IDLE))
+    steps = out["summary"].select("query_id", F.transform(idle, lambda x: records.suppression(x["key"], x["value"]["status"], F.lit("another status of an earlier step"), on)).alias("suppressed"))
+    return who.join(steps, "query_id", "left")
+
+
 def assembled(out: dict[str, DataFrame]) -> DataFrame:
     """What the parts of ``run`` say of each query, and nothing they do not: counts, whether items, qualified ones and drugs were found,
     the gap (drugs but no catalogue items), and the three best-agreed neighbours that have items, where the query has none.

@@ -240,6 +240,18 @@ def run_summary(spark, d):
     return _summary(batch.run(asked, s, RULES)["summary"])
 
 
+@query(_ASKED + """,
+    z AS (SELECT query, cui, CASE WHEN cui IN ('STANDARD', 'SMALL') THEN 'COA_FOUND' WHEN cui IS NULL THEN 'CONDITION_UNRESOLVED' ELSE 'NO_COA' END AS catalog FROM i)
+    SELECT query AS query_id, cui AS orpha_id, CASE WHEN cui IS NOT NULL THEN '3.3' END AS version, CASE WHEN cui IS NOT NULL THEN 0 END AS n_found,
+           CASE WHEN catalog = 'COA_FOUND' THEN 'neighbours=NOT_NEEDED' WHEN cui IS NULL THEN 'catalog=CONDITION_UNRESOLVED,neighbours=NO_HIERARCHY,usage=NOT_NEEDED' ELSE 'usage=NOT_NEEDED' END AS suppressed FROM z""")
+def run_records(spark, d):
+    """The record of every mention that settled on a concept, and the steps that were left out."""
+    asked, s = _run_sources(spark, d)
+    out = batch.recorded(batch.run(asked, s, RULES), "2026-01-02")
+    left_out = F.array_join(F.transform("suppressed", lambda x: F.concat(x["agent"], F.lit("="), x["suppression_reason"])), ",")
+    return out.select("query_id", F.col("record.metadata.orpha_id").alias("orpha_id"), F.col("record.metadata.schema_version").alias("version"), F.col("record.evidence.pubmed_total_found").alias("n_found"), left_out.alias("suppressed"))
+
+
 @query(_ASKED + _SUMMARY.format(near="'LARGE'"))
 def run_qualified(spark, d):
     """Neighbours for what has no qualified item of its own, and only those that have one."""
