@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, checkpoint, components, hub_join, keep_rows, named, slices, small, text_or_empty
+from .common import by_value, checkpoint, components, hub_join, keep_rows, named, slices, small, small_batches, text_or_empty
 
 by_value(__name__)
 
 WORDS, SIMILARITY, RECALL, HASHES, BLOCK = 5, 0.8, 0.9995, 128, 256
 #: Signatures are so much smaller than sets that blocks of them are larger, unless that is more than one of so many shares of all nodes.
-SIGNATURES, SHARES = 4, 64
+SIGNATURES, SHARES = 4, 256
 #: Earlier bands by which the members of a large bucket are sorted; blocks of a class at most (numbers, not rows).
 OWNERS, BLOCKS = 6, 2**24
 #: Hashes of words kept by a task.
@@ -122,7 +122,7 @@ def prints(docs: DataFrame, bands: int, rows: int, n: int, text: str, id: str) -
                 signs.append(signature(s, by).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary())], ["id", "row", "sha", "digest", "size", "sign"])
 
-    return checkpoint(inner.mapInArrow(run, f"id {kind}, row long, sha binary, digest binary, size int, sign binary"))
+    return checkpoint(small_batches(inner).mapInArrow(run, f"id {kind}, row long, sha binary, digest binary, size int, sign binary"))
 
 
 def _pieces(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -286,7 +286,7 @@ def linked(docs: DataFrame, text: str = "text", id: str = "doc_id", n: int = WOR
             sets = [shingles(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
 
-    sets = again.mapInArrow(full, "digest binary, shingles binary").join(small(wanted.select("digest", "node")), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = small_batches(again).mapInArrow(full, "digest binary, shingles binary").join(small(wanted.select("digest", "node")), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
     def check(frames):
         for df in _pieces(frames, ["band", "bucket", "a", "b"]):
