@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import LEAST_TERM, control, overlaps_enough, term_matches, words_present
-from ..functions.text import digits_key, drug_entries, generics_agree, iso_date, normalize_loose
+from ..functions.text import digits_key, drug_entries, generics_agree, iso_date, loose_words, normalize_loose
 from ..session import bounded, checkpoint
 from .meet import FEW, containing
 
@@ -137,23 +137,25 @@ def word_overlap(names: DataFrame, blobs: DataFrame, name: str, blob: str) -> Da
     """
     words = F.filter(F.split("n", " "), lambda w: F.length(w) > 4)
     n = names.select("name_id", normalize_loose(F.col(name)).alias("n")).where(F.size(words) >= 2)
-    b = blobs.select("blob_id", normalize_loose(F.col(blob)).alias("b"))
     few = bounded(n, FEW)
     if few is not n:
         by_length = F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
         few = F.broadcast(n.withColumn("w1", F.get(by_length, F.lit(0))["w"]).withColumn("w2", F.coalesce(F.get(by_length, F.lit(1))["w"], F.col("w1"))))
+        b = blobs.select("blob_id", normalize_loose(F.col(blob)).alias("b"))
         found = words_present(F.col("n"), F.col("b"))
         # One conditional expression: as two predicates Catalyst would put the costly one first.
         rows = b.join(few, F.when(F.col("b").contains(F.col("w1")) | F.col("b").contains(F.col("w2")), overlaps_enough(found)).otherwise(False))
         return rows.select("name_id", "blob_id", found.alias("f")).select("name_id", "blob_id", "f.present", "f.of")
     each = checkpoint(n.select("name_id", F.size(words).alias("of"), F.explode(words).alias("w")).groupBy("name_id", "of", "w").agg(F.count("*").alias("times")))
-    tokens = checkpoint(b.select("blob_id", F.explode(F.array_distinct(F.split("b", " "))).alias("token")).where(F.length("token") > 4))
-    met = bounded(checkpoint(containing(tokens.select("token").distinct(), "token", "token", each, "w"))).withColumnsRenamed({"key": "token", "term": "w"})
-    has = checkpoint(tokens.join(met, "token").select("blob_id", "w").distinct())
-    often = bounded(has.groupBy("w").agg(F.count("*").alias("n")))
+    tokens = checkpoint(blobs.select("blob_id", F.explode(F.array_distinct(loose_words(F.col(blob)))).alias("token")).where(F.length("token") > 4))
+    known = checkpoint(tokens.groupBy("token").agg(F.count("*").alias("n")))
+    met = checkpoint(containing(known, "token", "token", each, "w").withColumnsRenamed({"key": "token", "term": "w"}))
+    often = bounded(met.join(known, "token").groupBy("w").agg(F.sum("n").alias("n")))
     rare = each.join(often, "w", "left").groupBy("name_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))), 1, 2).alias("two"))
-    pairs = checkpoint(has.join(bounded(rare.select("name_id", F.explode(F.transform("two", lambda x: x["w"])).alias("w"))), "w").select("name_id", "blob_id").distinct())
-    counted = pairs.join(bounded(each), "name_id").join(has, ["blob_id", "w"]).groupBy("name_id", "blob_id").agg(F.sum("times").cast("int").alias("present"), F.first("of").alias("of"))
+    rare = rare.select("name_id", F.explode(F.transform("two", lambda x: x["w"])).alias("w"))
+    pairs = checkpoint(tokens.join(bounded(checkpoint(met.join(bounded(rare), "w").select("token", "name_id").distinct())), "token").select("name_id", "blob_id").distinct())
+    mine = tokens.join(bounded(pairs), "blob_id").join(bounded(met), "token").select("name_id", "blob_id", "w").distinct()
+    counted = mine.join(bounded(each), ["name_id", "w"]).groupBy("name_id", "blob_id").agg(F.sum("times").cast("int").alias("present"), F.first("of").alias("of"))
     return counted.where(overlaps_enough(F.struct("present", "of"))).select("name_id", "blob_id", "present", "of")
 
 

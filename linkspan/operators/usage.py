@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import matching_outcomes, phrase_in, scaffolding, trial_id, uses_instrument
 from ..functions.text import aliases, clean_measure, flat_spaces, trimmed
-from ..session import bounded
+from ..session import bounded, checkpoint
 from .dedup import first_per_key
 from .link import therapies
 from .meet import FEW, containing
@@ -127,7 +127,8 @@ def canonical_measures(stream: DataFrame, lists: DataFrame) -> DataFrame:
     lists: label, category, list_rank (0 first), _ord; the first list that names the measure wins, and in it the first spelling.
     Safety and laboratory outcomes are held against the first list only. Measures that no list names stand for themselves as
     ``other`` (list_rank null). Variants are the cleaned measures that differ from the instrument's name."""
-    rows = stream.withColumn("clean", clean_measure(F.col("measure"))).where(F.length("clean") >= LEAST_MEASURE).withColumn("low", flat_spaces(F.lower("clean")))
+    rows = stream.select("nct_id", "kind", clean_measure(F.col("measure")).alias("clean")).where(F.length("clean") >= LEAST_MEASURE)
+    rows = checkpoint(rows.withColumn("low", flat_spaces(F.lower("clean"))))  # read for its texts, then for its rows
     names = lists.select("label", "category", "list_rank", "_ord", F.posexplode(aliases(F.col("label"))).alias("pos", "alias")).where("alias <> ''")
     # A spelling keeps its first place and takes the last label that it is given.
     at = F.struct("_ord", "pos")
@@ -141,8 +142,8 @@ def canonical_measures(stream: DataFrame, lists: DataFrame) -> DataFrame:
         met = texts.join(few, named)
     else:
         met = containing(texts, "low", "low", names, "alias").withColumnsRenamed({"key": "low", "term": "alias"}).join(names, "alias").where(named)
-    hit = met.groupBy("low").agg(F.min(F.struct("list_rank", "at", "l")).alias("h"))
-    rows = rows.join(hit, "low", "left").withColumn("instrument", F.coalesce("h.l.label", "clean"))
+    hit = checkpoint(met.groupBy("low").agg(F.min(F.struct("list_rank", "at", "l")).alias("h")))
+    rows = rows.join(bounded(hit), "low", "left").withColumn("instrument", F.coalesce("h.l.label", "clean"))
     kind = F.struct(F.coalesce("h.list_rank", F.lit(2**31 - 1)).alias("rank"), F.coalesce("h.l.category", F.lit("other")).alias("category"), F.col("h.list_rank").alias("list_rank"))
     variant = F.when(F.col("clean") != F.col("instrument"), F.col("clean"))
     rows = rows.select("instrument", "nct_id", "kind", kind.alias("k"), variant.alias("variant"))

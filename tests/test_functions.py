@@ -115,3 +115,10 @@ def test_wrapped_names(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)] + [(9, None)], "i int, names array<string>")
     got = {r["i"]: r["w"] for r in df.select("i", display.wrapped(F.col("names"), "  12  ", 40).alias("w")).collect()}
     assert got == {i: plain(c, "  12  ", 40) for i, c in enumerate(cases)} | {9: ""}
+
+
+def test_loose_words(spark):
+    texts = ["Don’t (x y) stop—İstanbul's  a-b_c", "", None, "x(y(z)w)v", "(open", " 12 mg/ml ÄÖ ü\u00a0q\u2003r\n", "--'--"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(X.loose_words(F.col("t")).alias("w"), F.filter(F.split(X.normalize_loose(F.col("t")), " "), lambda w: w != "").alias("v")).collect():
+        assert r["w"] == r["v"]
