@@ -1,8 +1,8 @@
-"""The queries of the ten operators with production parameters, each over its whole table."""
+"""The queries of the operators with production parameters, each over its whole table."""
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, exact_dedup, jaccard_join, langid, mixing, pii, secrets, sharding, url_filter
+from . import alignment, bpe, embedding_dedup, exact_dedup, jaccard_join, langid, mixing, pii, secrets, sharding, url_filter
 from .common import table
 
 #: The rules that page urls are held against.
@@ -19,6 +19,13 @@ def tokenizer() -> dict:
     return {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
+def two_tokenizers() -> dict:
+    """Places of the files of a byte-level tokenizer and of a SentencePiece model, and the pattern of the first."""
+    import public_tokenizers
+
+    return {"path_a": public_tokenizers.path("byte_bpe_50k.json"), "path_b": public_tokenizers.path("piece_bpe_32k.model"), "pattern": public_tokenizers.PATTERN}
+
+
 QUERIES = {
     "op1_embedding_near_dedup": lambda spark, d: embedding_dedup.near_duplicates(table(spark, d, "embeddings")),
     "op2_pii": lambda spark, d: pii.pii_report(table(spark, d, "documents")),
@@ -30,6 +37,7 @@ QUERIES = {
     "op8_bpe": lambda spark, d: bpe.encode_digests(table(spark, d, "documents"), **tokenizer()),
     "op9_jaccard_join": lambda spark, d: jaccard_join.jaccard_join(table(spark, d, "documents")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
+    "op13_alignment": lambda spark, d: alignment.align_digests(table(spark, d, "documents"), **two_tokenizers()),
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
