@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from .common import by_value, hub_join, slices, small_batches, text_or_empty, wr
 by_value(__name__)
 
 #: Units that a task remembers at most before it begins anew, bytes of texts worked on at once, shares of a pair in the first shuffle.
-UNITS, AT_ONCE, SALTS = 200_000, 4_000_000, 16
+UNITS, AT_ONCE, SALTS = 400_000, 4_000_000, 16
 #: A blank after something that is no white space; the blank belongs to what follows.
 UNIT = re.compile(r"(?<=\S) ")
 COLUMNS = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "pairs": "array<long>", "times": "array<int>"}
@@ -88,7 +89,7 @@ def align(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray)
 
     ``a``, ``b``: ids; ``size_a``, ``size_b``: bytes of each id. Tokens of no bytes end where the one before them ends."""
     end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
-    cuts = np.intersect1d(end_a, end_b)
+    cuts = np.intersect1d(end_a, end_b, assume_unique=bool(size_a[a].all() and size_b[b].all()))
     first_a, first_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
     n_a, n_b = np.searchsorted(end_a, cuts, "right") - first_a, np.searchsorted(end_b, cuts, "right") - first_b
     n = n_a * n_b
@@ -111,13 +112,23 @@ class Aligner:
         self.known, self.rows, self.told = {}, np.zeros((0, 6), np.int64), []
         self.pairs = np.zeros(0, np.int64)
 
+    @staticmethod
+    def spell(side, ids: list[list[int]], raw: list[bytes]) -> np.ndarray:
+        """Whether each list of ids gives its bytes back."""
+        flat = [*map(side.spelled.__getitem__, chain.from_iterable(ids))]
+        ends = np.cumsum([0, *map(len, flat)])[np.cumsum([len(x) for x in ids])]
+        if (ends == np.cumsum([len(r) for r in raw])).all() and b"".join(flat) == b"".join(raw):
+            return np.ones(len(raw), bool)
+        return np.array([b"".join(map(side.spelled.__getitem__, x)) == r for x, r in zip(ids, raw, strict=True)])
+
     def learn(self, units: list[str]) -> None:
         """Adds to what is known: per unit its numbers of tokens, groups and links, where its links begin, whether its bytes agree, and its groups as text."""
         ids_a, ids_b = [self.a.encode(" " + u) for u in units], self.b.encode(units)
         raw = [b" " + u.encode() for u in units]
-        same = np.array([b"".join(map(self.a.spelled.__getitem__, x)) == r == b"".join(map(self.b.spelled.__getitem__, y)) for x, y, r in zip(ids_a, ids_b, raw, strict=True)])
-        ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, same, strict=True)] for ids in (ids_a, ids_b))
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (ids_a, ids_b))
+        same = self.spell(self.a, ids_a, raw) & self.spell(self.b, ids_b, raw)
+        if not same.all():
+            ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, same, strict=True)] for ids in (ids_a, ids_b))
+        a, b = (np.array(list(chain.from_iterable(ids)), np.int64) for ids in (ids_a, ids_b))
         cuts, group_a, group_b, link_a, link_b, at = align(a, b, self.size_a, self.size_b)
         whole = np.cumsum([len(r) if ok else 0 for r, ok in zip(raw, same, strict=True)])
         owner = np.searchsorted(whole, cuts)
@@ -146,7 +157,7 @@ class Aligner:
         if new:
             self.learn(new)
         for text, units in zip(texts, parts, strict=True):
-            at = np.fromiter((self.known[u] for u in units), np.int64, len(units))
+            at = np.array([*map(self.known.__getitem__, units)], np.int64)
             if not self.rows[at, 5].all():
                 yield self.whole(text)
                 continue
@@ -155,7 +166,7 @@ class Aligner:
             where = np.repeat(self.rows[own, 4] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             pairs, place = np.unique(self.pairs[where], return_inverse=True)
             times = np.bincount(place, np.repeat(often, n), len(pairs)).astype(np.int32)
-            told = "".join([self.told[i] for i in at.tolist()])
+            told = "".join(map(self.told.__getitem__, at.tolist()))
             yield *self.rows[at, :4].sum(0).tolist(), hashlib.sha256(told[:-1].encode()).hexdigest() if told else "", pairs, times
 
     def whole(self, text: str) -> tuple:

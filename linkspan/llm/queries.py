@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, embedding_dedup, exact_dedup, jaccard_join, langid, mixing, pii, secrets, sharding, url_filter
+from . import alignment, bpe, embedding_dedup, exact_dedup, hard_negatives, jaccard_join, langid, mixing, pii, secrets, sharding, url_filter
 from .common import table
 
 #: The rules that page urls are held against.
@@ -37,6 +37,7 @@ QUERIES = {
     "op8_bpe": lambda spark, d: bpe.encode_digests(table(spark, d, "documents"), **tokenizer()),
     "op9_jaccard_join": lambda spark, d: jaccard_join.jaccard_join(table(spark, d, "documents")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
+    "op12_hard_negatives": lambda spark, d: hard_negatives.mine_embeddings(table(spark, d, "embeddings")),
     "op13_alignment": lambda spark, d: alignment.align_digests(table(spark, d, "documents"), **two_tokenizers()),
 }
 
@@ -66,6 +67,15 @@ ORACLES = {
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS x FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256 FROM t""",
+    "op12_hard_negatives": """
+        WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, o.vec_id AS other, a.label = o.label AS same, list_inner_product(a.x::DOUBLE[], o.x::DOUBLE[])::BIGINT AS score
+          FROM r a JOIN r o ON a.vec_id <> o.vec_id AND len(a.x) = len(o.x) WHERE a.vec_id % 50 = 0),
+        p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other))::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3""",
     "op3_mixing": r"""
         WITH t AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
