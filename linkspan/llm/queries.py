@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, embedding_dedup, exact_dedup, hard_negatives, jaccard_join, langid, mixing, pii, secrets, sharding, url_filter
+from . import alignment, bpe, embedding_dedup, exact_dedup, hard_negatives, jaccard_join, langid, mixing, pii, repeats, secrets, sharding, url_filter
 from .common import table
 
 #: The rules that page urls are held against.
@@ -37,6 +37,7 @@ QUERIES = {
     "op8_bpe": lambda spark, d: bpe.encode_digests(table(spark, d, "documents"), **tokenizer()),
     "op9_jaccard_join": lambda spark, d: jaccard_join.jaccard_join(table(spark, d, "documents")),
     "op10_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(table(spark, d, "documents")),
+    "op11_repeats": lambda spark, d: repeats.repeat_digests(table(spark, d, "documents")),
     "op12_hard_negatives": lambda spark, d: hard_negatives.mine_embeddings(table(spark, d, "embeddings")),
     "op13_alignment": lambda spark, d: alignment.align_digests(table(spark, d, "documents"), **two_tokenizers()),
 }
