@@ -4,7 +4,8 @@ Every document has a 60-bit hash of its id and text. A source that is to give ``
 the documents whose hash lies below a threshold. The threshold comes from a histogram of words by source and leading 12 bits;
 only documents of the bucket in which the budget ends are counted again by the next 12 bits, and so on until that bucket holds
 one hash value. Nothing is sorted, thresholds of smaller budgets are nested in those of larger ones, and what travels is one
-row per source and bucket (map-side sums first, so a source with a third of all rows costs no more than another).
+row per source and bucket (map-side sums first, so a source with a third of all rows costs no more than another). Rows that agree
+in id and text share a hash; where a budget ends inside such rows they are numbered, and as many are taken as come nearest to it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def _hash(text: str, id: str) -> Column:
 
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id") -> DataFrame:
-    """id, source, size in words and hash of every row. Rows that agree in id and text share a hash and a fate."""
+    """id, source, size in words and hash of every row. Rows that agree in id and text share a hash."""
     return docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("src"), n_words(text).alias("size"), _hash(text, id).alias("h"))
 
 
@@ -67,7 +68,8 @@ def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
 
 
 def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """(src, source_size, target, passes, below): documents of a source are taken ``passes`` times, those with h < below once more."""
+    """(src, source_size, target, passes, below, at, most): documents of a source are taken ``passes`` times, those with h < below once
+    more, and so are ``most`` of those with h = at (which is null but where there are several)."""
     goal = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = checkpoint(goal.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
     n = goal.count()
@@ -76,29 +78,45 @@ def thresholds(rows: DataFrame, goal: DataFrame) -> DataFrame:
     for done in range(STEP, BITS + 1, STEP):
         bucket = F.shiftright("h", BITS - done)
         inside = spread.join(small(edge, n), F.col("src").eqNullSafe(F.col("_src")) & (F.shiftright("h", BITS - done + STEP) == F.col("prefix")))
-        hist = inside.groupBy("src", bucket.alias("b")).agg(F.sum("size").alias("words"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.first("rest").alias("rest"), F.first("below_sum").alias("below_sum"))
+        hist = inside.groupBy("src", bucket.alias("b")).agg(F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.first("rest").alias("rest"), F.first("below_sum").alias("below_sum"))
         upto = F.col("below_sum") + F.sum("words").over(W.partitionBy("src").orderBy("b"))
         hist = hist.withColumn("upto", upto)
-        at = hist.where(F.col("upto") >= F.col("rest")).groupBy("src").agg(F.min(F.struct("b", "upto", "words", "lo", "hi", "rest")).alias("x"))
-        edge = checkpoint(at.select(F.col("src").alias("_src"), "x.rest", F.col("x.b").alias("prefix"), (F.col("x.upto") - F.col("x.words")).alias("below_sum"), "x.words", "x.lo", "x.hi"))
+        at = hist.where(F.col("upto") >= F.col("rest")).groupBy("src").agg(F.min(F.struct("b", "upto", "words", "lo", "hi", "rest", "n")).alias("x"))
+        edge = checkpoint(at.select(F.col("src").alias("_src"), "x.rest", F.col("x.b").alias("prefix"), (F.col("x.upto") - F.col("x.words")).alias("below_sum"), "x.words", "x.lo", "x.hi", "x.n"))
         if edge.where(F.col("lo") != F.col("hi")).isEmpty():
             break
     over, under = F.col("below_sum") + F.col("words") - F.col("rest"), F.col("rest") - F.col("below_sum")
-    edge = edge.withColumn("below", F.when(over < under, F.col("hi") + 1).otherwise(F.col("lo"))).select("_src", "below")
-    return goal.join(edge, F.col("src").eqNullSafe(F.col("_src")), "left").select("src", "source_size", "target", "passes", F.coalesce("below", F.lit(0)).cast("long").alias("below"))
+    several = (F.col("lo") == F.col("hi")) & (F.col("n") > 1)
+    most = F.ceil(F.try_divide(under * F.col("n"), F.col("words")) - 0.5).cast("long")  # equal rows are of one size
+    edge = edge.select("_src", F.when(~several & (over < under), F.col("hi") + 1).otherwise(F.col("lo")).alias("below"), F.when(several, F.col("lo")).alias("at"), F.when(several, most).alias("most"))
+    return goal.join(edge, F.col("src").eqNullSafe(F.col("_src")), "left").select("src", "source_size", "target", "passes", F.coalesce("below", F.lit(0)).cast("long").alias("below"), "at", "most")
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (src, h, any others) with the columns of their source's plan and ``copies``."""
+    met = rows.join(small(plan.withColumnRenamed("src", "_src")), F.col("src").eqNullSafe(F.col("_src"))).drop("_src")
+    out = met.withColumn("copies", F.col("passes") + F.when(F.col("h") < F.col("below"), 1).otherwise(0))
+    if plan.where("at is not null").isEmpty():
+        return out
+    # Equal rows have numbers by range, so that none of them need be in one task.
+    edge = F.coalesce(F.col("h") == F.col("at"), F.lit(False))
+    some = running(out.where(edge).withColumn("_row", F.monotonically_increasing_id()), [F.col("src").asc_nulls_last(), F.col("_row")], {"nth": F.lit(1).cast("long")}).drop("nth_all")
+    some = checkpoint(some)
+    least = some.groupBy(F.col("src").alias("_src")).agg(F.min("nth").alias("_first"))
+    some = some.join(small(least), F.col("src").eqNullSafe(F.col("_src")))
+    some = some.withColumn("copies", F.col("passes") + F.when(F.col("nth") - F.col("_first") < F.col("most"), 1).otherwise(0))
+    return out.where(~edge).unionByName(some.select(*out.columns))
 
 
 def _copies(rows: DataFrame, weights, share: float, passes: int) -> DataFrame:
-    plan = checkpoint(thresholds(rows, targets(rows, weights, share, passes))).withColumnRenamed("src", "_src")
-    extra = F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-    return rows.join(small(plan), F.col("src").eqNullSafe(F.col("_src"))).withColumn("copies", F.col("passes") + extra)
+    return _with_copies(rows, checkpoint(thresholds(rows, targets(rows, weights, share, passes))))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id: str = "doc_id", weights=WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken (size times the number of copies the mix takes).
 
-    A source gives its target to within half of the document at its threshold (rows that agree in id and text count as one
-    there). Null texts have size 0; a null source is a source of its own and comes last; sources without words have target 0.
+    A source gives its target to within half of the document at its threshold; of rows that agree in id and text, which are
+    interchangeable, as many are taken as come nearest. Null texts have size 0; a null source is a source of its own and comes last; sources without words have target 0.
     The result depends on the rows alone, so reruns agree. Other columns are ignored; an empty table gives an empty result.
     """
     rows = _copies(checkpoint(sized(docs, text, source, id)), weights, share, passes)
@@ -109,7 +127,5 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", id: str =
     """The mix itself: every row of ``docs`` as many times as it is taken, columns unchanged. Only thresholds are joined to it."""
     rows = checkpoint(sized(docs, text, source, id))
     plan = checkpoint(thresholds(rows, targets(rows, weights, share, passes)))
-    wide = docs.select(F.struct("*").alias("_row"), _hash(text, id).alias("_h"), F.col(source).cast("string").alias("_s"))
-    taken = wide.join(small(plan), F.col("_s").eqNullSafe(F.col("src")))
-    copies = F.col("passes") + F.when(F.col("_h") < F.col("below"), 1).otherwise(0)
-    return taken.select("_row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("_row.*")
+    taken = _with_copies(docs.select(F.struct("*").alias("_doc"), _hash(text, id).alias("h"), F.col(source).cast("string").alias("src")), plan)
+    return taken.select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_doc.*")

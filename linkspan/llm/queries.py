@@ -90,7 +90,7 @@ ORACLES = {
         g AS (SELECT l.source, l.ss, CASE WHEN f.level IS NULL OR cap <= f.level * w THEN cap::DOUBLE ELSE f.level * w END AS target FROM l, f),
         p AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END::BIGINT AS passes FROM g),
         x AS (SELECT t.*, p.ss, p.target, p.passes, p.target - p.passes * p.ss AS rest, sum(size) OVER (PARTITION BY t.source ORDER BY h) AS upto,
-                     sum(size) OVER (PARTITION BY t.source, h) AS here FROM t JOIN p ON t.source IS NOT DISTINCT FROM p.source)
+                     sum(size) OVER (PARTITION BY t.source, h) AS here, row_number() OVER (PARTITION BY t.source, h) AS nth FROM t JOIN p ON t.source IS NOT DISTINCT FROM p.source)
         SELECT doc_id, size, ss AS source_size, target,
-               size * (passes + CASE WHEN upto < rest OR (upto - here < rest AND upto - rest < rest - (upto - here)) THEN 1 ELSE 0 END) AS taken FROM x""",
+               size * (passes + CASE WHEN upto < rest OR (upto - here < rest AND nth <= ceil((rest - (upto - here)) / size - 0.5)) THEN 1 ELSE 0 END) AS taken FROM x""",
 }

@@ -279,14 +279,15 @@ def _facts(docs: DataFrame, least: int, gram: int, named: bool) -> DataFrame:
     inside = _scanned((contexts if none else contexts.join(kinds.where("not many").select("h"), "h", "left_semi")).select("h", "c", "before", "after").repartition("h").sortWithinPartitions("h", "after"), least, gram, named)
     if not none:
         inside = inside.unionByName(_counted(hub_join(contexts, many, "h", "n", rows).select("h", "c", "before", "after"), least, named))
-    single = each.where("n = 1").select("h", "c")
-    inside = written(inside.join(single, ["h", "c"], "left_semi"))
-    whole = again.where("not mixed").select("key", "c", F.lit(None).cast(SPANS).alias("spans"))
-    fact = inside.select(F.struct("h", "c").alias("x"), "spans").unionByName(each.where("n > 1").select(F.struct("h", "c").alias("x"), F.lit(None).cast(SPANS).alias("spans")))
-    fact = fact.join(each.select(F.struct("h", "c").alias("x"), "n"), "x")
-    mixed = hub_join(again.where("mixed").select("key", F.struct("h", "c").alias("x")), fact, "x", "n", total).select("key", "x.c", "spans")
-    facts = whole.unionByName(mixed)
-    return facts.groupBy("key").agg(F.collect_set(F.when(F.col("spans").isNull(), F.col("c"))).alias("cs"), F.collect_list(F.when(F.col("spans").isNotNull(), F.struct("c", "spans"))).alias("parts"))
+    if not named:  # a context that repeats as a whole needs no more
+        inside = inside.join(each.where("n = 1").select("h", "c"), ["h", "c"], "left_semi")
+    inside = written(inside)
+    fact = each.select("h", "c", "n", (F.col("n") > 1).alias("whole")).join(inside, ["h", "c"], "left").where("whole or spans is not null")
+    fact = fact.select(F.struct("h", "c").alias("x"), "n", "whole", "spans")
+    mixed = hub_join(again.where("mixed").select("key", F.struct("h", "c").alias("x")), fact, "x", "n", total).select("key", "x.c", "whole", "spans")
+    facts = again.where("not mixed").select("key", "c", F.lit(True).alias("whole"), F.lit(None).cast(SPANS).alias("spans")).unionByName(mixed)
+    part = F.when(F.col("spans").isNotNull(), F.struct("c", "spans"))
+    return facts.groupBy("key").agg(F.collect_set(F.when(F.col("whole"), F.col("c"))).alias("cs"), F.collect_list(part).alias("parts"))
 
 
 def _met(docs: DataFrame, least: int, gram: int, named: bool = False) -> DataFrame:
