@@ -145,8 +145,9 @@ def name_to_concept(names: DataFrame, s: Sources, rules: resolve.Rules = resolve
 
 
 def cached_result(queries: DataFrame, cache: DataFrame) -> DataFrame:
-    """cached rows by the query as it stands, else by its trimmed lower-case form."""
+    """cached rows by the query as it stands, else by its trimmed lower-case form; of several results of a query the least."""
     low = lambda c: F.lower(F.trim(c))
-    exact = queries.join(cache.select(F.col("query").alias("k"), "result"), F.col("query") == F.col("k"), "left").drop("k")
+    once = cache.groupBy(F.col("query").alias("k")).agg(F.min("result").alias("result"))
+    exact = queries.join(once, F.col("query") == F.col("k"), "left").drop("k")
     loose = cache.groupBy(low(F.col("query")).alias("k")).agg(F.min("result").alias("loose"))
     return exact.join(loose, low(F.col("query")) == F.col("k"), "left").select("query_id", "query", F.coalesce("result", "loose").alias("result"))
