@@ -343,7 +343,7 @@ def resumable_stream(spark, d):
             facts.resumable_build(facts.page_stream(spark, pages, "custkey long, n int"), "custkey", sink, seen, lambda b: b.select("custkey", (F.col("n") * 10 + 1).alias("result"))).awaitTermination()
             more.repartition(3).write.mode("append").parquet(pages)
         facts.resumable_build(facts.page_stream(spark, pages, "custkey long, n int"), "custkey", sink, seen, lambda b: b.select("custkey", (F.col("n") * 10 + 1).alias("result"))).awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).drop("_batch")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
