@@ -11,26 +11,26 @@ VERSION = "3.3"
 CALIBRATION = {
     "technical_failures": {
         "by_source": {
-            "pubmed": "id_retrieval_shortfall layer3_fallback fetch_failure_rate fetch_failure_count no_abstract_rate no_abstract_count fetch_attempted_count",
-            "orphadata_epidemiology": "data_availability stale_warning",
-            "orphadata_natural_history": "data_availability stale_warning",
-            "orphadata_nomenclature": "no_local_match",
-            "fda_table": "table_source stale_warning",
-            "fda_approval": "load_error",
+            "pubmed": ("id_retrieval_shortfall", "layer3_fallback", "fetch_failure_rate", "fetch_failure_count", "no_abstract_rate", "no_abstract_count", "fetch_attempted_count"),
+            "orphadata_epidemiology": ("data_availability", "stale_warning"),
+            "orphadata_natural_history": ("data_availability", "stale_warning"),
+            "orphadata_nomenclature": ("no_local_match",),
+            "fda_table": ("table_source", "stale_warning"),
+            "fda_approval": ("load_error",),
         },
         "by_model_call": {
-            "claim_verification": "unverified_count unverified_rate unverified_api_count unverified_no_abstract_count",
-            "citation_integrity": "unverified_count unverified_rate unverified_unreachable_count unverified_unparseable_count",
-            "endpoint_plausibility": "unverified_model_failure",
-            "endpoint_evidence_filter": "fallback_rate batches_fallback articles_retained_unfiltered",
-            "generative_agent": "generation_truncated generated_from_fallback malformed_endpoint_count defaulted_endpoint_type_count",
-            "category4_supplementary": "retrieval_failed relevance_filter_applied no_abstract_count",
+            "claim_verification": ("unverified_count", "unverified_rate", "unverified_api_count", "unverified_no_abstract_count"),
+            "citation_integrity": ("unverified_count", "unverified_rate", "unverified_unreachable_count", "unverified_unparseable_count"),
+            "endpoint_plausibility": ("unverified_model_failure",),
+            "endpoint_evidence_filter": ("fallback_rate", "batches_fallback", "articles_retained_unfiltered"),
+            "generative_agent": ("generation_truncated", "generated_from_fallback", "malformed_endpoint_count", "defaulted_endpoint_type_count"),
+            "category4_supplementary": ("retrieval_failed", "relevance_filter_applied", "no_abstract_count"),
         },
     },
-    "content_errors": "hallucination_count out_of_set_count pipeline_error_count contradiction_count",
-    "structural_signals": "no_endpoints_to_verify no_framework_citations challenge_zero_articles",
-    "miscategorization_signals": "gene_resolution_file_load_degraded",
-    "gene_resolution_worklist": "gene_not_resolved",
+    "content_errors": ("hallucination_count", "out_of_set_count", "pipeline_error_count", "contradiction_count"),
+    "structural_signals": ("no_endpoints_to_verify", "no_framework_citations", "challenge_zero_articles"),
+    "miscategorization_signals": ("gene_resolution_file_load_degraded",),
+    "gene_resolution_worklist": ("gene_not_resolved",),
 }
 #: The parts of a disease's record; [] an empty list, {} an empty map, null nothing yet.
 DISEASE = {
@@ -56,10 +56,10 @@ GRADES = ("High", "Moderate", "Low", "Very Low")
 # -------------------------------------------------------------------------------------------------------------------------
 
 
-def _nulls(fields: dict | str) -> Column:
-    if isinstance(fields, str):
-        return F.struct(*[F.lit(None).cast("string").alias(f) for f in fields.split()])
-    return F.struct(*[_nulls(v).alias(k) for k, v in fields.items()])
+def _filled(fields: dict | tuple, values: dict[str, Column], path: str = "") -> Column:
+    if isinstance(fields, tuple):
+        return F.struct(*[values.get(f"{path}{f}", F.lit(None)).cast("string").alias(f) for f in fields])
+    return F.struct(*[_filled(v, values, f"{path}{k}.").alias(k) for k, v in fields.items()])
 
 
 def _value(v) -> Column:
@@ -70,18 +70,33 @@ def _value(v) -> Column:
     return F.lit(v).cast("string") if v is None else F.lit(v)
 
 
-def calibration() -> Column:
-    """The calibration block, every value null."""
-    return _nulls(CALIBRATION)
+def names(fields: dict | tuple = CALIBRATION, path: str = "") -> list[str]:
+    """Every value of the calibration block by its path."""
+    if isinstance(fields, tuple):
+        return [path + f for f in fields]
+    return [n for k, v in fields.items() for n in names(v, f"{path}{k}.")]
 
 
-def disease_record(orpha_id: Column, name: Column, day: Column) -> Column:
-    """A struct with every part of a disease's record, empty but for its identity."""
+def calibration(values: dict[str, Column] | None = None) -> Column:
+    """The calibration block; ``values`` by path (part.part.name), every other value null. An unknown path is a KeyError."""
+    values = values or {}
+    if unknown := set(values) - set(names()):
+        raise KeyError(f"not in the calibration block: {sorted(unknown)}")
+    return _filled(CALIBRATION, values)
+
+
+def rate(count: Column, of: Column) -> Column:
+    """A share, null where there was nothing to count."""
+    return F.round(F.try_divide(count, of), 6)
+
+
+def disease_record(orpha_id: Column, name: Column, day: Column, values: dict[str, Column] | None = None) -> Column:
+    """A struct with every part of a disease's record, empty but for its identity and what a run measured (``values``, see ``calibration``)."""
     meta = F.struct(
         orpha_id.alias("orpha_id"), name.alias("disease_name"), F.lit(VERSION).alias("schema_version"), day.cast("string").alias("pipeline_build_date"),
         *[_value(v).alias(k) for k, v in {"synonyms": [], "definition": "", "orphadata": {}, "canonical_disease_object": {}, "gene_lookup_result": {}, "agents_run": [], "agents_suppressed": []}.items()],
     )
-    return F.struct(meta.alias("metadata"), *[_value(v).alias(k) for k, v in DISEASE.items()], calibration().alias("calibration"))
+    return F.struct(meta.alias("metadata"), *[_value(v).alias(k) for k, v in DISEASE.items()], calibration(values).alias("calibration"))
 
 
 def suppression(agent: Column, reason: Column, threshold: Column, day: Column) -> Column:

@@ -6,9 +6,10 @@ found nothing take just those rows (a left-anti join), as in the neighbours belo
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import instrument_names
@@ -39,6 +40,8 @@ class Sources:
 
 #: Statuses of steps that were left out.
 IDLE = ("NOT_NEEDED", "NO_HIERARCHY", "CONDITION_UNRESOLVED")
+#: Statuses of what could not be checked.
+FAILED = ("LOOKUP_FAILED", "RETRIEVAL_ERROR", "INCOMPLETE_RETRIEVAL")
 
 
 def identities(queries: DataFrame, s: Sources, rules: resolve.Rules = resolve.Rules()) -> DataFrame:
@@ -68,40 +71,93 @@ def instruments(found: DataFrame, least: int) -> DataFrame:
     return names.where(F.length("instrument") >= least).distinct()
 
 
-def run(queries: DataFrame, s: Sources, rules: resolve.Rules = resolve.Rules(), suppress_on: str = "any") -> dict[str, DataFrame]:
-    """R18 (suppress_on="qualified"), R19 (suppress_on="any"): identity, catalog, neighbours, usage, drugs, assembled and summary of a batch of queries (query_id, query)."""
-    who = identities(queries, s, rules)
-    found = link.catalog_lookup(who.select("query_id", "cui", "normalized", "status"), s.catalog, s.children)
-    near = neighbours(who, found, s, suppress_on)
-    asked = instruments(found, s.least_instrument)
-    used = usage.using(s.trials, asked.select("instrument").distinct())
-    counted = asked.join(usage.usage(asked, used), "instrument")
-    out = {"identity": who, "catalog": found, "neighbours": near, "usage": counted}
-    if s.treats is not None and s.items is not None and s.approvals is not None:
-        concepts = who.where("cui is not null").join(s.codes.where("code <> ''").select("cui", "code"), "cui").select("query_id", "code")
+#: What a run can make; each part needs those before it.
+PARTS = ("identity", "catalog", "neighbours", "usage", "drugs")
+
+
+def _measured(df: DataFrame, part: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """A part of a run, made once and written down, and what was counted of its rows on the way."""
+    told = Observation(f"{part}-{uuid.uuid4().hex}")
+    return checkpoint(df.observe(told, *[F.coalesce(m, F.lit(0)).cast("long").alias(n) for n, m in metrics.items()])), told.get
+
+
+def run(queries: DataFrame, s: Sources, rules: resolve.Rules = resolve.Rules(), suppress_on: str = "any", parts: tuple[str, ...] = PARTS) -> dict[str, DataFrame | dict]:
+    """R18 (suppress_on="qualified"), R19 (suppress_on="any"): identity, catalog, neighbours, usage, drugs, assembled and summary of a batch of queries (query_id, query).
+
+    Each of ``parts`` is computed once and written down, what comes later reads it. ``metrics`` has what was counted while it was made, by part:
+    rows asked, failures, and rows that nothing was found for."""
+    failed = lambda c: F.count_if(F.coalesce(F.col(c).isin(*FAILED), F.lit(False)))
+    metrics = {}
+    who, metrics["identity"] = _measured(resolve.resolve(queries, s.atoms, s.concepts, s.trials, s.guidance, rules=rules), "identity", {"asked": F.count("*"), "failed": failed("status"), "none": F.count_if(F.col("cui").isNull())})
+    out = {"identity": who, "metrics": metrics}
+    found, metrics["catalog"] = _measured(link.catalog_lookup(who.select("query_id", "cui", "normalized", "status"), s.catalog, s.children), "catalog", {"asked": F.count("*"), "failed": failed("status"), "none": F.count_if(F.col("status") != "COA_FOUND")})
+    out["catalog"] = found
+    if "neighbours" in parts:
+        out["neighbours"], metrics["neighbours"] = _measured(neighbours(who, found, s, suppress_on), "neighbours", {"asked": F.count("*"), "none": F.count_if(F.coalesce("n_items", F.lit(0)) == 0)})
+    if "usage" in parts:
+        asked = checkpoint(instruments(found, s.least_instrument))
+        used = usage.using(s.trials, asked.select("instrument").distinct())
+        out["usage"], metrics["usage"] = _measured(asked.join(usage.usage(asked, used), "instrument"), "usage", {"asked": F.count("*"), "none": F.count_if(F.coalesce("trials", F.lit(0)) == 0)})
+    if "drugs" in parts and s.treats is not None and s.items is not None and s.approvals is not None:
         settled = who.where("cui is not null")
+        concepts = settled.join(s.codes.where("code <> ''").select("cui", "code"), "cui").select("query_id", "code")
         terms = settled.select("query_id", F.explode(F.array("label", "query")).alias("term")).where("term is not null")
         asked_of = who.select("query_id", F.col("cui").isNotNull().alias("has_concept"))
-        out["drugs"] = link.two_route_lookup(asked_of, concepts, terms, s.treats, s.items, s.approvals, resolved=F.col("has_concept")).drop("has_concept")
+        drugs = link.two_route_lookup(asked_of, concepts, terms, s.treats, s.items, s.approvals, resolved=F.col("has_concept")).drop("has_concept")
+        out["drugs"], metrics["drugs"] = _measured(drugs, "drugs", {"asked": F.count("*"), "none": F.count_if(F.coalesce(F.size("drugs"), F.lit(0)) <= 0)})
+    if "neighbours" in parts:
+        out["assembled"] = assembled(out)
+        if "usage" in parts:
+            out["summary"] = summary(out)
+    return out
+
+
+def summary(out: dict[str, DataFrame | dict]) -> DataFrame:
+    """query_id, query, steps (status and note by name), degraded_steps, statement."""
+    who, found, near, counted = (out[k] for k in PARTS[:4])
     steps = who.select("query_id", "query", "status", "cui").join(found.select("query_id", F.col("status").alias("catalog")), "query_id", "left")
     steps = steps.join(near.groupBy("query_id").agg(F.count("*").alias("n_near")), "query_id", "left").join(counted.groupBy("query_id").agg(F.sum("trials").alias("n_trials")), "query_id", "left")
     neighbour_status = F.when(F.col("catalog") == "COA_FOUND", "NOT_NEEDED").when(F.col("cui").isNull(), "NO_HIERARCHY").when(F.col("n_near") > 0, "NEIGHBORS_FOUND").otherwise("NO_NEIGHBOR_IN_CATALOG")
     usage_status = F.when(F.col("catalog") != "COA_FOUND", "NOT_NEEDED").when(F.col("n_trials") > 0, "OK").otherwise("NO_TRIALS")
     each, degraded = quality.sealed({"identity": F.col("status"), "catalog": F.col("catalog"), "neighbours": neighbour_status, "usage": usage_status})
     line = F.concat_ws("\n", F.concat(F.lit("identity: "), F.col("status")), F.concat(F.lit("catalog: "), "catalog"), F.concat(F.lit("neighbours: "), neighbour_status), F.concat(F.lit("usage: "), usage_status))
-    out["assembled"] = assembled(out)
-    out["summary"] = steps.select("query_id", "query", each.alias("steps"), degraded.alias("degraded_steps"), line.alias("statement"))
-    return out
-
-
-def recorded(out: dict[str, DataFrame], day: str) -> DataFrame:
-    """query_id, record, suppressed: the empty record of every query that settled on a concept (null for others), and a suppression record
-    for each step of the run that was not needed or could not be made, by name. ``day`` dates both."""
+    return steps.select("query_id", "query", each.alias("steps"), degraded.alias("degraded_steps"), line.alias("statement"))
+
+
+def measured(out: dict[str, DataFrame | dict]) -> dict[str, Column]:
+    """What a run's metrics say of its sources, by path in the calibration block. Rates are of what was asked, and null where nothing was;
+    what no part of a run measures is not there. Looking an instrument up in the trials is the run's retrieval of facts."""
+    m = out["metrics"]
+    at = {}
+    if "usage" in m:
+        n, none = F.lit(m["usage"]["asked"]), F.lit(m["usage"]["none"])
+        at |= {"fetch_attempted_count": n, "no_abstract_count": none, "no_abstract_rate": records.rate(none, n)}
+    at = {f"technical_failures.by_source.pubmed.{k}": v for k, v in at.items()}
+    asked, failed = (sum(m[p].get(k, 0) for p in m) for k in ("asked", "failed"))
+    at |= {"technical_failures.by_source.pubmed.fetch_failure_count": F.lit(failed), "technical_failures.by_source.pubmed.fetch_failure_rate": records.rate(F.lit(failed), F.lit(asked))}
+    at["technical_failures.by_source.orphadata_nomenclature.no_local_match"] = F.lit(m["identity"]["none"])
+    if "drugs" in m:
+        at["technical_failures.by_source.fda_approval.load_error"] = F.lit(m["drugs"]["asked"] > 0 and m["drugs"]["none"] == m["drugs"]["asked"])
+    return at
+
+
+def recorded(out: dict[str, DataFrame | dict], day: str) -> DataFrame:
+    """query_id, record, suppressed, denominators: the record of every query that settled on a concept (null for others), with its
+    calibration as the run measured it (rates of the whole run; of the query itself whether there was nothing to verify or to read), a
+    suppression record for each step of the run that was not needed or could not be made, by name, and what the rates are of. ``day`` dates both."""
     on = F.lit(day).cast("date")
-    who = out["identity"].select("query_id", F.when(F.col("cui").isNotNull(), records.disease_record(F.col("cui"), F.col("label"), on)).alias("record"))
+    own = out["catalog"].select("query_id", (F.col("status") == "COA_FOUND").alias("listed"))
+    read = out["usage"].groupBy("query_id").agg(F.count("*").alias("n_asked"), F.sum("trials").alias("n_read"))
+    who = out["identity"].join(own, "query_id", "left").join(read, "query_id", "left")
+    values = measured(out) | {
+        "structural_signals.no_endpoints_to_verify": F.when(F.col("listed"), F.col("n_asked").isNull()),
+        "structural_signals.challenge_zero_articles": F.when(F.col("n_asked") > 0, F.coalesce("n_read", F.lit(0)) == 0),
+    }
+    who = who.select("query_id", F.when(F.col("cui").isNotNull(), records.disease_record(F.col("cui"), F.col("label"), on, values)).alias("record"))
     idle = F.filter(F.array_sort(F.map_entries("steps")), lambda x: x["value"]["status"].isin(*IDLE))
     steps = out["summary"].select("query_id", F.transform(idle, lambda x: records.suppression(x["key"], x["value"]["status"], F.lit("another status of an earlier step"), on)).alias("suppressed"))
-    return who.join(steps, "query_id", "left")
+    of = F.create_map(*[F.lit(v) for p, m in sorted(out["metrics"].items()) for v in (p, m["asked"])])
+    return who.join(steps, "query_id", "left").withColumn("denominators", of)
 
 
 def assembled(out: dict[str, DataFrame]) -> DataFrame:

@@ -214,7 +214,7 @@ _ASKED = _VOTES + """,
 def run_reconciliation(spark, d):
     """A batch of mentions through identity, catalogue, neighbours, usage and drugs, and what that says of each."""
     asked, s = _run_sources(spark, d)
-    out = batch.run(asked, s, RULES)["assembled"]
+    out = batch.run(asked, s, RULES, parts=("neighbours", "drugs"))["assembled"]
     nearby = F.array_join(F.transform("nearby", lambda x: F.concat_ws(":", x["condition"], x["relation"], x["n_items"])), "|")
     return out.withColumn("nearby", nearby).select("query_id", "n_coas", "n_qualified", "n_drugs", "n_drugs_corroborated", "has_coa", "has_qualified_coa", "has_drugs", "gap", "nearby")
 
@@ -237,26 +237,40 @@ def _summary(out: DataFrame) -> DataFrame:
 def run_summary(spark, d):
     """The status of every step of every mention, and the statement made of them."""
     asked, s = _run_sources(spark, d)
-    return _summary(batch.run(asked, s, RULES)["summary"])
+    return _summary(batch.run(asked, s, RULES, parts=("neighbours", "usage"))["summary"])
 
 
 @query(_ASKED + """,
-    z AS (SELECT query, cui, CASE WHEN cui IN ('STANDARD', 'SMALL') THEN 'COA_FOUND' WHEN cui IS NULL THEN 'CONDITION_UNRESOLVED' ELSE 'NO_COA' END AS catalog FROM i)
+    z AS (SELECT query, cui, CASE WHEN cui IN ('STANDARD', 'SMALL') THEN 'COA_FOUND' WHEN cui IS NULL THEN 'CONDITION_UNRESOLVED' ELSE 'NO_COA' END AS catalog FROM i),
+    u AS (SELECT count(*) FILTER (p_name = 'red widget') > 0 AS red, count(*) FILTER (p_name = 'Blue index') > 0 AS blue FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag IN ('R', 'N')),
+    c AS (SELECT red, count(*) FILTER (cui = 'STANDARD') * 2 + count(*) FILTER (cui = 'SMALL') AS attempted, count(*) FILTER (cui = 'STANDARD') * ((NOT red)::INT + (NOT blue)::INT) + count(*) FILTER (cui = 'SMALL') AS empty,
+                 count(*) FILTER (cui IS NULL) AS unmatched, count(*) AS queries FROM z, u GROUP BY red, blue)
     SELECT query AS query_id, cui AS orpha_id, CASE WHEN cui IS NOT NULL THEN '3.3' END AS version, CASE WHEN cui IS NOT NULL THEN 0 END AS n_found,
-           CASE WHEN catalog = 'COA_FOUND' THEN 'neighbours=NOT_NEEDED' WHEN cui IS NULL THEN 'catalog=CONDITION_UNRESOLVED,neighbours=NO_HIERARCHY,usage=NOT_NEEDED' ELSE 'usage=NOT_NEEDED' END AS suppressed FROM z""")
+           CASE WHEN catalog = 'COA_FOUND' THEN 'neighbours=NOT_NEEDED' WHEN cui IS NULL THEN 'catalog=CONDITION_UNRESOLVED,neighbours=NO_HIERARCHY,usage=NOT_NEEDED' ELSE 'usage=NOT_NEEDED' END AS suppressed,
+           CASE WHEN cui IS NOT NULL THEN c.attempted END AS attempted, CASE WHEN cui IS NOT NULL THEN c.empty END AS empty, CASE WHEN cui IS NOT NULL THEN round(c.empty / nullif(c.attempted, 0), 6) END AS empty_rate,
+           CASE WHEN cui IS NOT NULL THEN 0 END AS failures, CASE WHEN cui IS NOT NULL THEN c.unmatched END AS unmatched, CASE cui WHEN 'STANDARD' THEN false WHEN 'SMALL' THEN false END AS nothing_to_verify,
+           CASE cui WHEN 'STANDARD' THEN NOT c.red WHEN 'SMALL' THEN true END AS nothing_to_read, c.queries
+    FROM z, c""")
 def run_records(spark, d):
-    """The record of every mention that settled on a concept, and the steps that were left out."""
+    """The record of every mention that settled on a concept, its calibration as the run measured it, and the steps that were left out."""
     asked, s = _run_sources(spark, d)
     out = batch.recorded(batch.run(asked, s, RULES), "2026-01-02")
     left_out = F.array_join(F.transform("suppressed", lambda x: F.concat(x["agent"], F.lit("="), x["suppression_reason"])), ",")
-    return out.select("query_id", F.col("record.metadata.orpha_id").alias("orpha_id"), F.col("record.metadata.schema_version").alias("version"), F.col("record.evidence.pubmed_total_found").alias("n_found"), left_out.alias("suppressed"))
+    said = lambda path, kind, name: F.col(f"record.calibration.{path}").cast(kind).alias(name)
+    pubmed, signal = "technical_failures.by_source.pubmed", "structural_signals"
+    run = [
+        said(f"{pubmed}.fetch_attempted_count", "long", "attempted"), said(f"{pubmed}.no_abstract_count", "long", "empty"), said(f"{pubmed}.no_abstract_rate", "double", "empty_rate"), said(f"{pubmed}.fetch_failure_count", "int", "failures"),
+        said("technical_failures.by_source.orphadata_nomenclature.no_local_match", "long", "unmatched"), said(f"{signal}.no_endpoints_to_verify", "boolean", "nothing_to_verify"), said(f"{signal}.challenge_zero_articles", "boolean", "nothing_to_read"),
+        F.col("denominators")["identity"].alias("queries"),
+    ]
+    return out.select("query_id", *run, F.col("record.metadata.orpha_id").alias("orpha_id"), F.col("record.metadata.schema_version").alias("version"), F.col("record.evidence.pubmed_total_found").alias("n_found"), left_out.alias("suppressed"))
 
 
 @query(_ASKED + _SUMMARY.format(near="'LARGE'"))
 def run_qualified(spark, d):
     """Neighbours for what has no qualified item of its own, and only those that have one."""
     asked, s = _run_sources(spark, d)
-    return _summary(batch.run(asked, s, RULES, suppress_on="qualified")["summary"])
+    return _summary(batch.run(asked, s, RULES, suppress_on="qualified", parts=("neighbours", "usage"))["summary"])
 
 
 @query(_ASKED + """
@@ -264,9 +278,8 @@ def run_qualified(spark, d):
 def qualified_neighbours(spark, d):
     """The neighbours themselves."""
     asked, s = _run_sources(spark, d)
-    near = batch.run(asked, s, RULES, suppress_on="qualified")["neighbours"]
-    who = batch.identities(asked, s, RULES).select("query_id", F.col("cui").alias("a"))
-    return near.join(who, "query_id").select("query_id", "a", "b", "condition", "relation", "n_agreeing", "n_items")
+    out = batch.run(asked, s, RULES, suppress_on="qualified", parts=("neighbours",))
+    return out["neighbours"].join(out["identity"].select("query_id", F.col("cui").alias("a")), "query_id").select("query_id", "a", "b", "condition", "relation", "n_agreeing", "n_items")
 
 
 # ---- statuses and records -----------------------------------------------------------------------------------------------
@@ -281,7 +294,7 @@ def sealed_steps(spark, d):
 
 
 def _spelled(v):
-    return {f: None for f in v.split()} if isinstance(v, str) else {k: _spelled(x) for k, x in v.items()}
+    return {f: None for f in v} if isinstance(v, tuple) else {k: _spelled(x) for k, x in v.items()}
 
 
 _EMPTY = json.dumps(records.DISEASE | {"calibration": _spelled(records.CALIBRATION)}, separators=(",", ":"))[1:]
