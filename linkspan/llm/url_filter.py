@@ -1,9 +1,9 @@
 """URL filters (5): rules first, then a path-template tree for each host.
 
-Level by level the segments of the paths of a host become branches. A segment with enough pages stays a literal branch, however
+Step by step the segments of the paths of a host become branches; segments that all paths of a node have in common are one step. A segment with enough pages stays a literal branch, however
 many pages its node has, all others become the wildcard ``*``; literal branches whose labelled block rates do not differ
 significantly are merged into one. A second tree is grown in the same way over the paths of all hosts together, so that what a
-path says elsewhere is known to hosts that have few labels or none. A template is judged by its labelled purity, smoothed towards a
+path says elsewhere is known to hosts that have few labels or none; both trees are grown in the same steps. A template is judged by its labelled purity, smoothed towards a
 mean of what its host and what its path on all hosts say (each counting by its labels, up to a bound, and the rate of all pages as a
 few more). Labels are the verdicts of rules where a rule fits and, without one, words of host names that tell a bad host, unless a
 column of labels is named. Only ids, hosts, segments and labels travel; the pages' contents are never read. Counts are summed
@@ -12,6 +12,7 @@ map-side, so a host with a third of all pages is one row per segment and task.
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 from functools import reduce
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small
+from .common import checkpoint, small, written
 
 
 @dataclass(frozen=True)
@@ -36,8 +37,8 @@ SUPPORT, DIFFER = 20, 1.96
 PRIOR, MOST, BLOCK_FROM = 5.0, 50.0, 0.5
 #: Words of host names, labels of bad hosts by hand.
 TELLING = ("ads", "adult", "bets", "betting", "casino", "escort", "gambling", "malware", "phishing", "pills", "poker", "porn", "sex", "spam", "viagra", "warez", "xxx")
-#: Finished levels that are kept apart before they are written as one.
-PIECES = 16
+#: Finished steps that are kept apart before they are written as one; rows of a task of a step, in the mean.
+PIECES, ROWS = 16, 20_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -77,41 +78,54 @@ def alike(branch: DataFrame, node: list[str]) -> DataFrame:
     return checkpoint(counts.join(parts, [*node, "part"]).select(*node, "known", "blocked", "part", "same"))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """pages (host, segments, y: 1 block, 0 allow, null unknown, any others) with the column template.
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than its rows need, so that steps over few rows are few tasks."""
+    return df.coalesce(max(1, math.ceil(rows / ROWS)))
 
-    Levels go on while a node has enough pages with a further segment; below that every further segment is a wildcard, which is
-    written at once, so only pages of nodes that may still branch are looked at again.
-    """
-    at = checkpoint(pages.withColumn("template", F.lit("")))
-    node, done, level = ["host", "template"], [], 0
+
+def templates(pages: DataFrame, trees: tuple[str, ...] = ("host",)) -> DataFrame:
+    """pages (rid, segments, y: 1 block, 0 allow, null unknown, and a column for each tree: the name of its root) to (rid, tree, template).
+
+    A node with enough pages that go on is looked at again: what the paths that go on all have next is taken at once (the common
+    prefix of the least and the greatest of them), and where they differ they branch. Below nodes with fewer, every further segment
+    is a wildcard, which is written at once. So steps follow the number of branchings on a path, not its length. Steps end in
+    written tables: a checkpoint hands on what is known of its columns, which would grow with each step."""
+    rows = pages.select("rid", "segments", "y", F.explode(F.array(*[F.struct(F.lit(i).alias("tree"), F.coalesce(F.col(t), F.lit("")).alias("root")) for i, t in enumerate(trees)])).alias("t"))
+    at = written(rows.select("rid", "t.tree", "t.root", "segments", "y", F.lit(0).alias("level"), F.lit("").alias("template")))
+    node, done, total = ["tree", "root", "template"], [], 0
+    ends = lambda df, n: _few(df.select("rid", "tree", F.concat("template", F.repeat(F.lit("/*"), F.greatest(F.size("segments") - F.col("level"), F.lit(0)))).alias("template")), n)
+    n_rows = at.count()
     while True:
-        at = at.withColumn("segment", F.get("segments", F.lit(level)))
-        counts = at.where(F.col("segment").isNotNull()).groupBy(*node, "segment").agg(F.count("*").alias("n"), F.count("y").alias("known"), F.coalesce(F.sum("y"), F.lit(0)).alias("blocked"))
-        counts = checkpoint(counts)
-        wide = checkpoint(counts.groupBy(*node).agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT).select(*node, F.lit(True).alias("wide")))
-        n_wide = wide.count()
-        at = at.join(small(wide, n_wide), node, "left").withColumn("wide", F.coalesce("wide", F.lit(False)) & F.col("segment").isNotNull())
-        left = F.greatest(F.size("segments") - level, F.lit(0))
-        done.append(at.where(~F.col("wide")).withColumn("template", F.concat("template", F.repeat(F.lit("/*"), left))).drop("segment", "wide"))
+        rest = at.withColumn("rest", F.slice("segments", F.col("level") + 1, F.greatest(F.size("segments"), F.lit(1))))
+        on = rest.where(F.size("rest") > 0).groupBy(*node).agg(F.count("*").alias("n"), F.min("rest").alias("a"), F.max("rest").alias("b")).where(F.col("n") >= SUPPORT)
+        # Places where the two differ; with none the shorter one is the common part.
+        same = F.aggregate(F.arrays_zip("a", "b"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda x, p: F.when(x["on"] & p["a"].eqNullSafe(p["b"]), F.struct((x["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(x["n"].alias("n"), F.lit(False).alias("on"))), lambda x: x["n"])
+        on = checkpoint(on.select(*node, "n", F.slice("a", F.lit(1), same).alias("chain")))
+        facts = on.agg(F.count("*").alias("nodes"), F.sum("n").alias("pages"), F.count_if(F.size("chain") == 0).alias("forks")).first()
+        rest = rest.join(small(on.select(*node, "chain"), facts["nodes"]), node, "left")
+        goes = F.col("chain").isNotNull() & (F.size("rest") > 0)
+        done.append(ends(rest.where(~goes), n_rows - (facts["pages"] or 0)))
         if len(done) == PIECES:
-            done = [checkpoint(reduce(DataFrame.unionByName, done))]
-        if not n_wide:
-            return checkpoint(reduce(DataFrame.unionByName, done))
-        at = at.where("wide").drop("wide")
-        level += 1
-        branch = counts.where(F.col("n") >= SUPPORT)
-        if branch.isEmpty():
-            at = checkpoint(at.withColumn("template", F.concat("template", F.lit("/*"))).drop("segment"))
+            done = [_few(checkpoint(reduce(DataFrame.unionByName, done)), total + n_rows)]
+        total, n_rows = total + n_rows - (facts["pages"] or 0), facts["pages"] or 0
+        if not n_rows:
+            return checkpoint(_few(reduce(DataFrame.unionByName, done), total))
+        rest = _few(rest.where(goes), n_rows)
+        chained = rest.where(F.size("chain") > 0).select("rid", "tree", "root", "segments", "y", (F.col("level") + F.size("chain")).alias("level"), F.concat("template", F.lit("/"), F.array_join("chain", "/")).alias("template"))
+        if not facts["forks"]:
+            at = written(chained)
             continue
-        literal = branch.join(small(alike(branch, node)), [*node, "known", "blocked"]).withColumn("own", F.when(~F.col("same"), F.col("segment")))
+        forks = rest.where(F.size("chain") == 0).withColumn("segment", F.get("rest", F.lit(0))).drop("rest", "chain")
+        counts = checkpoint(forks.groupBy(*node, "segment").agg(F.count("*").alias("n"), F.count("y").alias("known"), F.coalesce(F.sum("y"), F.lit(0)).alias("blocked")).where(F.col("n") >= SUPPORT))
+        literal = counts.join(small(alike(counts, node)), [*node, "known", "blocked"]).withColumn("own", F.when(~F.col("same"), F.col("segment")))
         group = [*node, "part", "own"]
         first, last, size = F.min("segment"), F.max("segment"), F.count("*")
         # A name of bounded length; the least segment of a group is no other group's.
         names = literal.groupBy(*group).agg(F.when(size == 1, first).when(size == 2, F.concat_ws("|", first, last)).otherwise(F.concat(first, F.lit("|"), last, F.lit("|+"), size - 2)).alias("branch"))
         literal = literal.withColumn("own", F.coalesce("own", F.lit(""))).join(small(checkpoint(names.fillna("", "own"))), group).select(*node, "segment", "branch")
-        step = at.join(small(checkpoint(literal)), [*node, "segment"], "left")
-        at = checkpoint(step.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("branch", F.lit("*")))).drop("segment", "branch"))
+        forked = forks.join(small(checkpoint(literal)), [*node, "segment"], "left")
+        forked = forked.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("branch", F.lit("*")))).withColumn("level", F.col("level") + 1)
+        at = written(_few(chained.unionByName(forked.select(*chained.columns)), n_rows))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", id: str = "page_id", label: str | None = None, block_from: float = BLOCK_FROM, telling: tuple[str, ...] = ()) -> DataFrame:
@@ -129,9 +143,10 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", id: str =
         told = F.when(F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, telling))), 1) if telling else F.lit(None).cast("int")
         rows = rows.withColumn("y", F.when(F.col("fit").isNotNull(), (F.col("fit.verdict") == "block").cast("int")).otherwise(told))
     rows = rows.withColumn("segments", F.filter(F.split("path", "/"), lambda x: x != ""))
-    own = templates(rows.select("id", "host", "path", "fit.rule", "fit.verdict", "y", "segments"))
-    rows = templates(own.withColumnsRenamed({"host": "own_host", "template": "own"}).withColumn("host", F.lit("")))
-    rows = rows.withColumnRenamed("template", "anywhere").drop("host").withColumnsRenamed({"own_host": "host", "own": "template"})
+    rows = checkpoint(rows.select(F.monotonically_increasing_id().alias("rid"), "id", "host", "path", "fit.rule", "fit.verdict", "y", "segments"))
+    grown = templates(rows.withColumn("all", F.lit("")), ("host", "all"))
+    of = lambda tree, name: F.max(F.when(F.col("tree") == tree, F.col("template"))).alias(name)
+    rows = checkpoint(rows.drop("segments").join(grown.groupBy("rid").agg(of(0, "template"), of(1, "anywhere")), "rid").drop("rid"))
     known = lambda k, b: [F.count("y").alias(k), F.coalesce(F.sum("y"), F.lit(0)).alias(b)]
     whole = rows.agg(*known("k", "b")).first()
     base = (whole["b"] + 1) / (whole["k"] + 2)

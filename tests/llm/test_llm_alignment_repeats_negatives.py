@@ -227,3 +227,68 @@ def test_mixing_of_repeated_rows(spark):
         whole = mixing.mixed(df)
         assert whole.columns == df.columns and whole.where("doc_id = 1").count() * size == next(r["taken"] for r in out if r[1])
         assert mixing.mix(df).groupBy("doc_id", "taken").count().exceptAll(mixing.mix(df.repartition(3)).groupBy("doc_id", "taken").count()).count() == 0
+
+
+def tree(paths, support=20, differ=1.96):
+    """Templates of the paths (segments, y) of one root, node by node and level by level."""
+    out, nodes = [None] * len(paths), [("", 0, list(range(len(paths))))]
+    while nodes:
+        name, level, members = nodes.pop()
+        on = [i for i in members if len(paths[i][0]) > level]
+        if len(on) < support:
+            on = []
+        for i in set(members) - set(on):
+            out[i] = name + "/*" * (len(paths[i][0]) - level)
+        branch = defaultdict(list)
+        for i in on:
+            branch[paths[i][0][level]].append(i)
+        count = lambda s: (sum(paths[i][1] is not None for i in branch[s]), sum(paths[i][1] or 0 for i in branch[s]))  # noqa: B023, E731
+        wide = {s: count(s) for s in branch if len(branch[s]) >= support}
+        parts, before = [], None
+        for k, b in sorted(set(wide.values()), key=lambda c: (c[0] == 0, c[1] / c[0] if c[0] else 0.5, c[0])):
+            new = before is None
+            if not new:
+                k0, b0 = before
+                p = (b + b0 + 1) / (k + k0 + 2)
+                new = abs((b + 0.5) / (k + 1) - (b0 + 0.5) / (k0 + 1)) / (p * (1 - p) * (1 / (k + 1) + 1 / (k0 + 1))) ** 0.5 >= differ or (k == 0) != (k0 == 0)
+            if new:
+                parts.append([])
+            parts[-1] += [s for s in wide if wide[s] == (k, b)]
+            before = k, b
+        names = {}
+        for part in parts:
+            k, b = sum(wide[s][0] for s in part), sum(wide[s][1] for s in part)
+            rate = b / k if k else 0
+            spread = sum(wide[s][1] ** 2 / wide[s][0] for s in part) - b * rate if k else 0
+            uneven = spread / (rate * (1 - rate)) if k and 0 < rate < 1 else 0
+            free = len(part) - 1
+            for group in [sorted(part)] if k and uneven <= free + differ * (2 * free) ** 0.5 else [[s] for s in part]:
+                label = group[0] if len(group) == 1 else "|".join(group) if len(group) == 2 else f"{group[0]}|{group[-1]}|+{len(group) - 2}"
+                names |= dict.fromkeys(group, label)
+        below = defaultdict(list)
+        for s, ids in branch.items():
+            below[names.get(s, "*")] += ids
+        nodes += [(f"{name}/{n}", level + 1, ids) for n, ids in below.items()]
+    return out
+
+
+def test_path_templates(spark):
+    """The same templates as a plain tree gives: branches alike and not, chains with paths that end inside them, deep paths that occur often, many partitions."""
+    from linkspan.llm import url_filter
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(900):
+        a = rng.choice("abcdef")
+        bad = {"a": 0.05, "b": 0.08, "c": 0.9, "d": 0.85, "e": 0.5}.get(a, 0)
+        segments = [a, *(["x", "y"][: rng.randrange(3)]), f"n{rng.randrange(40)}", *([f"p{rng.randrange(500)}"] if rng.random() < 0.5 else [])]
+        rows.append((f"h{rng.randrange(4)}", segments, int(rng.random() < bad) if rng.random() < 0.6 else None))
+    rows += [("deep", [f"s{i}" for i in range(1000)], 1)] * 25 + [("chain", ["s"] * n, 0) for n in range(40)] + [("", [], None)] * 3
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "rid long, host string, segments array<string>, y int").withColumn("all", F.lit("")).repartition(200)
+    out = url_filter.templates(df, ("host", "all"))
+    got = {(r["rid"], r["tree"]): r["template"] for r in out.collect()}
+    assert len(got) == 2 * len(rows) and out.rdd.getNumPartitions() <= 200
+    for host in {r[0] for r in rows}:
+        ids = [i for i, r in enumerate(rows) if r[0] == host]
+        assert [got[i, 0] for i in ids] == tree([rows[i][1:] for i in ids]), host
+    assert [got[i, 1] for i in range(len(rows))] == tree([r[1:] for r in rows])
