@@ -261,7 +261,7 @@ def run_records(spark, d):
     run = [
         said(f"{pubmed}.fetch_attempted_count", "long", "attempted"), said(f"{pubmed}.no_abstract_count", "long", "empty"), said(f"{pubmed}.no_abstract_rate", "double", "empty_rate"), said(f"{pubmed}.fetch_failure_count", "int", "failures"),
         said("technical_failures.by_source.orphadata_nomenclature.no_local_match", "long", "unmatched"), said(f"{signal}.no_endpoints_to_verify", "boolean", "nothing_to_verify"), said(f"{signal}.challenge_zero_articles", "boolean", "nothing_to_read"),
-        F.col("denominators")["identity"].alias("queries"),
+        F.col("denominators")["identity"].cast("long").alias("queries"),
     ]
     return out.select("query_id", *run, F.col("record.metadata.orpha_id").alias("orpha_id"), F.col("record.metadata.schema_version").alias("version"), F.col("record.evidence.pubmed_total_found").alias("n_found"), left_out.alias("suppressed"))
 
