@@ -207,7 +207,7 @@ def ontology_classes(spark, d):
 
 
 @query("""SELECT 'NCT' || lpad(o_orderkey::VARCHAR, 8, '0') AS nct_id, CASE WHEN o_orderstatus <> 'P' THEN 'Trial ' || o_orderkey END AS title, o_orderstatus AS status, CASE WHEN o_orderstatus = 'F' THEN 'PHASE3' ELSE '' END AS phases,
-                  'K' || o_custkey AS sponsor, o_orderpriority AS conditions, 'DRUG:x' || o_custkey AS interventions, CASE WHEN o_orderstatus = 'F' THEN 'm' || o_orderkey ELSE '' END AS measures, count(*) OVER (PARTITION BY o_orderkey % 4) AS total FROM orders""")
+                  'K' || o_custkey AS sponsor, o_orderpriority AS conditions, 'DRUG:x' || o_custkey AS interventions, CASE WHEN o_orderstatus = 'F' THEN 'm' || o_orderkey ELSE '' END AS measures, count(*) OVER (PARTITION BY o_orderkey // 500) AS total FROM orders""")
 def paged_trials(spark, d):
     """Staged pages of studies as flat rows; what a study lacks is null or empty."""
     o = table(spark, d, "orders")
@@ -219,9 +219,9 @@ def paged_trials(spark, d):
         F.struct(F.array(F.struct(F.lit("DRUG").alias("type"), F.concat(F.lit("x"), "o_custkey").alias("name"))).alias("interventions")).alias("armsInterventionsModule"),
         F.when(done, F.struct(F.array(F.struct(F.concat(F.lit("m"), "o_orderkey").alias("measure"))).alias("primaryOutcomes"))).alias("outcomesModule"),
     ).alias("protocolSection"))
-    page = o.groupBy((F.col("o_orderkey") % 4).alias("page")).agg(F.collect_list(study).alias("studies"), F.count("*").alias("totalCount"))
+    page = o.groupBy(F.floor(F.col("o_orderkey") / 500).alias("page")).agg(F.collect_list(study).alias("studies"), F.count("*").alias("totalCount"))  # at most 500 studies
     folder = scratch(spark, "pages")
-    page.select(F.to_json(F.struct("studies", "totalCount", F.when(F.col("page") < 3, F.lit("next")).alias("nextPageToken"))).alias("value")).repartition(4).write.option("maxRecordsPerFile", 1).text(folder)
+    page.select(F.to_json(F.struct("studies", "totalCount", F.concat(F.lit("t"), F.col("page") + 1).alias("nextPageToken"))).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     read = pages.read_pages(spark, folder)
     rows = pages.trial_records(read).join(read.select("page", "pos", "total"), ["page", "pos"])
     measures = F.array_join(F.transform("primary_outcomes", lambda x: x["measure"]), "|")
