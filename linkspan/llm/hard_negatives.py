@@ -175,6 +175,8 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3
     base = checkpoint(base.select(F.monotonically_increasing_id().alias("rid"), "key", "lab", F.size("v").alias("dim"), "v", F.coalesce("is_anchor", F.lit(False)).alias("is_anchor")))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n, most, large = base.agg(F.count("*"), F.max(square), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()
+    if not n:  # no row takes part
+        return base.select(*[F.lit(None).cast(t).alias(c) for c, t in (("anchor_id", kind), ("positive_id", kind), ("rank", "int"), ("negative_id", kind), ("positive_score", "long"), ("negative_score", "long"))])
     most, travels = (most or 0.0) ** 0.5 * (1 + 1e-9), "array<smallint>" if (large or 0) < 2**15 else "array<bigint>"
     sample = base.select("v", F.xxhash64("key", "v").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()  # at most SAMPLE vectors, for any table
     pivots = Pivots([np.array(r["v"], np.float64) for r in sample], most)
