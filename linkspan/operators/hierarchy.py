@@ -144,6 +144,7 @@ def neighbours(identities: DataFrame, catalog: DataFrame, codes: DataFrame, edge
     theirs = catalog.select(F.col("cui").alias("b")).distinct().join(codes.select(F.col("cui").alias("b"), "sab", F.col("code").alias("other")), "b")
     codes_of = mine.select("sab", "code").distinct()
     near = relatives(codes_of, edges).select("sab", "code", F.col("relative").alias("other")).union(siblings(codes_of, edges))
+    near = near.union(codes_of.join(edges.select("sab", F.col("child").alias("code")), ["sab", "code"], "left_semi").select("sab", "code", F.col("code").alias("other")))  # concepts under one code
     lines = ancestors.select("sab", F.col("node").alias("code"), F.col("ancestor").alias("other"))
     lines = lines.union(ancestors.select("sab", F.col("ancestor").alias("code"), F.col("node").alias("other"))).join(codes_of, ["sab", "code"], "left_semi")
     pairs = mine.join(near.union(lines).distinct(), ["sab", "code"]).join(theirs, ["sab", "other"]).where("a <> b").select("a", "b").distinct()
