@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality
 from ..session import scratch, table
-from ..sources import files, pages
+from ..sources import boxes, files, pages
 from .registry import query
 
 
@@ -263,3 +263,24 @@ def banner_rows(spark, d):
     is_banner = F.col("event_type") == "signup"
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", F.when(is_banner, F.concat(F.lit("B"), "user_id", F.lit("/"), "event_id")).otherwise("x").alias("cell"))
     return files.banner_rows(e, is_banner, "cell", ["user_id"], ["ts", "event_id"]).select("event_id", "cell", "banner")
+
+
+@query("""SELECT 'D' || (p_partkey // 2000) AS doc, (p_partkey // 20) % 100 AS page, p_partkey::VARCHAR AS key, p_name || ' ' || p_type || ' ' || p_brand AS described,
+                 CASE WHEN p_size >= 5 THEN p_size::VARCHAR ELSE '' END AS size, 'What page ' || (p_partkey // 20) % 100 || ' holds, by key and name' AS banner FROM part""")
+def boxed_table(spark, d):
+    """Parts laid out as words on pages (cells of two lines, words a little off their line, empty cells, a header on each page and a banner over all columns) and read back."""
+    at = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.concat(F.lit("D"), F.floor(F.col("p_partkey") / 2000)).alias("doc"), (F.floor(F.col("p_partkey") / 20) % 100).alias("page"), "p_name", "p_type", "p_brand", "p_size")
+    # A letter is 6 wide; words of a line follow each other by a blank, lines of a row by 10, rows by 40.
+    word = lambda x, y, t: F.struct(x.cast("double").alias("x0"), (x + 6 * F.length(t)).cast("double").alias("x1"), y.cast("double").alias("y"), t.alias("text"))
+    run = lambda x, y, text: F.transform(F.split(text, " "), lambda t, i: word(F.lit(x) + 6 * F.coalesce(F.aggregate(F.slice(F.split(text, " "), 1, i), F.lit(0), lambda n, b: n + F.length(b) + 1), F.lit(0)), F.lit(y) + i % 2, t))
+    y = 60 + 40 * (F.col("key") % 20)
+    parts = F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")
+    described = F.transform(parts, lambda t, i: word(F.lit(90) + F.when(i % 2 == 1, 6 * (F.length(F.get(parts, i - 1)) + 1)).otherwise(0), y + 10 * F.floor(i / 2) + i % 2, t))
+    size = F.col("p_size").cast("string")
+    cells = at.select("doc", "page", F.explode(F.concat(F.array(word(F.lit(10), y, F.col("key").cast("string"))), described, F.when(F.col("p_size") >= 5, F.array(word(300 - 6 * F.length(size), y, size))).otherwise(F.array()))).alias("w"))
+    pages = at.select("doc", "page").distinct()
+    banner = F.concat_ws(" ", F.lit("What page"), F.col("page").cast("string"), F.lit("holds, by key and name"))
+    fixed = pages.select("doc", "page", F.explode(F.concat(run(10, 10, F.lit("Key")), run(90, 10, F.lit("Name and brand")), run(276, 10, F.lit("Size")), run(10, 35, banner))).alias("w"))
+    rows = boxes.extract(cells.union(fixed).select("doc", "page", "w.*")).withColumn("first", F.col("cells")[0])
+    rows = files.banner_rows(rows, boxes.is_banner(), "first", ["doc"], ["page", "row"])
+    return rows.select("doc", "page", boxes.cell("Key").alias("key"), boxes.cell("Name and brand").alias("described"), boxes.cell("Size").alias("size"), "banner")
