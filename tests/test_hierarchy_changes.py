@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkspan.operators import hierarchy, incremental
+from linkspan.operators import hierarchy, incremental, labels
 
 EDGE = "sab string, child string, parent string"
 
@@ -57,3 +57,35 @@ def test_no_change_and_nulls(spark):
     after, came, went = incremental.changed(edges.limit(0), edges, edges)
     delta = incremental.closure_delta(known.limit(0), after, came, went)
     assert rows(delta, *incremental.KEY, "was", "depth") == [("X", "a", "b", None, 1)]
+
+
+@pytest.mark.parametrize("seed,cycles", [(4, False), (5, True)])
+def test_labels_equal_the_closure(spark, seed, cycles):
+    _, e = graph(seed, 18, 30, cycles)
+    if cycles:  # cycles that no root leads to, one of them above others
+        e += [("X", "p", "q"), ("X", "q", "p"), ("X", "p", "n01"), ("Y", "k", "l"), ("Y", "l", "m"), ("Y", "m", "k"), ("Y", "j", "m"), ("Y", "a", "a")]
+    edges = spark.createDataFrame(e + e[:2] + [("X", None, "n01"), (None, "n00", "n01")], EDGE)
+    nodes = sorted({x for _, a, b in e for x in (a, b)} | {"nowhere"})
+    asked = spark.createDataFrame([(s, a, b) for s in "XY" for a in nodes for b in nodes], "sab string, node string, ancestor string")
+    places, ranges = labels.label(edges)
+    assert rows(labels.descents(asked, places, ranges), *incremental.KEY) == rows(hierarchy.closure(edges.dropna()), *incremental.KEY)
+    assert places.count() == places.select("sab", "node").distinct().count() == places.select("sab", "place").distinct().count()
+
+
+def test_labels_of_a_tree_and_of_nothing(spark):
+    tree = [("T", f"n{i}", f"n{(i - 1) // 3}") for i in range(1, 40)]
+    places, ranges = labels.label(spark.createDataFrame(tree, EDGE))
+    assert ranges.count() == places.count() == 40  # a row for each node, where the closure has one for each pair
+    assert ranges.where("node = 'n0'").select("lo", "hi").first() == (0, 39)
+    places, ranges = labels.label(spark.createDataFrame([], EDGE))
+    assert places.isEmpty() and labels.descents(spark.createDataFrame([("T", "a", "b")], "sab string, node string, ancestor string"), places, ranges).isEmpty()
+
+
+def test_relations_from_labels(spark):
+    _, e = graph(6, 12, 22, False)
+    edges = spark.createDataFrame(e, EDGE)
+    codes = spark.createDataFrame([(f"c{i:02}", s, f"n{i:02}") for i in range(12) for s in "XY"], "cui string, sab string, code string")
+    pairs = spark.createDataFrame([(f"c{a:02}", f"c{b:02}") for a in range(12) for b in range(12)], "a string, b string")
+    lines = labels.asked_lines(pairs, codes, *labels.label(edges))
+    told = ("a", "b", "sab", "relation", "via")
+    assert rows(hierarchy.relation_per_source(pairs, codes, edges, lines), *told) == rows(hierarchy.relation_per_source(pairs, codes, edges, hierarchy.closure(edges)), *told)
