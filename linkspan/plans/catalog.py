@@ -6,6 +6,8 @@ line items for trials and their outcomes, nations for concepts of three hierarch
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,25 @@ def authority_tiebreak(spark, d):
     return resolve.decide(mentions, found, RULES).where("authority is not null").select("query", "cui", "authority")
 
 
+@_query(_VOTES + """
+    SELECT query, (row_number() OVER (PARTITION BY query ORDER BY n DESC, v.cui))::INT AS place, v.cui, n::INT AS n_support FROM v JOIN s USING (query) WHERE typed AND n >= 2 AND k > 1""")
+def contest_order(spark, d):
+    """The concepts that contest a mention, those of most sources first."""
+    mentions, atoms, concepts = _parts_as_vocabulary(spark, d)
+    found = resolve.decide(mentions, resolve.candidates(mentions, atoms, concepts, RULES), RULES)
+    each = found.select("query", F.posexplode("contest").alias("at", "c"))
+    return each.select("query", (F.col("at") + 1).alias("place"), F.col("c.by").alias("cui"), F.col("c.n_support").alias("n_support"))
+
+
+@_query(" UNION ALL ".join(f"""
+    FROM ({_VOTES.replace("n >= 2", f"n >= {k}")} SELECT {k} AS min_support, CASE WHEN t = 0 OR k = 0 THEN 'NOT_A_CONDITION' WHEN cui IS NOT NULL THEN 'RESOLVED' ELSE 'CONFLICT_DETECTED' END AS status, count(*) AS n FROM d GROUP BY 2)""" for k in (1, 2, 3)))
+def rule_limits(spark, d):
+    """How mentions settle as the number of sources that a concept needs is 1, 2 (the default) or 3."""
+    mentions, atoms, concepts = _parts_as_vocabulary(spark, d)
+    told = lambda k: resolve.resolve(mentions, atoms, concepts, rules=replace(RULES, min_support=k)).groupBy("status").agg(F.count("*").alias("n")).select(F.lit(k).alias("min_support"), "status", "n")
+    return told(1).union(told(2)).union(told(3))
+
+
 @_query(_VOTES + """
     SELECT query, CASE WHEN NOT typed THEN 'TYPE_REJECTED' WHEN n < 2 THEN 'SINGLE_VOCABULARY_ONLY' ELSE 'NOT_THE_LAY_MEANING' END AS reason, v.cui AS candidate
     FROM v JOIN d USING (query) WHERE NOT typed OR n < 2 OR (authority IS NOT NULL AND d.cui <> v.cui)""")
