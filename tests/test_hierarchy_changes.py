@@ -89,3 +89,11 @@ def test_relations_from_labels(spark):
     lines = labels.asked_lines(pairs, codes, *labels.label(edges))
     told = ("a", "b", "sab", "relation", "via")
     assert rows(hierarchy.relation_per_source(pairs, codes, edges, lines), *told) == rows(hierarchy.relation_per_source(pairs, codes, edges, hierarchy.closure(edges)), *told)
+
+
+def test_concepts_under_one_code_are_siblings(spark):
+    edges = spark.createDataFrame([("X", "k", "p"), ("X", "q", "p2")], EDGE)
+    codes = spark.createDataFrame([("a", "X", "k"), ("b", "X", "k"), ("c", "X", "p2"), ("d", "X", "p2")], "cui string, sab string, code string")
+    catalog = codes.select("cui").withColumn("condition", F.col("cui"))
+    out = hierarchy.neighbours(catalog, catalog, codes, edges, hierarchy.closure(edges), spark.createDataFrame([("X", 0)], "sab string, source_order int"))
+    assert rows(out, "a", "b", "relation", "via") == [("a", "b", "SIBLING", ["p"]), ("b", "a", "SIBLING", ["p"])]  # c and d have no parent
