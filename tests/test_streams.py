@@ -65,6 +65,22 @@ def test_scan_goes_on_where_it_stopped(spark, tmp_path):
     assert end["ended"] == "RETRIEVAL_ERROR" and end["page"] == 6
 
 
+def test_scan_of_very_many_pages(tmp_path, monkeypatch):
+    """A scan of more than ten thousand pages is followed to its end, also across a restart; offsets do not grow with it, and a token from the first batch is still known."""
+    n = 12_000
+    monkeypatch.setattr(scans, "_answer", lambda folder, token, attempt: {"nextPageToken": f"t{k + 1}" if (k := int(token.removeprefix("t").replace("first", "0"))) + 1 < n else "t1"})
+    make = lambda: scans.PagedScan({"path": str(tmp_path / "many"), "state": str(tmp_path / "many-state"), "pages_per_batch": "5000"}).streamReader(None)
+    at, told, sizes = make().initialOffset(), [], []
+    for _ in range(3):
+        reader = make()
+        end = reader.latestOffset()
+        told += [p.value for p in reader.partitions(at, end)]
+        sizes.append(len(json.dumps(end)))
+        at = end
+    assert [t[0] for t in told] == list(range(n)) and at["ended"] == told[-1][4] == "TOKEN_REPEATED" and {t[4] for t in told[:-1]} == {""}
+    assert max(sizes) < 100 and make().latestOffset() == at
+
+
 @pytest.fixture
 def rocks(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
