@@ -176,6 +176,13 @@ def test_routes_and_components(spark):
     assert out[2]["status"] == "NO_DRUGS" and out[2]["drugs"] is None
     open_ = link.two_route_lookup(q, concepts, terms, treats, items, when, resolved=F.col("query_id") == 2)
     assert rows(open_, "query_id", "status", "n_one_route") == [(1, "CONDITION_UNRESOLVED", 0), (2, "NO_DRUGS", 0)] and open_.where("drugs is not null").isEmpty()
+    ends = link.two_route_ends(q, concepts, terms, treats, items, when, 2, 2)
+    one = {r["query_id"]: r for r in ends.collect()}
+    assert (one[1]["n_drugs"], one[1]["n_one_route"], [d["item"] for d in one[1]["first"]], [d["item"] for d in one[1]["last"]]) == (3, 2, ["both", "coded"], ["coded", "prose"])
+    assert (one[2]["status"], one[2]["n_drugs"], one[2]["n_one_route"], one[2]["first"], one[2]["last"]) == ("NO_DRUGS", 0, 0, None, None)
+    assert ends._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 4  # tasks hand on a few rows of a query, and no list holds all
+    shut = link.two_route_ends(q, concepts, terms, treats, items, when, 2, 2, resolved=F.col("query_id") == 2)
+    assert rows(shut, "query_id", "status", "n_drugs", "first") == [(1, "CONDITION_UNRESOLVED", 0, None), (2, "NO_DRUGS", 0, None)]
     c = spark.createDataFrame([("1/2",), ("1",)], "key_ids string")
     assert rows(link.all_approved(c, spark.createDataFrame([("1",)], "id string")), "key_ids", "approved") == [("1", True), ("1/2", False)]
 
