@@ -57,7 +57,7 @@ def neighbours(who: DataFrame, found: DataFrame, s: Sources, suppress_on: str =
     # Lines of descent matter only between codes of the open queries and of the catalogue.
     some = open_.select("cui").union(s.catalog.where("cui <> ''").select("cui")).distinct().join(s.codes, "cui").select("sab", F.col("code").alias("node"))
     ancestors = hierarchy.closure(s.edges, some)
-    near = hierarchy.neighbours(open_.select("cui"), s.catalog.where("cui <> ''"), s.codes, s.edges, ancestors, s.order, s.defined, s.gated)
+    near = hierarchy.neighbours(open_.select("cui"), s.catalog.where("cui <> ''"), s.codes, s.edges, ancestors, s.order, s.defined, s.gated, reasons=False)
     with_items = near.join(s.children.groupBy("condition").agg(F.count_if("qualified").alias("n_qualified"), F.count("*").alias("n_items")), "condition", "left")
     if suppress_on == "qualified":
         with_items = with_items.where(F.coalesce("n_qualified", F.lit(0)) > 0)

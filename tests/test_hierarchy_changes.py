@@ -97,3 +97,21 @@ def test_concepts_under_one_code_are_siblings(spark):
     catalog = codes.select("cui").withColumn("condition", F.col("cui"))
     out = hierarchy.neighbours(catalog, catalog, codes, edges, hierarchy.closure(edges), spark.createDataFrame([("X", 0)], "sab string, source_order int"))
     assert rows(out, "a", "b", "relation", "via") == [("a", "b", "SIBLING", ["p"]), ("b", "a", "SIBLING", ["p"])]  # c and d have no parent
+
+
+@pytest.mark.parametrize("seed,cycles,gated", [(7, False, ()), (8, True, ("Y",))])
+def test_counted_relations_are_those_of_the_vote(spark, seed, cycles, gated):
+    """Without reasons a pair is shuffled once, not once for each step of the vote, and the relations are the same, also where most sources see none."""
+    rng, e = graph(seed, 16, 30, cycles)
+    edges = spark.createDataFrame(e + [("Z", "n01", "n02"), ("Z", "n03", "n03")], EDGE)
+    codes = spark.createDataFrame([(f"c{i:02}", s, f"n{i % 14:02}" if i % 6 else "") for i in range(16) for s in "XYZ" if rng.random() < 0.8], "cui string, sab string, code string")
+    catalog = codes.select("cui").distinct().withColumn("condition", F.upper("cui"))
+    order = spark.createDataFrame([("Y", 0), ("X", 1), ("Z", 2)], "sab string, source_order int")
+    defined = spark.createDataFrame([("Y", "n03"), ("Y", "n05")], "sab string, code string")
+    args = (catalog, catalog, codes, edges, hierarchy.closure(edges), order, defined, gated)
+    lean, told = hierarchy.neighbours(*args, reasons=False), ("a", "b", "relation", "n_agreeing", "condition")
+    assert lean.columns == list(lean.select("b", "a", "relation", "n_agreeing", "condition").columns)
+    assert rows(lean, *told) == rows(hierarchy.neighbours(*args), *told) != []
+    twice = codes.union(spark.createDataFrame([("c01", "X", "n09")], codes.schema))
+    args = (catalog, catalog, twice, *args[3:])
+    assert rows(hierarchy.neighbours(*args, reasons=False), *told) == rows(hierarchy.neighbours(*args), *told)  # several codes: by the whole vote
