@@ -6,6 +6,9 @@ lies in one of the other's ranges: an equi-join on both codes and a comparison.
 
 A tree costs a row for each node; what edges outside the forest add is at most what the closure would have, and far less where few nodes
 have a second parent. Cycles end: ranges are a finite set. Nulls and empty codes make no edge, nor does an edge from a node to itself.
+
+Nodes without children, mostly the greatest part, take no part in the rounds: they get their places below a parent at the end. A node
+may hold very many ranges, so places and ranges meet by node and *stretch* of places, never all ranges of a node.
 """
 
 from __future__ import annotations
@@ -13,9 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import bounded, checkpoint
 from .hierarchy import PIECES
 
+#: Places of a stretch at least; childless nodes of a parent that a task numbers.
+STRETCH, LOT = 256, 100_000
+
 
 def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """The sum of ``value`` over all rows before each, in ``order`` (which must tell rows apart): ranges are summed up each in a task of its own, and the sums of the ranges before them are added."""
@@ -40,9 +46,8 @@ def _nearest(edges: DataFrame, roots: DataFrame, seen: DataFrame | None, first:
     return known
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """sab, node, up (null for roots), level. Nodes that no root leads to hang on cycles: there the least node of a cycle that nothing leads to is a root."""
-    nodes = edges.select("sab", F.col("child").alias("node")).union(edges.select("sab", "parent")).distinct()
+def forest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sab, node, up (null for roots), level of ``nodes`` (sab, node). Nodes that no root leads to hang on cycles: there the least node of a cycle that nothing leads to is a root."""
     tops = nodes.join(edges.select("sab", F.col("child").alias("node")), ["sab", "node"], "left_anti")
     known = checkpoint(_nearest(edges, tops, None, 0))
     rest = checkpoint(nodes.join(known.select("sab", "node"), ["sab", "node"], "left_anti"))
@@ -61,60 +66,102 @@ def forest(edges: DataFrame) -> DataFrame:
 
 
 def places(tree: DataFrame) -> DataFrame:
-    """sab, node, lo, hi: places in a forest: lo is a node's own, lo to hi those of all below it. Of each root one range, of each source ranges of its own."""
+    """sab, node, leaves, lo, hi: places in a forest, whose nodes have ``leaves`` further children without children: lo is a node's own, the next are those of its leaves, lo to hi those of all below it. Of each root one range, of each source ranges of its own."""
     deepest = tree.agg(F.max("level")).first()[0]
     if deepest is None:
-        return tree.select("sab", "node", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+        return tree.select("sab", "node", "leaves", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
     # Sizes from the deepest level up, each level once.
     sizes, below = None, None
     for level in range(deepest, -1, -1):
-        at = tree.where(F.col("level") == level).select("sab", "node", "up", "level")
-        at = at.withColumn("size", F.lit(1).cast("long")) if below is None else at.join(below, ["sab", "node"], "left").select("sab", "node", "up", "level", (F.coalesce("inner", F.lit(0)) + 1).alias("size"))
+        at = tree.where(F.col("level") == level).select("sab", "node", "up", "level", "leaves")
+        at = at.withColumn("size", F.col("leaves") + 1) if below is None else at.join(below, ["sab", "node"], "left").select("sab", "node", "up", "level", "leaves", (F.coalesce("inner", F.lit(0)) + F.col("leaves") + 1).alias("size"))
         at = checkpoint(at)
         below = at.where("up IS NOT NULL").groupBy("sab", F.col("up").alias("node")).agg(F.sum("size").alias("inner"))
         sizes = at if sizes is None else sizes.unionByName(at)
     # Children of a node follow each other in the order of all edges, so what lies before a child is a difference of two running sums.
     summed = checkpoint(running(sizes.withColumn("_up", F.coalesce("up", F.lit(""))), ["sab", "_up", "node"], "size", "sum"))
     base = summed.groupBy("sab", "_up").agg(F.min("sum").alias("base"))
-    shifts = checkpoint(summed.join(base, ["sab", "_up"]).select("sab", "node", "up", "level", "size", (F.col("sum") - F.col("base")).alias("shift")))
-    frontier = checkpoint(shifts.where("level = 0 OR up IS NULL").select("sab", "node", "level", "size", F.col("shift").alias("lo")))
+    shifts = checkpoint(summed.join(base, ["sab", "_up"]).select("sab", "node", "up", "level", "leaves", "size", (F.col("sum") - F.col("base")).alias("shift")))
+    frontier = checkpoint(shifts.where("level = 0 OR up IS NULL").select("sab", "node", "level", "leaves", "size", F.col("shift").alias("lo")))
     out = frontier
     for level in range(1, deepest + 1):
-        above = out.where(F.col("level") == level - 1).select("sab", F.col("node").alias("up"), F.col("lo").alias("at"))
-        at = checkpoint(shifts.where((F.col("level") == level) & F.col("up").isNotNull()).join(above, ["sab", "up"]).select("sab", "node", "level", "size", (F.col("at") + 1 + F.col("shift")).alias("lo")))
+        above = out.where(F.col("level") == level - 1).select("sab", F.col("node").alias("up"), (F.col("lo") + F.col("leaves")).alias("at"))
+        at = checkpoint(shifts.where((F.col("level") == level) & F.col("up").isNotNull()).join(above, ["sab", "up"]).select("sab", "node", "level", "leaves", "size", (F.col("at") + 1 + F.col("shift")).alias("lo")))
         out = out.unionByName(at)
-    return out.select("sab", "node", "lo", (F.col("lo") + F.col("size") - 1).alias("hi"))
-
-
-def label(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Places (sab, node, place) and ranges (sab, node, lo, hi) of the nodes of ``edges`` (sab, child, parent), both written down."""
-    edges = checkpoint(edges.select("sab", "child", "parent").where("sab IS NOT NULL AND child <> '' AND parent <> '' AND child <> parent").distinct())
-    tree = forest(edges)
-    own = checkpoint(places(tree))
+    return out.select("sab", "node", "leaves", "lo", (F.col("lo") + F.col("size") - 1).alias("hi"))
+
+
+def _seated(leaves: DataFrame, own: DataFrame, lot: int) -> DataFrame:
+    """sab, node, lo, hi of ``leaves`` (sab, node, up): the places that ``own`` (sab, node, leaves, lo) has left for them, in any order. Those of a parent with more than ``lot`` are numbered in lots."""
+    under = leaves.join(own.select("sab", F.col("node").alias("up"), "leaves", "lo"), ["sab", "up"])
+    among = ["sab", "up"]
+    crowded = not own.where(F.col("leaves") > lot).isEmpty()
+    if crowded:
+        among = ["sab", "up", "_lot"]
+        under = checkpoint(under.withColumn("_lot", F.pmod(F.xxhash64("node"), F.ceil(F.col("leaves") / lot))))
+        lots = under.where(F.col("leaves") > lot).groupBy(*among).agg(F.count("*").alias("n"))  # no more than all leaves by half a lot
+        before = lots.select(*among, (F.sum("n").over(W.partitionBy("sab", "up").orderBy("_lot")) - F.col("n")).alias("_before"))
+        under = under.repartition(*among)
+    seated = under.withColumn("lo", F.col("lo") + F.row_number().over(W.partitionBy(*among).orderBy("node")))
+    if crowded:
+        seated = seated.join(bounded(before), among, "left").withColumn("lo", F.col("lo") + F.coalesce("_before", F.lit(0)))
+    return seated.select("sab", "node", "lo", F.col("lo").alias("hi"))
+
+
+def _stretch(ranges: DataFrame) -> int:
+    """So many places that ranges cut at every such number of places are at most some three times as many."""
+    n, places = ranges.agg(F.count("*"), F.sum(F.col("hi") - F.col("lo") + 1)).first()
+    return max(STRETCH, (places or 0) // max(n, 1))
+
+
+def _cut(ranges: DataFrame, stretch: int) -> DataFrame:
+    """_sab, _node, _lo, _hi, _at: each range once for every stretch of places that it touches."""
+    within = F.sequence(F.floor(F.col("lo") / stretch), F.floor(F.col("hi") / stretch))
+    return ranges.select(F.col("sab").alias("_sab"), F.col("node").alias("_node"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(within).alias("_at"))
+
+
+def label(edges: DataFrame, lot: int = LOT) -> tuple[DataFrame, DataFrame]:
+    """Places (sab, node, place) and ranges (sab, node, lo, hi, lone: of a node without children) of the nodes of ``edges`` (sab, child, parent), both written down."""
+    edges = edges.select("sab", "child", "parent").where("sab IS NOT NULL AND child <> '' AND parent <> '' AND child <> parent")
+    nodes = checkpoint(edges.select("sab", F.col("parent").alias("node")).distinct())
+    marked = edges.repartition("sab", "child").distinct().join(nodes.select("sab", F.col("node").alias("child"), F.lit(True).alias("inner")), ["sab", "child"], "left")
+    marked = checkpoint(marked.withColumn("up", F.min("parent").over(W.partitionBy("sab", "child"))))
+    inner = marked.where("inner").select("sab", "child", "parent")
+    leaves = marked.where("inner IS NULL AND parent = up").select("sab", F.col("child").alias("node"), "up")
+    tree = forest(inner, nodes)
+    held_by = leaves.groupBy("sab", F.col("up").alias("node")).agg(F.count("*").alias("leaves"))
+    trunk = checkpoint(places(checkpoint(tree.join(held_by, ["sab", "node"], "left").fillna(0, ["leaves"]))))
+    held, seated = trunk.select("sab", "node", "lo", "hi"), checkpoint(_seated(leaves, trunk, lot))
+    own = held.unionByName(seated)
     kept = tree.where("up IS NOT NULL").select("sab", F.col("node").alias("child"), F.col("up").alias("parent"))
-    extra = edges.join(kept, ["sab", "child", "parent"], "left_anti")
-    held = own
+    extra = inner.join(kept, ["sab", "child", "parent"], "left_anti").unionByName(marked.where("inner IS NULL AND parent <> up").select("sab", "child", "parent"))
+    stretch = _stretch(held)
     found = extra.join(own.withColumnRenamed("node", "child"), ["sab", "child"]).select("sab", F.col("parent").alias("node"), "lo", "hi")
     rounds = 0
     while True:
         found = checkpoint(found.distinct())
-        inside = found.join(held.select("sab", "node", F.col("lo").alias("l"), F.col("hi").alias("h")), ["sab", "node"]).where("l <= lo AND hi <= h").select("sab", "node", "lo", "hi").distinct()
-        frontier = checkpoint(found.join(inside, ["sab", "node", "lo", "hi"], "left_anti"))
-        if frontier.isEmpty():
+        if found.isEmpty():
             break
+        at, of = found.withColumn("_from", F.floor(F.col("lo") / stretch)), _cut(held, stretch)
+        within = (F.col("sab") == F.col("_sab")) & (F.col("node") == F.col("_node")) & (F.col("_from") == F.col("_at")) & (F.col("_lo") <= F.col("lo")) & (F.col("hi") <= F.col("_hi"))
+        frontier = checkpoint(at.join(of, within, "left_anti").drop("_from"))
         rounds += 1
         held = held.unionByName(frontier)
         if rounds % PIECES == 0:
             held = checkpoint(held)
-        found = edges.join(frontier.withColumnRenamed("node", "child"), ["sab", "child"]).select("sab", F.col("parent").alias("node"), "lo", "hi")
-    return own.select("sab", "node", F.col("lo").alias("place")), checkpoint(held)
+        found = inner.join(frontier.withColumnRenamed("node", "child"), ["sab", "child"]).select("sab", F.col("parent").alias("node"), "lo", "hi")
+    ranges = held.withColumn("lone", F.lit(False)).unionByName(seated.withColumn("lone", F.lit(True)))
+    return own.select("sab", "node", F.col("lo").alias("place")), ranges
 
 
 def descents(pairs: DataFrame, places: DataFrame, ranges: DataFrame) -> DataFrame:
     """Those of the asked ``pairs`` (sab, node, ancestor) in which ``ancestor`` is one of the node. A node is none of its own; codes without a label have none."""
-    asked = pairs.select("sab", "node", "ancestor").where("node <> ancestor").distinct()
-    at = asked.join(places, ["sab", "node"])
-    return at.join(ranges.withColumnRenamed("node", "ancestor"), ["sab", "ancestor"]).where("lo <= place AND place <= hi").select("sab", "node", "ancestor").distinct()
+    asked = pairs.select("sab", "node", "ancestor").where("node <> ancestor")
+    ranges = ranges.where("NOT lone")  # nothing is below those
+    stretch = _stretch(ranges)
+    at = asked.join(places, ["sab", "node"]).distinct().withColumn("_from", F.floor(F.col("place") / stretch))
+    within = (F.col("sab") == F.col("_sab")) & (F.col("ancestor") == F.col("_node")) & (F.col("_from") == F.col("_at")) & (F.col("_lo") <= F.col("place")) & (F.col("place") <= F.col("_hi"))
+    return at.join(_cut(ranges, stretch), within, "left_semi").select("sab", "node", "ancestor")
 
 
 def asked_lines(pairs: DataFrame, codes: DataFrame, places: DataFrame, ranges: DataFrame) -> DataFrame:

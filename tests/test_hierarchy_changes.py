@@ -81,6 +81,33 @@ def test_labels_of_a_tree_and_of_nothing(spark):
     assert places.isEmpty() and labels.descents(spark.createDataFrame([("T", "a", "b")], "sab string, node string, ancestor string"), places, ranges).isEmpty()
 
 
+def test_places_and_ranges_meet_by_stretches(spark):
+    """A node that holds very many ranges, each of one leaf, is asked by as many nodes: they never meet all of them."""
+    n = 3000
+    lines = spark.range(n).select(F.format_string("l%05d", "id").alias("child"), F.array(F.lit("a"), F.when(F.col("id") % 2 == 0, F.lit("q"))).alias("parents"))
+    edges = lines.select(F.lit("T").alias("sab"), "child", F.explode("parents").alias("parent")).dropna()
+    places, ranges = labels.label(edges)
+    assert ranges.where("node = 'q'").count() == 1 + n // 2
+    asked = lines.select(F.lit("T").alias("sab"), F.col("child").alias("node"), F.explode(F.array(F.lit("a"), F.lit("q"), F.lit("l00001"))).alias("ancestor"))
+    out = labels.descents(asked, places, ranges)
+    assert out.groupBy("ancestor").count().sort("ancestor").collect() == [("a", n), ("q", n // 2)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_from" in plan and "_at" in plan and labels._cut(ranges.where("node = 'q'"), labels.STRETCH).groupBy("_at").count().agg(F.max("count")).first()[0] <= labels.STRETCH
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_leaves_are_seated_in_lots(spark, seed):
+    rng = random.Random(seed)
+    e = [("X", f"l{i:03}", f"p{rng.choice((0, 0, 0, 1, 2))}") for i in range(60)] + [("X", f"l{i:03}", "p3") for i in range(0, 60, 7)] + [("X", "p1", "p0"), ("X", "p2", "p0"), ("X", "p3", "p2")]
+    edges = spark.createDataFrame(e, EDGE)
+    places, ranges = labels.label(edges, lot=8)
+    count = places.count()
+    assert count == places.select("place").distinct().count() == 64 and places.agg(F.min("place"), F.max("place")).first() == (0, 63)
+    nodes = places.select("sab", "node")
+    asked = nodes.join(nodes.withColumnRenamed("node", "ancestor"), "sab")
+    assert rows(labels.descents(asked, places, ranges), *incremental.KEY) == rows(hierarchy.closure(edges), *incremental.KEY)
+
+
 def test_relations_from_labels(spark):
     _, e = graph(6, 12, 22, False)
     edges = spark.createDataFrame(e, EDGE)
