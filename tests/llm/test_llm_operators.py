@@ -51,6 +51,23 @@ def test_components(spark):
     assert {r["component"] for r in out.collect() if r["node"] >= 5000 or r["node"] < 10} == {1} and out.where("component = 100").count() == 301
 
 
+@pytest.mark.parametrize("broadcast", [common.BROADCAST_ROWS, 0])
+def test_rounds_of_components_have_small_plans(spark, monkeypatch, broadcast):
+    """The driver holds the plan of a round: its joins must not multiply."""
+    joins, write = [], common.checkpoint
+
+    def noted(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df)
+
+    monkeypatch.setattr(common, "checkpoint", noted)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    pairs = [(i, i + 1) for i in range(9)] + [(50 + i, 40) for i in range(90)] + [(7, 7)]
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(10)}, **{50 + i: 40 for i in range(90)}, 40: 40}
+    assert max(joins) <= (1 if broadcast else 4)
+
+
 def test_exact_dedup(docs, rows, empty):
     groups = defaultdict(list)
     for r in rows:
