@@ -42,29 +42,29 @@ FACTORS = np.random.default_rng(11).integers(1, 2**63, 64, np.uint64) * np.uint6
 
 def grams(raw: np.ndarray, gram: int) -> np.ndarray:
     """A hash of the ``gram`` bytes (a multiple of eight) that start at each place."""
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view("<u8").ravel()
+    raw = np.ascontiguousarray(raw)
+    words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)).astype(np.uint64)
     n = len(raw) - gram + 1
-    h = np.zeros(n, np.uint64)
-    for i in range(gram // 8):
-        h += words[8 * i : 8 * i + n] * FACTORS[i]
-    h ^= h >> np.uint64(32)
+    h, part = words[:n] * FACTORS[0], np.empty(n, np.uint64)
+    for i in range(1, gram // 8):
+        h += np.multiply(words[8 * i : 8 * i + n], FACTORS[i], out=part)
+    h ^= np.right_shift(h, np.uint64(32), out=part)
     h *= FACTORS[-1]
-    h ^= h >> np.uint64(29)
+    h ^= np.right_shift(h, np.uint64(29), out=part)
     return h
 
 
 def _lowest(h: np.ndarray, width: int) -> np.ndarray:
     """Places of the least value, the first of several, of every run of ``width`` values."""
     place = np.uint64(AT_ONCE * 2 - 1)
-    key = (h & ~place) | np.arange(len(h), dtype=np.uint64)
-    n = len(key) - width + 1
-    blocks = np.full(-(-len(key) // width) * width, np.iinfo(np.uint64).max)
-    blocks[: len(key)] = key
-    blocks = blocks.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-    back = np.minimum.accumulate(blocks, 1).ravel()
-    at = np.minimum(ahead[:n], back[width - 1 : width - 1 + n]) & place
-    return at[np.append(True, at[1:] != at[:-1])].astype(np.int64)
+    low, has = (h & ~place) | np.arange(len(h), dtype=np.uint64), 1
+    while 2 * has <= width:  # the least of runs twice as long
+        low = np.minimum(low[:-has], low[has:])
+        has *= 2
+    if has < width:
+        low = np.minimum(low[: has - width], low[width - has :])
+    low &= place
+    return low[np.append(True, low[1:] != low[:-1])].astype(np.int64)
 
 
 def anchors(raw: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,10 +78,12 @@ def anchors(raw: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarra
         hashes.append(h[at])
     if not places:
         return (np.zeros(0, np.int64),) * 3
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    reach = least - gram
+    at, h, reach = places[0], hashes[0], least - gram
+    if len(places) > 1:
+        at, first = np.unique(np.concatenate(places), return_index=True)
+        h = np.concatenate(hashes)[first]
     contexts = [xxhash.xxh3_64_intdigest(raw[max(0, p - reach) : p + least], min(p, reach)) for p in at.tolist()]
-    return at, np.concatenate(hashes)[first].view(np.int64), np.array(contexts, np.uint64).view(np.int64)
+    return at, h.view(np.int64), np.array(contexts, np.uint64).view(np.int64)
 
 
 def intervals(common: np.ndarray, least: int):

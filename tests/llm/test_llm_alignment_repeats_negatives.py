@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -292,3 +294,41 @@ def test_path_templates(spark):
         ids = [i for i, r in enumerate(rows) if r[0] == host]
         assert [got[i, 0] for i in ids] == tree([rows[i][1:] for i in ids]), host
     assert [got[i, 1] for i in range(len(rows))] == tree([r[1:] for r in rows])
+
+
+def test_grams_make_few_arrays():
+    """Hashing is most of op11's work: the same hashes as from a sum that copies its words and makes an array for each, in less time."""
+    raw = np.random.default_rng(1).integers(97, 123, 3400).astype(np.uint8)
+
+    def plain():
+        words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view("<u8").ravel()
+        n = len(raw) - 63
+        h = np.zeros(n, np.uint64)
+        for i in range(8):
+            h += words[8 * i : 8 * i + n] * repeats.FACTORS[i]
+        h ^= h >> np.uint64(32)
+        h *= repeats.FACTORS[-1]
+        h ^= h >> np.uint64(29)
+        return h
+
+    def least(f):
+        times = []
+        for _ in range(300):
+            t = time.thread_time_ns()
+            f()
+            times.append(time.thread_time_ns() - t)
+        return min(times)
+
+    assert (repeats.grams(raw, 64) == plain()).all() and least(lambda: repeats.grams(raw, 64)) < 0.85 * least(plain)
+
+
+@pytest.mark.parametrize("gram", [8, 24, 64])
+def test_grams_and_least_places_against_plain_loops(gram):
+    raw = np.random.default_rng(gram).integers(0, 4, 1500).astype(np.uint8)
+    raw[900:1400] = raw[100:600]
+    h = repeats.grams(raw, gram)
+    of = {}
+    assert len(h) == 1500 - gram + 1 and all(of.setdefault(raw[i : i + gram].tobytes(), x) == x for i, x in enumerate(h.tolist())) and len(set(of.values())) == len(of)
+    high = h & ~np.uint64(repeats.AT_ONCE * 2 - 1)
+    for width in (1, 2, 5, 137):
+        assert repeats._lowest(h, width).tolist() == sorted({i + int(np.argmin(high[i : i + width])) for i in range(len(h) - width + 1)})
